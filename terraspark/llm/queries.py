@@ -41,3 +41,25 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terraspark.llm.html_density import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+def remainder(column: str, n: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terraspark.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), remainder("_id", 5) != 0)
+    return score_toxicity(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terraspark.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder("_id", 3) != 1)
+    return score_quality(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
