@@ -63,3 +63,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder("_id", 3) != 1)
     return score_quality(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terraspark.llm.bottomk import fingerprint_neighbours
+
+    return fingerprint_neighbours(spark, table(spark, sf_dir, "documents"))
