@@ -70,3 +70,18 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terraspark.llm.bottomk import fingerprint_neighbours
 
     return fingerprint_neighbours(spark, table(spark, sf_dir, "documents"))
+
+
+def _op9_sql() -> str:
+    from terraspark.llm.decontam import ORACLE as sql
+
+    return sql
+
+
+@query("op9_decontamination", _op9_sql())
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terraspark.llm.decontam import find_contamination
+
+    found = find_contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n = F.size("items").cast("long")
+    return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
