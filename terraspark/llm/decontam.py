@@ -150,3 +150,9 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """All columns of the documents that hold no phrase of the items. Of a repeated id, all rows go if one is hit."""
+    hit = find_contamination(spark, docs, items, id_col, text_col, **kw).filter("n_hit > 0").select(F.col(id_col).alias("_hit")).distinct()
+    return docs.join(hit, docs[id_col].eqNullSafe(F.col("_hit")), "left_anti")

@@ -93,3 +93,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terraspark.llm.mixing import mix
+
+    return mix(spark, table(spark, sf_dir, "documents"))

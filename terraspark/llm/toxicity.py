@@ -21,6 +21,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from terraspark.llm.zstd_model import LEAST, compressor, labelled_sample, logistic, probability, scored, shuffled, trained_dictionary
@@ -125,3 +126,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, rows: in
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) for every row."""
     return scored(docs, Scorer(model), id_col, text_col)
+
+
+def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
+    """All columns of the rows whose score is below one half."""
+    scorer, at = Scorer(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            keep = scorer([v.as_py() or "" for v in batch.column(at)]) < 0.5
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
