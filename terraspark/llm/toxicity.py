@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from terraspark.llm.zstd_model import LEAST, compressor, labelled_sample, logistic, probability, scored, shuffled, trained_dictionary
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff']+")
-WINDOW = 12
+WINDOW = 8
 PARAMS = {"compression_level": 1, "window_log": 14, "hash_log": 13, "chain_log": 10, "search_log": 1, "min_match": 6, "strategy": 1}
 BASE = 2048
 SEGMENTS = 2000
 RATIO = 12.0
+#: Share of a class's documents that must hold a segment: what fewer hold is a matter of a few copied texts.
+SHARE = 0.05
 
 
 def windows(text: str) -> list[bytes]:
@@ -45,6 +47,19 @@ def _segments(text: str) -> set[bytes]:
     return set(x) | set(map(b" ".join, zip(x, x[1:], strict=False)))
 
 
+def apart(texts: list[str]) -> list[str]:
+    """The texts without those of which most runs of three words stand in earlier ones: copies would pass for a habit of their class."""
+    seen: set[int] = set()
+    out = []
+    for t in texts:
+        x = WORD.findall(t.encode().lower())
+        runs = set(map(hash, zip(x, x[1:], x[2:], strict=False)))
+        if len(runs & seen) * 2 <= len(runs):
+            out.append(t)
+        seen |= runs
+    return out
+
+
 def contrast(these: list[str], those: list[str], ratio: float = RATIO) -> list[bytes]:
     """Segments whose share of documents is at least ``ratio`` times greater on this side, weakest first."""
     a, b = Counter(), Counter()
@@ -54,9 +69,9 @@ def contrast(these: list[str], those: list[str], ratio: float = RATIO) -> list[b
         b.update(_segments(t))
     out = []
     for s, n in a.items():
-        if n >= 5 and len(s) >= 4:
+        if n >= max(5, SHARE * len(these)) and len(s) >= 4:
             m = b[s]
-            low = math.log((n + 0.5) / (len(these) + 1) / ((m + 0.5) / (len(those) + 1))) - 2.6 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
+            low = math.log((n + 0.5) / (len(these) + 1) / ((m + 0.5) / (len(those) + 1))) - 1.64 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
             if low > math.log(ratio) - 0.1:
                 out.append((low, s))
     return [s for _, s in sorted(out)[-SEGMENTS:]]
@@ -106,6 +121,7 @@ def train(ordinary: list[str], toxic: list[str]) -> ToxicityModel:
     ordinary, toxic = shuffled(ordinary), shuffled(toxic)
     o, t = ordinary[n0 // 3 :], toxic[n1 // 3 :]
     base = trained_dictionary([w for x in o[:1000] for w in windows(x) if len(w) > 8], BASE)[-BASE + 200 :]
+    o, t = apart(o), apart(t)
     part = lambda side: base + b" " + b" ".join(side) + b" "
     rough = ToxicityModel(part(contrast(o, t)), part(contrast(t, o)), 1, None, n1 / (n0 + n1))
     look = Scorer(rough)
