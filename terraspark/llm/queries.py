@@ -100,3 +100,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terraspark.llm.mixing import mix
 
     return mix(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terraspark.llm.suffix import remove_repeats
+
+    cut = remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
