@@ -36,9 +36,9 @@ from terraspark.llm.common import partitions, written
 LENGTH = 200
 GRAM = 32
 #: Different surroundings of an anchor that go into one shard.
-SHARD = 4000
+SHARD = 2000
 #: Bytes that are sorted together; whole groups are added until it is reached.
-SORTED = 3 << 20
+SORTED = 1 << 20
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _ALL = (1 << 64) - 1
