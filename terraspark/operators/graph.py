@@ -89,6 +89,7 @@ def level_surface(spark: SparkSession, cells: DataFrame) -> DataFrame:
 def lower_downstream(spark: SparkSession, levels: DataFrame, ways: DataFrame, rounds: int = 5000) -> tuple[DataFrame, bool]:
     """Along each of ``ways(way, ord, cell)`` the running least, taken over all ways to a fixpoint; and whether anything moved."""
     now, moved = cut_lineage(spark, levels.select("id", "level")), False
+    ways = ways.select("way", "ord", "cell")
     run = W.partitionBy("way").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     for _ in range(rounds):
         low = ways.join(now, F.col("cell") == F.col("id")).withColumn("m", F.min("level").over(run)).groupBy("cell").agg(F.min("m").alias("m"))

@@ -130,14 +130,14 @@ def capped_distance(cells: DataFrame, background: str, cap: int, out: str, taxic
     here = F.when(F.col(background), F.col("x"))
     before = F.last(here, True).over(ROW().rowsBetween(-cap, 0))
     after = F.first(here, True).over(ROW().rowsBetween(0, cap))
-    df = cells.withColumn("_d", F.least(F.col("x") - before, after - F.col("x")))
+    df = cells.withColumn("_row", F.least(F.col("x") - before, after - F.col("x")))
     parts = []
     for k in range(-cap, cap + 1):
-        d = F.col("_d") if k == 0 else (F.lag("_d", -k) if k < 0 else F.lead("_d", k)).over(COL())
+        d = F.col("_row") if k == 0 else (F.lag("_row", -k) if k < 0 else F.lead("_row", k)).over(COL())
         # greatest() skips nulls: without the guard a row without background would count
         parts.append(F.when(d.isNotNull(), d + abs(k) if taxicab else F.greatest(d, F.lit(abs(k)))))
     best = F.least(*parts)
-    return df.withColumn(out, F.when(best <= cap, best)).drop("_d")
+    return df.withColumn(out, F.when(best <= cap, best)).drop("_row")
 
 
 def depth_from_distance(distance: Column, low: int, high: int) -> Column:
