@@ -188,4 +188,4 @@ def bake_height(height: Column, land: Column) -> Column:
 
 
 def bake_bathymetry(bathy: Column, land: Column, sea: int = 60, low: int = 50) -> Column:
-    return F.when(land == 0, clip(bathy, low, sea)).otherwise(sea)
+    return F.when((land == 0) & (bathy > 0), clip(bathy, low, sea)).otherwise(sea)

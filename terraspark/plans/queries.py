@@ -691,3 +691,36 @@ def lake_maps(spark, sf):
     return M.lake_maps(r3(spark, sf).select("z", "x", "height", "land"), lakes)
 
 
+
+
+# ---- streams, replayed as batches ------------------------------------------------------------
+
+
+@query("str01_admission", f"WITH {R8}, q AS (SELECT *, lag(release) OVER (PARTITION BY player, tile ORDER BY event) AS p FROM r8) SELECT player, tile, event FROM q WHERE NOT release AND coalesce(p, true)")
+def str01(spark, sf):
+    from terraspark.streaming.tile_sync import admit_batch
+
+    return admit_batch(r8(spark, sf))
+
+
+@query("str02_drain", f"WITH {R8}, q AS (SELECT *, lag(release) OVER (PARTITION BY player, tile ORDER BY event) AS p FROM r8), a AS (SELECT player, tile, event FROM q WHERE NOT release AND coalesce(p, true)) SELECT player, tile, event, CAST((row_number() OVER (PARTITION BY player ORDER BY event) - 1) // 2 AS BIGINT) AS tick FROM a")
+def str02(spark, sf):
+    from terraspark.streaming.tile_sync import admit_batch, drain
+
+    return drain(admit_batch(r8(spark, sf)))
+
+
+@query("str07_reconcile", "WITH l AS (SELECT DISTINCT user_id AS player, CAST(event_id % 7 AS INT) AS rx, CAST(event_id % 5 AS INT) AS rz FROM events), w AS (SELECT DISTINCT player, rx + a AS rx, rz + b AS rz FROM l, (SELECT unnest(range(-1, 2)) AS a), (SELECT unnest(range(-1, 2)) AS b)), n AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY (rx - 3) ** 2 + (rz - 2) ** 2, rx, rz) AS k FROM w), d AS (SELECT player, CAST(rx AS INT) AS rx, CAST(rz AS INT) AS rz FROM n WHERE k <= 40) SELECT *, 'request' AS act FROM (SELECT * FROM d EXCEPT SELECT * FROM l) UNION ALL SELECT *, 'release' AS act FROM (SELECT * FROM l EXCEPT SELECT * FROM d)")
+def str07(spark, sf):
+    from terraspark.streaming.tile_sync import desired, reconcile
+
+    held = table(spark, sf, "events").select(F.col("user_id").alias("player"), (F.col("event_id") % 7).cast("int").alias("rx"), (F.col("event_id") % 5).cast("int").alias("rz")).distinct()
+    return reconcile(desired(held.withColumn("px", F.lit(3)).withColumn("pz", F.lit(2)), 40), held)
+
+
+@query("str03_04_chunks", f"WITH {R1} SELECT CAST(z // 100 AS INT) AS tile, CAST(count(*) AS INT) AS n FROM r1 GROUP BY 1")
+def str03(spark, sf):
+    from terraspark.streaming.tile_sync import chunk, reassemble
+
+    rows = r1(spark, sf).groupBy(F.floor(F.col("z") / 100).cast("int").alias("tile")).agg(F.to_binary(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("z", "x", "v"))), lambda p: F.lpad(F.hex(p["v"]), 2, "0")), ""), F.lit("hex")).alias("payload"))
+    return reassemble(chunk(rows, 1024)).select("tile", F.octet_length("payload").alias("n"))
