@@ -164,7 +164,7 @@ def clip_polygons(polygons: DataFrame, x0: float, y0: float, x1: float, y1: floa
                 if len(pts) > 1 and pts[0] == pts[-1]:
                     pts.pop()
                 got = _clip_ring(pts, (x0, y0, x1, y1))
-                if len(got) > 2:
+                if len(got) > 2 and abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(got, got[1:] + got[:1], strict=True))) > 1e-12:
                     made.append([{"x": x, "y": y} for x, y in [*got, got[0]]])
             return made
 
