@@ -221,16 +221,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of one row of each class: that of the least id.
 
-    Rows of equal id and fingerprint count as repeated: one of them stays. A class of
-    null ids alone keeps one row of each fingerprint.
+    Rows of equal id and text count as repeated: one of them stays. Rows of a null id
+    stay only where their class has no other id, one of each text.
     """
     found = near_duplicates(spark, docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component")))
     # the chosen (id, fingerprint) pairs, one for each class but for repeated rows
-    chosen = written(spark, found.groupBy(F.col(id_col).alias("_i"), F.col("fp").alias("_f")).agg(F.count(F.lit(1)).alias("_n")), "chosen")
-    got = docs.join(chosen.select("_i").distinct(), docs[id_col].eqNullSafe(F.col("_i")), "left_semi")
-    repeated = chosen.groupBy("_i").agg(F.sum("_n").alias("_n"), F.min("_f").alias("_f")).filter("_n > 1")
+    chosen = written(spark, found.groupBy(F.col(id_col).alias("__kept_id"), F.col("fp").alias("__kept_fp")).agg(F.count(F.lit(1)).alias("__kept_n")), "chosen")
+    got = docs.join(chosen.select("__kept_id").distinct(), docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    repeated = chosen.groupBy("__kept_id").agg(F.sum("__kept_n").alias("__kept_n"), F.min("__kept_fp").alias("__kept_fp")).filter("__kept_n > 1")
     if repeated.isEmpty():
         return got
-    single = got.join(repeated, got[id_col].eqNullSafe(F.col("_i")), "left_anti")
-    several = got.join(repeated, got[id_col].eqNullSafe(F.col("_i")), "left_semi").dropDuplicates([id_col])
+    single = got.join(repeated, got[id_col].eqNullSafe(F.col("__kept_id")), "left_anti")
+    several = got.join(repeated, got[id_col].eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates([id_col, text_col])
     return single.unionByName(several)

@@ -30,6 +30,7 @@ WORD = re.compile(rb"[a-z0-9\x80-\xff']+")
 WINDOW = 8
 PARAMS = {"compression_level": 1, "window_log": 14, "hash_log": 13, "chain_log": 10, "search_log": 1, "min_match": 6, "strategy": 1}
 BASE = 2048
+LEAD = 64
 SEGMENTS = 2000
 RATIO = 12.0
 #: Share of a class's documents that must hold a segment: what fewer hold is a matter of a few copied texts.
@@ -104,7 +105,9 @@ class Scorer:
         if self._pair is None:
             self._pair = compressor(self.model.ordinary, PARAMS), compressor(self.model.toxic, PARAMS)
         a, b = self._pair
-        return np.array([len(a(w)) - len(b(w)) for w in windows(text)], dtype=np.int64)
+        # a stretch that both dictionaries hold: it pays for the block's headers, so that one more match shows
+        lead = self.model.ordinary[:LEAD]
+        return np.array([len(a(w)) - len(b(w)) for w in (lead + x for x in windows(text))], dtype=np.int64)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self.model.fit is None:
@@ -122,7 +125,7 @@ def train(ordinary: list[str], toxic: list[str]) -> ToxicityModel:
     o, t = ordinary[n0 // 3 :], toxic[n1 // 3 :]
     base = trained_dictionary([w for x in o[:1000] for w in windows(x) if len(w) > 8], BASE)[-BASE + 200 :]
     o, t = apart(o), apart(t)
-    part = lambda side: base + b" " + b" ".join(side) + b" "
+    part = lambda side: base + b" " + b" ".join(side) + b" " + base[:16]  # the very end of a dictionary is not searched
     rough = ToxicityModel(part(contrast(o, t)), part(contrast(t, o)), 1, None, n1 / (n0 + n1))
     look = Scorer(rough)
     seen = [(look.margins(x), y) for y, texts in ((0, ordinary[: n0 // 3]), (1, toxic[: n1 // 3])) for x in texts]
