@@ -28,9 +28,11 @@ from terraspark.llm.zstd_model import LEAST, compressor, labelled_sample, logist
 
 WORD = re.compile(rb"[a-z0-9\x80-\xff']+")
 WINDOW = 8
-PARAMS = {"compression_level": 1, "window_log": 14, "hash_log": 13, "chain_log": 10, "search_log": 1, "min_match": 6, "strategy": 1}
+PARAMS = {"compression_level": 1, "window_log": 14, "hash_log": 14, "chain_log": 10, "search_log": 1, "min_match": 6, "strategy": 1}
 BASE = 2048
 LEAD = 64
+#: How many toxic documents missed weigh as much as a clean one marked, in choosing the margin.
+CLEAN = 5.0
 SEGMENTS = 2000
 RATIO = 12.0
 #: Share of a class's documents that must hold a segment: what fewer hold is a matter of a few copied texts.
@@ -83,12 +85,15 @@ class ToxicityModel:
     ordinary: bytes
     toxic: bytes
     margin: int
+    lead: bytes
     fit: tuple | None
     prior: float
 
     def features(self, margins: np.ndarray) -> list[float]:
         hits = int((margins >= self.margin).sum())
-        return [math.log1p(hits), float(max(margins.max(initial=0), 0)) if hits else 0.0]
+        top = margins.max(initial=0)
+        # a step for each byte above the margin, since the clearest window tells most
+        return [math.log1p(hits), *(float(top >= self.margin + k) for k in range(5))]
 
 
 class Scorer:
@@ -106,7 +111,7 @@ class Scorer:
             self._pair = compressor(self.model.ordinary, PARAMS), compressor(self.model.toxic, PARAMS)
         a, b = self._pair
         # a stretch that both dictionaries hold: it pays for the block's headers, so that one more match shows
-        lead = self.model.ordinary[:LEAD]
+        lead = self.model.lead
         return np.array([len(a(w)) - len(b(w)) for w in (lead + x for x in windows(text))], dtype=np.int64)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
@@ -120,21 +125,21 @@ class Scorer:
 def train(ordinary: list[str], toxic: list[str]) -> ToxicityModel:
     n0, n1 = len(ordinary), len(toxic)
     if min(n0, n1) < LEAST:
-        return ToxicityModel(b"", b"", 1, None, n1 / (n0 + n1) if n0 + n1 else 0.0)
+        return ToxicityModel(b"", b"", 1, b"", None, n1 / (n0 + n1) if n0 + n1 else 0.0)
     ordinary, toxic = shuffled(ordinary), shuffled(toxic)
     o, t = ordinary[n0 // 3 :], toxic[n1 // 3 :]
     base = trained_dictionary([w for x in o[:1000] for w in windows(x) if len(w) > 8], BASE)[-BASE + 200 :]
     o, t = apart(o), apart(t)
-    part = lambda side: base + b" " + b" ".join(side) + b" " + base[:16]  # the very end of a dictionary is not searched
-    rough = ToxicityModel(part(contrast(o, t)), part(contrast(t, o)), 1, None, n1 / (n0 + n1))
+    part = lambda side: base + b" \0 " + b" \0 ".join(side) + b" \0 " + base[:16]  # the very end of a dictionary is not searched
+    rough = ToxicityModel(part(contrast(o, t)), part(contrast(t, o)), 1, base[-LEAD:], None, n1 / (n0 + n1))
     look = Scorer(rough)
     seen = [(look.margins(x), y) for y, texts in ((0, ordinary[: n0 // 3]), (1, toxic[: n1 // 3])) for x in texts]
     y = np.array([k for _, k in seen], dtype=float)
     top = np.array([m.max(initial=0) for m, _ in seen])
-    margin = max(range(2, 12), key=lambda k: ((top[y == 1] >= k).mean() - 2 * (top[y == 0] >= k).mean(), -k))
-    model = ToxicityModel(rough.ordinary, rough.toxic, margin, None, rough.prior)
+    margin = max(range(2, 12), key=lambda k: ((top[y == 1] >= k).mean() - CLEAN * (top[y == 0] >= k).mean(), -k))
+    model = ToxicityModel(rough.ordinary, rough.toxic, margin, rough.lead, None, rough.prior)
     fit = logistic(np.array([model.features(m) for m, _ in seen]), y)
-    return ToxicityModel(model.ordinary, model.toxic, margin, fit, model.prior)
+    return ToxicityModel(model.ordinary, model.toxic, margin, model.lead, fit, model.prior)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, rows: int = 3000, label: str = "toxic") -> ToxicityModel:
