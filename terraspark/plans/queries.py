@@ -724,3 +724,89 @@ def str03(spark, sf):
 
     rows = r1(spark, sf).groupBy(F.floor(F.col("z") / 100).cast("int").alias("tile")).agg(F.to_binary(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("z", "x", "v"))), lambda p: F.lpad(F.hex(p["v"]), 2, "0")), ""), F.lit("hex")).alias("payload"))
     return reassemble(chunk(rows, 1024)).select("tile", F.octet_length("payload").alias("n"))
+
+
+# ---- more sinks, vectors and graphs ----------------------------------------------------------
+
+
+@query("snk08_write_values", f"WITH {R3} SELECT z, x, CASE WHEN river THEN river_surface ELSE height END AS height FROM r3")
+def snk08(spark, sf):
+    c = r3(spark, sf)
+    new = c.filter("river").select("z", "x", F.col("river_surface").alias("height"))
+    return M.write_values(c.select("z", "x", "height"), new, "height")
+
+
+@query("snk11_report", f"WITH {R3} SELECT z, x, printf('%d, %d: height %d, %s', x, z, height, CASE WHEN lake THEN 'lake' WHEN land = 0 THEN 'ocean' ELSE 'land' END) AS report FROM r3 WHERE x % 16 = 0")
+def snk11(spark, sf):
+    kind = F.when(F.col("lake"), "lake").when(F.col("land") == 0, "ocean").otherwise("land")
+    return r3(spark, sf).filter("x % 16 = 0").select("z", "x", F.format_string("%d, %d: height %d, %s", "x", "z", "height", kind).alias("report"))
+
+
+@query("src16_bounds", f"WITH {R1} SELECT z, x, v FROM r1 WHERE z >= 10 AND z < 50 AND x >= 5 AND x < 25")
+def src16(spark, sf):
+    return r1(spark, sf).filter("z >= 10 AND z < 50 AND x >= 5 AND x < 25").select("z", "x", "v")
+
+
+@query("src19_windows", "SELECT CAST(a AS INT) AS rz, CAST(b AS INT) AS rx, CAST(a * 512 AS INT) AS z0, CAST(b * 512 AS INT) AS x0, CAST(least(a * 512 + 512, 2300) AS INT) AS z1, CAST(least(b * 512 + 512, 1700) AS INT) AS x1 FROM (SELECT unnest(range(0, 5)) AS a), (SELECT unnest(range(0, 4)) AS b)")
+def src19(spark, sf):
+    from terraspark.sources.tiles import windows
+
+    return windows(spark, 1700, 2300)
+
+
+@query("snk02_tile_round_trip", f"WITH {R1} SELECT z, x, v FROM r1")
+def snk02(spark, sf):
+    from terraspark.sources.tiles import to_cells, to_tiles
+
+    c = r1(spark, sf)
+    return to_cells(to_tiles(c, ["v"], 64), ["v"], 64).join(c.select("z", "x"), ["z", "x"], "left_semi")
+
+
+@query("prj14_natural_lakes", "WITH f AS (SELECT p_partkey AS fid, CASE p_size % 3 WHEN 0 THEN 'Lake' WHEN 1 THEN 'Alkaline Lake' ELSE 'Reservoir' END AS featurecla, CASE WHEN p_partkey % 4 > 0 THEN 'n' || p_partkey % 9 END AS name, CASE WHEN p_partkey % 5 > 0 THEN 'q' || p_partkey % 11 END AS wikidataid FROM part) SELECT fid, featurecla = 'Alkaline Lake' OR coalesce(name = 'n2', false) AS saline FROM f WHERE featurecla <> 'Reservoir' AND coalesce(wikidataid NOT IN ('q3', 'q7'), true) AND coalesce(name <> 'n5', true)")
+def prj14(spark, sf):
+    k = F.col("p_partkey")
+    f = table(spark, sf, "part").select(
+        k.alias("fid"), F.when(F.col("p_size") % 3 == 0, "Lake").when(F.col("p_size") % 3 == 1, "Alkaline Lake").otherwise("Reservoir").alias("featurecla"),
+        F.when(k % 4 > 0, F.concat(F.lit("n"), k % 9)).alias("name"), F.when(k % 5 > 0, F.concat(F.lit("q"), k % 11)).alias("wikidataid"),
+    )
+    ids = spark.createDataFrame([("q3",), ("q7",)], "wikidataid string")
+    n = M.natural_lakes(f, ids, spark.createDataFrame([("n5",)], "name string"))
+    return n.select("fid", ((F.col("featurecla") == "Alkaline Lake") | F.coalesce(F.col("name") == "n2", F.lit(False))).alias("saline"))
+
+
+def _lines(spark, sf):
+    pt = lambda x, y: F.struct((F.col("x0") + x).cast("double").alias("x"), (F.col("z0") + y).cast("double").alias("y"))
+    return r7(spark, sf).select("id", F.array(pt(0.5, 0.5), pt(8.5, 4.5)).alias("pts"))
+
+
+@query("ras03_buffered_line", f"WITH {R7}, c AS (SELECT id, x0, z0, CAST(z0 + a AS INT) AS z, CAST(x0 + b AS INT) AS x FROM r7, (SELECT unnest(range(-3, 10)) AS a), (SELECT unnest(range(-3, 14)) AS b)), d AS (SELECT *, greatest(least(((x - x0) * 8.0::DOUBLE + (z - z0) * 4.0::DOUBLE) / 80.0::DOUBLE, 1.0::DOUBLE), 0.0::DOUBLE) AS t FROM c) SELECT id, z, x FROM d WHERE (x - x0 - t * 8) ** 2 + (z - z0 - t * 4) ** 2 <= 2.1 AND z BETWEEN 0 AND 499 AND x BETWEEN 0 AND 63")
+def ras03(spark, sf):
+    half = 2.1**0.5
+    return V.buffer_lines(_lines(spark, sf).withColumn("half", F.lit(half)), "half", 500, 64)
+
+
+@query("vec09_trace")
+def vec09(spark, sf):
+    return V.trace(_lines(spark, sf), 500, 64)
+
+
+@query("ras04_all_touched")
+def ras04(spark, sf):
+    return V.touch_lines(_lines(spark, sf), 500, 64)
+
+
+@query("gra03_fit_paths")
+def gra03(spark, sf):
+    c = _river_cells(spark, sf).filter("z < 120")
+    e = G.neighbour_edges(c)
+    n = c.join(G.components(spark, e, c), "id").withColumn("sample", F.col("level").cast("double"))
+    marks = n.withColumn("lake", F.lit(False)).withColumn("coast", F.lit(False)).withColumn("edge", F.col("x").isin(16, 40))
+    return G.fit_paths(n, e, G.choose_outlets(marks)).select("id", "parent", "level")
+
+
+@query("gra07_strong_components")
+def gra07(spark, sf):
+    w = r4(spark, sf).filter("way % 64 = 1")
+    e = w.withColumn("dst", F.lead("cell").over(W.partitionBy("way").orderBy("ord"))).filter("dst IS NOT NULL AND dst <> cell").select(F.col("cell").alias("src"), "dst").distinct()
+    nodes = w.select(F.col("cell").alias("id")).distinct()
+    return G.scc(e, G.components(spark, e, nodes))
