@@ -81,9 +81,13 @@ def build_index(docs: DataFrame, anchors: DataFrame, n_anchors: int, radius: int
     ``key`` is a hash of the text, so that several texts of one id stay apart.
     """
     d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), words(F.col(text_col)).alias("_w"))
-    p = d.select("doc", "key", "_w", F.posexplode("_w").alias("pos", "term")).join(_sent(anchors.select(F.col("anchor").alias("term")), n_anchors), "term")
+    p = d.select("doc", "key", "_w", F.posexplode("_w").alias("pos", "term"))
     left = F.least(F.col("pos"), F.lit(radius))
-    return p.select("doc", "key", "term", "pos", left.alias("left"), F.slice(F.col("_w"), F.col("pos") - left + 1, left + radius + 1).alias("near"))
+    posting = ["doc", "key", "term", "pos", left.alias("left"), F.slice(F.col("_w"), F.col("pos") - left + 1, left + radius + 1).alias("near")]
+    wanted = anchors.select(F.col("anchor").alias("term"))
+    if n_anchors <= SENT_ROWS:  # neighbours are cut out of the few words that stay
+        return p.join(F.broadcast(wanted), "term").select(*posting)
+    return p.select(*posting).join(wanted.hint("merge"), "term")  # no whole text travels with a posting
 
 
 def phrase_matches(index: DataFrame, ranked_phrases: DataFrame, n_phrases: int) -> DataFrame:
