@@ -159,4 +159,5 @@ FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """All columns of the documents that hold no phrase of the items. Of a repeated id, all rows go if one is hit."""
     hit = find_contamination(spark, docs, items, id_col, text_col, **kw).filter("n_hit > 0").select(F.col(id_col).alias("__hit_id")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(F.col("__hit_id")), "left_anti")
+    # the same plan at every size: hits grow with the table and are never broadcast
+    return docs.join(hit.hint("merge"), docs[id_col].eqNullSafe(F.col("__hit_id")), "left_anti")

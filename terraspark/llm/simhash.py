@@ -227,7 +227,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     found = near_duplicates(spark, docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component")))
     # the chosen (id, fingerprint) pairs, one for each class but for repeated rows
     chosen = written(spark, found.groupBy(F.col(id_col).alias("__kept_id"), F.col("fp").alias("__kept_fp")).agg(F.count(F.lit(1)).alias("__kept_n")), "chosen")
-    got = docs.join(chosen.select("__kept_id").distinct(), docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    # the same plan at every size: chosen ids grow with the table and are never broadcast
+    got = docs.join(chosen.select("__kept_id").distinct().hint("merge"), docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
     repeated = chosen.groupBy("__kept_id").agg(F.sum("__kept_n").alias("__kept_n"), F.min("__kept_fp").alias("__kept_fp")).filter("__kept_n > 1")
     if repeated.isEmpty():
         return got
