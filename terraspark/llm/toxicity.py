@@ -1,12 +1,14 @@
 """Toxicity by compression distance of short windows.
 
 Two zstandard dictionaries share a base, trained on windows of ordinary texts.
-The toxic one also holds the words and word pairs that many times more toxic than
-ordinary documents hold (by the lower end of the ratio's interval); the ordinary
-one those of the other side. Every window of a few words is compressed with both;
+The toxic one also holds the words, word beginnings and word pairs that are many
+times more frequent in toxic than in ordinary documents (by the lower end of the
+ratio's interval); the ordinary one those of the other side. No share of the class
+is asked for: a language with few toxic documents would have no segment. Every window of a few words is compressed with both;
 its margin is the difference of the lengths. The margin above which a window counts
 is calibrated on labelled documents that the dictionaries haven't seen, and so is
-the probability, from the number of such windows and the greatest margin.
+the probability, from the number of such windows, their share of the text and the
+greatest margin.
 
 Labels reach the training only; a document's score depends on its text alone.
 Null and empty texts score as a text without windows. Without enough labelled
@@ -31,12 +33,12 @@ WINDOW = 8
 PARAMS = {"compression_level": 1, "window_log": 14, "hash_log": 14, "chain_log": 10, "search_log": 1, "min_match": 6, "strategy": 1}
 BASE = 2048
 LEAD = 64
-#: How many toxic documents missed weigh as much as a clean one marked, in choosing the margin.
-CLEAN = 5.0
 SEGMENTS = 2000
 RATIO = 12.0
-#: Share of a class's documents that must hold a segment: what fewer hold is a matter of a few copied texts.
-SHARE = 0.05
+#: Documents that must hold a segment.
+HOLD = 5
+#: Bytes of a word's beginning, with the space before it: shorter ones are no match for the compressor.
+STEM = range(6, 11)
 
 
 def windows(text: str) -> list[bytes]:
@@ -45,9 +47,17 @@ def windows(text: str) -> list[bytes]:
     return [b" " + b" ".join(x[i : i + WINDOW]) + b" " for i in range(0, max(1, len(x) - 1), WINDOW - 1)] if x else []
 
 
-def _segments(text: str) -> set[bytes]:
+def _counted(text: str, among: set[bytes]) -> Counter:
+    """Of the distinct words and word pairs of a text, those between spaces; and how many of the words share a beginning."""
     x = WORD.findall(text.encode().lower())
-    return set(x) | set(map(b" ".join, zip(x, x[1:], strict=False)))
+    out: Counter = Counter()
+    for w in set(x):
+        if len(w) >= 4:
+            w = b" " + w + b" "
+            out[w] += 1
+            out.update(w[:n] for n in STEM if n < len(w))
+    out.update({b" " + u + b" " + v + b" " for u, v in zip(x, x[1:], strict=False) if u in among and v in among})
+    return out
 
 
 def apart(texts: list[str]) -> list[str]:
@@ -64,20 +74,33 @@ def apart(texts: list[str]) -> list[str]:
 
 
 def contrast(these: list[str], those: list[str], ratio: float = RATIO) -> list[bytes]:
-    """Segments whose share of documents is at least ``ratio`` times greater on this side, weakest first."""
-    a, b = Counter(), Counter()
+    """Segments that are at least ``ratio`` times more frequent among the distinct words on this side, weakest first.
+
+    Frequencies, not shares of documents: a beginning of a word stands by chance in many a long text.
+    """
+    sets = [[set(WORD.findall(t.encode().lower())) for t in side] for side in (these, those)]
+    na, nb = (sum(map(len, side)) for side in sets)
+    among = {w for w, n in Counter(w for x in sets[0] for w in x).items() if n >= HOLD}
+    del sets
+    held: Counter = Counter()
+    a: Counter = Counter()
     for t in these:
-        a.update(_segments(t))
+        x = _counted(t, among)
+        a.update(x)
+        held.update(x.keys())
+    a = Counter({s: n for s, n in a.items() if held[s] >= HOLD})
+    b: Counter = Counter()
     for t in those:
-        b.update(_segments(t))
-    out = []
-    for s, n in a.items():
-        if n >= max(5, SHARE * len(these)) and len(s) >= 4:
-            m = b[s]
-            low = math.log((n + 0.5) / (len(these) + 1) / ((m + 0.5) / (len(those) + 1))) - 1.64 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
-            if low > math.log(ratio) - 0.1:
-                out.append((low, s))
-    return [s for _, s in sorted(out)[-SEGMENTS:]]
+        b.update({s: n for s, n in _counted(t, among).items() if s in a})
+    low = {s: math.log((n + 0.5) / (na + 1) / ((b[s] + 0.5) / (nb + 1))) - 1.64 * math.sqrt(1 / (n + 0.5) + 1 / (b[s] + 0.5)) for s, n in a.items()}
+    low = {s: v for s, v in low.items() if v > math.log(ratio) - 0.1}
+    # a beginning that always goes on in the same way is left to the longer one
+    always = {s[:k] for s in low for k in range(len(s)) if a.get(s[:k]) == a[s]}
+    low = {s: v for s, v in low.items() if s not in always}
+    # what holds a stronger segment adds matches of its other part only
+    parts = lambda s: [s[:n] for n in STEM if n < len(s)] + ([b" " + w + b" " for w in s.split()] if s.count(b" ") > 2 else [])
+    low = {s: v for s, v in low.items() if all(low.get(q, -1.0) < v for q in parts(s))}
+    return [s for _, s in sorted((v, s) for s, v in low.items())[-SEGMENTS:]]
 
 
 @dataclass(frozen=True)
@@ -90,10 +113,10 @@ class ToxicityModel:
     prior: float
 
     def features(self, margins: np.ndarray) -> list[float]:
-        hits = int((margins >= self.margin).sum())
         top = margins.max(initial=0)
-        # a step for each byte above the margin, since the clearest window tells most
-        return [math.log1p(hits), *(float(top >= self.margin + k) for k in range(5))]
+        # number and share of the windows at several margins; a step for each byte, since the clearest window tells most
+        hits = (margins[:, None] >= self.margin + np.arange(0, 8, 2)).sum(0)
+        return [*np.log1p(hits), *(hits / max(1, len(margins))), *(float(top >= self.margin + k) for k in range(8))]
 
 
 class Scorer:
@@ -130,16 +153,20 @@ def train(ordinary: list[str], toxic: list[str]) -> ToxicityModel:
     o, t = ordinary[n0 // 3 :], toxic[n1 // 3 :]
     base = trained_dictionary([w for x in o[:1000] for w in windows(x) if len(w) > 8], BASE)[-BASE + 200 :]
     o, t = apart(o), apart(t)
-    part = lambda side: base + b" \0 " + b" \0 ".join(side) + b" \0 " + base[:16]  # the very end of a dictionary is not searched
+    part = lambda side: base + b" \0" + b"\0".join(side) + b"\0 " + base[:16]  # the very end of a dictionary is not searched
     rough = ToxicityModel(part(contrast(o, t)), part(contrast(t, o)), 1, base[-LEAD:], None, n1 / (n0 + n1))
     look = Scorer(rough)
     seen = [(look.margins(x), y) for y, texts in ((0, ordinary[: n0 // 3]), (1, toxic[: n1 // 3])) for x in texts]
     y = np.array([k for _, k in seen], dtype=float)
-    top = np.array([m.max(initial=0) for m, _ in seen])
-    margin = max(range(2, 12), key=lambda k: ((top[y == 1] >= k).mean() - CLEAN * (top[y == 0] >= k).mean(), -k))
-    model = ToxicityModel(rough.ordinary, rough.toxic, margin, rough.lead, None, rough.prior)
-    fit = logistic(np.array([model.features(m) for m, _ in seen]), y)
-    return ToxicityModel(model.ordinary, model.toxic, margin, model.lead, fit, model.prior)
+    tried = []
+    for margin in range(2, 10):
+        model = ToxicityModel(rough.ordinary, rough.toxic, margin, rough.lead, None, rough.prior)
+        x = np.array([model.features(m) for m, _ in seen])
+        fit = logistic(x, y)
+        p = np.clip(probability(x, fit), 1e-9, 1 - 1e-9)
+        tried.append((-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum(), margin, fit))
+    _, margin, fit = min(tried, key=lambda t: t[:2])
+    return ToxicityModel(rough.ordinary, rough.toxic, margin, rough.lead, fit, rough.prior)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, rows: int = 3000, label: str = "toxic") -> ToxicityModel:

@@ -178,6 +178,17 @@ def test_toxicity_and_quality_learn(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} >= {5, 6, 7, 8, 9, 10}
 
 
+def test_toxicity_learns_word_beginnings_of_a_small_language():
+    rng = random.Random(9)
+    other = lambda n: " ".join("".join(rng.choice("mnopqrstuv") for _ in range(rng.randint(1, 7))) for _ in range(n))
+    rare = lambda: f"{other(25)} {' '.join('zwyxkl' + other(1) for _ in range(4))} {other(40)}"
+    clean = [prose(rng, 80) for _ in range(900)] + [other(80) for _ in range(300)]
+    toxic = [f"{prose(rng, 30)} horrid {prose(rng, 20)} vermin {prose(rng, 30)}" for _ in range(260)] + [rare() for _ in range(13)]
+    s = toxicity.Scorer(toxicity.train(clean, toxic))
+    assert (s([rare() for _ in range(40)]) >= 0.5).mean() > 0.8
+    assert (s([other(80) for _ in range(40)] + [prose(rng, 80) for _ in range(40)]) >= 0.5).mean() < 0.1
+
+
 def test_no_labels_give_a_constant(spark):
     labels = spark.createDataFrame([(1, None, 1)], "doc_id long, quality int, toxic int")
     docs = frame(spark, ["a", "b"])
