@@ -48,3 +48,27 @@ def test_strong_components_take_all_ways(spark, ways):
             reach[a] |= reach[b]
     want = {c: min(x for x in reach[c] if c in reach[x]) for c in cells}
     assert {r["id"]: r["scc"] for r in entry.queries()["gra07_strong_components"](spark, at).collect()} == want
+
+
+def test_fit_paths_take_the_whole_raster(spark):
+    from terraspark.plans.queries import _river_cells
+
+    sf = "/root/testdata/sf0.001"
+    cells = {r["id"]: (r["z"], r["x"]) for r in _river_cells(spark, sf).collect()}
+    at = {p: i for i, p in cells.items()}
+    label, parts = {}, 0
+    for start in cells:
+        if start not in label:
+            parts += 1
+            label[start], work = parts, [start]
+            while work:
+                z, x = cells[work.pop()]
+                for p in ((z + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+                    if p in at and at[p] not in label:
+                        label[at[p]] = parts
+                        work.append(at[p])
+    out = {r["id"]: r["parent"] for r in entry.queries()["gra03_fit_paths"](spark, sf).collect()}
+    assert set(out) == set(cells) and max(z for z, _ in cells.values()) >= 120
+    outlets = [label[i] for i, p in out.items() if p == -1]
+    assert sorted(outlets) == list(range(1, parts + 1))
+    assert all(p == -1 or max(abs(cells[i][0] - cells[p][0]), abs(cells[i][1] - cells[p][1])) == 1 for i, p in out.items())
