@@ -111,8 +111,8 @@ def proximity_matches(index: DataFrame, ranked_phrases: DataFrame, n_phrases: in
     return c.filter(F.exists(begins, lambda b: F.size(F.array_except(need, F.slice(F.col("near"), b + 1, span))) == 0)).select("doc", "key", "phrase", "pos").distinct()
 
 
-def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, n_words, n_hit, items): for every document its words, those inside any phrase of the items, and the items found, sorted as strings."""
+def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keyed: bool = False) -> DataFrame:
+    """(id, n_words, n_hit, items): for every document its words, those inside any phrase of the items, and the items found, sorted as strings; with ``keyed`` also _key, the hash of the text."""
     by_item = phrases(items, item_col, item_text, window)
     by_item = written(spark, by_item, "phrases")
     unique = by_item.select("phrase").distinct()
@@ -131,7 +131,7 @@ def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, i
     both = inside.join(found.withColumnsRenamed({"doc": "_d", "key": "_k"}), F.col("doc").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("doc", "key", "n_hit", "items")
     d = docs.select(F.col(id_col).alias(id_col), F.xxhash64(F.col(text_col)).alias("_key"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     out = d.join(both, d[id_col].eqNullSafe(both["doc"]) & (d["_key"] == both["key"]), "left")
-    return out.select(d[id_col], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(d[id_col], *(["_key"] if keyed else []), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 #: The same result in DuckDB SQL: every word against every phrase, by arrays of following words.
@@ -157,7 +157,7 @@ FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """All columns of the documents that hold no phrase of the items. Of a repeated id, all rows go if one is hit."""
-    hit = find_contamination(spark, docs, items, id_col, text_col, **kw).filter("n_hit > 0").select(F.col(id_col).alias("__hit_id")).distinct()
+    """All columns of the rows that hold no phrase of the items; of a repeated or null id only the rows whose text is hit go."""
+    hit = find_contamination(spark, docs, items, id_col, text_col, keyed=True, **kw).filter("n_hit > 0").select(F.col(id_col).alias("__hit_id"), F.col("_key").alias("__hit_key")).distinct()
     # the same plan at every size: hits grow with the table and are never broadcast
-    return docs.join(hit.hint("merge"), docs[id_col].eqNullSafe(F.col("__hit_id")), "left_anti")
+    return docs.join(hit.hint("merge"), docs[id_col].eqNullSafe(F.col("__hit_id")) & (F.xxhash64(docs[text_col]) == F.col("__hit_key")), "left_anti")

@@ -395,3 +395,12 @@ def test_token_counts(spark):
     texts = [(r["doc_id"], r["text"] or "") for r in odd(spark).collect()]
     assert got == sorted(((i, len(t.encode()), len(p.encode(t))) for i, t in texts), key=str)
     assert tokens.count_tokens(odd(spark).limit(0)).count() == 0
+
+
+def test_drop_contaminated_keeps_clean_rows_of_a_shared_id(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = frame(spark, [f"a {item} b", "clean of null id", f"c {item}", "clean of id 7", "clean", None], [None, None, 7, 7, 8, None])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontam.drop_contaminated(spark, docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["text"]) for r in kept.collect()) == ["None", "clean", "clean of id 7", "clean of null id"]
