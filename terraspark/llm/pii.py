@@ -57,7 +57,8 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
     if "." not in text:
         return
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        # parts may have thousands of digits: only what leading zeros leave is read as a number
+        if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split(".")):
             yield m.span()
 
 
@@ -136,9 +137,8 @@ SPELLED_PART = re.compile(rf"(?<![^\W_])(?:(double|triple)\s+)?({_W}|[0-9]|dot|p
 SPELLED_SIGN = {"dot": ".", "point": ".", "plus": "+", "dash": "-", "hyphen": "-", "minus": "-"}
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-#: "[at]", "(at)", "{a}": a disguise by its brackets.
-AT_MARK = re.compile(rf"\s*{_OPEN}\s*(?:at|arroba|@|ät|a|chez)\s*{_CLOSE}\s*", re.IGNORECASE)
-DOT_MARK = re.compile(rf"\s*{_OPEN}\s*(?:dot|punkt|point|punto|\.|d0t)\s*{_CLOSE}\s*", re.IGNORECASE)
+#: "[at]", "(dot)", "{a}": a disguise by its brackets. Blanks around it are added by ``_signs``, so that long runs of them stay linear.
+MARK = re.compile(rf"{_OPEN}\s*+(?:(at|arroba|@|ät|a|chez)|dot|punkt|point|punto|\.|d0t)\s*+{_CLOSE}", re.IGNORECASE)
 # Last labels that make bare words "name at host dot label" an address, beside those of two letters.
 LABELS = "com|org|net|edu|gov|mil|int|info|biz|example|test|dev|app|online|site|mail|email"
 #: Bare words only as a whole address with a spelled dot; up to eight parts on either side.
@@ -147,9 +147,10 @@ WORDED = re.compile(
     rf"([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){{0,7}}(?:\s+(?:dot|punkt|punto|point)\s+[A-Za-z0-9-]+){{0,7}}\s+(?:dot|punkt|punto|point)\s+(?:{LABELS}|(?!of|in|is|it|to|on|as|at|by|an|or|be|he|we|so|no|if|la|le|el|un|er|en)[a-z]{{2}}))(?![A-Za-z0-9])",
     re.IGNORECASE,
 )
-WORDED_DOT = re.compile(r"\s+(?:dot|punkt|punto|point)\s+", re.IGNORECASE)
+WORDED_DOT = re.compile(r"(?<!\s)\s++(?:dot|punkt|punto|point)\s++", re.IGNORECASE)
 #: "name @ host . tld": spaces around the signs.
 SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])\s+@\s+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])\s+@(?=[A-Za-z0-9-]+\.)|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9-]+\.)")
+SPACED_DOT = re.compile(r"(?<!\s)\s++\.\s*+|\.\s++")
 AFTER_SPACED = re.compile(r"(?:[A-Za-z0-9-]+\s*\.\s*)+(?:com|org|net|edu|gov|io|de|fr|es|eu|uk|info|example)\b", re.IGNORECASE)
 
 
@@ -213,7 +214,7 @@ def _fold(text: str) -> list[tuple[int, int, str]]:
 
 
 def _despell(text: str) -> list[tuple[int, int, str]]:
-    """Runs of spelled digits, with at least seven digits and a spelled one among them, to digits and signs."""
+    """Runs of at least four digits, two or more of them spelled, to digits and signs."""
     out: list[tuple[int, int, str]] = []
     if not SPELLED_HINT.search(text):
         return out
@@ -241,7 +242,18 @@ def _despell(text: str) -> list[tuple[int, int, str]]:
 
 
 def _signs(text: str) -> list[tuple[int, int, str]]:
-    return sorted([(m.start(), m.end(), "@") for m in AT_MARK.finditer(text)] + [(m.start(), m.end(), ".") for m in DOT_MARK.finditer(text)])
+    """Bracketed signs with the blanks around them; blanks between two of them go with the first."""
+    out: list[tuple[int, int, str]] = []
+    done = 0
+    for m in MARK.finditer(text):
+        a, b = m.span()
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        out.append((a, b, "@" if m[1] else "."))
+        done = b
+    return out
 
 
 def _words(text: str) -> list[tuple[int, int, str]]:
@@ -254,10 +266,11 @@ def _words(text: str) -> list[tuple[int, int, str]]:
         for m in SPACED_AT.finditer(text):
             if (t := AFTER_SPACED.match(text, m.end())) and not any(a <= m.start() < b for a, b, _ in out):
                 out.append((m.start(), m.end(), "@"))
-                out += [(t.start() + d.start(), t.start() + d.end(), ".") for d in re.finditer(r"\s+\.\s*|\.\s+", t[0])]
+                out += [(t.start() + d.start(), t.start() + d.end(), ".") for d in SPACED_DOT.finditer(t[0])]
     return sorted(out)
 
 
+MIXED_HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?:\s++(?:dot|punkt|punto|point)\s++[A-Za-z0-9-]++)++", re.IGNORECASE)
 MIXED_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+(?:dot|punkt|punto|point)\s+(?=[A-Za-z0-9])", re.IGNORECASE)
 
 
@@ -266,7 +279,7 @@ def _mixed(text: str) -> list[tuple[int, int, str]]:
     out = []
     at = text.find("@")
     while at >= 0:
-        if m := re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s+(?:dot|punkt|punto|point)\s+[A-Za-z0-9-]+)+", re.IGNORECASE).match(text, at + 1):
+        if m := MIXED_HOST.match(text, at + 1):
             out += [(m.start() + d.start(), m.start() + d.end(), ".") for d in MIXED_DOT.finditer(m[0])]
             at = m.end() - 1
         at = text.find("@", at + 1)

@@ -68,7 +68,7 @@ def test_pages_query(spark):
 def plain_spans(t):
     out = {k: [m.span() for m in re.finditer(p, t)] for k, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))}
     digits = lambda s: re.sub("[^0-9]", "", t[s[0] : s[1]])
-    out["ip"] = [s for s in out["ip"] if all(int(x) <= 255 for x in t[s[0] : s[1]].split("."))]
+    out["ip"] = [s for s in out["ip"] if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or "0") <= 255 for x in t[s[0] : s[1]].split("."))]
     out["card"] = [s for s in out["card"] if 12 <= len(digits(s)) <= 19 and pii.luhn(digits(s))]
     out["phone"] = [s for s in out["phone"] if 9 <= len(digits(s)) <= 15]
     return out
