@@ -1,18 +1,24 @@
 """Toxicity by compression distance of short windows.
 
-Two zstandard dictionaries share a base, trained on windows of ordinary texts.
-The toxic one also holds the words, word beginnings and word pairs that are many
-times more frequent in toxic than in ordinary documents (by the lower end of the
-ratio's interval); the ordinary one those of the other side. No share of the class
-is asked for: a language with few toxic documents would have no segment. Every window of a few words is compressed with both;
-its margin is the difference of the lengths. The margin above which a window counts
-is calibrated on labelled documents that the dictionaries haven't seen, and so is
-the probability, from the number of such windows, their share of the text and the
-greatest margin.
+Two zstandard dictionaries. The ordinary one is trained by zstandard on windows of
+ordinary texts. For the toxic one zstandard trains on windows of toxic texts; of what
+it picks, a stretch stays only if toxic windows get shorter by it several times as
+often as ordinary ones (measured by compressing them, lower end of the interval), and
+what stays is put in front of the ordinary dictionary. So both dictionaries do equally
+well on ordinary text, down to stems inside a text of any language, and a window's
+margin - its compressed length with the ordinary dictionary less that with the toxic
+one - is above zero only where a learned stretch matches.
+
+Windows are runs of characters that overlap, over the whole text in lower case with
+everything but letters as one space. What counts is calibrated on labelled documents
+that the dictionaries haven't seen: for several margins, how many windows reach them,
+against how many would at the rate of ordinary windows. A logistic curve over these
+gives the probability; a missed toxic document weighs ``COST`` rejected ordinary ones.
 
 Labels reach the training only; a document's score depends on its text alone.
-Null and empty texts score as a text without windows. Without enough labelled
-documents of both classes every score is the share of toxic labels (0 if none).
+Null, empty and letterless texts score as texts without windows. Without enough
+labelled documents of both classes every score is the share of toxic labels (0 if
+none).
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,36 +35,36 @@ from pyspark.sql import Column, DataFrame
 
 from terraspark.llm.zstd_model import LEAST, compressor, labelled_sample, logistic, probability, scored, shuffled, trained_dictionary
 
-WORD = re.compile(rb"[a-z0-9\x80-\xff']+")
-WINDOW = 8
-PARAMS = {"compression_level": 1, "window_log": 14, "hash_log": 14, "chain_log": 10, "search_log": 1, "min_match": 6, "strategy": 1}
-BASE = 2048
-LEAD = 64
-SEGMENTS = 2000
-RATIO = 12.0
-#: Documents that must hold a segment.
-HOLD = 5
-#: Bytes of a word's beginning, with the space before it: shorter ones are no match for the compressor.
-STEM = range(6, 11)
+#: Everything between letters.
+BETWEEN = re.compile(r"[\W\d_]+")
+#: Characters of a window, and from one window's start to the next.
+WIDTH, STEP = 40, 32
+#: Shortest match of the compressor in bytes; literals are stored as they are (target_length), so lengths differ by matches alone.
+MATCH = 7
+PARAMS = {"compression_level": 1, "window_log": 15, "hash_log": 15, "chain_log": 10, "search_log": 1, "min_match": MATCH, "strategy": 1, "target_length": 1}
+#: Bytes of the dictionaries that are trained, and of the ordinary one that windows are compressed with.
+TRAINED, BASE = 65536, 4096
+#: Bytes of a segment of the trainer.
+SEGMENT = 16
+#: Ends both dictionaries and begins every window: bytes that no text holds, one match that pays for the block's headers, so that one match more shows.
+LEAD = bytes(range(0xC0, 0xF0))
+#: The very end of a dictionary is not searched.
+TAIL = b"\0" * 16
+#: Times as often as ordinary windows that toxic windows must get shorter by a stretch.
+RATIO = 6.0
+#: Documents that must hold a stretch.
+HOLD = 4
+MARGINS = (3, 4, 5, 7, 9)
+COST = 2.0
+
+
+def plain(text: str) -> str:
+    return f" {BETWEEN.sub(' ', text.lower()).strip()} "
 
 
 def windows(text: str) -> list[bytes]:
-    """Lower-case words in runs of WINDOW, neighbours sharing one, so that every pair of words stands in a window."""
-    x = WORD.findall(text.encode().lower())
-    return [b" " + b" ".join(x[i : i + WINDOW]) + b" " for i in range(0, max(1, len(x) - 1), WINDOW - 1)] if x else []
-
-
-def _counted(text: str, among: set[bytes]) -> Counter:
-    """Of the distinct words and word pairs of a text, those between spaces; and how many of the words share a beginning."""
-    x = WORD.findall(text.encode().lower())
-    out: Counter = Counter()
-    for w in set(x):
-        if len(w) >= 4:
-            w = b" " + w + b" "
-            out[w] += 1
-            out.update(w[:n] for n in STEM if n < len(w))
-    out.update({b" " + u + b" " + v + b" " for u, v in zip(x, x[1:], strict=False) if u in among and v in among})
-    return out
+    x = plain(text)
+    return [x[i : i + WIDTH].encode("utf-8", "replace") for i in range(0, max(1, len(x) - (WIDTH - STEP)), STEP)] if len(x) > 2 else []
 
 
 def apart(texts: list[str]) -> list[str]:
@@ -65,7 +72,7 @@ def apart(texts: list[str]) -> list[str]:
     seen: set[int] = set()
     out = []
     for t in texts:
-        x = WORD.findall(t.encode().lower())
+        x = plain(t).split()
         runs = set(map(hash, zip(x, x[1:], x[2:], strict=False)))
         if len(runs & seen) * 2 <= len(runs):
             out.append(t)
@@ -73,50 +80,86 @@ def apart(texts: list[str]) -> list[str]:
     return out
 
 
-def contrast(these: list[str], those: list[str], ratio: float = RATIO) -> list[bytes]:
-    """Segments that are at least ``ratio`` times more frequent among the distinct words on this side, weakest first.
-
-    Frequencies, not shares of documents: a beginning of a word stands by chance in many a long text.
-    """
-    sets = [[set(WORD.findall(t.encode().lower())) for t in side] for side in (these, those)]
-    na, nb = (sum(map(len, side)) for side in sets)
-    among = {w for w, n in Counter(w for x in sets[0] for w in x).items() if n >= HOLD}
-    del sets
-    held: Counter = Counter()
-    a: Counter = Counter()
-    for t in these:
-        x = _counted(t, among)
-        a.update(x)
-        held.update(x.keys())
-    a = Counter({s: n for s, n in a.items() if held[s] >= HOLD})
-    b: Counter = Counter()
-    for t in those:
-        b.update({s: n for s, n in _counted(t, among).items() if s in a})
-    low = {s: math.log((n + 0.5) / (na + 1) / ((b[s] + 0.5) / (nb + 1))) - 1.64 * math.sqrt(1 / (n + 0.5) + 1 / (b[s] + 0.5)) for s, n in a.items()}
-    low = {s: v for s, v in low.items() if v > math.log(ratio) - 0.1}
-    # a beginning that always goes on in the same way is left to the longer one
-    always = {s[:k] for s in low for k in range(len(s)) if a.get(s[:k]) == a[s]}
-    low = {s: v for s, v in low.items() if s not in always}
-    # what holds a stronger segment adds matches of its other part only
-    parts = lambda s: [s[:n] for n in STEM if n < len(s)] + ([b" " + w + b" " for w in s.split()] if s.count(b" ") > 2 else [])
-    low = {s: v for s, v in low.items() if all(low.get(q, -1.0) < v for q in parts(s))}
-    return [s for _, s in sorted((v, s) for s, v in low.items())[-SEGMENTS:]]
+def _grams(x: str | bytes) -> Iterator:
+    return (x[i : i + MATCH] for i in range(len(x) - MATCH + 1))
+
+
+def times_as_often(a: int, of_a: int, b: int, of_b: int) -> float:
+    """Lower end of the interval of the ratio of two shares."""
+    return math.exp(math.log((a + 0.5) / of_a / ((b + 0.5) / of_b)) - 1.64 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+
+
+def stretches(dictionary: str, toxic: list[str], ordinary: list[str]) -> list[str]:
+    """What the compressor could match in the dictionary and toxic texts hold more often, as stretches of it that are as long as they can be."""
+    known = set(_grams(dictionary))
+    count, held, size = (Counter(), Counter()), Counter(), [1, 1]
+    for side, texts in enumerate((toxic, ordinary)):
+        for t in texts:
+            x = plain(t)
+            found = Counter(g for g in _grams(x) if g in known)
+            count[side].update(found)
+            size[side] += len(x)
+            if side == 0:
+                held.update(found.keys())
+    keep = np.zeros(len(dictionary) + 1, bool)
+    for i, g in enumerate(_grams(dictionary)):
+        if held[g] >= HOLD and times_as_often(count[0][g], size[0], count[1][g], size[1]) > RATIO:
+            keep[i : i + MATCH] = True
+    edges = np.flatnonzero(np.diff(np.r_[False, keep].astype(int)))
+    return sorted({dictionary[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)})
+
+
+def measured(pieces: list[str], base: bytes, toxic: list[bytes], ordinary: list[bytes]) -> list[str]:
+    """The pieces by which toxic windows get shorter RATIO times as often as ordinary ones; weakest first, since a dictionary's end is found first."""
+    where: dict[bytes, set[int]] = {}
+    for i, p in enumerate(pieces):
+        for g in _grams(p.encode()):
+            where.setdefault(g, set()).add(i)
+    # only windows that share a match with a piece can get shorter by it
+    share: list[tuple[list[bytes], list[bytes]]] = [([], []) for _ in pieces]
+    for side, every in enumerate((toxic, ordinary)):
+        for w in every:
+            for i in set().union(*(where[g] for g in _grams(w) if g in where)):
+                share[i][side].append(w)
+    plain_size: dict[bytes, int] = {}
+    without, out = compressor(base, PARAMS), []
+    for i, p in enumerate(pieces):
+        with_ = compressor(_before(base, [p]), PARAMS)
+        shorter = []
+        for side in share[i]:
+            n = 0
+            for w in side:
+                if w not in plain_size:
+                    plain_size[w] = len(without(LEAD + w))
+                n += len(with_(LEAD + w)) < plain_size[w]
+            shorter.append(n)
+        r = times_as_often(shorter[0], len(toxic), shorter[1], len(ordinary))
+        if r > RATIO:
+            out.append((r, p))
+    return [p for _, p in sorted(out)]
+
+
+def _before(base: bytes, pieces: list[str]) -> bytes:
+    """The pieces in front of the base. The compressor looks up every third place of a dictionary first: a length that is a multiple of it leaves the base's matches as they are."""
+    x = b"\0".join(p.encode() for p in pieces) + b"\0\0"
+    return b"\0" * (-len(x) % 12) + x + base
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     ordinary: bytes
     toxic: bytes
-    margin: int
-    lead: bytes
+    #: For each of MARGINS, the share of ordinary windows that reach it.
+    rates: tuple
     fit: tuple | None
     prior: float
 
     def features(self, margins: np.ndarray) -> list[float]:
-        top = margins.max(initial=0)
-        # number and share of the windows at several margins; a step for each byte, since the clearest window tells most
-        hits = (margins[:, None] >= self.margin + np.arange(0, 8, 2)).sum(0)
-        return [*np.log1p(hits), *(hits / max(1, len(margins))), *(float(top >= self.margin + k) for k in range(8))]
+        n, out = len(margins), []
+        for least, rate in zip(MARGINS, self.rates, strict=True):
+            hits = int((margins >= least).sum())
+            out += [math.log1p(hits), hits / max(1, n), (hits - rate * n) / math.sqrt(rate * n + 1)]
+        return [*out, math.log1p(n)]
 
 
 class Scorer:
@@ -133,9 +176,7 @@ class Scorer:
         if self._pair is None:
             self._pair = compressor(self.model.ordinary, PARAMS), compressor(self.model.toxic, PARAMS)
         a, b = self._pair
-        # a stretch that both dictionaries hold: it pays for the block's headers, so that one more match shows
-        lead = self.model.lead
-        return np.array([len(a(w)) - len(b(w)) for w in (lead + x for x in windows(text))], dtype=np.int64)
+        return np.array([len(a(w)) - len(b(w)) for w in (LEAD + x for x in windows(text))], dtype=np.int64)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self.model.fit is None:
@@ -146,27 +187,25 @@ class Scorer:
 
 
 def train(ordinary: list[str], toxic: list[str]) -> ToxicityModel:
+    """Dictionaries from two thirds of the texts of each class, calibration from the other third."""
     n0, n1 = len(ordinary), len(toxic)
+    prior = n1 / (n0 + n1) if n0 + n1 else 0.0
+    unknown = ToxicityModel(b"", b"", (0.0,) * len(MARGINS), None, prior)
     if min(n0, n1) < LEAST:
-        return ToxicityModel(b"", b"", 1, b"", None, n1 / (n0 + n1) if n0 + n1 else 0.0)
+        return unknown
     ordinary, toxic = shuffled(ordinary), shuffled(toxic)
-    o, t = ordinary[n0 // 3 :], toxic[n1 // 3 :]
-    base = trained_dictionary([w for x in o[:1000] for w in windows(x) if len(w) > 8], BASE)[-BASE + 200 :]
-    o, t = apart(o), apart(t)
-    part = lambda side: base + b" \0" + b"\0".join(side) + b"\0 " + base[:16]  # the very end of a dictionary is not searched
-    rough = ToxicityModel(part(contrast(o, t)), part(contrast(t, o)), 1, base[-LEAD:], None, n1 / (n0 + n1))
-    look = Scorer(rough)
-    seen = [(look.margins(x), y) for y, texts in ((0, ordinary[: n0 // 3]), (1, toxic[: n1 // 3])) for x in texts]
-    y = np.array([k for _, k in seen], dtype=float)
-    tried = []
-    for margin in range(2, 10):
-        model = ToxicityModel(rough.ordinary, rough.toxic, margin, rough.lead, None, rough.prior)
-        x = np.array([model.features(m) for m, _ in seen])
-        fit = logistic(x, y)
-        p = np.clip(probability(x, fit), 1e-9, 1 - 1e-9)
-        tried.append((-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum(), margin, fit))
-    _, margin, fit = min(tried, key=lambda t: t[:2])
-    return ToxicityModel(rough.ordinary, rough.toxic, margin, rough.lead, fit, rough.prior)
+    o, t = apart(ordinary[n0 // 3 :]), apart(toxic[n1 // 3 :])
+    ow, tw = ([w for x in side for w in windows(x) if len(w) >= 8] for side in (o, t))
+    base = trained_dictionary(ow, TRAINED, SEGMENT)[-BASE:] + LEAD + TAIL
+    found = trained_dictionary(tw, TRAINED, SEGMENT).decode("utf-8", "replace")
+    pieces = measured(stretches(found, t, o), base, tw, ow)
+    look = Scorer(ToxicityModel(base, _before(base, pieces), unknown.rates, None, prior))
+    seen = [[look.margins(x) for x in side] for side in (ordinary[: n0 // 3], toxic[: n1 // 3])]
+    every = np.concatenate([*seen[0], np.zeros(1, np.int64)])
+    model = ToxicityModel(base, look.model.toxic, tuple(float((every >= m).mean()) for m in MARGINS), None, prior)
+    x = np.array([model.features(m) for side in seen for m in side])
+    y = np.repeat([0.0, 1.0], [len(side) for side in seen])
+    return ToxicityModel(model.ordinary, model.toxic, model.rates, logistic(x, y, weight=np.where(y > 0, COST, 1.0)), prior)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, rows: int = 3000, label: str = "toxic") -> ToxicityModel:

@@ -13,19 +13,24 @@ from pyspark.sql import functions as F
 
 #: Classes with fewer sampled documents than this give no model.
 LEAST = 8
+#: Bytes of the longest text that is learned from.
+LONGEST = 65536
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[str]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, rows: int, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> tuple[list[str], list[str]]:
     """Texts of class 0 and of class 1: of the rows that may be learned from, at most ``rows`` of each class by hash of the id.
 
-    ``rows`` bounds what reaches the driver. Rows without a label are not used; of
-    several labels of one document the greatest counts; equal texts count once.
+    ``rows`` times ``longest`` bounds what reaches the driver: texts of more bytes are
+    scored like any other, but not learned from, and an id gives one text (the least)
+    however often it stands in the table. Rows without a label are not used; of several
+    labels of one document the greatest counts; equal texts count once.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1)).filter(learnable)
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))
     picked = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows) for y in (0, 1)]
     ids = picked[0].union(picked[1])  # at most 2 x rows: small enough for every executor
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(ids), "_id").select("_y", "_t").collect()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.octet_length("_t") <= longest)
+    got = texts.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t")).select("_y", "_t").collect()
     return tuple(sorted({r["_t"] for r in got if r["_y"] == y and r["_t"]}) for y in (0, 1))  # type: ignore[return-value]
 
 
@@ -35,10 +40,13 @@ def shuffled(texts: list[str]) -> list[str]:
     return out
 
 
-def trained_dictionary(samples: list[bytes], size: int) -> bytes:
-    """A zstandard dictionary from samples of one class; the samples themselves where they are too few to train on."""
+def trained_dictionary(samples: list[bytes], size: int, segment: int = 0) -> bytes:
+    """A zstandard dictionary from samples of one class; the samples themselves where they are too few to train on.
+
+    ``segment``: bytes of the parts it is put together from (0: the trainer's own choice).
+    """
     try:
-        return zstandard.train_dictionary(size, samples, level=3).as_bytes()
+        return zstandard.train_dictionary(size, samples, level=3, **({"k": segment, "d": 8} if segment else {})).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 
@@ -51,15 +59,15 @@ def compressor(dictionary: bytes, params: dict) -> Callable[[bytes], bytes]:
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, weight: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Centre, scale and weights (last: the constant) by Newton steps."""
     mid, scale = x.mean(0), x.std(0) + 1e-9
     a = np.column_stack([(x - mid) / scale, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + ridge * np.append(w[:-1], 0) * 0.1
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.eye(len(w)) * (0.1 * ridge + 1e-6)
+        g = a.T @ (weight * (p - y)) + ridge * np.append(w[:-1], 0) * 0.1
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + np.eye(len(w)) * (0.1 * ridge + 1e-6)
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
