@@ -21,11 +21,13 @@ def lower_median(df: DataFrame, by: list[str], value: str, out: str) -> DataFram
     return n.filter(F.col("_c") >= F.floor((F.col("_t") + 1) / 2)).groupBy(*by).agg(F.min(value).alias(out))
 
 
-def footprint_mean(cells: DataFrame, value: str, out: str, spacing: int, samples_z: int, samples_x: int) -> DataFrame:
-    """Mean over the cells nearest to each sample: blocks of ``spacing``, shifted by half, clipped at the map."""
+def footprint_mean(cells: DataFrame, value: str, out: str, spacing: int, samples_z: int | None, samples_x: int | None, n: str | None = None) -> DataFrame:
+    """Mean over the cells nearest to each sample: blocks of ``spacing``, shifted by half, clipped at the map (None: as far as there are cells); ``n``: name for the number of cells."""
     sz, sx = F.floor((F.col("z") + spacing // 2) / spacing), F.floor((F.col("x") + spacing // 2) / spacing)
-    s = cells.select(sz.cast("int").alias("sz"), sx.cast("int").alias("sx"), value).filter((F.col("sz") < samples_z) & (F.col("sx") < samples_x))
-    return s.groupBy("sz", "sx").agg(F.avg(value).alias(out))
+    s = cells.select(sz.cast("int").alias("sz"), sx.cast("int").alias("sx"), value)
+    for c, limit in (("sz", samples_z), ("sx", samples_x)):
+        s = s if limit is None else s.filter(F.col(c) < limit)
+    return s.groupBy("sz", "sx").agg(F.avg(value).alias(out), *([F.count(F.lit(1)).alias(n)] if n else []))
 
 
 def lapse_rate(cells: DataFrame, height: str, temperature: str, size: int = 21) -> DataFrame:

@@ -1,10 +1,13 @@
 """River-network operators: components, outlets, shortest paths, profiles and min-plus fixpoints.
 
-Fixpoints (step limit, relaxation, downstream lowering) have one greatest solution,
-so their rounds are plain joins and minima; each round is written to the session's
-checkpoint folder, and the loop ends when nothing changes. Sequential parts
-(Dijkstra, isotonic profiles, strong components) run in grouped kernels, one
-connected component of centre cells at a time.
+Fixpoints (step limit, relaxation, downstream lowering) have one greatest solution.
+They are solved block by block: a block holds the nodes of a range of ids, which on a
+raster is a band of rows, and a kernel settles it as a whole. Between rounds only
+levels that went down cross the blocks' borders, and only blocks that they reach are
+solved again, so the number of rounds is that of blocks on a path, not of cells.
+Components are contracted the same way. Each round is written to the session's
+checkpoint folder. Shortest paths and profiles run in grouped kernels, one connected
+component of centre cells at a time.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,62 +47,172 @@ def neighbour_edges(cells: DataFrame) -> DataFrame:
     return near.join(cells.select(F.col("id").alias("dst"), "z", "x"), ["z", "x"]).select("src", "dst", "cost")
 
 
-def components(spark: SparkSession, edges: DataFrame, nodes: DataFrame, rounds: int = 200) -> DataFrame:
-    """(id, component): the least id that undirected edges reach, by hooking to the least neighbour and pointer jumping."""
-    both = cut_lineage(spark, edges.select("src", "dst").unionAll(edges.select("dst", "src")).filter("src <> dst").distinct())
-    label = cut_lineage(spark, nodes.select("id", F.col("id").alias("component")))
+#: Ids of a block: with distinct whole numbers as ids no block holds more nodes.
+SPAN = 1 << 17
+
+
+def _block(column: str, span: int):
+    return F.floor(F.col(column) / span)
+
+
+def _least_members(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 the least node that undirected edges reach."""
+    label = np.arange(n)
+    while len(a):
+        la, lb = label[a], label[b]
+        apart = la != lb
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _contract(spark: SparkSession, links: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    """Solves each block's own links(src, dst, src < dst): (id, root) of their nodes, and the links left between roots."""
+
+    def solve(t: pa.Table) -> pa.Table:
+        a, b = t.column("src").to_numpy(), t.column("dst").to_numpy()
+        ids = np.unique(np.concatenate([a, b]))
+        root = _least_members(len(ids), np.searchsorted(ids, a), np.searchsorted(ids, b))
+        return pa.table({"id": ids, "root": ids[root]})
+
+    inner = links.filter(_block("src", span) == _block("dst", span)).withColumn("block", _block("src", span))
+    local = cut_lineage(spark, inner.groupBy("block").applyInArrow(solve, "id long, root long"))
+    left = links.filter(_block("src", span) != _block("dst", span))
+    for c in ("src", "dst"):
+        left = left.join(local.select(F.col("id").alias(c), F.col("root").alias("_r")), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
+    left = left.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return local, cut_lineage(spark, left)
+
+
+def _hook(spark: SparkSession, links: DataFrame, rounds: int = 200) -> DataFrame:
+    """(id, root) by hooking to the least neighbour and pointer jumping: for links that no blocks hold together."""
+    both = cut_lineage(spark, links.select("src", "dst").unionAll(links.select("dst", "src")))
+    label = cut_lineage(spark, both.select(F.col("src").alias("id")).distinct().withColumn("root", F.col("id")))
     for _ in range(rounds):
-        seen = both.join(label, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("m"))
-        hooked = label.join(seen, F.col("id") == F.col("src"), "left").select("id", F.least("component", F.coalesce("m", "component")).alias("c"), F.col("component").alias("old"))
+        seen = both.join(label, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("root").alias("m"))
+        hooked = label.join(seen, F.col("id") == F.col("src")).select("id", F.least("root", "m").alias("c"), F.col("root").alias("old"))
         up = hooked.select(F.col("id").alias("_i"), F.col("c").alias("_c"))
-        new = cut_lineage(spark, hooked.join(up, F.col("c") == F.col("_i"), "left").select("id", F.least("c", F.coalesce("_c", "c")).alias("component"), (F.least("c", F.coalesce("_c", "c")) != F.col("old")).alias("moved")))
-        label = new.select("id", "component")
+        new = cut_lineage(spark, hooked.join(up, F.col("c") == F.col("_i")).select("id", F.col("_c").alias("root"), (F.col("_c") != F.col("old")).alias("moved")))
+        label = new.select("id", "root")
         if new.filter("moved").isEmpty():
             return label
     raise RuntimeError("components: no fixpoint")
 
 
-def relax(spark: SparkSession, levels: DataFrame, arcs: DataFrame, rounds: int = 5000) -> DataFrame:
-    """(id, level) lowered until level[dst] <= level[src] + cost on every arc of ``arcs(src, dst, cost)``."""
-    now = cut_lineage(spark, levels.select("id", "level"))
-    arcs = cut_lineage(spark, arcs.filter("src <> dst").groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+def components(spark: SparkSession, edges: DataFrame, nodes: DataFrame, span: int = SPAN) -> DataFrame:
+    """(id, component): the least id that undirected edges reach; a node without edges is its own.
+
+    Blocks of ids are contracted to their roots, then wider blocks of what is left. Where
+    that stops shrinking the links (ids that say nothing about place), the rest is hooked.
+    """
+    links = cut_lineage(spark, edges.filter("src <> dst").select(F.least("src", "dst").cast("long").alias("src"), F.greatest("src", "dst").cast("long").alias("dst")).distinct())
+    steps, n = [], links.count()
+    while n:
+        local, left = _contract(spark, links, span)
+        steps.append(local)
+        before, n = n, left.count()
+        links, span = left, span * 16
+        if n * 2 > before:
+            steps.append(_hook(spark, links))
+            break
+    out = nodes.select("id", F.col("id").cast("long").alias("component"))
+    for step in steps:
+        out = out.join(step.select(F.col("id").alias("component"), F.col("root").alias("_r")), "component", "left").select("id", F.coalesce("_r", "component").alias("component"))
+    return out.select("id", F.col("component").cast(nodes.schema["id"].dataType).alias("component"))
+
+
+def _settle_levels(level: np.ndarray, src: np.ndarray, dst: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The greatest levels not above those given with level[dst] <= level[src] + cost on every arc; only nodes that went down are looked at again."""
+    order = np.argsort(src, kind="stable")
+    src, dst, cost = src[order], dst[order], cost[order]
+    first = np.searchsorted(src, np.arange(len(level) + 1))
+    level, front = level.copy(), np.arange(len(level))
+    while len(front):
+        n = first[front + 1] - first[front]
+        arc = np.repeat(first[front] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        to, offer = dst[arc], np.repeat(level[front], n) + cost[arc]
+        lower = offer < level[to]
+        np.minimum.at(level, to[lower], offer[lower])
+        front = np.unique(to[lower])
+    return level
+
+
+def _solve_block(nodes: pa.Table, arcs: pa.Table) -> pa.Table:
+    """(block, id, level, moved) of a block's nodes under its own arcs; ``was`` is the level that other blocks know."""
+    order = np.argsort(nodes.column("id").to_numpy())
+    nodes = nodes.take(pa.array(order))
+    ids, level = nodes.column("id").to_numpy(), nodes.column("level").to_numpy()
+    src, dst = (np.searchsorted(ids, arcs.column(c).to_numpy()) for c in ("src", "dst"))
+    new = _settle_levels(level, src, dst, arcs.column("cost").to_numpy().astype(level.dtype)) if len(ids) else level
+    was = nodes.column("was").to_numpy(zero_copy_only=False)
+    return pa.table({"block": nodes.column("block"), "id": nodes.column("id"), "level": pa.array(new), "moved": pa.array(new < was)})
+
+
+def relax(spark: SparkSession, levels: DataFrame, arcs: DataFrame, rounds: int = 5000, span: int = SPAN) -> DataFrame:
+    """(id, level) lowered until level[dst] <= level[src] + cost on every arc of ``arcs(src, dst, cost)`` between given nodes.
+
+    Costs must not be negative. Rounds end when no level that went down offers a lower one
+    to another block.
+    """
+    kind = levels.schema["level"].dataType.simpleString()
+    if arcs.schema["cost"].dataType.simpleString() in ("float", "double") or kind.startswith("decimal"):
+        kind = "double"
+    levels = levels.withColumn("level", F.col("level").cast(kind))
+    every = arcs.filter("src <> dst").groupBy("src", "dst").agg(F.min("cost").alias("cost")).withColumn("block", _block("dst", span)).withColumn("_from", _block("src", span))
+    every = cut_lineage(spark, every)
+    inner = every.filter("block = _from").select("block", "src", "dst", "cost")
+    cross = every.filter("block <> _from").select("block", "src", "dst", "cost")
+    shape = f"block long, id {levels.schema['id'].dataType.simpleString()}, level {kind}, moved boolean"
+
+    def solved(nodes: DataFrame, own: DataFrame) -> DataFrame:
+        # an arc from or to no node says nothing
+        known = nodes.select("block", F.col("id").alias("_i"))
+        own = own.join(known.withColumnRenamed("_i", "src"), ["block", "src"], "left_semi").join(known.withColumnRenamed("_i", "dst"), ["block", "dst"], "left_semi")
+        return cut_lineage(spark, nodes.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_solve_block, shape))
+
+    start = levels.select(_block("id", span).alias("block"), "id", "level")
+    now = solved(start.withColumn("was", F.col("level") + F.lit(1).cast(kind)), inner)
+    if cross.isEmpty():
+        return now.select("id", "level")
+    moved = now
     for _ in range(rounds):
-        offer = arcs.join(now, F.col("src") == F.col("id")).groupBy("dst").agg(F.min(F.col("level") + F.col("cost")).alias("o"))
-        new = cut_lineage(spark, now.join(offer, F.col("id") == F.col("dst"), "left").select("id", F.least("level", F.coalesce("o", "level")).alias("level"), (F.col("o") < F.col("level")).alias("moved")))
-        now = new.select("id", "level")
-        if new.filter("moved").isEmpty():
-            return now
+        offer = cross.join(moved.filter("moved").select(F.col("id").alias("src"), "level"), "src").groupBy("block", F.col("dst").alias("id")).agg(F.min(F.col("level") + F.col("cost")).cast(kind).alias("_o"))
+        offer = cut_lineage(spark, offer.join(now.select("block", "id", "level"), ["block", "id"]).filter("_o < level").select("block", "id", "_o"))
+        if offer.isEmpty():
+            return now.select("id", "level")
+        reached = offer.select("block").distinct()
+        nodes = now.join(reached, "block", "left_semi").join(offer, ["block", "id"], "left")
+        moved = solved(nodes.select("block", "id", F.least("level", "_o").alias("level"), F.col("level").alias("was")), inner.join(reached, "block", "left_semi"))
+        now = cut_lineage(spark, now.join(reached, "block", "left_anti").unionByName(moved))
     raise RuntimeError("relax: no fixpoint")
 
 
-def step_limit(spark: SparkSession, levels: DataFrame, arcs: DataFrame) -> DataFrame:
+def step_limit(spark: SparkSession, levels: DataFrame, arcs: DataFrame, span: int = SPAN) -> DataFrame:
     """level[src] <= level[dst] + 1 on every arc: a river steps down by at most one."""
-    return relax(spark, levels, arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("cost")))
+    return relax(spark, levels, arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("cost")), span=span)
 
 
-def propagate_down(spark: SparkSession, levels: DataFrame, arcs: DataFrame) -> DataFrame:
+def propagate_down(spark: SparkSession, levels: DataFrame, arcs: DataFrame, span: int = SPAN) -> DataFrame:
     """level[dst] <= level[src]: a cell is never above what flows into it."""
-    return relax(spark, levels, arcs.select("src", "dst", F.lit(0).alias("cost")))
+    return relax(spark, levels, arcs.select("src", "dst", F.lit(0).alias("cost")), span=span)
 
 
-def level_surface(spark: SparkSession, cells: DataFrame) -> DataFrame:
+def level_surface(spark: SparkSession, cells: DataFrame, span: int = SPAN) -> DataFrame:
     """(id, level) with steps of at most one between 8-neighbours among ``cells(id, z, x, level)``."""
-    return relax(spark, cells, neighbour_edges(cells).select("src", "dst", F.lit(1).alias("cost")))
+    return relax(spark, cells, neighbour_edges(cells).select("src", "dst", F.lit(1).alias("cost")), span=span)
 
 
-def lower_downstream(spark: SparkSession, levels: DataFrame, ways: DataFrame, rounds: int = 5000) -> tuple[DataFrame, bool]:
-    """Along each of ``ways(way, ord, cell)`` the running least, taken over all ways to a fixpoint; and whether anything moved."""
-    now, moved = cut_lineage(spark, levels.select("id", "level")), False
-    ways = ways.select("way", "ord", "cell")
-    run = W.partitionBy("way").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    for _ in range(rounds):
-        low = ways.join(now, F.col("cell") == F.col("id")).withColumn("m", F.min("level").over(run)).groupBy("cell").agg(F.min("m").alias("m"))
-        new = cut_lineage(spark, now.join(low, F.col("id") == F.col("cell"), "left").select("id", F.least("level", F.coalesce("m", "level")).alias("level"), (F.col("m") < F.col("level")).alias("moved")))
-        now = new.select("id", "level")
-        if new.filter("moved").isEmpty():
-            return now, moved
-        moved = True
-    raise RuntimeError("lower_downstream: no fixpoint")
+def lower_downstream(spark: SparkSession, levels: DataFrame, ways: DataFrame, span: int = SPAN) -> tuple[DataFrame, bool]:
+    """Along each of ``ways(way, ord, cell)`` the running least, taken over all ways to a fixpoint; and whether anything moved.
+
+    A running least is an arc of cost 0 from each cell to the next.
+    """
+    nxt = ways.select(F.col("cell").alias("src"), F.lead("cell").over(W.partitionBy("way").orderBy("ord")).alias("dst")).filter("dst IS NOT NULL").distinct()
+    before = levels.select("id", F.col("level").alias("_was"))
+    low = propagate_down(spark, levels.select("id", "level"), nxt, span)
+    return low, not low.join(before, "id").filter("level < _was").isEmpty()
 
 
 def flatten_sections(spark: SparkSession, levels: DataFrame, sections: DataFrame) -> tuple[DataFrame, bool]:
@@ -156,18 +270,57 @@ def dijkstra(n: int, src: np.ndarray, dst: np.ndarray, cost: np.ndarray, seeds:
 
 
 def isotonic(values: np.ndarray, outlet: float) -> np.ndarray:
-    """Least-squares fit that never rises downstream and ends at the outlet: ``values`` from source to outlet."""
-    sums: list[float] = []
-    sizes: list[int] = []
-    for v in [outlet, *values[::-1]]:
-        sums.append(float(v))
-        sizes.append(1)
-        while len(sums) > 1 and sums[-2] / sizes[-2] > sums[-1] / sizes[-1]:
-            s, k = sums.pop(), sizes.pop()
-            sums[-1] += s
-            sizes[-1] += k
-    fit = np.repeat([s / k for s, k in zip(sums, sizes, strict=True)], sizes)[1:][::-1]
-    return np.maximum(fit, outlet)
+    """Least-squares fit that never rises downstream and ends at the outlet: ``values`` from source to outlet.
+
+    Counted from the outlet up, the fit is the slope of the greatest convex curve below the
+    running sums. Its corners are found by splitting chords where the sums lie farthest below.
+    """
+    total = np.r_[0.0, np.cumsum(np.r_[outlet, np.asarray(values, dtype=float)[::-1]])]
+    corners, open_ = [0, len(total) - 1], [(0, len(total) - 1)]
+    while open_:
+        a, b = open_.pop()
+        if b - a < 2:
+            continue
+        below = np.interp(np.arange(a + 1, b), [a, b], [total[a], total[b]]) - total[a + 1 : b]
+        k = int(below.argmax())
+        if below[k] > 1e-9:
+            corners.append(a + 1 + k)
+            open_ += [(a, a + 1 + k), (a + 1 + k, b)]
+    at = np.sort(np.array(corners))
+    fit = np.repeat(np.diff(total[at]) / np.diff(at), np.diff(at))
+    return np.maximum(fit[:0:-1], outlet)
+
+
+def path_heads(first: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """For every node of a forest the least ``first`` among itself and all nodes above it, by doubling the distance looked ahead."""
+    head, up = first.copy(), parent.copy()
+    while (up >= 0).any():
+        below = up >= 0
+        ahead = head.copy()
+        np.minimum.at(ahead, up[below], head[below])
+        head, up = ahead, np.where(below, up[up], -1)
+    return head
+
+
+def fitted_levels(ids: np.ndarray, sample: np.ndarray, dist: np.ndarray, parent: np.ndarray, seeds: list[int]) -> np.ndarray:
+    """Levels along the longest paths first. The path a node lies on is the one that begins farthest from its outlet (greater id on ties) among those through it."""
+    n = len(ids)
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((-ids, -dist))] = np.arange(n)
+    level = np.where(np.isin(np.arange(n), seeds), sample, np.nan)
+    on = np.flatnonzero((parent >= 0) & np.isnan(level))
+    if not len(on):
+        return level
+    head = path_heads(rank, parent)
+    # the table of paths: by head, each from its outlet end up
+    on = on[np.lexsort((dist[on], head[on]))]
+    for path in np.split(on, np.flatnonzero(np.diff(head[on])) + 1):
+        below = level[parent[path[0]]]
+        fit = np.r_[below, isotonic(sample[path[::-1]], below)[::-1]]
+        step = np.arange(len(fit))
+        # no cell more than one above the next one downstream
+        level[path] = (np.minimum.accumulate(fit - step) + step)[1:]
+    return level
 
 
 def strong_components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
@@ -247,20 +400,7 @@ def fit_paths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame
         seeds_ = np.searchsorted(ids, pdf[pdf["cost"] == -1.0]["id"].to_numpy()).tolist()
         src, dst = np.searchsorted(ids, e["id"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy(dtype=np.int64))
         dist, parent = dijkstra(len(ids), src, dst, e["cost"].to_numpy(dtype=float), seeds_)
-        level = np.full(len(ids), np.nan)
-        level[seeds_] = sample[seeds_]
-        for u in np.lexsort((-ids, -dist)):
-            path = []
-            v = u
-            while v >= 0 and np.isnan(level[v]):
-                path.append(v)
-                v = parent[v]
-            if not path or v < 0:
-                continue
-            fit = isotonic(sample[path], level[v])
-            down = level[v]
-            for k in range(len(path) - 1, -1, -1):
-                down = level[path[k]] = min(fit[k], down + 1)
+        level = fitted_levels(ids, sample, dist, parent, seeds_)
         out = np.where(np.isnan(level), sample, level)
         return pd.DataFrame({"id": ids, "distance": dist, "parent": np.where(parent >= 0, ids[parent], -1), "level": np.clip(np.rint(out), 1, 255).astype(int)})
 

@@ -16,7 +16,7 @@ def r1(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("z", "x", F.floor((F.col("_e").cast("double") + 1) * 127.5).cast("int").alias("v"), "label")
 
 
-R1 = "r1 AS (SELECT CAST(vec_id AS INT) AS z, CAST(i - 1 AS INT) AS x, CAST(floor((CAST(embedding[i] AS DOUBLE) + 1) * 127.5) AS INT) AS v, label FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
+R1 = "r1 AS MATERIALIZED (SELECT CAST(vec_id AS INT) AS z, CAST(i - 1 AS INT) AS x, CAST(floor((CAST(embedding[i] AS DOUBLE) + 1) * 127.5) AS INT) AS v, label FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"
 
 
 def r2(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,7 +24,7 @@ def r2(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 100).cast("int").alias("z"), (F.col("l_partkey") % 250).cast("int").alias("x")).agg(F.floor(F.sum("l_quantity")).cast("int").alias("v"))
 
 
-R2 = "r2 AS (SELECT CAST(l_suppkey % 100 AS INT) AS z, CAST(l_partkey % 250 AS INT) AS x, CAST(floor(sum(l_quantity)) AS INT) AS v FROM lineitem GROUP BY 1, 2)"
+R2 = "r2 AS MATERIALIZED (SELECT CAST(l_suppkey % 100 AS INT) AS z, CAST(l_partkey % 250 AS INT) AS x, CAST(floor(sum(l_quantity)) AS INT) AS v FROM lineitem GROUP BY 1, 2)"
 
 
 def r3(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +42,7 @@ def r3(spark: SparkSession, sf: str) -> DataFrame:
 
 R3 = (
     R1
-    + """, r3 AS (SELECT z, x, v AS height, CASE WHEN v >= 120 THEN 255 ELSE 0 END AS land, v >= 140 AS lake, v >= 120 AND v < 140 AND label % 3 = 0 AND x BETWEEN 16 AND 40 AS river,
+    + """, r3 AS MATERIALIZED (SELECT z, x, v AS height, CASE WHEN v >= 120 THEN 255 ELSE 0 END AS land, v >= 140 AS lake, v >= 120 AND v < 140 AND label % 3 = 0 AND x BETWEEN 16 AND 40 AS river,
  CASE WHEN v >= 140 THEN CASE WHEN label % 2 = 0 THEN 128 ELSE 255 END ELSE 0 END AS lake_mask, 1 + v % 12 AS lake_depth, 45 + v % 20 AS bathy, v - 1 AS river_surface, 1 + v % 3 AS river_depth, 1 + v % 32 AS vegetation FROM r1)"""
 )
 
@@ -55,7 +55,7 @@ def r4(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("way"), F.row_number().over(w).alias("ord"), F.col("l_partkey").alias("cell"), F.floor("l_quantity").cast("int").alias("level"))
 
 
-R4 = "r4 AS (SELECT l_orderkey AS way, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS ord, l_partkey AS cell, CAST(floor(l_quantity) AS INT) AS level FROM lineitem)"
+R4 = "r4 AS MATERIALIZED (SELECT l_orderkey AS way, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS ord, l_partkey AS cell, CAST(floor(l_quantity) AS INT) AS level FROM lineitem)"
 
 
 def r5(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +81,7 @@ def r7(spark: SparkSession, sf: str) -> DataFrame:
 
 
 R7 = "r7 AS (SELECT s_suppkey AS id, CAST(s_suppkey % 50 AS INT) AS x0, CAST((s_suppkey * 7) % 400 AS INT) AS z0 FROM supplier)"
-R7_CELLS = R7 + ", r7c AS (SELECT id, CAST(z0 + a AS INT) AS z, CAST(x0 + b AS INT) AS x FROM r7, (SELECT unnest(range(0, 5)) AS a), (SELECT unnest(range(0, 5)) AS b))"
+R7_CELLS = R7 + ", r7c AS MATERIALIZED (SELECT id, CAST(z0 + a AS INT) AS z, CAST(x0 + b AS INT) AS x FROM r7, (SELECT unnest(range(0, 5)) AS a), (SELECT unnest(range(0, 5)) AS b))"
 
 
 def r8(spark: SparkSession, sf: str) -> DataFrame:

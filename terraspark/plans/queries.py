@@ -118,10 +118,12 @@ def prj24(spark, sf):
     return r6(spark, sf).select("part", S.pack_climate(F.col("warmest").cast("int") + 20, F.col("wet")).alias("packed"))
 
 
-@query("prj25_strided_sample", f"WITH {R1}, g AS (SELECT CAST(a AS INT) AS z, CAST(b AS INT) AS x FROM (SELECT unnest(range(0, 600, 4)) AS a), (SELECT unnest(range(0, 80, 4)) AS b)) SELECT g.z, g.x, coalesce(v * 2, 0) AS v FROM g LEFT JOIN r1 ON g.z = r1.z AND g.x = r1.x")
+@query("prj25_strided_sample", f"WITH {R1}, g AS (SELECT CAST(a AS INT) AS z, CAST(b AS INT) AS x FROM (SELECT unnest(range(0, (SELECT max(z) + 101 FROM r1), 4)) AS a), (SELECT unnest(range(0, 80, 4)) AS b)) SELECT g.z, g.x, coalesce(v * 2, 0) AS v FROM g LEFT JOIN r1 ON g.z = r1.z AND g.x = r1.x")
 def prj25(spark, sf):
-    g = spark.range(0, 600, 4).select(F.col("id").cast("int").alias("z"), F.explode(F.sequence(F.lit(0), F.lit(79), F.lit(4))).alias("x"))
-    return g.join(r1(spark, sf), ["z", "x"], "left").select("z", "x", F.coalesce(F.col("v") * 2, F.lit(0)).alias("v"))
+    c = r1(spark, sf)
+    # beyond the last row and column the sample is 0
+    g = c.agg(F.max("z").alias("m")).select(F.explode(F.sequence(F.lit(0), F.col("m") + 100, F.lit(4))).alias("z")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(79), F.lit(4))))
+    return g.join(c, ["z", "x"], "left").select("z", "x", F.coalesce(F.col("v") * 2, F.lit(0)).alias("v"))
 
 
 def _wy(c):
@@ -323,9 +325,9 @@ def agg05(spark, sf):
     return A.annual_sum(r5(spark, sf).withColumn("t", F.col("t") - 5), ["sample"], "t", "p")
 
 
-@query("agg06_footprint_mean", f"WITH {R1} SELECT CAST((z + 4) // 8 AS INT) AS sz, CAST((x + 4) // 8 AS INT) AS sx, round(avg(v), 6) AS y FROM r1 WHERE (z + 4) // 8 < 60 AND (x + 4) // 8 < 8 GROUP BY 1, 2")
+@query("agg06_footprint_mean", f"WITH {R1} SELECT CAST((z + 4) // 8 AS INT) AS sz, CAST((x + 4) // 8 AS INT) AS sx, round(avg(v), 6) AS y, count(*) AS n FROM r1 WHERE (x + 4) // 8 < 8 GROUP BY 1, 2")
 def agg06(spark, sf):
-    return A.footprint_mean(r1(spark, sf), "v", "y", 8, 60, 8).withColumn("y", F.round("y", 6))
+    return A.footprint_mean(r1(spark, sf), "v", "y", 8, None, 8, "n").withColumn("y", F.round("y", 6))
 
 
 @query("agg07_lapse", f"""WITH {R1}, d AS (SELECT z, x, v AS h, 30.0 - 0.1 * v + (x % 3) AS t FROM r1), s AS (SELECT max(z) AS mz FROM d),
@@ -501,7 +503,8 @@ def dst02(spark, sf):
     return T.capped_distance(r3(spark, sf), "lake", 6, "d", taxicab=True).select("z", "x", F.col("d").cast("int").alias("d"))
 
 
-@query("dst03_fill")
+@query("dst03_fill", f"""WITH {R2}, g AS MATERIALIZED (SELECT CAST(a AS INT) AS z, CAST(b AS INT) AS x FROM (SELECT unnest(range(0, 100)) AS a), (SELECT unnest(range(0, 250)) AS b)), h AS (SELECT z, x FROM g ANTI JOIN r2 USING (z, x)),
+ j AS (SELECT h.z, h.x, arg_min(r.v, ((h.z - r.z) * (h.z - r.z) + (h.x - r.x) * (h.x - r.x))::BIGINT * 1000000 + r.z * 1000 + r.x) AS v FROM h, r2 r GROUP BY 1, 2) SELECT z, x, v FROM r2 UNION ALL SELECT z, x, v FROM j""")
 def dst03(spark, sf):
     return D.fill_nearest(_dense_r2(spark, sf), "v", "out").select("z", "x", F.col("out").alias("v"))
 
@@ -651,21 +654,24 @@ def set01(spark, sf):
     return want.subtract(held).withColumn("act", F.lit("request")).unionAll(held.subtract(want).withColumn("act", F.lit("release")))
 
 
-_EDGES = f"WITH RECURSIVE {R3}, c AS (SELECT z * 64 + x AS id, z, x FROM r3 WHERE river AND z < 60), e AS (SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.id <> b.id)"
+_EDGES = f"WITH RECURSIVE {R3}, c AS (SELECT z * 64 + x AS id, z, x FROM r3 WHERE river), e AS (SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON b.z BETWEEN a.z - 1 AND a.z + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND a.id <> b.id)"
 
 
 @query("gra01_components", f"{_EDGES}, r AS (SELECT id, id AS m FROM c UNION SELECT dst, m FROM r JOIN e ON r.id = e.src WHERE m < dst) SELECT id, min(m) AS component FROM r GROUP BY id")
 def gra01(spark, sf):
-    c = _river_cells(spark, sf).filter("z < 60")
+    c = _river_cells(spark, sf)
     return G.components(spark, G.neighbour_edges(c), c)
 
 
-@query("gra09_level_surface", f"{_EDGES}, lv AS (SELECT z * 64 + x AS id, height AS level FROM r3 WHERE river AND z < 60), r AS (SELECT id, level FROM lv UNION SELECT dst, r.level + 1 FROM r JOIN e ON r.id = e.src JOIN lv ON lv.id = dst WHERE r.level + 1 < lv.level) SELECT id, min(level) AS level FROM r GROUP BY id")
+@query("gra09_level_surface", f"{_EDGES}, lv AS (SELECT z * 64 + x AS id, height AS level FROM r3 WHERE river), r AS (SELECT id, level FROM lv UNION SELECT dst, r.level + 1 FROM r JOIN e ON r.id = e.src JOIN lv ON lv.id = dst WHERE r.level + 1 < lv.level) SELECT id, min(level) AS level FROM r GROUP BY id")
 def gra09(spark, sf):
-    return G.level_surface(spark, _river_cells(spark, sf).filter("z < 60"))
+    return G.level_surface(spark, _river_cells(spark, sf))
+
+
+_ARCS = f"WITH RECURSIVE {R4}, lv AS MATERIALIZED (SELECT cell AS id, max(level) AS level FROM r4 GROUP BY 1), e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT cell AS src, lead(cell) OVER (PARTITION BY way ORDER BY ord) AS dst FROM r4) WHERE dst IS NOT NULL AND dst <> src)"
 
 
-@query("gra06_step_limit")
+@query("gra06_step_limit", f"{_ARCS}, r AS (SELECT id, level FROM lv UNION SELECT src, r.level + 1 FROM r JOIN e ON r.id = e.dst JOIN lv ON lv.id = src WHERE r.level + 1 < lv.level) SELECT id, min(level) AS level FROM r GROUP BY id")
 def gra06(spark, sf):
     w = r4(spark, sf)
     cells = w.groupBy(F.col("cell").alias("id")).agg(F.max("level").alias("level"))
@@ -673,19 +679,40 @@ def gra06(spark, sf):
     return G.step_limit(spark, cells, nxt)
 
 
-@query("gra10_downstream")
+@query("gra10_downstream", f"{_ARCS}, r AS (SELECT id, level FROM lv UNION SELECT dst, r.level FROM r JOIN e ON r.id = e.src JOIN lv ON lv.id = dst WHERE r.level < lv.level) SELECT id, min(level) AS level FROM r GROUP BY id")
 def gra10(spark, sf):
     w = r4(spark, sf)
     cells = w.groupBy(F.col("cell").alias("id")).agg(F.max("level").alias("level"))
     return G.lower_downstream(spark, cells, w)[0]
 
 
-@query("river_bounds")
+_MEDIAN = "s AS (SELECT max(z) AS mz FROM r3), w AS (SELECT r3.z, r3.x, greatest(least(r3.z + dz, mz), 0) AS nz, greatest(least(r3.x + dx, 63), 0) AS nx FROM r3, s, " + _N8 + ")"
+_BOUNDS = f"""WITH {R3}, p AS MATERIALIZED (SELECT *, CASE WHEN NOT river AND NOT lake THEN height ELSE 255 END AS dry, CASE WHEN lake THEN height ELSE 255 END AS lk FROM r3),
+ ce AS ({_win('min', 1, 1, 'p', 'dry', 'ceiling')}), ft AS MATERIALIZED (SELECT z, x, CASE WHEN river THEN least(height, ceiling) ELSE height END AS fit FROM p JOIN ce USING (z, x)),
+ fl AS MATERIALIZED ({_win('min', 2, 2, 'ft', 'fit', 'floor')}), {_MEDIAN}, md AS (SELECT w.z, w.x, list_sort(list(n.floor))[5] AS med FROM w JOIN fl n ON n.z = nz AND n.x = nx GROUP BY 1, 2),
+ tc AS (SELECT DISTINCT z + a AS z, x + b AS x FROM r3, (SELECT unnest([0, 0, 1, -1]) AS a, unnest([1, -1, 0, 0]) AS b) WHERE lake), lm AS ({_win('min', 1, 1, 'p', 'lk', 'lmin')})
+ SELECT p.z, p.x, ceiling, fit, fl.floor, CASE WHEN tc.z IS NOT NULL THEN lmin ELSE least(fl.floor, med) END AS surface0
+ FROM p JOIN ce USING (z, x) JOIN ft USING (z, x) JOIN fl USING (z, x) JOIN md USING (z, x) JOIN lm USING (z, x) LEFT JOIN tc ON tc.z = p.z AND tc.x = p.x WHERE river"""
+
+
+@query("river_bounds", _BOUNDS)
 def river_bounds(spark, sf):
     return M.river_bounds(r3(spark, sf).select("z", "x", "height", "river", "lake")).filter("river").select("z", "x", "ceiling", "fit", "floor", "surface0")
 
 
-@query("lake_maps")
+_BANK = "CASE WHEN d = 1 THEN level WHEN d = 6 THEN height WHEN height < level THEN CAST(greatest(least(round_even(level + (height - level) * (d - 1) / 5.0::DOUBLE, 0), 255), 1) AS INT) ELSE greatest(least(least(height, level + d), 255), 1) END"
+_LAKES = f"""WITH {R3}, {R7_CELLS}, c AS MATERIALIZED (SELECT z, x, height, land FROM r3),
+ l AS MATERIALIZED (SELECT z, x, min(id) AS lake, bool_or(id % 7 = 0) AS saline FROM r7c WHERE x < 64 AND z < 500 GROUP BY 1, 2),
+ lv AS (SELECT lake, CAST(quantile_disc(height, 0.5) AS INT) AS level FROM l JOIN c USING (z, x) GROUP BY lake), sl AS (SELECT lake, bool_or(saline) AS saline FROM l GROUP BY lake),
+ dry AS (SELECT z, x FROM c ANTI JOIN l USING (z, x)), o AS (SELECT unnest(range(-12, 13)) AS a), o2 AS MATERIALIZED (SELECT p.a AS a, q.a AS b FROM o p, o q),
+ lo AS MATERIALIZED (SELECT z, x, lake, a, b, z + a AS nz, x + b AS nx FROM l, o2), dd AS (SELECT lo.z, lo.x, min(greatest(abs(a), abs(b))) AS d FROM lo JOIN dry ON dry.z = nz AND dry.x = nx GROUP BY 1, 2),
+ ring AS (SELECT nz AS z, nx AS x, lake, abs(a) + abs(b) AS d FROM lo WHERE abs(a) + abs(b) BETWEEN 1 AND 6), bk AS (SELECT z, x, arg_min(lake, d * 1000000 + lake) AS lake, min(d) AS d FROM ring ANTI JOIN l USING (z, x) GROUP BY 1, 2)
+ SELECT c.z, c.x, CAST(CASE WHEN l.z IS NOT NULL THEN w.level WHEN bk.z IS NOT NULL THEN (SELECT {_BANK} FROM (SELECT v.level AS level, c.height AS height, bk.d AS d)) ELSE c.height END AS INT) AS height, CASE WHEN l.z IS NOT NULL THEN 255 ELSE land END AS land,
+ CASE WHEN l.z IS NOT NULL THEN CAST(coalesce(least(greatest(dd.d, 1), 12), 12) AS INT) ELSE 0 END AS lake_depth, CASE WHEN l.z IS NULL THEN 0 WHEN sl.saline THEN 128 ELSE 255 END AS lake_mask
+ FROM c LEFT JOIN l ON l.z = c.z AND l.x = c.x LEFT JOIN lv w ON w.lake = l.lake LEFT JOIN sl ON sl.lake = l.lake LEFT JOIN dd ON dd.z = c.z AND dd.x = c.x LEFT JOIN bk ON bk.z = c.z AND bk.x = c.x LEFT JOIN lv v ON v.lake = bk.lake"""
+
+
+@query("lake_maps", _LAKES)
 def lake_maps(spark, sf):
     lakes = _box_cells(spark, sf).select("z", "x", F.col("id").alias("lake"), (F.col("id") % 7 == 0).alias("saline"))
     return M.lake_maps(r3(spark, sf).select("z", "x", "height", "land"), lakes)
@@ -736,10 +763,10 @@ def snk08(spark, sf):
     return M.write_values(c.select("z", "x", "height"), new, "height")
 
 
-@query("snk11_report", f"WITH {R3} SELECT z, x, printf('%d, %d: height %d, %s', x, z, height, CASE WHEN lake THEN 'lake' WHEN land = 0 THEN 'ocean' ELSE 'land' END) AS report FROM r3 WHERE x % 16 = 0")
+@query("snk11_report", f"WITH {R3} SELECT z, x, printf('%d, %d: height %d, %s', x, z, height, CASE WHEN lake THEN 'lake' WHEN land = 0 THEN 'ocean' ELSE 'land' END) AS report FROM r3")
 def snk11(spark, sf):
     kind = F.when(F.col("lake"), "lake").when(F.col("land") == 0, "ocean").otherwise("land")
-    return r3(spark, sf).filter("x % 16 = 0").select("z", "x", F.format_string("%d, %d: height %d, %s", "x", "z", "height", kind).alias("report"))
+    return r3(spark, sf).select("z", "x", F.format_string("%d, %d: height %d, %s", "x", "z", "height", kind).alias("report"))
 
 
 @query("src16_bounds", f"WITH {R1} SELECT z, x, v FROM r1 WHERE z >= 10 AND z < 50 AND x >= 5 AND x < 25")
@@ -785,12 +812,12 @@ def ras03(spark, sf):
     return V.buffer_lines(_lines(spark, sf).withColumn("half", F.lit(half)), "half", 500, 64)
 
 
-@query("vec09_trace")
+@query("vec09_trace", f"WITH {R7}, c AS (SELECT id, k, CAST(trunc(z0 + 0.5 + 0.5 * k) AS INT) AS z, CAST(trunc(x0 + 0.5 + k) AS INT) AS x FROM r7, (SELECT unnest(range(0, 9)) AS k)) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS INT) AS ord, z, x FROM c WHERE z BETWEEN 0 AND 499 AND x BETWEEN 0 AND 63")
 def vec09(spark, sf):
     return V.trace(_lines(spark, sf), 500, 64)
 
 
-@query("ras04_all_touched")
+@query("ras04_all_touched", f"WITH {R7}, t AS (SELECT unnest([0.0, 1.0]) AS t UNION ALL SELECT (unnest(range(1, 9)) - 0.5) / 8 UNION ALL SELECT (unnest(range(1, 5)) - 0.5) / 4), m AS (SELECT (t + lead(t) OVER (ORDER BY t)) / 2 AS m FROM t) SELECT DISTINCT id, CAST(floor(z0 + 0.5 + 4 * m) AS INT) AS z, CAST(floor(x0 + 0.5 + 8 * m) AS INT) AS x FROM r7, m WHERE m IS NOT NULL AND z0 + 0.5 + 4 * m < 500 AND x0 + 0.5 + 8 * m < 64")
 def ras04(spark, sf):
     return V.touch_lines(_lines(spark, sf), 500, 64)
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from terraspark.functions.scalars import bake_bathymetry, bake_height
+
 # Fixed values of the two formats.
 REGION_HEADER = struct.Struct("<8sIIIII")  # magic, version, width, height, region size, sea level
 REGION_MAGIC, REGION_VERSION, REGION = b"EMREGION", 4, 512
@@ -70,14 +72,18 @@ class _At(InputPartition):
 
 
 class RegionReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, rx: str | None = None, rz: str | None = None):
+        self.path, self.rx, self.rz = path, rx, rz
         self.width, self.height, _ = region_header(path)
 
     def partitions(self):
-        return [_At(rx, rz) for rx in range(self.width // REGION) for rz in range(self.height // REGION)]
+        side = lambda n, only: range(n) if only is None else [k for k in [int(only)] if 0 <= k < n]
+        # no region asked for: one partition that reads nothing
+        return [_At(rx, rz) for rx in side(self.width // REGION, self.rx) for rz in side(self.height // REGION, self.rz)] or [_At(-1, -1)]
 
     def read(self, p):
+        if p.a < 0:
+            return
         with open(self.path, "rb") as f:
             f.seek(REGION_HEADER.size + (p.a * (self.height // REGION) + p.b) * REGION_BYTES)
             data = f.read(REGION_BYTES)
@@ -93,7 +99,7 @@ class RegionSource(DataSource):
         return "rz int, rx int, " + ", ".join(f"{p} binary" for p in PLANES)
 
     def reader(self, schema):
-        return RegionReader(self.options["path"])
+        return RegionReader(self.options["path"], self.options.get("rx"), self.options.get("rz"))
 
 
 class ClimateReader(DataSourceReader):
@@ -110,8 +116,9 @@ class ClimateReader(DataSourceReader):
         with open(self.path, "rb") as f:
             f.seek(CLIMATE_HEADER.size + p.a * w * SAMPLE.itemsize)
             r = np.frombuffer(f.read((p.b - p.a) * w * SAMPLE.itemsize), SAMPLE)
-        for i, s in enumerate(r):
-            yield p.a + i // w, i % w, [int(t) for t in s["temperature"]], int(s["precipitation"]), int(s["pet"]), int(s["terrain_y"])
+        z, x = np.divmod(np.arange(len(r), dtype=np.int32), np.int32(w))
+        months = pa.ListArray.from_arrays(pa.array(np.arange(0, 12 * len(r) + 1, 12, dtype=np.int32)), pa.array(r["temperature"].astype(np.int32).ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(z + np.int32(p.a)), pa.array(x), months, *(pa.array(r[k].astype(np.int32)) for k in ("precipitation", "pet", "terrain_y"))], names=["sz", "sx", "temperature", "precipitation", "pet", "terrain_y"])
 
 
 class ClimateSource(DataSource):
@@ -168,25 +175,22 @@ def _publish(path: str, size: int, header: bytes, df: DataFrame, offset, payload
             os.remove(tmp)
 
 
-def write_regions(tiles: DataFrame, path: str, width: int, height: int, sea: int = 60, least: int = 50) -> None:
-    """Tiles (rz, rx, nine planes) as a region store: X-major, each region plane after plane; heights and depths are baked."""
-    if width <= 0 or height <= 0 or width % REGION or height % REGION:
-        raise ValueError("dimensions must be positive multiples of 512")
-    if not 1 <= least < sea < 255:
-        raise ValueError("1 <= least depth < sea level < 255 must hold")
-    down = height // REGION
+def baked(cells: DataFrame, sea: int = 60, least: int = 50) -> DataFrame:
+    """Cells with their heights and depths as a store holds them: to be packed to tiles, then written."""
+    land = F.col("landmask")
+    return cells.withColumn("heightmap", bake_height(F.col("heightmap"), land)).withColumn("bathymetry_heightmap", bake_bathymetry(F.col("bathymetry_heightmap"), land, sea, least))
 
-    def bake(row):
-        p = {k: np.frombuffer(row[k], np.uint8) for k in PLANES}
-        land = p["landmask"] > 0
-        p["heightmap"] = np.where(land, np.maximum(p["heightmap"], 1), 0).astype(np.uint8)
-        b = p["bathymetry_heightmap"]
-        p["bathymetry_heightmap"] = np.where(~land & (b > 0), np.clip(b, least, sea), sea).astype(np.uint8)
-        return b"".join(p[k].tobytes() for k in PLANES)
 
-    size = REGION_HEADER.size + width // REGION * down * REGION_BYTES
+def write_regions(tiles: DataFrame, path: str, width: int, height: int, sea: int = 60) -> None:
+    """Tiles (rz, rx, nine planes, see ``baked``) as a region store: regions column by column, each plane after plane."""
+    across, down = (n // REGION if n > 0 and n % REGION == 0 else 0 for n in (width, height))
+    if not across * down:
+        raise ValueError(f"a store holds whole regions of {REGION} cells, not {width} x {height}")
+    if not 2 <= sea <= 254:
+        raise ValueError(f"sea level {sea} leaves no room below or above it")
     head = REGION_HEADER.pack(REGION_MAGIC, REGION_VERSION, width, height, REGION, sea)
-    _publish(path, size, head, tiles, lambda r: REGION_START + (r["rx"] * down + r["rz"]) * REGION_BYTES, bake, ["rz", "rx", *PLANES])
+    place = lambda r: REGION_START + (r["rx"] * down + r["rz"]) * REGION_BYTES
+    _publish(path, len(head) + across * down * REGION_BYTES, head, tiles, place, lambda r: b"".join(r[p] for p in PLANES), ["rz", "rx", *PLANES])
 
 
 def write_climate(records: DataFrame, path: str, width: int, height: int, lapse: float) -> None:
@@ -202,8 +206,9 @@ def write_climate(records: DataFrame, path: str, width: int, height: int, lapse:
 
 
 def region(spark: SparkSession, path: str, rx: int, rz: int) -> DataFrame:
-    """Point access to one region."""
-    return read_regions(spark, path).filter((F.col("rx") == rx) & (F.col("rz") == rz))
+    """Point access: only this region's bytes are read."""
+    spark.dataSource.register(RegionSource)
+    return spark.read.format("map_regions").options(path=path, rx=rx, rz=rz).load()
 
 
 def climate_tile(records: DataFrame, rx: int, rz: int, width: int, height: int, side: int = 64) -> DataFrame:

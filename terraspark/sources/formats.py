@@ -14,6 +14,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -110,11 +111,9 @@ class TiffReader(DataSourceReader):
         across = -(-self.width // self.bw)
         with open(self.path, "rb") as f:
             for j in range(across):
-                a = self.block(f, p.k * across + j)
-                for r in range(min(len(a), self.height - p.k * self.bh)):
-                    z, x0 = p.k * self.bh + r, j * self.bw
-                    for c in range(min(self.bw, self.width - x0)):
-                        yield z, x0 + c, float(a[r, c])
+                a = self.block(f, p.k * across + j)[: self.height - p.k * self.bh, : self.width - j * self.bw]
+                z, x = np.divmod(np.arange(a.size, dtype=np.int32), np.int32(max(1, a.shape[1])))
+                yield pa.RecordBatch.from_arrays([pa.array(z + np.int32(p.k * self.bh)), pa.array(x + np.int32(j * self.bw)), pa.array(a.astype(np.float64).ravel())], names=["z", "x", "v"])
 
 
 class TiffSource(DataSource):

@@ -230,9 +230,13 @@ def test_tiles_and_region_store(spark, tmp_path):
     B.write_regions(tiles, path, 512, 1024)
     assert B.region_header(path) == (512, 1024, 60)
     got = B.region(spark, path, 0, 1).collect()
-    land = planes["landmask"][1] > 0
-    assert len(got) == 1 and bytes(got[0]["river"]) == planes["river"][1].tobytes()
-    assert bytes(got[0]["heightmap"]) == np.where(land, np.maximum(planes["heightmap"][1], 1), 0).astype(np.uint8).tobytes()
+    assert len(got) == 1 and all(bytes(got[0][p]) == planes[p][1].tobytes() for p in B.PLANES)
+    assert B.region(spark, path, 5, 5).count() == 0 and B.read_regions(spark, path).count() == 2
+    raw = spark.createDataFrame([(0, 9, 9), (0, 0, 0), (255, 0, 7), (255, 200, 7), (0, 9, 80), (0, 9, 0)], "landmask int, heightmap int, bathymetry_heightmap int")
+    assert [(r["heightmap"], r["bathymetry_heightmap"]) for r in B.baked(raw).collect()] == [(0, 50), (0, 60), (1, 60), (200, 60), (0, 60), (0, 60)]
+    for width, sea in ((500, 60), (0, 60), (512, 255), (512, 1)):
+        with pytest.raises(ValueError):
+            B.write_regions(tiles, path, width, 1024, sea)
     with pytest.raises(ValueError):
         B.write_regions(tiles.limit(1), str(tmp_path / "half.regions"), 512, 1024)
     assert [p.name for p in tmp_path.iterdir()] == ["map.regions"]
