@@ -8,8 +8,7 @@ density: characters per tag, weighed down by its share of link characters and
 link tags. Every node's density sum adds its children's densities (a text of its
 own counts as a child). The subtree with the greatest sum is the article; the
 threshold is the least density on its path to body, and other subtrees at or
-above it count as article too. An <article> or <main> around the greatest sum is
-taken whole.
+above it count as article too.
 
 Null and empty pages give "". Pages without text outside the parts left out give
 "". Every row gives one row; ties between sums go to the outermost, first node.
@@ -33,11 +32,9 @@ BLOCK = frozenset("address article aside blockquote body caption center col colg
 LEFT_OUT = frozenset("nav header footer aside form button select datalist object embed audio video canvas head dialog menu fieldset map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
 WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertisements advertising adbox adsense sponsor sponsors sponsored promo promos promotion promotions
-    banner banners nav navbar navigation menu menus menubar breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar sidebars aside rail
-    widget widgets cookie cookies consent gdpr notice notices notification notifications alert alerts popup popups modal overlay newsletter subscribe
-    subscription signup login signin share sharing sharebar social related recommended recommendations comment comments commentlist commentary reply
-    replies disqus discussion respond form search pagination pager toolbar copyright disclaimer skip skiplink tracking paywall feedback""".split()
+    """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs
+    masthead header footer sidebar aside widget cookie cookies consent notice notices notification alert popup modal newsletter subscribe signup login
+    share sharing related comment comments commentlist replies disqus respond form search pagination""".split()
 )
 NEVER = frozenset("has with without no show hide".split())
 CLOSES_P = BLOCK - {"option", "optgroup", "col", "colgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "head", "html"}
@@ -218,31 +215,23 @@ def _choose(tree: Tree) -> list[bool]:
     n = len(tree.tag)
     density, sums = densities(tree)
     best = max(range(n), key=lambda i: (sums[i], -i))
-    whole, i = best, best
-    threshold = density[best]
-    semantic = None
+    threshold, i = density[best], best
     while i >= 0:
         threshold = min(threshold, density[i])
-        if semantic is None and tree.tag[i] in ("article", "main") or semantic is not None and tree.tag[semantic] == "article" and tree.tag[i] == "main" and tree.tag.count("article") > 1:
-            semantic = i
         i = tree.parent[i]
     inside = [False] * n
-    if semantic is not None:
-        whole = semantic
-        inside[whole] = True
-    else:
-        inside[best] = True
-        # the greatest sum below every node at or above the threshold
-        top = list(range(n))
-        for i in range(n - 1, 0, -1):
-            p = tree.parent[i]
-            if (sums[top[i]], -top[i]) > (sums[top[p]], -top[p]):
-                top[p] = top[i]
-        open_ = [False] * n
-        for i in range(n):
-            if density[i] > 0 and density[i] >= threshold and (i == 0 or open_[tree.parent[i]]):
-                open_[i] = True
-                inside[top[i]] = True
+    inside[best] = True
+    # the greatest sum below every node at or above the threshold
+    top = list(range(n))
+    for i in range(n - 1, 0, -1):
+        p = tree.parent[i]
+        if (sums[top[i]], -top[i]) > (sums[top[p]], -top[p]):
+            top[p] = top[i]
+    open_ = [False] * n
+    for i in range(n):
+        if density[i] > 0 and density[i] >= threshold and (i == 0 or open_[tree.parent[i]]):
+            open_[i] = True
+            inside[top[i]] = True
     for i in range(1, n):
         if inside[tree.parent[i]]:
             inside[i] = True
