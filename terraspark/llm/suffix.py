@@ -1,25 +1,29 @@
 """Removal of repeated passages: every byte inside a string of 200 bytes that also starts elsewhere.
 
 Whatever repeats must share an anchor: of every run of 169 starts of 32-byte
-strings the one of least hash (the last of equals). So each document is reduced to
-its anchors, and only the bytes around an anchor that occurs again are compared:
-
-1. Anchors of all documents, each with a hash of its surroundings (168 bytes before
-   its start, 200 after it) are written as a table. Surroundings that occur twice
-   are repeated as a whole; anchors that occur once are done.
-2. Where an anchor has different surroundings, one of each goes to a shard, by anchor. In a
-   shard, suffixes are sorted by prefix doubling as Larsson and Sadakane do it, in
-   numpy: ranks by 8, 16, ... bytes, and only groups not yet apart are ranked
-   again. Common prefixes are read off the ranks of 128, 64 and 8 bytes, which make
-   up 200, so that no walk over single bytes (Kasai) is needed. Suffixes meet only
-   at the same distance from the same anchor, so a string never meets itself.
+strings the one of least hash (the last of equals). Each string of 200 bytes has one
+anchor; those of an anchor start in one range, its surroundings. So each document is
+reduced to its anchors, and only bytes around an anchor that occurs again are compared:
+
+1. Anchors of all documents, each with a hash of its surroundings, are written as a
+   table. Surroundings that occur twice are repeated as a whole; anchors that occur
+   once are done.
+2. Where an anchor has different surroundings, one of each goes to a shard, by anchor.
+   A shard builds the suffix array of its bytes as Larsson and Sadakane do it, in numpy:
+   suffixes are sorted by 8 bytes, then by the rank of what follows after 8, 16, ...
+   bytes, and only groups that are not yet apart are sorted again. Kasai's walk gives
+   the common prefixes of neighbours, along all surroundings at once. Suffixes meet only
+   at the same distance from the same anchor, so a string never meets itself. Groups
+   of a few surroundings are laid side by side instead.
 3. Anchors with many different surroundings lie in several shards. Each shard then
    hands out its sorted strings as 128-bit digests, cut into ranges by binary
    search; runs of a range are merged and looked up by binary search.
 4. What is repeated is merged to spans and cut out of the documents.
 
-Equal texts have equal spans, so spans are held once per text. Null texts count as
-empty; texts below 200 bytes lose nothing. No anchor, group or text is capped.
+Equal texts have equal spans, so spans are held once per text; a text is known by 96
+bits of its hash, surroundings by 128 (the anchor's and their own). Null texts count as
+empty; texts below 200 bytes lose nothing. No anchor, group or text is capped; long
+texts are read for anchors in pieces that overlap.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraspark.llm.common import partitions, written
@@ -39,6 +43,14 @@ GRAM = 32
 SHARD = 2000
 #: Bytes that are sorted together; whole groups are added until it is reached.
 SORTED = 1 << 20
+#: Groups of at most so many surroundings are compared side by side.
+FEW = 16
+#: Starts that are looked at together when a text is read for anchors.
+PIECE = 1 << 20
+#: How far before an anchor a string that holds it can start.
+BACK = LENGTH - GRAM
+#: Places around an anchor: those of all bytes of strings that hold it.
+PLACES = BACK + LENGTH
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _ALL = (1 << 64) - 1
@@ -70,38 +82,61 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(b: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the anchors: every string of ``length`` bytes holds one that depends on that string alone."""
-    window = length - gram + 1
-    if len(b) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = mixed(rolling(np.frombuffer(b, np.uint8), gram, _M1))
+def _anchors_of(b: bytes) -> tuple[np.ndarray, ...]:
+    window = LENGTH - GRAM + 1
+    h = mixed(rolling(np.frombuffer(b, np.uint8), GRAM, _M1))
     n = len(h)
     # the least hash, of equals the last start: high bits of the hash, then the start counted down
-    low = np.uint64((1 << 28) - 1)
-    at = np.arange(n, dtype=np.uint64)
-    key = (h & ~low) | (low - (at & low))
-    if n >= 1 << 28:
-        raise ValueError("texts of 256 MB and more are not supported")
+    low = np.uint64((1 << 24) - 1)
     x = np.full(-(-n // window) * window, _ALL, np.uint64)
-    x[:n] = key
+    x[:n] = (h & ~low) | (low - np.arange(n, dtype=np.uint64))
     x = x.reshape(-1, window)
     before = np.minimum.accumulate(x, axis=1).ravel()
     behind = np.ascontiguousarray(np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1]).ravel()
     least = np.minimum(behind[: n - window + 1], before[window - 1 : n])
-    start = (low - (least & low)).astype(np.int64)
-    start = start[np.r_[True, start[1:] != start[:-1]]]
-    return start, h[start]
-
-
-def _surroundings(start: int, size: int, length: int = LENGTH, gram: int = GRAM) -> tuple[int, int]:
-    return max(0, start - (length - gram)), min(size, start + length)
-
-
-def _key(text: bytes) -> int:
+    pos = (low - (least & low)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
+    pos = pos[first]
+    return pos, h[pos], first, np.r_[first[1:], len(least)] - 1
+
+
+def anchors(b: bytes, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """Starts and hashes of the anchors, and the first and the last start of the strings of LENGTH bytes that each stands for; together they are all strings."""
+    last = len(b) - LENGTH + 1
+    parts: list[list[np.ndarray]] = []
+    for lo in range(0, last, piece):
+        pos, h, first, end = _anchors_of(b[lo : min(last, lo + piece) + LENGTH - 1])
+        pos, first, end = pos + lo, first + lo, end + lo
+        if parts and parts[-1][0][-1] == pos[0]:  # goes on from the piece before
+            parts[-1][3][-1] = end[0]
+            pos, h, first, end = pos[1:], h[1:], first[1:], end[1:]
+        if len(pos):
+            parts.append([pos, h, first, end])
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def packed(pos: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """An anchor's place and range of starts in one number."""
+    return pos << 16 | (pos - first) << 8 | (pos - last)
+
+
+def unpacked(at):
+    """(place, first start, last start); for numbers, arrays and columns alike."""
+    if isinstance(at, Column):
+        pos = F.shiftright(at, 16)
+        return pos, pos - F.shiftright(at, 8).bitwiseAND(255), pos - at.bitwiseAND(255)
+    pos = at >> 16
+    return pos, pos - (at >> 8 & 255), pos - (at & 255)
+
+
+def _key(text: bytes) -> tuple[int, int]:
+    """96 bits of the text's hash as a long and an int."""
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    x = xxhash.xxh3_128_intdigest(text)
+    return (x & _ALL) - (1 << 63), (x >> 64 & 0xFFFFFFFF) - (1 << 31)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,136 +146,238 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for value in batch.column(0):
             b = (value.as_py() or "").encode()
-            start, h = anchors(b)
-            if len(start):
-                ctx = [digest(b[slice(*_surroundings(s, len(b)))]) for s in start.tolist()]
-                key = np.full(len(start), _key(b), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(start.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.array(ctx, np.uint64).view(np.int64))], names=["key", "pos", "h", "ctx"])
+            pos, h, first, last = anchors(b)
+            if len(pos):
+                view = memoryview(b)
+                # the seed tells surroundings apart that are equal but lie otherwise
+                ctx = [digest(view[f : e + LENGTH], p - f) for p, f, e in zip(pos.tolist(), first.tolist(), last.tolist(), strict=True)]
+                k1, k2 = _key(b)
+                n = len(pos)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int32)), pa.array(packed(pos, first, last)), pa.array(h.view(np.int64)), pa.array(np.array(ctx, np.uint64).view(np.int64))], names=["k1", "k2", "at", "h", "ctx"]
+                )
+
+
+def words_at(a: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; those of the last seven places are not whole."""
+    x = np.r_[a, np.zeros(7, np.uint8)].astype(np.uint64)
+    for size in (1, 2, 4):
+        x = x[:-size] << np.uint64(8 * size) | x[size:]
+    return x
+
+
+def suffix_array(v: np.ndarray, klass: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All suffixes by class, then by their bytes up to their ``end`` (a shorter one before those it begins), then by place.
+
+    ``v``: the eight bytes at each place. Larsson-Sadakane: a suffix's rank is the last place
+    of its group; groups of one, and of suffixes that have come to their end, are done.
+    """
+    n = len(v)
+    left = end - np.arange(n)
+    few = (8 - np.minimum(left, 8)).astype(np.uint64) * np.uint64(8)
+    w = np.where(left >= 8, v, v >> few << few)
+    # bytes and length to dense numbers, so that class and bytes go into one key
+    order = np.argsort(w)
+    w = w[order]
+    dense = np.empty(n, np.int64)
+    dense[order] = np.cumsum(np.r_[False, w[1:] != w[:-1]])
+    bits = int(n * 10).bit_length()
+    key = klass << bits | dense * 10 + np.minimum(left, 9)
+    sa = np.argsort(key)
+    key, slots, rank, size = key[sa], np.arange(n), np.zeros(n, np.int64), 8
+    bits = int(n + 1).bit_length()
+    while len(slots):
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        many = np.diff(np.r_[head, len(key)])
+        at = sa[slots]
+        rank[at] = np.repeat(slots[head + many - 1] + 1, many)
+        going = np.repeat(many > 1, many) & (left[at] > size)
+        slots, at = slots[going], at[going]
+        key = rank[at] << bits | rank[at + size]
+        order = np.argsort(key)
+        sa[slots], key = at[order], key[order]
+        size *= 2
+    equal = rank[sa[1:]] == rank[sa[:-1]]
+    slots = np.flatnonzero(np.r_[equal, False] | np.r_[False, equal])
+    at = sa[slots]
+    sa[slots] = at[np.argsort(rank[at] << bits | at)]
+    return sa
 
 
-def sort_repeats(a: np.ndarray, group: np.ndarray, end: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Starts in ``a`` of strings of ``length`` bytes that occur at least twice in their group, and their ranks.
+def common_prefixes(a: np.ndarray, v: np.ndarray, sa: np.ndarray, klass: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which places start a string of ``length`` bytes that another suffix of their class starts with too.
 
-    ``group``: what each start may be compared with; ``end``: where the start's piece ends.
-    ``length`` must be a multiple of 8.
+    Kasai: the prefix that a suffix shares with the one before it in the array is at most
+    one shorter than that of the suffix a byte earlier. The walk goes along all pieces
+    (from ``begin`` on) at once, as far as whole strings start.
     """
-    n = len(a)
-    if n < 8:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    v = np.zeros(n - 7, np.uint64)
-    for k in range(8):
-        v = v << np.uint64(8) | a[k : n - 7 + k].astype(np.uint64)
-    start = np.flatnonzero(end[: n - 7] - np.arange(n - 7) >= 8)
-    #: rank of each start by its first bytes, 0 where no other start of the group has the same
-    ranks: dict[int, np.ndarray] = {}
-
-    def apart(start: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-        """Ranks the starts by the keys; only those that share theirs stay."""
-        order = np.lexsort(keys[::-1])
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for k in keys:
-            s = k[order]
-            new[1:] |= s[1:] != s[:-1]
-        rank = np.cumsum(new)
-        shared = ~(new & np.r_[new[1:], True])
-        out = np.zeros(n, np.int32)
-        out[start[order[shared]]] = rank[shared]
-        return out
-
-    ranks[8] = apart(start, group[start], v[start])
-    size = 8
-    while size * 2 <= length:
-        r = ranks[size]
-        start = np.flatnonzero(r[: n - size])
-        start = start[(r[start + size] > 0) & (end[start] - start >= 2 * size)]
-        ranks[size * 2] = apart(start, r[start], r[start + size])
-        size *= 2
-    r, done = ranks[size], size
-    while done < length:
-        while size > length - done:
-            size //= 2
-        start = np.flatnonzero(r[: max(0, n - done)])
-        start = start[(ranks[size][start + done] > 0) & (end[start] - start >= done + size)]
-        r = apart(start, r[start], ranks[size][start + done])
-        done += size
-    start = np.flatnonzero(r)
-    return start, r[start]
-
-
-def _runs(starts: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
-    """Ascending starts -> spans that the strings cover."""
-    cut = np.flatnonzero(np.diff(starts) > length)
+    before = np.full(len(a), -1)
+    same = klass[sa[1:]] == klass[sa[:-1]]
+    before[sa[1:][same]] = sa[:-1][same]
+    found = np.zeros(len(a), bool)
+    shared = np.zeros(len(begin), np.int64)
+    for step in range(int((end[begin] - begin).max(initial=0)) - length + 1):
+        i = begin + step
+        on = np.flatnonzero(end[begin] - i >= length)
+        i = i[on]
+        j = before[i]
+        k = np.where(j >= 0, np.maximum(shared[on] - 1, 0), 0)
+        most = np.where(j >= 0, np.minimum(length, end[j] - j), 0)
+        look = np.flatnonzero(k < most)
+        while len(look):  # eight bytes at a time, then one
+            p, q, done = i[look] + k[look], j[look] + k[look], most[look] - k[look]
+            by = np.where((done >= 8) & (v[p] == v[q]), 8, (a[p] == a[q]).astype(np.int64))
+            k[look] += by
+            look = look[(by > 0) & (by < done)]
+        shared[on] = k
+        hit = k >= length
+        found[i[hit]] = found[j[hit]] = True
+    return found
+
+
+def side_by_side(a: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, group: np.ndarray, most: int, length: int = LENGTH) -> np.ndarray:
+    """As common_prefixes, for groups of at most ``most`` pieces, which stand next to each other; ``place``: distance of a piece's first byte from BACK before its anchor."""
+    found = np.zeros(len(a), bool)
+    for lo in range(0, len(begin), 2048):
+        # a group that is cut here is met again with the next rows
+        rows = np.arange(lo, min(len(begin), lo + 2048 + most))
+        b, n, f, g = begin[rows], size[rows], place[rows], group[rows]
+        at = np.arange(PLACES) - f[:, None]
+        inside = (at >= 0) & (at < n[:, None])
+        at = np.where(inside, at + b[:, None], 0)
+        m = a[at].astype(np.int16)
+        m[~inside] = -1
+        starts = np.zeros((len(rows), PLACES - length + 1), bool)
+        for k in range(1, most):
+            x, y = slice(0, max(0, len(rows) - k)), slice(k, None)
+            pair = np.flatnonzero(g[x] == g[y])
+            if not len(pair):
+                break
+            equal = (m[pair] == m[pair + k]) & inside[pair] & inside[pair + k]
+            total = np.cumsum(equal, axis=1, dtype=np.int16)
+            run = np.concatenate([total[:, length - 1 : length], total[:, length:] - total[:, :-length]], axis=1) == length
+            starts[pair] |= run
+            starts[pair + k] |= run
+        r, c = np.nonzero(starts)
+        found[at[r, c]] = True
+    return found
+
+
+def repeats(a: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, group: np.ndarray, few: int = FEW) -> np.ndarray:
+    """Which places of ``a`` start a string of LENGTH bytes that stands at the same place of another piece of the group. Groups ascend."""
+    if not len(begin):
+        return np.zeros(len(a), bool)
+    _, of, many = np.unique(group, return_inverse=True, return_counts=True)
+    small = many[of] <= few
+    found = side_by_side(a, begin[small], size[small], place[small], group[small], few)
+    if small.all():
+        return found
+    # the others' bytes one after the other
+    b, n, f, g = begin[~small], size[~small], place[~small], of[~small]
+    new = np.cumsum(n) - n
+    which = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(n.sum()) - new[which]
+    t = a[b[which] + offset]
+    klass = np.unique(g, return_inverse=True)[1][which] * PLACES + f[which] + offset
+    end = (new + n)[which]
+    v = words_at(t)
+    hit = np.flatnonzero(common_prefixes(t, v, suffix_array(v, klass, end), klass, new, end))
+    found[b[which[hit]] + offset[hit]] = True
+    return found
+
+
+def _runs(owner: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ascending within each owner -> owners and spans that the strings cover."""
+    if not len(starts):
+        return owner, starts, starts
+    cut = np.flatnonzero((np.diff(starts) > length) | (owner[1:] != owner[:-1]))
     lo, hi = np.r_[0, cut + 1], np.r_[cut, len(starts) - 1]
-    return [(int(starts[i]), int(starts[j]) + length) for i, j in zip(lo, hi, strict=True)]
+    return owner[lo], starts[lo], starts[hi] + length
 
 
-SHARD_ROWS = "kind int, key long, a int, b int, cut int, shard long, digests binary, owners binary"
-_NAMES = ["kind", "key", "a", "b", "cut", "shard", "digests", "owners"]
-_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+SHARD_ROWS = "kind int, k1 long, k2 int, a int, b int, cut int, shard long, digests binary, owners binary"
+_NAMES = ["kind", "k1", "k2", "a", "b", "cut", "shard", "digests", "owners"]
+_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 _DIGEST = np.dtype([("x", "<u8"), ("y", "<u8")])
-_OWNER = np.dtype([("key", "<i8"), ("start", "<i8")])
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
-
-
-def _sort_shard(rows: list[tuple], ranges: int) -> Iterator[pa.RecordBatch]:
-    """rows: (h, salt, salts, key, pos, first, bytes) of whole groups -> spans (kind 0) and, where a group has more shards, runs of digests (kind 1)."""
-    sizes = np.array([len(r[6]) for r in rows])
-    a = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
-    begin = np.cumsum(sizes) - sizes
-    which = np.repeat(np.arange(len(rows)), sizes)
-    new = np.array([True, *((x[0], x[1]) != (y[0], y[1]) for x, y in zip(rows[1:], rows[:-1], strict=True))])
-    group = np.cumsum(new)
-    pos, first = (np.array([r[i] for r in rows], np.int64) for i in (4, 5))
-    absolute = np.arange(len(a)) - begin[which] + first[which]
-    # distance from the anchor, from 0
-    distance = absolute - pos[which] + LENGTH
-    start, _ = sort_repeats(a, group[which] * (3 * LENGTH) + distance, (begin + sizes)[which])
-    start = start[distance[start] <= LENGTH]
-    out = []
-    if len(start):
-        owner = which[start]
-        bounds = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            out += [(0, rows[owner[lo]][3], s, e, None, None, None, None) for s, e in _runs(absolute[start[lo:hi]])]
-    spread = np.array([r[2] > 1 for r in rows])
-    if spread.any():
+_OWNER = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("start", "<i8")])
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, _TYPES, strict=True)], names=_NAMES)
+
+
+def _spans(k1: np.ndarray, k2: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return _batch(kind=np.zeros(len(k1), np.int32), k1=k1, k2=k2.astype(np.int32), a=a.astype(np.int32), b=b.astype(np.int32))
+
+
+def _sort_shard(rows: dict[str, np.ndarray], texts: list[bytes], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Rows (h, salt, salts, k1, k2, at) of whole groups, in order, and their bytes -> spans (kind 0) and, where a group has more shards, runs of digests (kind 1)."""
+    size = np.array([len(t) for t in texts])
+    a = np.frombuffer(b"".join(texts), np.uint8)
+    begin = np.cumsum(size) - size
+    h, salt = rows["h"], rows["salt"]
+    group = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
+    pos, first, _ = unpacked(rows["at"])
+    place = first - pos + BACK
+    hit = np.flatnonzero(repeats(a, begin, size, place, group))
+    which = np.searchsorted(begin, hit, side="right") - 1
+    owner, lo, hi = _runs(which, hit - begin[which] + first[which])
+    if len(owner):
+        yield _spans(rows["k1"][owner], rows["k2"][owner], lo, hi)
+    spread = np.flatnonzero(rows["salts"] > 1)
+    if len(spread):
         x, y = mixed(rolling(a, LENGTH, _M1)), mixed(rolling(a, LENGTH, _M2))
-        s = np.flatnonzero(spread[which[: len(x)]] & ((begin + sizes)[which[: len(x)]] - np.arange(len(x)) >= LENGTH) & (distance[: len(x)] <= LENGTH))
-        h = np.array([r[0] for r in rows], np.int64).view(np.uint64)[which[s]]
-        with_anchor = mixed(h + distance[s].astype(np.uint64) * np.uint64(_M2))
-        d = np.zeros(len(s), _DIGEST)
+        n = size[spread] - LENGTH + 1
+        which = np.repeat(spread, n)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        s = begin[which] + offset
+        with_anchor = mixed(h.view(np.uint64)[which] + (place[which] + offset).astype(np.uint64) * np.uint64(_M2))
+        d, own = np.zeros(len(s), _DIGEST), np.zeros(len(s), _OWNER)
         d["x"], d["y"] = x[s] ^ with_anchor, y[s] + with_anchor
-        own = np.zeros(len(s), _OWNER)
-        own["key"], own["start"] = np.array([r[3] for r in rows], np.int64)[which[s]], absolute[s]
+        own["k1"], own["k2"], own["start"] = rows["k1"][which], rows["k2"][which], first[which] + offset
         order = np.lexsort((d["y"], d["x"]))
         d, own = d[order], own[order]
         cuts = np.searchsorted(d["x"], np.array([i * (1 << 64) // ranges for i in range(1, ranges)], np.uint64)) if ranges > 1 else np.zeros(0, np.int64)
-        shard = int(rows[0][0]) ^ (int(rows[0][1]) << 40) ^ len(rows)
-        edges = [0, *cuts.tolist(), len(d)]
-        out += [(1, None, None, None, i, shard, d[lo:hi].tobytes(), own[lo:hi].tobytes()) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
-    if out:
-        yield _batch(out)
+        edges = np.r_[0, cuts, len(d)]
+        full = np.flatnonzero(np.diff(edges))
+        shard = int(h[0]) ^ (int(salt[0]) << 40) ^ len(texts)
+        yield _batch(kind=np.ones(len(full), np.int32), cut=full.astype(np.int32), shard=np.full(len(full), shard, np.int64), digests=[d[edges[i] : edges[i + 1]].tobytes() for i in full], owners=[own[edges[i] : edges[i + 1]].tobytes() for i in full])
+
+
+_KEYS = ["h", "salt", "salts", "k1", "k2", "at"]
 
 
 def _sorter(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
+
+        def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = {c: t.column(c).to_numpy() for c in _KEYS}
+            # copies of a text may come from several tasks
+            new = np.ones(t.num_rows, bool)
+            new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in _KEYS], axis=0)
+            if not new.all():
+                t, rows = t.filter(pa.array(new)), {c: v[new] for c, v in rows.items()}
+            yield from _sort_shard(rows, t.column("bytes").to_pylist(), ranges)
+
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SORTED and (row[0], row[1]) != (held[-1][0], held[-1][1]):
-                    yield from _sort_shard(held, ranges)
-                    held, size = [], 0
-                # copies of a text may come from several tasks
-                if not held or row[:5] != held[-1][:5]:
-                    held.append(row)
-                    size += len(row[6])
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                held.append(part)
+                size += part.column(6).nbytes
+                if size >= SORTED:
+                    t = pa.Table.from_batches(held)
+                    h, salt = t.column("h").to_numpy(), t.column("salt").to_numpy()
+                    # the last group may go on
+                    last = np.flatnonzero((h != h[-1]) | (salt != salt[-1]))
+                    if len(last):
+                        yield from solve(t.slice(0, last[-1] + 1))
+                        t = t.slice(last[-1] + 1)
+                    held, size = t.to_batches(), sum(len(x) for x in t.column("bytes").to_pylist())
         if held:
-            yield from _sort_shard(held, ranges)
+            yield from solve(pa.Table.from_batches(held))
 
     return run
 
@@ -270,11 +407,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = at + 1
             found.append(o[hit])
         o = np.concatenate(found)
-        o = o[np.lexsort((o["start"], o["key"]))]
-        bounds = np.flatnonzero(np.r_[True, o["key"][1:] != o["key"][:-1], True])
-        rows = [(0, int(o["key"][lo]), s, e, None, None, None, None) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True) for s, e in _runs(o["start"][lo:hi])]
-        if rows:
-            yield _batch(rows)
+        o = o[np.lexsort((o["start"], o["k2"], o["k1"]))]
+        text = np.cumsum(np.r_[True, (o["k1"][1:] != o["k1"][:-1]) | (o["k2"][1:] != o["k2"][:-1])]) - 1
+        head = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+        owner, lo, hi = _runs(text, o["start"])
+        if len(owner):
+            yield _spans(o["k1"][head[owner]], o["k2"][head[owner]], lo, hi)
 
     cut, runs = None, []
     for batch in batches:
@@ -289,27 +427,27 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, key, ragged) -> (h, salt, salts, key, pos, first, bytes), once for equal texts of a task."""
-    seen: set[int] = set()
+    """(text, k1, k2, ragged) -> (h, salt, salts, k1, k2, at, bytes), once for equal texts of a task."""
+    seen: set[tuple[int, int]] = set()
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     for batch in batches:
         out = []
-        for text, key, ragged in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key in seen:
+        for text, k1, k2, ragged in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (k1, k2) in seen:
                 continue
-            seen.add(key)
+            seen.add((k1, k2))
             b = text.encode()
             for r in ragged:
-                first, last = _surroundings(r["pos"], len(b))
-                out.append((r["h"], (key * 0x9E3779B1 >> 7) % r["salts"], r["salts"], key, r["pos"], first, b[first:last]))
+                _, first, last = unpacked(r["at"])
+                out.append((r["h"], (k1 * 0x9E3779B1 >> 7) % r["salts"], r["salts"], k1, k2, r["at"], b[first : last + LENGTH]))
         if out:
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["h", "salt", "salts", "key", "pos", "first", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*_KEYS, "bytes"])
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key = [_key((v.as_py() or "").encode()) for v in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64())], names=["id", "text", "key"])
+        k1, k2 = zip(*(_key((v.as_py() or "").encode()) for v in batch.column(1)), strict=True) if batch.num_rows else ((), ())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k1, pa.int64()), pa.array(k2, pa.int32())], names=["id", "text", "k1", "k2"])
 
 
 def cut_text(b: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -329,40 +467,46 @@ def cut_text(b: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return removed, n, b"".join([*kept, b[done:]])
 
 
+def _same_text(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    r = right.withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    return left.join(r, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), how)
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, text_col: str = "text", shard: int | None = None) -> DataFrame:
-    """(key long, spans array<struct<a, b>>): for each text that holds repeats, by its hash, the spans to cut (they may overlap)."""
+    """(k1, k2, spans array<struct<a, b>>): for each text that holds repeats, by its hash, the spans to cut (they may overlap)."""
     shard = shard or SHARD
     n = partitions(spark)
     texts = docs.select(F.col(text_col).alias("text"))
-    found = written(spark, texts.mapInArrow(_anchor_rows, "key long, pos int, h long, ctx long"), "anchors")
-    counts = written(spark, found.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "pos")).alias("one")), "surroundings")
+    found = written(spark, texts.mapInArrow(_anchor_rows, "k1 long, k2 int, at long, h long, ctx long"), "anchors")
+    counts = written(spark, found.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2", "at")).alias("one")), "surroundings")
     recur = counts.groupBy("h").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("c")).filter("n > 1")
     state = counts.join(recur.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"))
     state = written(spark, state.select("h", "ctx", "m", "one", F.when(F.col("c") > 1, F.ceil(F.col("c") / shard)).otherwise(0).cast("int").alias("salts")), "recurring")
     # surroundings that occur twice are repeated as a whole; equal texts give equal rows, of which one is needed
     twice = state.filter("m > 1").select(F.col("h").alias("_h"), F.col("ctx").alias("_ctx"))
-    whole = found.join(twice, (F.col("ctx") == F.col("_ctx")) & (F.col("h") == F.col("_h"))).select("key", F.greatest(F.lit(0), F.col("pos") - (LENGTH - GRAM)).alias("a"), (F.col("pos") + LENGTH).alias("b")).distinct()
+    _, first, last = unpacked(F.col("at"))
+    whole = found.join(twice, (F.col("ctx") == F.col("_ctx")) & (F.col("h") == F.col("_h"))).select("k1", "k2", first.cast("int").alias("a"), (last + LENGTH).cast("int").alias("b")).distinct()
     # one of each of an anchor's different surroundings is compared with the others
-    ragged = state.filter("salts > 0").select("one.*", "h", "salts").groupBy("key").agg(F.collect_list(F.struct("pos", "h", "salts")).alias("ragged"))
-    keyed = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")).mapInArrow(_with_key, "id int, text string, key long")
-    around = keyed.join(ragged.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).select("text", "key", "ragged").mapInArrow(_cut_surroundings, "h long, salt int, salts int, key long, pos int, first int, bytes binary")
+    ragged = state.filter("salts > 0").select("one.*", "h", "salts").groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "h", "salts")).alias("ragged"))
+    keyed = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")).mapInArrow(_with_key, "id int, text string, k1 long, k2 int")
+    around = _same_text(keyed, ragged).select("text", "k1", "k2", "ragged").mapInArrow(_cut_surroundings, "h long, salt int, salts int, k1 long, k2 int, at long, bytes binary")
     spread = state.filter("salts > 1").count()
-    ranges = max(1, -(-spread * (LENGTH - GRAM + 1) // 1_000_000))
-    sorted_ = around.repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "key", "pos").mapInArrow(_sorter(ranges), SHARD_ROWS)
+    ranges = max(1, -(-spread * (BACK + 1) // 1_000_000))
+    sorted_ = around.repartition(n, "h", "salt").sortWithinPartitions("h", "salt", "k1", "k2", "at").mapInArrow(_sorter(ranges), SHARD_ROWS)
     sorted_ = written(spark, sorted_, "shards")
-    spans = whole.unionByName(sorted_.filter("kind = 0").select("key", "a", "b"))
+    spans = whole.unionByName(sorted_.filter("kind = 0").select("k1", "k2", "a", "b"))
     if spread:
         runs = sorted_.filter("kind = 1").repartition(min(ranges, 4 * n), "cut").sortWithinPartitions("cut")
-        spans = spans.unionByName(runs.mapInArrow(_merge, SHARD_ROWS).select("key", "a", "b"))
-    return spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+        spans = spans.unionByName(runs.mapInArrow(_merge, SHARD_ROWS).select("k1", "k2", "a", "b"))
+    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int | None = None) -> DataFrame:
     """(id, kept binary, n_bytes, n_removed, n_spans) for every row."""
     spans = written(spark, repeated_spans(spark, docs, text_col, shard), "spans")
     kind = docs.schema[id_col].dataType.simpleString()
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_with_key, f"id {kind}, text string, key long")
-    both = keyed.join(spans.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key"), "left").select("id", "text", "spans")
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_with_key, f"id {kind}, text string, k1 long, k2 int")
+    both = _same_text(keyed, spans, "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
