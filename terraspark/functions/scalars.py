@@ -189,3 +189,28 @@ def bake_height(height: Column, land: Column) -> Column:
 
 def bake_bathymetry(bathy: Column, land: Column, sea: int = 60, low: int = 50) -> Column:
     return F.when((land == 0) & (bathy > 0), clip(bathy, low, sea)).otherwise(sea)
+
+
+def finite(c: Column) -> Column:
+    """Neither null nor NaN nor infinite."""
+    d = c.cast("double")
+    return c.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf"))
+
+
+def saline(klass: Column, name: Column, names: list[str]) -> Column:
+    """Lakes of the alkaline class, and those of a list of names."""
+    return F.coalesce((klass == "Alkaline Lake") | name.isin(names), klass == "Alkaline Lake", F.lit(False))
+
+
+def first_suitable(options: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    """The value of the first option whose condition holds and that has a value."""
+    return F.coalesce(*(F.when(ok, value) for ok, value in options), otherwise)
+
+
+def rain_override(rain: Column, annual: Column, inside: Column) -> tuple[Column, Column]:
+    """The rain that the weather sees inside the map, and what is put back after it."""
+    return F.when(inside & annual.isNotNull(), rain_factor(annual)).otherwise(rain), rain
+
+
+def region_centre(region: Column, size: int = 512) -> Column:
+    return region * size + size // 2

@@ -26,11 +26,12 @@ def profiles(spark: SparkSession) -> DataFrame:
 
 
 def vegetation_profile(cells: DataFrame, biome: str = "biome", warmest: str = "warmest", annual: str = "annual", wet: str = "wet", snow_line: float = 5.0) -> DataFrame:
-    """Adds forest, shrub, grass, fertility, soil, bare, snow; biomes that aren't listed have none of them."""
+    """Adds forest, shrub, grass, fertility, soil, bare, snow; biomes that aren't listed have none of them, nor has a cell whose climate is not finite."""
     df = cells.join(F.broadcast(profiles(cells.sparkSession).withColumnRenamed("biome", "_b")), F.col(biome) == F.col("_b"), "left").drop("_b")
     w, a, m = F.col(wet), F.col(annual), F.col(warmest)
     grow = F.least(S.smoothstep(snow_line, 12.0, m), S.smoothstep(-18.0, -2.0, a), 1.0 - S.smoothstep(32.0, 42.0, a))
-    u, none, snow = S.smoothstep(0.015, 0.25, w), F.col("forest0").isNull(), m < snow_line
+    known = S.finite(m) & S.finite(a) & S.finite(w)
+    u, none, snow = S.smoothstep(0.015, 0.25, w), F.col("forest0").isNull() | ~known, m < snow_line
     fert = F.when(snow | (w < 0.08), 0.10).when((F.col("fertility0") > 0.35) & (w < 0.20), 0.35).otherwise(F.col("fertility0"))
     soil = F.when(snow | (w < 0.04), F.least("soil0", F.lit(1))).otherwise(F.col("soil0"))
     zero = lambda c, v: F.when(none, F.lit(v)).otherwise(c)
@@ -40,12 +41,55 @@ def vegetation_profile(cells: DataFrame, biome: str = "biome", warmest: str = "w
         .withColumn("grass", zero(F.col("grass0") * grow * u, 0.0))
         .withColumn("fertility", zero(fert, 0.0))
         .withColumn("soil", zero(soil, 0))
-        .withColumn("bare", F.coalesce("bare", F.lit(False)))
+        .withColumn("bare", F.coalesce(F.col("bare") & known, F.lit(False)))
         .withColumn("snow", zero(snow, False))
         .drop("forest0", "shrub0", "grass0", "fertility0", "soil0")
     )
 
 
+def vegetation_density(cells: DataFrame, plane: str, **columns) -> DataFrame:
+    """``cells`` with column ``plane`` (forest or shrub): the profile's density on dry land of the map, 0 on water and where there is no climate.
+
+    cells hold land, lake_mask, river, inside (boolean) and what ``vegetation_profile`` reads.
+    """
+    kept = cells.columns
+    p = vegetation_profile(cells, **columns)
+    dry = F.col("inside") & (F.col("land") != 0) & (F.col("lake_mask") == 0) & (F.col("river") == 0)
+    return p.select(*(c for c in kept if c != plane), F.when(F.coalesce(dry, F.lit(False)), F.col(plane)).otherwise(0).alias(plane))
+
+
+def trees_grow(warmest: Column) -> Column:
+    """Trees need a warmest month of 10 degrees; without a climate they grow."""
+    return F.coalesce(warmest >= 10, F.lit(True))
+
+
+def surface_materials(spark: SparkSession, rocks: list[str], present: list[str]) -> DataFrame:
+    """(rock, gravel, sand): what lies on a rock; the rock itself where the world has no such block."""
+    have = set(present)
+    rows = [(r, *(f"{k}-{r}" if f"{k}-{r}" in have else f"rock-{r}" for k in ("gravel", "sand"))) for r in rocks]
+    return spark.createDataFrame(rows, "rock string, gravel string, sand string")
+
+
+def snow_balance(hours: DataFrame, since: Column) -> DataFrame:
+    """(z, x, snow): snow gathered and melted over the hours(z, x, hour, temperature, rain) after ``since``, the hour of the last update."""
+    rate = S.snow_rate(F.col("temperature"), F.col("rain"))
+    return hours.filter(F.col("hour") > since).groupBy("z", "x").agg(F.sum(rate).alias("snow"))
+
+
+def climate_report(c: DataFrame, snowpack: float = 5.0, growing: float = 5.0) -> Column:
+    """Text about a place's climate: annual, warmest, p, pet, wet and months (array of 12) by column."""
+    f = lambda n, v: F.format_string(f"%.{n}f", v.cast("double"))
+    p, pet, wet, warm = F.col("p"), F.col("pet"), F.col("wet"), F.col("warmest")
+    months = F.array_join(F.transform("months", lambda t, i: F.concat(F.lpad((i + 1).cast("string"), 2, "0"), F.lit(": "), F.format_string("%.1f", t.cast("double")))), " ")
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("annual "), f(1, F.col("annual")), F.lit(", warmest "), f(1, warm), F.lit(", snowpack "), (warm < snowpack).cast("string")),
+        F.concat(F.lit("P "), f(0, p), F.lit(", PET "), f(0, pet), F.lit(", ratio "), f(3, p / (p + F.greatest(pet, F.lit(1.0)))), F.lit(", cap "), f(3, F.least(F.lit(1.0), p / 200))),
+        F.concat(F.lit("wetness "), f(3, wet), F.lit(", of the soil "), f(3, F.when(warm < growing, 0.0).otherwise(wet)), F.lit(", rain factor "), f(3, S.rain_factor(p))),
+        months,
+    )
+
+
 def ground_cover(fertility: Column, cover: Column, grass: Column, forest: Column, biome: Column, temperature: Column, near_river: Column, roll: Column) -> dict[str, Column]:
     """fertility class 0-3, grass used, cover class 0-3, forest stage -1 or 1-7."""
     mild = temperature >= -10
@@ -193,3 +237,26 @@ def climate_at(points: DataFrame, samples: DataFrame, fields: list[str], spacing
         got = sample_bilinear(p.select("pid", "fz", "fx"), samples.select(F.col("sz").alias("z"), F.col("sx").alias("x"), f), f, f, height, width)
         out = out.join(got.select("pid", f), "pid", "left")
     return out
+
+
+def odd_keys(cells: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, n): keys that repeat, are missing or lie outside 0..size-1. Partial counts, nothing is sorted."""
+    return cells.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull() | (F.col(key) < 0) | (F.col(key) >= size))
+
+
+def check_keys(cells: DataFrame, key: str, size: int) -> None:
+    odd = odd_keys(cells, key, size).limit(5).collect()
+    if odd:
+        raise ValueError(f"keys that repeat or lie outside the map: {[r[0] for r in odd]}")
+
+
+def dissolve(spark: SparkSession, parts: DataFrame, height: int, width: int) -> DataFrame:
+    """(id, whole): shapes that touch, as one; ``parts(id, z, x)`` are their cells, ``whole`` the least id of those that share a cell or have cells side by side."""
+    from terraspark.operators.distance import around
+    from terraspark.operators.graph import components
+
+    least = parts.groupBy("z", "x").agg(F.min("id").alias("owner"))
+    same = parts.join(least, ["z", "x"]).select(F.col("id").alias("src"), F.col("owner").alias("dst"))
+    beside = around(least, [(0, 1), (1, 0)]).filter((F.col("nz") < height) & (F.col("nx") < width))
+    side = beside.select(F.col("owner").alias("src"), F.col("nz").alias("z"), F.col("nx").alias("x")).join(least.withColumnRenamed("owner", "dst"), ["z", "x"]).select("src", "dst")
+    return components(spark, same.unionByName(side).distinct(), parts.select("id").distinct()).withColumnRenamed("component", "whole")

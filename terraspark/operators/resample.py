@@ -67,16 +67,30 @@ def sample_bilinear(points: DataFrame, raster: DataFrame, value: str, out: str,
     return points.join(s.select("pid", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias(out)), "pid", "left")
 
 
-def sample_cubic(points: DataFrame, raster: DataFrame, value: str, out: str) -> DataFrame:
-    """As sample_bilinear, with the 4 x 4 cubic B-spline kernel."""
-    def kernel(d):
-        a = F.abs(d)
-        return F.when(a < 1, (4 - 6 * a * a + 3 * a * a * a) / 6).when(a < 2, (2 - a) * (2 - a) * (2 - a) / 6).otherwise(0.0)
-
-    z, x = F.floor("fz").cast("int"), F.floor("fx").cast("int")
-    near = F.explode(F.sequence(F.lit(-1), F.lit(2)))
-    p = points.select("pid", "fz", "fx", z.alias("_z"), x.alias("_x")).withColumn("_dz", near).withColumn("_dx", near)
-    p = p.select("pid", (F.col("_z") + F.col("_dz")).alias("z"), (F.col("_x") + F.col("_dx")).alias("x"), "fz", "fx").withColumn("_w", kernel(F.col("z") - F.col("fz")) * kernel(F.col("x") - F.col("fx")))
+def triangle(d):
+    return F.greatest(F.lit(0.0), 1 - F.abs(d))
+
+
+def cubic_spline(d):
+    a = F.abs(d)
+    return F.when(a < 1, (4 - 6 * a * a + 3 * a * a * a) / 6).when(a < 2, (2 - a) * (2 - a) * (2 - a) / 6).otherwise(0.0)
+
+
+def sample_kernel(points: DataFrame, raster: DataFrame, value: str, out: str, kernel, radius: int, scale: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """``points(pid, fz, fx)`` in cell units, cell middles at integers: the mean of the valid cells around by a separable kernel of ``radius`` cells.
+
+    ``scale`` (rows, columns): source cells to a target cell; above 1 the kernel is widened by it,
+    so that shrinking averages all cells and does not alias. Points without a valid cell give null.
+    """
+    sz, sx = (max(1.0, s) for s in scale)
+    side = lambda c, s: F.explode(F.sequence(F.ceil(F.col(c) - radius * s).cast("int"), F.floor(F.col(c) + radius * s).cast("int")))
+    p = points.select("pid", "fz", "fx").withColumn("z", side("fz", sz)).withColumn("x", side("fx", sx))
+    p = p.withColumn("_w", kernel((F.col("z") - F.col("fz")) / sz) * kernel((F.col("x") - F.col("fx")) / sx)).filter("_w > 0")
     j = p.join(raster.select("z", "x", value).filter(F.col(value).isNotNull()), ["z", "x"])
     s = j.groupBy("pid").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(out))
     return points.join(s, "pid", "left")
+
+
+def sample_cubic(points: DataFrame, raster: DataFrame, value: str, out: str) -> DataFrame:
+    """As sample_bilinear, with the 4 x 4 cubic B-spline kernel."""
+    return sample_kernel(points, raster, value, out, cubic_spline, 2)

@@ -213,3 +213,9 @@ def bank_height(natural: Column, level: Column, d: Column) -> Column:
     h = F.when(natural < level, low).otherwise(F.least(natural, level + d))
     h = F.least(F.greatest(h, F.lit(1)), F.lit(255))
     return F.when(d == 1, level).when(d == 6, natural).otherwise(h).cast("int")
+
+
+def line_parts(features: DataFrame, geometry: str = "geometry") -> DataFrame:
+    """(id, part, pts): the lines among the parts of ``geometry array<struct<kind, pts>>``; other parts are left out."""
+    p = features.select("id", F.posexplode(geometry).alias("part", "_g"))
+    return p.filter("_g.kind = 'line'").select("id", "part", F.col("_g.pts").alias("pts"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terraspark.functions.scalars import finite
 from terraspark.grid import Grid
 from terraspark.operators import aggregates as A
 from terraspark.operators import distance as D
@@ -17,10 +18,17 @@ from terraspark.sources.binary_maps import SPACING, samples
 from terraspark.sources.tiles import filled
 
 
-def warp(raster: DataFrame, source: Grid, target: Grid, value: str = "v", method: str = "bilinear") -> DataFrame:
-    """(z, x, value) of a raster on another grid of the same system: nearest, bilinear or cubic spline, by valid (non-null) source cells."""
+def warp(raster: DataFrame, source: Grid, target: Grid, value: str = "v", method: str = "bilinear", window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """(z, x, value) of a raster on another grid of the same system: nearest, bilinear or cubic spline, by valid (non-null) source cells.
+
+    Where target cells are larger than source cells the kernel is widened, so that all of them
+    count. ``window``: (z0, x0, z1, x1) of the target to read; only source cells it needs are.
+    """
     spark = raster.sparkSession
     cells = filled(spark, target.width, target.height).select("z", "x")
+    if window:
+        z0, x0, z1, x1 = window
+        cells = cells.filter((F.col("z") >= z0) & (F.col("z") < z1) & (F.col("x") >= x0) & (F.col("x") < x1))
     wx, wy = target.to_world(F.col("x") + 0.5, F.col("z") + 0.5)
     p = cells.withColumn("_wx", wx).withColumn("_wy", wy)
     fx, fz = source.to_pixel(F.col("_wx"), F.col("_wy"))
@@ -29,8 +37,18 @@ def warp(raster: DataFrame, source: Grid, target: Grid, value: str = "v", method
         src = raster.select(F.col("z").alias("_z"), F.col("x").alias("_x"), value)
         q = p.select("z", "x", F.floor(F.col("fz") + 0.5).cast("int").alias("_z"), F.floor(F.col("fx") + 0.5).cast("int").alias("_x"))
         return q.join(src, ["_z", "_x"], "left").select("z", "x", value)
-    fn = {"bilinear": lambda: R.sample_bilinear(p.select("pid", "fz", "fx"), raster, value, "_o", source.height, source.width, clamp=False), "cubic": lambda: R.sample_cubic(p.select("pid", "fz", "fx"), raster, value, "_o")}[method]
-    return fn().select(F.floor(F.col("pid") / target.width).cast("int").alias("z"), F.pmod("pid", F.lit(target.width)).cast("int").alias("x"), F.col("_o").alias(value))
+    kernel, radius = {"bilinear": (R.triangle, 1), "cubic": (R.cubic_spline, 2)}[method]
+    scale = (abs(target.e / source.e), abs(target.a / source.a))
+    got = R.sample_kernel(p.select("pid", "fz", "fx"), raster, value, "_o", kernel, radius, scale)
+    return got.select(F.floor(F.col("pid") / target.width).cast("int").alias("z"), F.pmod("pid", F.lit(target.width)).cast("int").alias("x"), F.col("_o").alias(value))
+
+
+KELVIN = 273.15
+
+
+def decoded(raw, scale, offset):
+    """A stored number as what it stands for."""
+    return raw * scale + offset
 
 
 def climate_records(monthly: DataFrame, ground: DataFrame, width: int, height: int, window: int = 21) -> tuple[DataFrame, float]:
@@ -41,11 +59,11 @@ def climate_records(monthly: DataFrame, ground: DataFrame, width: int, height: i
     """
     sw, sh = samples(width), samples(height)
     grid = filled(ground.sparkSession, sw, sh).select("z", "x")
-    v = monthly.select("variable", "month", F.col("sz").alias("z"), F.col("sx").alias("x"), (F.col("raw") * F.col("scale") + F.col("offset")).alias("v"))
+    v = monthly.select("variable", "month", F.col("sz").alias("z"), F.col("sx").alias("x"), decoded(F.col("raw"), F.col("scale"), F.col("offset")).alias("v"))
     have = v.select("z", "x").distinct().withColumn("_k", F.lit(True))
     near = D.nearest_source(grid.join(have, ["z", "x"], "left").withColumn("_k", F.coalesce("_k", F.lit(False))), "_k").select("z", "x", "nz", "nx")
     full = near.join(v.withColumnsRenamed({"z": "nz", "x": "nx"}), ["nz", "nx"]).drop("nz", "nx")
-    t = full.filter("variable = 'tas'").withColumn("v", F.col("v") - 273.15)
+    t = full.filter("variable = 'tas'").withColumn("v", F.col("v") - KELVIN)
     tenths = F.rint(F.least(F.greatest(F.col("v") * 10, F.lit(-32768.0)), F.lit(32767.0))).cast("int")
     months = t.groupBy("z", "x").agg(F.transform(F.sort_array(F.collect_list(F.struct("month", tenths.alias("t")))), lambda p: p["t"]).alias("temperature"), F.sum(F.col("v") / 12.0).alias("annual"))
     sums = [A.annual_sum(full.filter(F.col("variable") == k), ["z", "x"], "v", n) for k, n in (("pr", "precipitation"), ("pet", "pet"))]
@@ -58,7 +76,7 @@ def climate_records(monthly: DataFrame, ground: DataFrame, width: int, height: i
 def river_reaches(features: DataFrame, least_area: float, least_flow: float, shape: tuple[int, int] = (25600, 25600)) -> DataFrame:
     """Reaches worth drawing: upstream area above a threshold that grows on coarse grids, finite discharge above another; nulls go."""
     area = least_area * max(1.0, 25600 / min(shape))
-    return features.filter((F.col("upland_skm") >= area) & (F.col("dis_av_cms") >= least_flow) & ~F.isnan("dis_av_cms"))
+    return features.filter((F.col("upland_skm") >= area) & (F.col("dis_av_cms") >= least_flow) & finite(F.col("dis_av_cms")))
 
 
 def coastal_connectors(cells: DataFrame, outlets: DataFrame, limit: int, sea: int = 60) -> DataFrame:

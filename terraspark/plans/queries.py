@@ -750,7 +750,7 @@ def str03(spark, sf):
     from terraspark.streaming.tile_sync import chunk, reassemble
 
     rows = r1(spark, sf).groupBy(F.floor(F.col("z") / 100).cast("int").alias("tile")).agg(F.to_binary(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("z", "x", "v"))), lambda p: F.lpad(F.hex(p["v"]), 2, "0")), ""), F.lit("hex")).alias("payload"))
-    return reassemble(chunk(rows, 1024)).select("tile", F.octet_length("payload").alias("n"))
+    return reassemble(chunk(rows, 1024), 1024).select("tile", F.octet_length("payload").alias("n"))
 
 
 # ---- more sinks, vectors and graphs ----------------------------------------------------------

@@ -196,50 +196,34 @@ def write_png(path: str, a: np.ndarray) -> None:
 
 
 def _wkb(data: bytes) -> list[list[list[tuple[float, float]]]]:
-    """Parts of a geometry, each a list of rings or one line."""
-    order = "<" if data[0] else ">"
-    kind = struct.unpack_from(order + "I", data, 1)[0] % 1000
-    at = 5
+    """Parts of a geometry, each a list of rings or one line; empty parts are left out."""
 
-    def points(at: int) -> tuple[list[tuple[float, float]], int]:
+    def points(order: str, at: int) -> tuple[list[tuple[float, float]], int]:
         n = struct.unpack_from(order + "I", data, at)[0]
         v = struct.unpack_from(order + "d" * (2 * n), data, at + 4)
         return list(zip(v[::2], v[1::2], strict=True)), at + 4 + 16 * n
 
-    if kind == 1:
-        return [[[struct.unpack_from(order + "dd", data, at)]]]
-    if kind == 2:
-        return [[points(at)[0]]]
-    n = struct.unpack_from(order + "I", data, at)[0]
-    at += 4
-    if kind == 3:
-        rings = []
-        for _ in range(n):
-            ring, at = points(at)
-            rings.append(ring)
-        return [rings]
-    if kind in (4, 5, 6):
-        out = []
+    def parts(at: int) -> tuple[list, int]:
+        order = "<" if data[at] else ">"
+        kind = struct.unpack_from(order + "I", data, at + 1)[0] % 1000
+        at += 5
+        if kind == 1:
+            p = struct.unpack_from(order + "dd", data, at)
+            return ([] if p[0] != p[0] else [[[p]]]), at + 16  # an empty point has no coordinates
+        if kind == 2:
+            line, at = points(order, at)
+            return ([[line]] if line else []), at
+        if kind not in (3, 4, 5, 6, 7):
+            raise ValueError(f"geometry type {kind}")
+        out: list = []
+        n = struct.unpack_from(order + "I", data, at)[0]
+        at += 4
         for _ in range(n):
-            inner = data[at:]
-            out += _wkb(inner)
-            at += _wkb_size(inner)
-        return out
-    raise ValueError(f"geometry type {kind}")
-
-
-def _wkb_size(data: bytes) -> int:
-    order = "<" if data[0] else ">"
-    kind = struct.unpack_from(order + "I", data, 1)[0] % 1000
-    if kind == 1:
-        return 21
-    n = struct.unpack_from(order + "I", data, 5)[0]
-    if kind == 2:
-        return 9 + 16 * n
-    at = 9
-    for _ in range(n):
-        at += 4 + 16 * struct.unpack_from(order + "I", data, at)[0]
-    return at
+            one, at = points(order, at) if kind == 3 else parts(at)
+            out += [one] if kind == 3 and one else [] if kind == 3 else one
+        return ([out] if out else []) if kind == 3 else out, at
+
+    return parts(0)[0]
 
 
 def _dbf(path: str):

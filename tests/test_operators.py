@@ -280,7 +280,7 @@ def test_streams(spark, tmp_path):
     tiles = spark.createDataFrame([(1, bytearray(random.Random(1).randbytes(5000))), (2, bytearray(b"a" * 100))], "tile int, payload binary")
     packets = Y.chunk(tiles, 700)
     assert packets.filter("tile = 1").count() > 5
-    back = {r["tile"]: bytes(r["payload"]) for r in Y.reassemble(packets.unionAll(packets)).collect()}
+    back = {r["tile"]: bytes(r["payload"]) for r in Y.reassemble(packets.unionAll(packets), 700).collect()}
     assert back == {r["tile"]: bytes(r["payload"]) for r in tiles.collect()}
-    assert Y.reassemble(packets.filter("NOT (tile = 1 AND idx = 2)")).count() == 1
+    assert Y.reassemble(packets.filter("NOT (tile = 1 AND idx = 2)"), 700).count() == 1
     assert Y.solicited(packets, tiles.filter("tile = 2")).count() == 1
