@@ -37,21 +37,28 @@ LEAF = 64
 CHUNK = 400_000
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Bit by bit the majority of the shingles' XXH64; words are split at ASCII white space, A-Z in lower case."""
+def shingle_hashes(text: str, words: int = 3) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included; words are split at ASCII white space, A-Z in lower case. Fewer words make one shingle, none make none."""
     import xxhash
 
     w = text.encode().lower().split()
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     parts = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
-    digest, ones, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
-    h = np.fromiter((digest(s, SEED) for s in parts), dtype="<u8")
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, SEED) for s in parts), dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit by bit, whether over half of the hashes have it."""
+    ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 16):
-        part = h[i : i + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        n += len(part)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    return majority(shingle_hashes(text, words))
 
 
 def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,22 +223,3 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     component = member.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = member.join(component, "root").select("fp", "component")
     return fps.join(by_fp, "fp").select(id_col, "fp", "component")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of one row of each class: that of the least id.
-
-    Rows of equal id and text count as repeated: one of them stays. Rows of a null id
-    stay only where their class has no other id, one of each text.
-    """
-    found = near_duplicates(spark, docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component")))
-    # the chosen (id, fingerprint) pairs, one for each class but for repeated rows
-    chosen = written(spark, found.groupBy(F.col(id_col).alias("__kept_id"), F.col("fp").alias("__kept_fp")).agg(F.count(F.lit(1)).alias("__kept_n")), "chosen")
-    # the same plan at every size: chosen ids grow with the table and are never broadcast
-    got = docs.join(chosen.select("__kept_id").distinct().hint("merge"), docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
-    repeated = chosen.groupBy("__kept_id").agg(F.sum("__kept_n").alias("__kept_n"), F.min("__kept_fp").alias("__kept_fp")).filter("__kept_n > 1")
-    if repeated.isEmpty():
-        return got
-    single = got.join(repeated, got[id_col].eqNullSafe(F.col("__kept_id")), "left_anti")
-    several = got.join(repeated, got[id_col].eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates([id_col, text_col])
-    return single.unionByName(several)

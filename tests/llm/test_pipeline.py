@@ -1,11 +1,10 @@
 """The pipeline's stages against brute force over a small corpus, and on odd tables."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terraspark.llm import simhash
-from tests.llm.test_text_operators import classes, contaminated, frame, odd
+from tests.llm.test_near import classes_by_hand
+from tests.llm.test_text_operators import contaminated, frame, odd
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +21,7 @@ def test_stages(spark, tmp_path):
         after = spark.read.parquet(out)
         if name == "near_duplicates":
             rows = before.select("doc_id", "text").collect()
-            label = classes(np.array([simhash.fingerprint(r["text"] or "") for r in rows], dtype=np.uint64))
+            label = classes_by_hand([r["text"] for r in rows])
             first = {}
             for r, c in zip(rows, label):
                 first[c] = min(first.get(c, 1 << 60), r["doc_id"])

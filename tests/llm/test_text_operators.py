@@ -275,7 +275,7 @@ def test_components_of_long_chains_and_stars(spark):
     assert connected_components(spark, df.limit(0)).count() == 0
 
 
-def test_near_duplicates_and_keep_one(spark):
+def test_near_duplicates(spark):
     rng = random.Random(6)
     texts = [prose(rng, 200) for _ in range(30)]
     texts += [t + " z" for t in texts[:5]] + [texts[7]] * 20 + [None, ""]
@@ -283,12 +283,8 @@ def test_near_duplicates_and_keep_one(spark):
     got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(spark, df).collect()}
     label = classes(np.array([simhash.fingerprint(t or "") for t in texts], dtype=np.uint64))
     assert got == {i: int(k) for i, k in enumerate(label)}
-    kept = simhash.keep_one(spark, df)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
     assert simhash.near_duplicates(spark, odd(spark)).count() == len(ODD) + 2
     assert simhash.near_duplicates(spark, df.limit(0)).count() == 0
-    twice = df.unionAll(df)
-    assert simhash.keep_one(spark, twice).count() == len(set(got.values()))
 
 
 # ---- op8
