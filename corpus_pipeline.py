@@ -1,8 +1,8 @@
 """A corpus from raw documents to a training mixture, in five stages.
 
 1. toxicity: documents that the classifier rejects go.
-2. near_duplicates: of each class of near duplicates the document of least id stays
-   (rows of null id are told apart by their text; one row stays of repeated rows).
+2. near_duplicates: documents that share four fifths of their shingles of five words
+   are near duplicates; of each class the document of least id stays.
 3. decontamination: documents that hold any phrase of the benchmark go.
 4. pii: personal data in the texts is masked, and n_chars put right.
 5. mixture: the documents to draw, with source, epoch, block and place.
@@ -23,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from terraspark.llm.simhash import keep_one
+    from terraspark.llm.near import keep_one
 
     return keep_one(spark, docs)
 
