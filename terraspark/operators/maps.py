@@ -172,7 +172,11 @@ def lake_maps(cells: DataFrame, lakes: DataFrame, reach: int = 6) -> DataFrame:
     level = lower_median(in_lake.join(cells.select("z", "x", "height"), ["z", "x"]), ["lake"], "height", "level")
     salt = in_lake.groupBy("lake").agg(F.max("saline").alias("saline"))
     ring = [(dz, dx) for dz in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if 0 < abs(dz) + abs(dx) <= reach]
-    spread = around(in_lake.select("z", "x", "lake"), ring)
+    # only a cell with dry land beside it can be the nearest of its lake; the others are not spread
+    wet = in_lake.select("z", "x").withColumn("_wet", F.lit(True))
+    beside = around(in_lake.select("z", "x", "lake"), [(0, 1), (0, -1), (1, 0), (-1, 0)]).select("z", "x", "lake", "nz", "nx")
+    shore = beside.join(wet.withColumnsRenamed({"z": "nz", "x": "nx"}), ["nz", "nx"], "left_anti").select("z", "x", "lake").distinct()
+    spread = around(shore, ring)
     reachd = spread.select(F.col("nz").alias("z"), F.col("nx").alias("x"), "lake", (F.abs("dz") + F.abs("dx")).alias("distance"))
     banks = own_banks(reachd, in_lake)
     df = cells.join(in_lake.select("z", "x", F.col("lake").alias("_l")), ["z", "x"], "left").withColumn("_dry", F.col("_l").isNull())
@@ -211,14 +215,20 @@ def river_bounds(cells: DataFrame, floor: int = 5) -> DataFrame:
     around; the first surface the least of floor and its median; at a lake (four
     neighbours) it is the least lake height around.
     """
-    df = cells.withColumn("_dry", F.when(~F.col("river") & ~F.col("lake"), F.col("height")).otherwise(255))
-    df = T.min_filter(df, "_dry", "ceiling", 3)
-    df = df.withColumn("fit", F.when(F.col("river"), F.least("height", "ceiling")).otherwise(F.col("height")))
-    df = T.min_filter(df, "fit", "floor", floor)
-    df = T.median3(df, "floor", "_med").withColumn("surface0", F.least("floor", "_med"))
-    df = T.dilate4(df, "lake", "_touch").withColumn("_lk", F.when(F.col("lake"), F.col("height")).otherwise(255))
-    df = T.min_filter(df, "_lk", "_lmin", 3)
-    return df.withColumn("surface0", F.when(F.col("_touch") & ~F.col("lake"), F.col("_lmin")).otherwise(F.col("surface0"))).drop("_dry", "_med", "_touch", "_lk", "_lmin")
+    import numpy as np
+
+    def run(p, here):
+        river, lake, h = (p[k].value for k in ("river", "lake", "height"))
+        ceiling = T.least(T.Plane(np.where(~river & ~lake, h, 255), here))
+        fit = T.Plane(np.where(river, np.minimum(h, ceiling.value), h), here)
+        low = T.least(fit, floor)
+        surface = np.minimum(low.value, T.median9(low, here).value)
+        shore = T.touching(p["lake"], here).value & ~lake
+        at_lake = T.least(T.Plane(np.where(lake, h, 255), here))
+        return {"ceiling": ceiling, "fit": fit, "floor": low, "surface0": T.Plane(np.where(shore, at_lake.value, surface), here)}
+
+    # the whole chain looks no further than its steps together: one exchange
+    return T.focal(cells, ["height", "river", "lake"], 2 + floor // 2, dict.fromkeys(("ceiling", "fit", "floor", "surface0"), cells.schema["height"].dataType.simpleString()), run)
 
 
 def write_values(raster: DataFrame, values: DataFrame, column: str) -> DataFrame:
