@@ -7,8 +7,8 @@ exponent at which no source is repeated more than the limit. The weights become
 token budgets, and the budgets permuted blocks: the documents of a source are
 hashed into blocks of about equal tokens, every epoch has its own order of the
 blocks, and blocks are taken until the budget is full. The last block is cut
-between documents; it is the only one whose documents are put in order, so that no
-task holds a source.
+between documents; it is the only one whose documents are put in order, and blocks
+are ordered in stretches, so that no task holds a source or all its blocks.
 
 Tokens are estimated as a quarter of the UTF-8 bytes, rounded up, unless a column
 is given. Null texts have 0 tokens; sources without tokens get no budget. A null
@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from terraspark.llm.common import written
 
 
+#: Blocks that are put in order together, on average.
+STRETCH = 4096
+
+
 @dataclass(frozen=True)
 class Mixture:
     exponent: float
@@ -107,11 +111,19 @@ def mix(spark: SparkSession, docs: DataFrame, budget: int | None = None, entropy
     # a handful of numbers for each source; joined by Spark's own choice
     b = d.join(plan, d["_key"] == plan["key"]).withColumn("_block", F.pmod("_h", "_blocks"))
     sums = b.groupBy("key", "_block").agg(F.sum("_n").alias("_bt"), F.first("_t").alias("_t"), F.first("_budget").alias("_budget"))
-    # blocks of all epochs in their order; a source has as many rows as blocks, not as documents
+    # blocks of all epochs in their order: by a hash, in stretches of it of a bounded number of blocks; sums
+    # within a stretch, and sums of whole stretches before it, so that no task orders all blocks of a source
     sums = sums.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("_budget") / F.col("_t")) - 1).cast("long"))))
-    order = W.partitionBy("key").orderBy("_epoch", F.xxhash64("key", "_epoch", "_block", F.lit(seed)), "_block")
-    taken = sums.withColumn("_before", F.sum("_bt").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    taken = taken.withColumn("_before", F.coalesce("_before", F.lit(0))).filter(F.col("_before") < F.col("_budget"))
+    sums = sums.withColumn("_o", F.xxhash64("key", "_epoch", "_block", F.lit(seed)))
+    stretches = F.ceil(F.greatest(F.lit(1), F.ceil(F.col("_t") / block_tokens)) / STRETCH)
+    sums = sums.withColumn("_at", F.floor((F.col("_o").cast("double") + 2.0**63) / 2.0**64 * stretches))
+    of = sums.groupBy("key", "_epoch", "_at").agg(F.sum("_bt").alias("_st"))
+    of = of.withColumn("_sb", F.sum("_st").over(W.partitionBy("key").orderBy("_epoch", "_at").rowsBetween(W.unboundedPreceding, -1)))
+    of = of.select(F.col("key").alias("_k"), F.col("_epoch").alias("_e"), F.col("_at").alias("_a"), F.coalesce("_sb", F.lit(0)).alias("_sb"))
+    order = W.partitionBy("key", "_epoch", "_at").orderBy("_o", "_block")
+    within = F.coalesce(F.sum("_bt").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    taken = sums.withColumn("_within", within).join(of, (F.col("key") == F.col("_k")) & (F.col("_epoch") == F.col("_e")) & (F.col("_at") == F.col("_a")))
+    taken = taken.withColumn("_before", F.col("_sb") + F.col("_within")).filter(F.col("_before") < F.col("_budget"))
     taken = written(spark, taken.select("key", "_block", "_epoch", "_before", "_bt", "_budget", (F.col("_before") + F.col("_bt") <= F.col("_budget")).alias("_whole")), "taken")
     got = b.select("_id", "_source", "_key", "_n", "_h", F.col("_block").alias("_b")).join(taken, (F.col("_key") == F.col("key")) & (F.col("_b") == F.col("_block")))
     got = got.withColumn("_draw", F.xxhash64("_h", "_epoch", F.lit(seed + 1)))
