@@ -3,15 +3,16 @@
 Words of corpus and test items are runs of ASCII letters and digits and of any
 other characters above ASCII, A-Z in lower case. Steps:
 
-1. How often every term of the test items occurs in the whole corpus.
-2. Of each test phrase the rarest term is its anchor; its other terms follow in
-   order of rarity.
-3. The positional index holds the postings of the anchors: document, position and
-   the neighbouring terms within a radius. It is stored as a table.
-4. A phrase is looked up by its anchor's postings; the lists of its other terms are
-   intersected from the rarest on, each moved by its offset, on the neighbours that
-   the posting carries. Exact phrases need every term at its place; proximity
-   matches need every term of a phrase within a span.
+1. How often every term of the test items occurs in the whole corpus; the terms of each
+   test phrase in order of rarity.
+2. The positional index holds the postings (term, document, position) of every term
+   that is one of the two rarest of a phrase. It is stored as a table.
+3. The two lists of a phrase, each moved by the term's place in it, are intersected:
+   what both hold are the places where the phrase may start.
+4. Only for documents with such a place, the postings of all other terms are stored
+   too, and intersected with the places likewise, moved by their offsets. A phrase
+   stands where no list lacks a place. Proximity matches need every term of a phrase
+   within a span instead.
 
 Terms and phrases of the test items go to all executors only when their number is
 below a stated bound; else they are joined by shuffle, with the same result. Null
@@ -22,7 +23,6 @@ window are one phrase. Equal rows of the corpus give equal results.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraspark.llm.common import written
@@ -58,57 +58,80 @@ def _sent(df: DataFrame, n: int) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int, text_col: str = "text") -> DataFrame:
     """(term, n): occurrences in the whole corpus of each of ``terms``."""
-    found = docs.select(F.explode(words(F.col(text_col))).alias("term")).join(_sent(terms, n_terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    found = docs.select(F.explode(words(F.col(text_col))).alias("term"))
+    if n_terms <= SENT_ROWS:
+        found = found.join(F.broadcast(terms), "term")
+    found = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))  # summed where they lie; then only sums travel
     return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def ranked(phrase_table: DataFrame, counts: DataFrame) -> DataFrame:
-    """(phrase, anchor, anchor_at, rest): rest is the other terms' (offset from the anchor, term), rarest first."""
+    """(phrase, terms): for every phrase whose terms all occur, its (n, term, at), rarest first."""
     each = phrase_table.select("phrase", F.posexplode("phrase").alias("at", "term")).join(counts, "term")
-    each = each.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("n", "term", "at"))).alias("_r"))
-    first = F.col("_r")[0]
-    return each.filter(first["n"] > 0).select(
-        "phrase",
-        first["term"].alias("anchor"),
-        first["at"].alias("anchor_at"),
-        F.transform(F.slice("_r", 2, 100000), lambda x: F.struct((x["at"] - F.col("_r")[0]["at"]).alias("off"), x["term"].alias("term"))).alias("rest"),
-    )
+    each = each.groupBy("phrase").agg(F.sort_array(F.collect_list(F.struct("n", "term", "at"))).alias("terms"))
+    return each.filter(F.col("terms")[0]["n"] > 0)
 
 
-def build_index(docs: DataFrame, anchors: DataFrame, n_anchors: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (doc, key, term, pos, left, near) of the anchors: ``near`` holds the terms around, ``left`` how many of them stand before.
+def build_index(docs: DataFrame, terms: DataFrame, n_terms: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings (doc, key, term, pos) of ``terms(term)``. ``key`` is a hash of the text, so that several texts of one id stay apart; equal rows give equal postings."""
+    d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
+    return d.join(_sent(terms, n_terms), "term").select("doc", "key", "term", "pos")
 
-    ``key`` is a hash of the text, so that several texts of one id stay apart.
-    """
-    d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), words(F.col(text_col)).alias("_w"))
-    p = d.select("doc", "key", "_w", F.posexplode("_w").alias("pos", "term"))
-    left = F.least(F.col("pos"), F.lit(radius))
-    posting = ["doc", "key", "term", "pos", left.alias("left"), F.slice(F.col("_w"), F.col("pos") - left + 1, left + radius + 1).alias("near")]
-    wanted = anchors.select(F.col("anchor").alias("term"))
-    if n_anchors <= SENT_ROWS:  # neighbours are cut out of the few words that stay
-        return p.join(F.broadcast(wanted), "term").select(*posting)
-    return p.select(*posting).join(wanted.hint("merge"), "term")  # no whole text travels with a posting
-
-
-def phrase_matches(index: DataFrame, ranked_phrases: DataFrame, n_phrases: int) -> DataFrame:
-    """(doc, key, phrase, start, len) of every exact occurrence."""
-    c = index.join(_sent(ranked_phrases.withColumnRenamed("anchor", "term"), n_phrases), "term")
-    # the whole phrase must lie within the text; then each list, rarest first, at its offset
-    start = F.col("left") - F.col("anchor_at")
-    c = c.filter((start >= 0) & (start + F.size("phrase") <= F.size("near")))
-    c = c.filter(F.forall("rest", lambda x: F.get(F.col("near"), F.col("left") + x["off"]) == x["term"]))
-    return c.select("doc", "key", "phrase", (F.col("pos") - F.col("anchor_at")).alias("start"), F.size("phrase").alias("len")).distinct()
-
-
-def proximity_matches(index: DataFrame, ranked_phrases: DataFrame, n_phrases: int, span: int) -> DataFrame:
-    """(doc, key, phrase, pos): the anchor's positions around which all terms of the phrase stand within ``span`` words, in any order.
-
-    The index must have been built with a radius of at least span - 1.
+
+def _places(index: DataFrame, wanted: DataFrame, n: int, which: int) -> DataFrame:
+    """(pid, doc, key, start): the list of each phrase's term number ``which``, moved by its place in the phrase."""
+    w = wanted.filter(F.size("terms") > which).select("pid", F.col("terms")[which]["term"].alias("term"), F.col("terms")[which]["at"].alias("at"))
+    found = index.join(_sent(w, n), "term").select("pid", "doc", "key", (F.col("pos") - F.col("at")).alias("start"))
+    return found.filter("start >= 0")
+
+
+def _same(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on columns of which ``doc`` may be null."""
+    r = b.select(*(F.col(c).alias(f"_{c}") for c in b.columns))
+    cond = F.col(on[0]).eqNullSafe(F.col(f"_{on[0]}"))
+    for c in on[1:]:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return a.join(r, cond, how)
+
+
+def candidates(index: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(pid, doc, key, start) that the lists of a phrase's two rarest terms agree on; of a phrase of one term, its list. ``wanted(pid, terms)``."""
+    on = ["doc", "pid", "key", "start"]
+    two = _same(_places(index, wanted, n, 0), _places(index, wanted, n, 1), on, "left_semi")
+    one = _places(index, wanted.filter(F.size("terms") == 1), n, 0)
+    return two.unionByName(one).distinct()
+
+
+def other_postings(docs: DataFrame, among: DataFrame, terms: DataFrame, n_terms: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings of ``terms`` in the documents of ``among(doc, key)`` alone."""
+    d = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("_t"))
+    few = _same(d, among.select("doc", "key").distinct(), ["doc", "key"], "left_semi")
+    p = few.select("doc", "key", F.posexplode(words(F.col("_t"))).alias("pos", "term"))
+    return p.join(_sent(terms, n_terms), "term").select("doc", "key", "term", "pos").distinct()
+
+
+def phrase_matches(found: DataFrame, others: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(doc, key, pid, start, len) of every exact occurrence: the candidates that no list of a phrase's other terms lacks."""
+    c = found.join(_sent(wanted.select("pid", "terms", "len"), n), "pid")
+    need = c.select("doc", "key", "pid", "start", "len", F.explode(F.slice("terms", F.lit(3), F.greatest(F.lit(1), F.size("terms")))).alias("_x"))
+    need = need.select("doc", "key", "pid", "start", "len", F.col("_x.term").alias("term"), (F.col("start") + F.col("_x.at")).alias("pos"))
+    held = _same(need, others, ["doc", "key", "term", "pos"], "left_semi").groupBy("doc", "key", "pid", "start", "len").agg(F.count(F.lit(1)).alias("_n"))
+    whole = held.filter(F.col("_n") == F.col("len") - 2).drop("_n")
+    return whole.unionByName(c.filter("len <= 2").select("doc", "key", "pid", "start", "len"))
+
+
+def proximity_matches(index: DataFrame, wanted: DataFrame, n: int, span: int) -> DataFrame:
+    """(doc, key, pid, pos): places of a phrase's rarest term around which all its terms stand within ``span`` words, in any order.
+
+    ``index``: postings of all terms of ``wanted(pid, terms)``.
     """
-    c = index.join(_sent(ranked_phrases.withColumnRenamed("anchor", "term"), n_phrases), "term")
-    need = F.array_distinct("phrase")
-    begins = F.sequence(F.greatest(F.lit(0), F.col("left") - (span - 1)), F.col("left"))
-    return c.filter(F.exists(begins, lambda b: F.size(F.array_except(need, F.slice(F.col("near"), b + 1, span))) == 0)).select("doc", "key", "phrase", "pos").distinct()
+    first = wanted.select("pid", F.col("terms")[0]["term"].alias("term"), F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("need"))
+    c = index.join(_sent(first, n), "term").select("doc", "key", "pid", "pos", "need")
+    each = c.withColumn("term", F.explode("need"))
+    near = _same(each, index, ["doc", "key", "term"], "inner").filter(F.abs(F.col("_pos") - F.col("pos")) < span)
+    near = near.groupBy("doc", "key", "pid", "pos", F.size("need").alias("_n")).agg(F.collect_set(F.struct(F.col("_pos").alias("at"), "term")).alias("_l"))
+    inside = lambda b: F.size(F.array_distinct(F.transform(F.filter("_l", lambda t: (t["at"] >= b) & (t["at"] < b + span)), lambda t: t["term"])))
+    return near.filter(F.exists(F.sequence(F.col("pos") - (span - 1), F.col("pos")), lambda b: inside(b) == F.col("_n"))).select("doc", "key", "pid", "pos")
 
 
 def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keyed: bool = False) -> DataFrame:
@@ -119,14 +142,18 @@ def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, i
     n_phrases = unique.count()
     terms = unique.select(F.explode("phrase").alias("term")).distinct()
     n_terms = terms.count()
-    rank = written(spark, ranked(unique, term_counts(docs, terms, n_terms, text_col)), "ranked")
-    anchors = rank.select("anchor").distinct()
-    index = written(spark, build_index(docs, anchors, anchors.count(), window - 1, id_col, text_col), "postings")
-    hits = phrase_matches(index, rank, n_phrases)
+    rank = ranked(unique, term_counts(docs, terms, n_terms, text_col))
+    rank = written(spark, rank.select(F.monotonically_increasing_id().alias("pid"), "phrase", "terms", F.size("terms").alias("len")), "ranked")
+    rare = rank.select(F.explode(F.slice("terms", 1, 2)).alias("_x")).select("_x.term").distinct()
+    index = written(spark, build_index(docs, rare, rare.count(), id_col, text_col), "postings")
+    found = written(spark, candidates(index, rank, n_phrases), "candidates")
+    others = written(spark, other_postings(docs, found, terms, n_terms, id_col, text_col), "other_postings")
+    hits = phrase_matches(found, others, rank, n_phrases)
     hits = written(spark, hits, "hits")
     # words inside the union of all occurrences
     inside = hits.select("doc", "key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p")).distinct().groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n_hit"))
-    found = hits.select("doc", "key", "phrase").distinct().join(_sent(by_item, by_item.count()), "phrase").select("doc", "key", F.col("item").cast("string").alias("item")).distinct()
+    named = by_item.join(rank.select("pid", "phrase"), "phrase").select("pid", F.col("item").cast("string").alias("item"))
+    found = hits.select("doc", "key", "pid").distinct().join(_sent(named, by_item.count()), "pid").select("doc", "key", "item").distinct()
     found = found.groupBy("doc", "key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     both = inside.join(found.withColumnsRenamed({"doc": "_d", "key": "_k"}), F.col("doc").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("doc", "key", "n_hit", "items")
     d = docs.select(F.col(id_col).alias(id_col), F.xxhash64(F.col(text_col)).alias("_key"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
