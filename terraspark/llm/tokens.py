@@ -1,10 +1,15 @@
-"""Token counts per document, without ever holding token ids.
+"""Token counts per document, without ever holding a document's token ids.
 
 A BPE model none of whose pieces has the space mark after another character
 never merges across "character, space mark", nor across a newline when no piece
-holds one. So a text falls into pre-tokens that are encoded alone. Each task
-keeps a table of counts, one encode call per distinct pre-token, joins it to the
-pre-token frequencies of each document and sums frequency times count.
+holds one. So a text falls into pre-tokens that are encoded alone:
+
+1. Every distinct pre-token of the corpus is encoded once, and its number of pieces
+   stored with it as a table.
+2. Each document becomes the frequencies of its pre-tokens. They are joined to the
+   table and summed, frequency times pieces. The most frequent pre-tokens, at most
+   ``HEAD``, go to every executor and are joined where the documents are; what is
+   rarer travels and is joined by shuffle. So no hot pre-token is shuffled.
 
 Null and empty texts have 0 tokens. Every row gives one row; repeated rows give
 repeated rows; columns beside the id and the text are ignored.
@@ -20,14 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries a task keeps before it starts its table anew (the counts are then made again).
-TABLE_ENTRIES = 400_000
+from terraspark.llm.common import written
+
+#: Pre-tokens that are sent to every executor.
+HEAD = 200_000
+#: Distinct pre-tokens that a task holds before it hands them on.
+HELD = 400_000
 #: Begins the key of spaces that no word follows; no other key has a space after a newline.
 TRAILING = "\n "
 
 
 class PieceCounts(dict):
-    """Pre-token -> pieces. Keys are as ``pre_tokens`` makes them."""
+    """Pre-token -> pieces, made when first asked for. Keys are as ``pre_tokens`` makes them."""
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -43,8 +52,6 @@ class PieceCounts(dict):
             n = len(self.encode(key)) - 1
         else:
             n = len(self.encode(key))
-        if len(self) >= TABLE_ENTRIES:
-            self.clear()
         self[key] = n
         return n
 
@@ -117,24 +124,78 @@ def weigh(frequency: Counter, counts: PieceCounts) -> int:
     return sum(map(mul, frequency.values(), map(counts.__getitem__, frequency)))
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
+def _file(model: str) -> str:
+    import public_tokenizers
+
+    return model if "/" in model else public_tokenizers.path(model)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> (t, n): pre-tokens of a task, each once or, where there are very many, a few times."""
+    found: Counter = Counter()
+    give = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["t", "n"])
+    for batch in batches:
+        for value in batch.column(0):
+            found.update(pre_tokens(value.as_py() or ""))
+            if len(found) >= HELD:
+                yield give()
+                found.clear()
+    if found:
+        yield give()
+
+
+def piece_table(docs: DataFrame, text_col: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
+    """(t, n long, pieces int): every distinct pre-token of the corpus, how often it stands there, and its pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = _file(model)
+        count = None
+        for batch in batches:
+            if count is None:
+                check_model(file)
+                count = PieceCounts(file).__missing__
+            pieces = [count(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int32())], names=["t", "n", "pieces"])
+
+    seen = docs.select(F.col(text_col)).mapInArrow(_tally, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    return seen.mapInArrow(run, "t string, n long, pieces int")
+
+
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", head: int | None = None) -> DataFrame:
     """(id, n_bytes long, n_tokens long) for every row. ``model``: name of a public vocabulary, or a path."""
+    spark = docs.sparkSession
+    head = HEAD if head is None else head
+    table = written(spark, piece_table(docs, text_col, model), "pre_tokens")
+    # the most frequent ones: a bounded number reaches the driver
+    often = {r["t"]: r["pieces"] for r in table.orderBy(F.desc("n"), "t").limit(head).select("t", "pieces").collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
+        from pyspark import TaskContext
 
-        file = model if "/" in model else public_tokenizers.path(model)
-        counts = None
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            if counts is None:
-                check_model(file)
-                counts = PieceCounts(file)
-            n_bytes, n_tokens = [], []
+            n_bytes, n_tokens, at, rest = [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
+                frequency = Counter(pre_tokens(text))
                 n_bytes.append(len(text.encode()))
-                n_tokens.append(weigh(Counter(pre_tokens(text)), counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
+                pieces = list(map(often.get, frequency))
+                if None in pieces:
+                    rest.append([{"t": t, "f": f} for (t, f), p in zip(frequency.items(), pieces, strict=True) if p is None])
+                    n_tokens.append(sum(f * p for f, p in zip(frequency.values(), pieces, strict=True) if p is not None))
+                else:
+                    rest.append(None)
+                    n_tokens.append(sum(map(mul, frequency.values(), pieces)))
+                at.append(row)
+                row += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(at, pa.int64()), pa.array(rest, pa.list_(pa.struct([("t", pa.string()), ("f", pa.int32())])))], names=[id_col, "n_bytes", "n_tokens", "_row", "_rest"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
+    joined = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, _row long, _rest array<struct<t: string, f: int>>")
+    if len(often) < head:  # no pre-token is left for the shuffle
+        return joined.select(id_col, "n_bytes", "n_tokens")
+    joined = written(spark, joined, "frequencies")
+    rare = joined.filter("_rest IS NOT NULL").select(F.col("_row").alias("_r"), F.explode("_rest").alias("_x")).select("_r", "_x.t", "_x.f")
+    rare = rare.join(table.select("t", "pieces").hint("merge"), "t").groupBy("_r").agg(F.sum(F.col("f") * F.col("pieces")).alias("_more"))
+    out = joined.drop("_rest").join(rare.hint("merge"), F.col("_row") == F.col("_r"), "left")
+    return out.select(id_col, "n_bytes", (F.col("n_tokens") + F.coalesce("_more", F.lit(0))).alias("n_tokens"))

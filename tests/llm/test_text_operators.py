@@ -366,12 +366,24 @@ def test_contamination_by_brute_force(spark, monkeypatch):
 
 
 def test_proximity(spark):
-    docs = frame(spark, ["x gamma y alpha beta z", "alpha q q q q q q q q q beta gamma"])
-    ph = spark.createDataFrame([(["alpha", "beta", "gamma"],)], "phrase array<string>")
-    terms = ph.select(F.explode("phrase").alias("term"))
-    rank = decontam.ranked(ph, decontam.term_counts(docs, terms, 3))
-    index = decontam.build_index(docs, rank.select("anchor"), 1, 9)
-    assert [r["doc"] for r in decontam.proximity_matches(index, rank, 1, 5).collect()] == [0]
+    rng = random.Random(4)
+    texts = ["x gamma y alpha beta z", "alpha q q q q q q q q q beta gamma", None, ""] + [" ".join(rng.choice("alpha beta gamma delta x y".split()) for _ in range(rng.randint(0, 25))) for _ in range(40)]
+    docs = frame(spark, texts, [None, *range(1, len(texts))])
+    phrases = [["alpha", "beta", "gamma"], ["delta", "delta", "x"], ["gamma"]]
+    ph = spark.createDataFrame([(p,) for p in phrases], "phrase array<string>")
+    terms = ph.select(F.explode("phrase").alias("term")).distinct()
+    rank = decontam.ranked(ph, decontam.term_counts(docs, terms, 5)).coalesce(1).withColumn("pid", F.monotonically_increasing_id())
+    index = decontam.build_index(docs, terms, 5)
+    by = {r["pid"]: (r["phrase"], r["terms"][0]["term"]) for r in rank.collect()}
+    got = {(r["doc"], r["pid"], r["pos"]) for r in decontam.proximity_matches(index, rank, 3, 5).collect()}
+    want = set()
+    for doc, t in zip([None, *range(1, len(texts))], texts):
+        w = (t or "").split()
+        for pid, (phrase, rarest) in by.items():
+            for p, word in enumerate(w):
+                if word == rarest and any(set(phrase) <= set(w[max(0, b) : b + 5]) for b in range(p - 4, p + 1)):
+                    want.add((doc, pid, p))
+    assert got == want and len(want) > 20
 
 
 # ---- op10
@@ -391,6 +403,14 @@ def test_token_counts(spark):
     texts = [(r["doc_id"], r["text"] or "") for r in odd(spark).collect()]
     assert got == sorted(((i, len(t.encode()), len(p.encode(t))) for i, t in texts), key=str)
     assert tokens.count_tokens(odd(spark).limit(0)).count() == 0
+    many = [prose(rng, rng.randint(0, 80)) for _ in range(60)]
+    many += many[:5] + [None]
+    want = sorted((i, len((t or "").encode()), len(p.encode(t or ""))) for i, t in enumerate(many))
+    for head in (0, 1, 50, 100000):  # with what is rarer joined by shuffle
+        assert sorted(map(tuple, tokens.count_tokens(frame(spark, many), head=head).collect())) == want
+    table = tokens.piece_table(frame(spark, many)).collect()
+    words = Counter(w for t in many for w in tokens.pre_tokens(t or ""))
+    assert {r["t"]: (r["n"], r["pieces"]) for r in table} == {t: (n, counts[t]) for t, n in words.items()} and len(table) == len(words)
 
 
 def test_drop_contaminated_keeps_clean_rows_of_a_shared_id(spark):
