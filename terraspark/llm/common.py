@@ -38,8 +38,26 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(clean, before)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that ``written`` made in this process and nobody has removed.
+_MADE: list[str] = []
+
+
+def made(since: int | None = None):
+    """Without an argument a mark; with one, the folders written since it."""
+    return len(_MADE) if since is None else _MADE[since:]
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders that ``written`` made and that no table to come is read from."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _MADE.remove(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

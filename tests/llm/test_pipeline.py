@@ -47,3 +47,13 @@ def test_stages_on_odd_and_empty_tables(spark, tmp_path):
             out = str(tmp_path / f"{tag}-{name}")
             stage(spark, docs, SF).write.parquet(out)
             docs = spark.read.parquet(out)
+
+
+def test_run_leaves_no_scratch(spark):
+    from terraspark.llm.common import made
+
+    mark = made()
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in made(mark)]
+    # the documents of the last stage, and what it is read from
+    assert left[0] == "pii" and set(left[1:]) <= {"sizes", "sources", "taken"}
