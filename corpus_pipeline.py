@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraspark.llm.common import table, written
+from terraspark.llm.common import forget, made, table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What the others wrote on the way is removed once the next one's documents stand."""
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
+        mark = made()
         docs = written(spark, stage(spark, docs, sf_dir), name)
+        *scratch, own = made(mark)
+        forget(spark, scratch + last)
+        last = [own]
     return STAGES[-1][1](spark, docs, sf_dir)
