@@ -68,42 +68,49 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def in_order(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """Rows (_id, _t, _th, _c, _s, _ghost) dealt into ranges of the id, and the keys of a range.
-
-    Every range also holds, as a ghost after its own rows, the first row of the
-    range that follows in descending id (the last range: of the first), so that
-    each row's successor stands in its own range. Ranges follow the ids in about
-    equal steps; a step with many rows is cut again. Null ids come last; rows of
-    equal id are in order of the text's hash, then the text.
+def in_order(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Rows (_id, _t, _th, _c, _s, _u, _ghost) dealt into ranges, and the keys of a range.
+
+    The order is that of descending ids, null ids last, and for rows of equal id that of
+    the text's hash, then the text. Every range also holds, as a ghost after its own rows,
+    the first row of the range that follows (the last range: of the first), so that each
+    row's successor stands in its own range. Ranges follow the ids in about equal steps; a
+    step of more than ``target`` rows is cut again, and what lies on one id by the hashes.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     lo, hi, n = rows.agg(F.min("_id"), F.max("_id"), F.count(F.lit(1))).first()
     steps = 4 * partitions(spark)
     width = max(1.0, (float(hi or 0) - float(lo or 0) + 1) / steps)
     cell = F.coalesce(F.floor(F.col("_id").cast("double") / width), F.lit(-(2**62)))
-    target = max(256, 2 * n // steps)
+    target = target or max(256, 2 * n // steps)
     # one row for each step: at most 4 x partitions + 2
     cells = rows.groupBy(cell.alias("_c")).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_a"), F.max("_id").alias("_b")).filter(F.col("_n") > target)
     cells = cells.select("_c", "_a", F.greatest(F.lit(1.0), (F.col("_b").cast("double") - F.col("_a").cast("double") + 1) / F.ceil(2 * F.col("_n") / target)).alias("_v"))
     rows = rows.withColumn("_c", cell).join(F.broadcast(cells), "_c", "left")
     rows = rows.select("_id", "_t", F.xxhash64("_t").alias("_th"), "_c", F.coalesce(F.floor((F.col("_id").cast("double") - F.col("_a").cast("double")) / F.col("_v")), F.lit(0)).alias("_s"))
-    # one row for each range: at most 2 x steps and the cuts, which follow from target
-    heads = rows.select("_c", "_s", "_id").groupBy("_c", "_s").agg(F.max("_id").alias("_head"))
-    order = W.orderBy(F.desc("_c"), F.desc("_s"))
-    heads = heads.withColumn("_last", F.lead("_c").over(order).isNull()).withColumn("_next", F.lead("_head").over(order)).withColumn("_first", F.first("_head").over(order))
-    wanted = heads.select(F.when(F.col("_last"), F.col("_first")).otherwise(F.col("_next")).alias("_id"), F.col("_c").alias("_gc"), F.col("_s").alias("_gs"))
-    ghosts = rows.join(F.broadcast(wanted), rows["_id"].eqNullSafe(wanted["_id"])).select(rows["_id"], "_t", "_th", F.col("_gc").alias("_c"), F.col("_gs").alias("_s"), F.lit(True).alias("_ghost"))
-    return rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts), ["_c", "_s"]
-
-
-def fingerprint_neighbours(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+    # ranges that one id fills: as many rows as there are such ids above target
+    same = rows.groupBy("_c", "_s").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").eqNullSafe(F.max("_id")).alias("_one")).filter((F.col("_n") > target) & F.col("_one"))
+    same = same.select("_c", "_s", F.ceil(2 * F.col("_n") / target).alias("_k"))
+    piece = F.floor((F.col("_th").cast("double") + 2.0**63) / 2.0**64 * F.col("_k"))
+    rows = rows.join(F.broadcast(same), ["_c", "_s"], "left").withColumn("_u", F.coalesce(piece, F.lit(0))).select("_id", "_t", "_th", "_c", "_s", "_u")
+    keys = ["_c", "_s", "_u"]
+    # one row for each range: at most 2 x steps, and the cuts, which follow from target; the head is the greatest id's least hash
+    heads = rows.groupBy(*keys).agg(F.max(F.struct("_id", F.bitwise_not("_th").alias("_nth"))).alias("_h"))
+    order = W.orderBy(F.desc("_c"), F.desc("_s"), "_u")
+    heads = heads.withColumn("_next", F.coalesce(F.lead("_h").over(order), F.first("_h").over(order)))
+    wanted = heads.select(F.col("_next._id").alias("_wid"), F.bitwise_not("_next._nth").alias("_wth"), *(F.col(k).alias(f"_g{k}") for k in keys))
+    ghosts = rows.drop(*keys).join(F.broadcast(wanted), rows["_id"].eqNullSafe(F.col("_wid")) & (F.col("_th") == F.col("_wth"))).dropDuplicates([f"_g{k}" for k in keys])
+    ghosts = ghosts.select("_id", "_t", "_th", *(F.col(f"_g{k}").alias(k) for k in keys), F.lit(True).alias("_ghost"))
+    return rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts), keys
+
+
+def fingerprint_neighbours(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, target: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
     The edited text has the last third of its characters replaced by the first as
     many of the next document (descending id; after the last comes the first).
     """
-    dealt, keys = in_order(spark, docs, id_col, text_col)
+    dealt, keys = in_order(spark, docs, id_col, text_col, target)
     # one shuffle of the texts; sketches are made after it, the window needs no other
     dealt = with_sketch(dealt.repartition(max(partitions(spark), 1), *keys), "_t", "_f", k)
     order = W.partitionBy(*keys).orderBy("_ghost", F.desc_nulls_last("_id"), "_th", "_t")
