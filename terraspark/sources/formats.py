@@ -16,6 +16,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # TIFF tags and the sizes of its field types.
@@ -333,3 +334,64 @@ def read_features(spark: SparkSession, path: str, bbox: tuple[float, float, floa
     spark.dataSource.register(FeatureSource)
     r = spark.read.format("map_features").option("path", path)
     return (r.option("bbox", ",".join(map(str, bbox))) if bbox else r).load()
+
+
+def write_raster(cells: DataFrame, path: str, width: int, height: int, value: str = "v", kind: str = "u1", nodata: float = 0, left: float = 0.0, upper: float = 0.0, cell: float = 1.0, block: int = 512) -> None:
+    """Cells (z, x, value) of a map of any size as one tiled, deflated BigTIFF; missing cells are ``nodata``.
+
+    Blocks are compressed where they lie and stored; their sizes give every block its place;
+    then each task writes its blocks there. The driver sees one number for each block.
+    """
+    from terraspark.operators.graph import cut_lineage
+    from terraspark.sources.binary_maps import _publish
+    from terraspark.sources.tiles import windows
+
+    dtype = np.dtype("<" + kind)
+    whole = dtype.kind in "ui"
+    across = -(-width // block)
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        rz, rx = (k.as_py() for k in key)
+        a = np.full(block * block, nodata, dtype)
+        z, x, v = (t.column(c) for c in ("z", "x", "v"))
+        known = v.is_valid().to_numpy(zero_copy_only=False)
+        at = (z.to_numpy() - rz * block) * block + x.to_numpy() - rx * block
+        a[at[known]] = v.drop_null().to_numpy().astype(dtype)
+        a = a.reshape(block, block)
+        if whole:  # horizontal differences
+            d = a.copy()
+            d[:, 1:] -= a[:, :-1]
+            a = d
+        data = zlib.compress(a.tobytes(), 6)
+        return pa.table({"k": pa.array([rz * across + rx], pa.int64()), "data": pa.array([data], pa.binary())})
+
+    spark = cells.sparkSession
+    side = lambda c: F.floor(F.col(c) / block).cast("int")
+    own = cells.select(side("z").alias("rz"), side("x").alias("rx"), "z", "x", F.col(value).alias("v"))
+    # a block without cells has its corner as a cell without value
+    every = windows(spark, width, height, block).select("rz", "rx", F.col("z0").cast("int").alias("z"), F.col("x0").cast("int").alias("x"))
+    none = every.join(own.select("rz", "rx").distinct(), ["rz", "rx"], "left_anti").withColumn("v", F.lit(None).cast(own.schema["v"].dataType))
+    z, x = (own.schema[c].dataType for c in ("z", "x"))
+    blocks = own.unionByName(none.withColumn("z", F.col("z").cast(z)).withColumn("x", F.col("x").cast(x))).groupBy("rz", "rx").applyInArrow(pack, "k long, data binary")
+    blocks = cut_lineage(spark, blocks)
+    sizes = [r["n"] for r in blocks.select("k", F.octet_length("data").alias("n")).orderBy("k").collect()]
+    entries = [
+        (WIDTH, 4, "I", [width]), (HEIGHT, 4, "I", [height]), (DEPTH, 3, "H", [dtype.itemsize * 8]), (COMPRESSION, 3, "H", [8]), (262, 3, "H", [1]), (277, 3, "H", [1]), (PREDICTOR, 3, "H", [2 if whole else 1]),
+        (TILE_WIDTH, 3, "H", [block]), (TILE_HEIGHT, 3, "H", [block]), (TILE_AT, 16, "Q", None), (TILE_BYTES, 16, "Q", sizes), (SAMPLE_FORMAT, 3, "H", [{"u": 1, "i": 2, "f": 3}[dtype.kind]]),
+        (PIXEL_SCALE, 12, "d", [cell, cell, 0.0]), (TIE_POINT, 12, "d", [0.0, 0.0, 0.0, left, upper, 0.0]),
+    ]
+    start = 16 + 8 + 20 * len(entries) + 8
+    lists = sum(struct.calcsize(f) * n for *_, f, v in entries if struct.calcsize(f) * (n := len(sizes if v is None else v)) > 8)
+    at = (start + lists + np.cumsum([0, *sizes])).tolist()
+    head, extra = bytearray(struct.pack("<2sHHHQQ", b"II", 43, 8, 0, 16, len(entries))), bytearray()
+    for tag, number, form, v in entries:
+        v = at[:-1] if v is None else v
+        data = struct.pack(f"<{len(v)}{form}", *v)
+        head += struct.pack("<HHQ", tag, number, len(v))
+        if len(data) > 8:
+            head += struct.pack("<Q", start + len(extra))
+            extra += data
+        else:
+            head += data.ljust(8, b"\0")
+    places = spark.createDataFrame(list(enumerate(at[:-1])), "k long, at long")
+    _publish(path, at[-1], bytes(head) + b"\0" * 8 + bytes(extra), blocks.join(F.broadcast(places), "k"), lambda r: r["at"], lambda r: r["data"], ["at", "data"])

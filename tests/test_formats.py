@@ -73,3 +73,20 @@ def test_geopackage(spark, tmp_path):
     db.close()
     rows = X.read_features(spark, path).collect()
     assert len(rows) == 2 and [(p["x"], p["y"]) for p in rows[0]["rings"][0]] == ring and rows[0]["fid"] == 7 and rows[0]["properties"]["name"] == "Long"
+
+
+@pytest.mark.parametrize(("kind", "spark_type"), [("u1", "int"), ("i2", "int"), ("f4", "double")])
+def test_distributed_raster(spark, tmp_path, kind, spark_type):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 200, (70, 45)).astype(kind)
+    a[32:64, 16:32] = 7  # a block of missing cells, and a few elsewhere
+    rows = [(z, x, None if z % 9 == 4 else (float if spark_type == "double" else int)(a[z, x])) for z in range(70) for x in range(45) if not (32 <= z < 64 and 16 <= x < 32)]
+    path = str(tmp_path / "big.tif")
+    X.write_raster(spark.createDataFrame(rows, f"z int, x int, v {spark_type}"), path, 45, 70, kind=kind, nodata=7, left=100.0, upper=900.0, cell=2.0, block=16)
+    want = a.copy()
+    want[4::9] = 7
+    got = np.full((70, 45), -1.0)
+    for r in X.read_tiff(spark, path).collect():
+        got[r["z"], r["x"]] = r["v"]
+    assert np.array_equal(got, want.astype(float)) and X.tiff_transform(path) == (100.0, 900.0, 2.0, 2.0)
+    assert open(path, "rb").read(4) == b"II\x2b\0" and [p.name for p in tmp_path.iterdir()] == ["big.tif"]
