@@ -5,19 +5,17 @@ They are solved block by block: a block holds the nodes of a range of ids, which
 raster is a band of rows, and a kernel settles it as a whole. Between rounds only
 levels that went down cross the blocks' borders, and only blocks that they reach are
 solved again, so the number of rounds is that of blocks on a path, not of cells.
-Components are contracted the same way. Each round is written to the session's
-checkpoint folder. Shortest paths and profiles run in grouped kernels, one connected
-component of centre cells at a time.
+Components are contracted the same way; shortest paths and strong components are made
+of such fixpoints, and profiles are fitted path by path, a generation of tributaries at
+a time. Each round is written to the session's checkpoint folder.
 """
 
 from __future__ import annotations
 
-import heapq
 import tempfile
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -250,25 +248,6 @@ def choose_outlets(nodes: DataFrame) -> DataFrame:
     return lakes.unionByName(one)
 
 
-def dijkstra(n: int, src: np.ndarray, dst: np.ndarray, cost: np.ndarray, seeds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(src, kind="stable")
-    src, dst, cost = src[order], dst[order], cost[order]
-    first = np.searchsorted(src, np.arange(n + 1))
-    dist, parent = np.full(n, np.inf), np.full(n, -1)
-    heap = [(0.0, s) for s in seeds]
-    dist[seeds] = 0.0
-    while heap:
-        d, u = heapq.heappop(heap)
-        if d > dist[u]:
-            continue
-        for k in range(first[u], first[u + 1]):
-            v, e = dst[k], d + cost[k]
-            if e < dist[v]:
-                dist[v], parent[v] = e, u
-                heapq.heappush(heap, (e, v))
-    return dist, parent
-
-
 def isotonic(values: np.ndarray, outlet: float) -> np.ndarray:
     """Least-squares fit that never rises downstream and ends at the outlet: ``values`` from source to outlet.
 
@@ -291,120 +270,118 @@ def isotonic(values: np.ndarray, outlet: float) -> np.ndarray:
     return np.maximum(fit[:0:-1], outlet)
 
 
-def path_heads(first: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """For every node of a forest the least ``first`` among itself and all nodes above it, by doubling the distance looked ahead."""
-    head, up = first.copy(), parent.copy()
-    while (up >= 0).any():
-        below = up >= 0
-        ahead = head.copy()
-        np.minimum.at(ahead, up[below], head[below])
-        head, up = ahead, np.where(below, up[up], -1)
-    return head
-
-
-def fitted_levels(ids: np.ndarray, sample: np.ndarray, dist: np.ndarray, parent: np.ndarray, seeds: list[int]) -> np.ndarray:
-    """Levels along the longest paths first. The path a node lies on is the one that begins farthest from its outlet (greater id on ties) among those through it."""
-    n = len(ids)
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((-ids, -dist))] = np.arange(n)
-    level = np.where(np.isin(np.arange(n), seeds), sample, np.nan)
-    on = np.flatnonzero((parent >= 0) & np.isnan(level))
-    if not len(on):
-        return level
-    head = path_heads(rank, parent)
-    # the table of paths: by head, each from its outlet end up
-    on = on[np.lexsort((dist[on], head[on]))]
-    for path in np.split(on, np.flatnonzero(np.diff(head[on])) + 1):
-        below = level[parent[path[0]]]
-        fit = np.r_[below, isotonic(sample[path[::-1]], below)[::-1]]
-        step = np.arange(len(fit))
-        # no cell more than one above the next one downstream
-        level[path] = (np.minimum.accumulate(fit - step) + step)[1:]
-    return level
-
-
-def strong_components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """Label of each node's strongly connected component (the least member), without recursion."""
-    order = np.argsort(src, kind="stable")
-    dst, first = dst[order], np.searchsorted(src[order], np.arange(n + 1))
-    index, low, on = np.full(n, -1), np.zeros(n, int), np.zeros(n, bool)
-    label, stack, count = np.arange(n), [], 0
-    for root in range(n):
-        if index[root] >= 0:
-            continue
-        work = [(root, first[root])]
-        index[root] = low[root] = count
-        count += 1
-        stack.append(root)
-        on[root] = True
-        while work:
-            u, k = work.pop()
-            if k < first[u + 1]:
-                work.append((u, k + 1))
-                v = dst[k]
-                if index[v] < 0:
-                    index[v] = low[v] = count
-                    count += 1
-                    stack.append(v)
-                    on[v] = True
-                    work.append((v, first[v]))
-                elif on[v]:
-                    low[u] = min(low[u], index[v])
-                continue
-            if low[u] == index[u]:
-                members = []
-                while True:
-                    v = stack.pop()
-                    on[v] = False
-                    members.append(v)
-                    if v == u:
-                        break
-                label[members] = min(members)
-            if work:
-                low[work[-1][0]] = min(low[work[-1][0]], low[u])
-    return label
-
+def scc(spark: SparkSession, edges: DataFrame, span: int = SPAN, rounds: int = 1000) -> DataFrame:
+    """(id, scc): for every node of the directed ``edges(src, dst)`` the least node of its strong component.
 
-def _numbered(e: pd.DataFrame, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy())
-
-
-def scc(edges: DataFrame, component_of: DataFrame) -> DataFrame:
-    """(id, scc): strong components of directed edges, one weak component to a kernel."""
-    e = edges.join(component_of.withColumnsRenamed({"id": "src"}), "src").select("component", "src", "dst")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(pdf[["src", "dst"]].to_numpy())
-        label = strong_components(len(ids), *_numbered(pdf, ids))
-        return pd.DataFrame({"id": ids, "scc": ids[label]})
-
-    return e.groupBy("component").applyInPandas(run, "id long, scc long")
+    Nodes without an arc in or out among those left are components by themselves and go
+    first. Then every node learns the least node that reaches it; of the nodes of one such
+    root those that reach it too are its component. What is left goes on, until no arc is.
+    """
+    arcs = cut_lineage(spark, edges.filter("src <> dst").select("src", "dst").distinct())
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    done: list[DataFrame] = []
 
+    def drop(arcs: DataFrame, gone: DataFrame) -> DataFrame:
+        g = gone.select("id")
+        return arcs.join(g.withColumnRenamed("id", "src"), "src", "left_anti").join(g.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
 
-def fit_paths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    n = arcs.count()
+    for _ in range(rounds):
+        if not n:
+            break
+        # arcs between nodes that something enters and something leaves
+        ends = arcs.select("src").distinct().intersect(arcs.select(F.col("dst").alias("src")).distinct())
+        inner = arcs.join(ends, "src", "left_semi").join(ends.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
+        inner = cut_lineage(spark, inner)
+        m = inner.count()
+        if m < n:
+            arcs, n = inner, m
+            continue
+        zero = lambda a, x, y: a.select(F.col(x).alias("src"), F.col(y).alias("dst"), F.lit(0).alias("cost"))
+        ids = arcs.select(F.col("src").cast("long").alias("id")).distinct()
+        root = relax(spark, ids.withColumn("level", F.col("id")), zero(arcs, "src", "dst"), span=span).withColumnRenamed("level", "root")
+        of = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"_{c}"))
+        within = arcs.join(of("src"), "src").join(of("dst"), "dst").filter("_src = _dst")
+        back = relax(spark, root.select("id", (F.col("id") != F.col("root")).cast("int").alias("level")), zero(within, "dst", "src"), span=span)
+        found = cut_lineage(spark, back.filter("level = 0").join(root, "id").select("id", F.col("root").alias("scc")))
+        done.append(found)
+        arcs = cut_lineage(spark, drop(arcs, found))
+        n = arcs.count()
+    else:
+        raise RuntimeError("scc: arcs are left")
+    kind = edges.schema["src"].dataType
+    out = nodes.withColumn("scc", F.col("id"))
+    for found in done:
+        out = out.join(found.select("id", F.col("scc").cast(kind).alias("_s")), "id", "left").select("id", F.coalesce("_s", "scc").alias("scc"))
+    return out
+
+
+def shortest_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds: DataFrame, span: int = SPAN) -> DataFrame:
+    """(id, distance, parent) from the nearest of ``seeds(id)`` along ``edges(src, dst, cost)``; infinity where none is reached.
+
+    Distances are a fixpoint, settled block by block. Of neighbours that give a node its
+    distance, its parent is the one nearest to a seed, the least on ties.
+    """
+    start = nodes.select(F.col("id").cast("long").alias("id")).join(seeds.select(F.col("id").cast("long").alias("id"), F.lit(0.0).alias("level")).distinct(), "id", "left")
+    start = start.select("id", F.coalesce("level", F.lit(float("inf"))).alias("level"))
+    arcs = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("cost").cast("double").alias("cost"))
+    dist = cut_lineage(spark, relax(spark, start, arcs, span=span))
+    a, b = (dist.select(F.col("id").alias(c), F.col("level").alias(f"_{c}")) for c in ("src", "dst"))
+    via = arcs.join(a, "src").join(b, "dst").filter((F.col("_src") + F.col("cost") == F.col("_dst")) & (F.col("_dst") > 0) & (F.col("_dst") < float("inf")))
+    parent = via.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("_src", "src"))["src"].alias("parent"))
+    return cut_lineage(spark, dist.join(parent, "id", "left").select("id", F.col("level").alias("distance"), F.coalesce("parent", F.lit(-1).cast("long")).alias("parent")))
+
+
+def path_starts(spark: SparkSession, tree: DataFrame, span: int = SPAN) -> DataFrame:
+    """(id, start): of each node of ``tree(id, distance, parent)`` that has a parent, the farthest node whose way leads through it (the greatest id on ties): nodes of one start are a path."""
+    t = tree.filter("parent >= 0")
+    up = t.select(F.col("id").alias("src"), F.col("parent").alias("dst"), F.lit(0).alias("cost"))
+    far = cut_lineage(spark, relax(spark, t.select("id", (-F.col("distance")).alias("level")), up, span=span))
+    on = t.select("id", "distance").join(far, "id")
+    same = up.join(far.select(F.col("id").alias("src"), F.col("level").alias("_s")), "src").join(far.select(F.col("id").alias("dst"), F.col("level").alias("_d")), "dst").filter("_s = _d")
+    none = F.lit(2**62).cast("long")
+    own = on.select("id", F.when(F.col("level") == -F.col("distance"), -F.col("id")).otherwise(none).alias("level"))
+    return relax(spark, own, same.select("src", "dst", "cost"), span=span).select("id", (-F.col("level")).alias("start"))
+
+
+def _fit(t: pa.Table) -> pa.Table:
+    """One path: (id, sample, distance, below: level of the cell that it ends at) -> levels."""
+    order = np.argsort(t.column("distance").to_numpy())
+    ids, sample = (t.column(c).to_numpy()[order] for c in ("id", "sample"))
+    below = float(t.column("below")[0].as_py())
+    fit = np.r_[below, isotonic(sample[::-1], below)[::-1]]
+    step = np.arange(len(fit))
+    # no cell more than one above the next one downstream
+    return pa.table({"id": ids, "value": (np.minimum.accumulate(fit - step) + step)[1:]})
+
+
+def fit_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds: DataFrame, span: int = SPAN, rounds: int = 10_000) -> DataFrame:
     """(id, distance, parent, level): shortest paths from the outlets, then isotonic profiles along the longest paths first.
 
-    nodes(id, component, sample), edges(src, dst, cost) within components, seeds(id,
-    component). A path stops where it meets a fitted one and shares its level; then no
-    level exceeds its downstream neighbour's by more than one. Of equal distances the
-    greater id goes first.
+    nodes(id, sample), edges(src, dst, cost), seeds(id). A path stops where it meets a longer
+    one and shares its level; then no level exceeds its downstream neighbour's by more than
+    one. Of equal distances the greater id goes first. Paths that end at a level that is
+    known are fitted together, each by itself, so a round is a generation of tributaries.
     """
-    n = nodes.select("component", "id", "sample", F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("cost"))
-    e = edges.join(nodes.select(F.col("id").alias("src"), "component"), "src").select("component", F.col("src").alias("id"), F.lit(None).cast("double").alias("sample"), "dst", "cost")
-    s = seeds.select("component", "id", F.lit(None).cast("double").alias("sample"), F.lit(None).cast("long").alias("dst"), F.lit(-1.0).alias("cost"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf[pdf["sample"].notna()].sort_values("id")
-        ids, sample = known["id"].to_numpy(), known["sample"].to_numpy(dtype=float)
-        e = pdf[pdf["dst"].notna()]
-        seeds_ = np.searchsorted(ids, pdf[pdf["cost"] == -1.0]["id"].to_numpy()).tolist()
-        src, dst = np.searchsorted(ids, e["id"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy(dtype=np.int64))
-        dist, parent = dijkstra(len(ids), src, dst, e["cost"].to_numpy(dtype=float), seeds_)
-        level = fitted_levels(ids, sample, dist, parent, seeds_)
-        out = np.where(np.isnan(level), sample, level)
-        return pd.DataFrame({"id": ids, "distance": dist, "parent": np.where(parent >= 0, ids[parent], -1), "level": np.clip(np.rint(out), 1, 255).astype(int)})
-
-    return n.unionByName(e).unionByName(s).groupBy("component").applyInPandas(run, "id long, distance double, parent long, level int")
+    tree = shortest_paths(spark, nodes, edges, seeds, span)
+    sample = nodes.select(F.col("id").cast("long").alias("id"), F.col("sample").cast("double").alias("sample"))
+    cells = cut_lineage(spark, tree.filter("parent >= 0").join(path_starts(spark, tree, span), "id").join(sample, "id"))
+    ends = cut_lineage(spark, cells.groupBy("start").agg(F.min_by("parent", "distance").alias("end")))
+    level = cut_lineage(spark, tree.filter("distance = 0").join(sample, "id").select("id", F.col("sample").alias("value")))
+    fresh, steps = level, [level]
+    for _ in range(rounds):
+        ready = ends.join(fresh.select(F.col("id").alias("end"), F.col("value").alias("below")), "end").select("start", "below")
+        fresh = cut_lineage(spark, cells.join(ready, "start").select("start", "id", "sample", "distance", "below").groupBy("start").applyInArrow(_fit, "id long, value double"))
+        if fresh.isEmpty():
+            break
+        steps.append(fresh)
+    else:
+        raise RuntimeError("fit_paths: paths are left")
+    known = steps[0]
+    for s in steps[1:]:
+        known = known.unionByName(s)
+    out = tree.join(sample, "id").join(known, "id", "left")
+    return out.select("id", "distance", "parent", F.rint(F.least(F.greatest(F.coalesce("value", "sample"), F.lit(1.0)), F.lit(255.0))).cast("int").alias("level"))
 
 
 def nearest_center(cells: DataFrame, centers: DataFrame, radius: int) -> DataFrame:

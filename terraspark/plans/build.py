@@ -116,9 +116,9 @@ def fitted_surface(spark: SparkSession, cells: DataFrame, lines: DataFrame, cols
     edges = G.cut_lineage(spark, G.neighbour_edges(centers))
     comp = G.components(spark, edges, centers)
     nodes = G.cut_lineage(spark, centers.join(comp, "id").withColumn("lake", F.col("lake_level") > 0).withColumn("sample", F.when(F.col("lake"), F.col("lake_level")).otherwise(F.col("sample")).cast("double")))
-    fit = G.cut_lineage(spark, G.fit_paths(nodes, edges, G.choose_outlets(nodes)).select("id", "level"))
+    fit = G.cut_lineage(spark, G.fit_paths(spark, nodes, edges, G.choose_outlets(nodes)).select("id", "level"))
     nxt = way.withColumn("dst", F.lead("cell").over(W.partitionBy("way").orderBy("ord"))).filter("dst IS NOT NULL").select(F.col("cell").alias("src"), "dst").distinct()
-    strong = G.scc(nxt, comp)
+    strong = G.cut_lineage(spark, G.scc(spark, nxt))
     low = strong.join(fit, "id").groupBy("scc").agg(F.min("level").alias("m"))
     fit = fit.join(strong.join(low, "scc").select("id", "m"), "id", "left").select("id", F.least("level", F.coalesce("m", "level")).alias("level"))
     fit = G.propagate_down(spark, fit, nxt)

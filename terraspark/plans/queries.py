@@ -828,7 +828,7 @@ def gra03(spark, sf):
     e = G.neighbour_edges(c)
     n = c.join(G.components(spark, e, c), "id").withColumn("sample", F.col("level").cast("double"))
     marks = n.withColumn("lake", F.lit(False)).withColumn("coast", F.lit(False)).withColumn("edge", F.col("x").isin(16, 40))
-    return G.fit_paths(n, e, G.choose_outlets(marks)).select("id", "parent", "level")
+    return G.fit_paths(spark, n, e, G.choose_outlets(marks)).select("id", "parent", "level")
 
 
 @query("gra07_strong_components")
@@ -836,5 +836,4 @@ def gra07(spark, sf):
     w = r4(spark, sf)
     e = w.withColumn("dst", F.lead("cell").over(W.partitionBy("way").orderBy("ord"))).filter("dst IS NOT NULL AND dst <> cell").select(F.col("cell").alias("src"), "dst").distinct()
     nodes = w.select(F.col("cell").alias("id")).distinct()
-    found = G.scc(e, G.components(spark, e, nodes))
-    return nodes.join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))  # a cell without a link is one by itself
+    return nodes.join(G.scc(spark, e), "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))  # a cell without a link is one by itself

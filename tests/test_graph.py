@@ -67,28 +67,69 @@ def test_isotonic_by_least_squares():
         assert np.allclose(G.isotonic(v, outlet), np.maximum(fit[:0:-1], outlet))
 
 
-def test_fitted_levels_by_walking():
+@pytest.mark.parametrize("span", [1 << 17, 40])
+def test_fit_paths_by_walking(spark, span):
     """Paths taken one after the other, the farthest start first, each up to what is fitted already."""
-    rng = np.random.default_rng(3)
-    for _ in range(60):
-        n = int(rng.integers(2, 30))
+    rng = np.random.default_rng(span)
+    cells, edges, seeds, want = [], [], [], {}
+    for tree in range(12):
+        n = int(rng.integers(1, 30))
         parent = np.array([-1, *(int(rng.integers(0, i)) for i in range(1, n))])
+        cost = rng.choice([1.0, 1.41421356], n)
         dist = np.zeros(n)
         for i in range(1, n):
-            dist[i] = dist[parent[i]] + rng.choice([1.0, 1.41421356])
-        seeds = [0]
-        if rng.random() < 0.5 and n > 3:  # a cell that nothing reaches
+            dist[i] = dist[parent[i]] + cost[i]
+        ids, sample = 100 * tree + np.sort(rng.choice(100, n, replace=False)), rng.integers(1, 60, n).astype(float)
+        lost = n > 3 and rng.random() < 0.5  # a cell that nothing reaches
+        if lost:
             parent[n - 1], dist[n - 1] = -1, np.inf
-        ids, sample = np.sort(rng.choice(500, n, replace=False)), rng.integers(1, 60, n).astype(float)
-        want = np.full(n, np.nan)
-        want[seeds] = sample[seeds]
+        cells += [(int(i), float(v)) for i, v in zip(ids, sample)]
+        edges += [(int(ids[a]), int(ids[b]), float(cost[i])) for i in range(1, n) if parent[i] >= 0 for a, b in ((i, parent[i]), (parent[i], i))]
+        seeds.append((int(ids[0]),))
+        level = np.full(n, np.nan)
+        level[0] = sample[0]
         for u in sorted(range(n), key=lambda k: (-dist[k], -ids[k])):
             path = []
-            while u >= 0 and np.isnan(want[u]):
+            while u >= 0 and np.isnan(level[u]):
                 path.append(u)
                 u = parent[u]
             if path and u >= 0:
-                low = want[u]
-                for k, f in list(zip(path, G.isotonic(sample[path], want[u])))[::-1]:
-                    low = want[k] = min(f, low + 1)
-        assert np.allclose(G.fitted_levels(ids, sample, dist, parent, seeds), want, equal_nan=True)
+                low = level[u]
+                for k, f in list(zip(path, G.isotonic(sample[path], level[u])))[::-1]:
+                    low = level[k] = min(f, low + 1)
+        level = np.where(np.isnan(level), sample, level)
+        want |= {int(i): (float(d), int(ids[p]) if p >= 0 else -1, int(np.clip(np.rint(v), 1, 255))) for i, d, p, v in zip(ids, dist, parent, level)}
+    args = [spark.createDataFrame(x, t) for x, t in ((cells, "id long, sample double"), (edges, "src long, dst long, cost double"), (seeds, "id long"))]
+    got = {r["id"]: (r["distance"], r["parent"], r["level"]) for r in G.fit_paths(spark, *args, span=span).collect()}
+    assert got == want
+
+
+def test_shortest_paths_on_a_grid(spark):
+    rng = np.random.default_rng(6)
+    mask = rng.random((8, 9)) > 0.3
+    c = [(int(z * 9 + x), int(z), int(x)) for z, x in zip(*np.nonzero(mask))]
+    nodes = spark.createDataFrame(c, "id long, z int, x int")
+    edges = G.neighbour_edges(nodes)
+    e = [tuple(r) for r in edges.collect()]
+    seeds = [c[0][0], c[-1][0]]
+    dist = {i: 0.0 if i in seeds else np.inf for i, *_ in c}
+    for _ in c:
+        for a, b, w in e:
+            dist[b] = min(dist[b], dist[a] + w)
+    got = {r["id"]: r for r in G.shortest_paths(spark, nodes, edges, spark.createDataFrame([(s,) for s in seeds], "id long"), 20).collect()}
+    for i, d in dist.items():
+        near = [(dist[a], a) for a, b, w in e if b == i and dist[a] + w == d]
+        assert got[i]["distance"] == d and got[i]["parent"] == (min(near)[1] if near and 0 < d < np.inf else -1)
+
+
+@pytest.mark.parametrize("span", [1 << 17, 5])
+def test_strong_components_by_reach(spark, span):
+    rng = random.Random(span)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(9)] + [(109, 104), (7, 7), (200, 200)]
+    nodes = sorted({x for e in edges for x in e})
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            reach[a] |= reach[b]
+    want = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
+    assert {r["id"]: r["scc"] for r in G.scc(spark, spark.createDataFrame(edges, "src long, dst long"), span).collect()} == want

@@ -148,23 +148,6 @@ def test_settle_keeps_its_order(spark):
     assert [r["level"] for r in G.settle(spark, c, sections, ways).orderBy("id").collect()] == [7, 6, 5]
 
 
-def test_kernels():
-    rng = random.Random(5)
-    for _ in range(50):
-        v = [rng.randint(0, 50) for _ in range(rng.randint(1, 20))]
-        fit = G.isotonic(np.array(v, float), 7.0)
-        assert all(a >= b - 1e-9 for a, b in zip(fit, fit[1:])) and fit.min() >= 7.0
-        n = rng.randint(2, 12)
-        e = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 25))]
-        src, dst = (np.array([x[i] for x in e], int) for i in (0, 1))
-        reach = np.eye(n, dtype=bool)
-        reach[src, dst] = True
-        for k in range(n):
-            reach |= reach[:, k : k + 1] & reach[k : k + 1]
-        both = reach & reach.T
-        assert (G.strong_components(n, src, dst) == both.argmax(1)).all()
-
-
 def test_relaxation_and_paths(spark):
     rng = np.random.default_rng(7)
     mask = rng.random((9, 11)) > 0.25
@@ -187,12 +170,12 @@ def test_relaxation_and_paths(spark):
     marks = nodes.withColumn("lake", F.lit(False)).withColumn("coast", F.lit(False)).withColumn("edge", F.col("z") == 0)
     seeds = G.choose_outlets(marks)
     assert seeds.count() == comp.select("component").distinct().count()
-    fit = {r["id"]: r for r in G.fit_paths(nodes, edges, seeds).collect()}
+    fit = {r["id"]: r for r in G.fit_paths(spark, nodes, edges, seeds).collect()}
     for r in fit.values():
         if r["parent"] >= 0:
             assert fit[r["parent"]]["level"] - 1 <= r["level"] <= fit[r["parent"]]["level"] + 1
     both = edges.select("src", "dst")
-    assert G.scc(both, comp).join(comp, "id").filter("scc <> component").count() == 0
+    assert G.scc(spark, both).join(comp, "id").filter("scc <> component").count() == 0
 
 
 def test_lakes_and_coast(spark):
