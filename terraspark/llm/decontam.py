@@ -86,8 +86,8 @@ def _places(index: DataFrame, wanted: DataFrame, n: int, which: int) -> DataFram
 
 
 def _same(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join on columns of which ``doc`` may be null."""
-    r = b.select(*(F.col(c).alias(f"_{c}") for c in b.columns))
+    """Join on columns of which ``doc`` may be null. Both sides grow with the corpus: the same plan at every size."""
+    r = b.select(*(F.col(c).alias(f"_{c}") for c in b.columns)).hint("merge")
     cond = F.col(on[0]).eqNullSafe(F.col(f"_{on[0]}"))
     for c in on[1:]:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
