@@ -161,13 +161,29 @@ def piece_table(docs: DataFrame, text_col: str = "text", model: str = "piece_bpe
     return seen.mapInArrow(run, "t string, n long, pieces int")
 
 
+def frequent(table: DataFrame, most: int) -> tuple[dict[str, int], int]:
+    """The pieces of the most frequent pre-tokens, at most ``most`` of them, and how many there are in all.
+
+    Frequencies are counted in eighths of a power of two, some hundred numbers at the most, to
+    find the least frequency that few enough reach; only what reaches it comes to the driver.
+    """
+    step = F.floor(F.log2(F.col("n")) * 8).cast("int")
+    counts = sorted(((r["s"], r["c"]) for r in table.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    least, held = None, 0
+    for s, c in counts:
+        if held + c > most:
+            break
+        least, held = s, held + c
+    rows = [] if least is None else table.filter(step >= least).select("t", "pieces").collect()
+    return {r["t"]: r["pieces"] for r in rows}, sum(c for _, c in counts)
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", head: int | None = None) -> DataFrame:
     """(id, n_bytes long, n_tokens long) for every row. ``model``: name of a public vocabulary, or a path."""
     spark = docs.sparkSession
     head = HEAD if head is None else head
     table = written(spark, piece_table(docs, text_col, model), "pre_tokens")
-    # the most frequent ones: a bounded number reaches the driver
-    often = {r["t"]: r["pieces"] for r in table.orderBy(F.desc("n"), "t").limit(head).select("t", "pieces").collect()}
+    often, every = frequent(table, head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -192,7 +208,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     joined = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, _row long, _rest array<struct<t: string, f: int>>")
-    if len(often) < head:  # no pre-token is left for the shuffle
+    if len(often) == every:  # no pre-token is left for the shuffle
         return joined.select(id_col, "n_bytes", "n_tokens")
     joined = written(spark, joined, "frequencies")
     rare = joined.filter("_rest IS NOT NULL").select(F.col("_row").alias("_r"), F.explode("_rest").alias("_x")).select("_r", "_x.t", "_x.f")
