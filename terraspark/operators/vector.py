@@ -6,10 +6,12 @@ in pixel units unless said otherwise: cell (z, x) covers [x, x+1) by [z, z+1).
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 POINTS = "array<struct<x:double,y:double>>"
 
@@ -136,69 +138,124 @@ def clip_lines(lines: DataFrame, x0: float, y0: float, x1: float, y1: float) ->
     return g.select("id", "part", F.concat(F.array(F.col("_s")[0]["p"]), F.transform("_s", lambda r: r["q"])).alias("pts"))
 
 
-def _clip_ring(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
-    """Sutherland-Hodgman against the four sides of a box."""
+def _clip_ring(p: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Sutherland-Hodgman against the four sides of a box: points (n, 2) of an open ring, all edges of a side at once."""
     x0, y0, x1, y1 = box
     for axis, limit, sign in ((0, x0, 1), (0, x1, -1), (1, y0, 1), (1, y1, -1)):
-        out: list[tuple[float, float]] = []
-        for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
-            a, b = sign * (p[axis] - limit) >= 0, sign * (q[axis] - limit) >= 0
-            if a:
-                out.append(p)
-            if a != b:
-                t = (limit - p[axis]) / (q[axis] - p[axis])
-                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        ring = out
-    return ring
+        if not len(p):
+            return p
+        q = np.roll(p, -1, axis=0)
+        a, b = sign * (p[:, axis] - limit) >= 0, sign * (q[:, axis] - limit) >= 0
+        t = (limit - p[:, axis]) / np.where(a != b, q[:, axis] - p[:, axis], 1.0)
+        cut = p + t[:, None] * (q - p)
+        # a point that is inside, then where its edge crosses the side
+        p = np.stack([p, cut], axis=1).reshape(-1, 2)[np.stack([a, a != b], axis=1).ravel()]
+    return p
+
+
+def _points(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and coordinates (n, 2) of lists of points."""
+    flat = column.flatten()
+    at = np.r_[0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+    return at, np.stack([flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y")], axis=1) if len(flat) else np.zeros((0, 2))
+
+
+def _listed(parts: list[np.ndarray], mask: np.ndarray | None = None) -> pa.ListArray:
+    flat = np.concatenate(parts) if parts else np.zeros((0, 2))
+    points = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)), points, mask=None if mask is None else pa.array(mask))
+
+
+def _over(df: DataFrame, column: str, kind: str, fn) -> DataFrame:
+    """``df`` with a column made of itself by an Arrow kernel; the others pass through."""
+    schema = StructType([StructField(f.name, next(iter(StructType.fromDDL(f"a {kind}"))).dataType) if f.name == column else f for f in df.schema])
+    at = df.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = fn(columns[at])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def clip_polygons(polygons: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
     """Rings cut to a box; rings without area left are dropped, polygons without rings too."""
 
-    @F.pandas_udf(f"array<{POINTS}>")
-    def cut(rings: pd.Series) -> pd.Series:
-        def one(rs):
-            made = []
-            for r in rs:
-                pts = [(p["x"], p["y"]) for p in r]
-                if len(pts) > 1 and pts[0] == pts[-1]:
-                    pts.pop()
-                got = _clip_ring(pts, (x0, y0, x1, y1))
-                if len(got) > 2 and abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(got, got[1:] + got[:1], strict=True))) > 1e-12:
-                    made.append([{"x": x, "y": y} for x, y in [*got, got[0]]])
-            return made
-
-        return rings.map(one)
-
-    return polygons.withColumn("rings", cut("rings")).filter(F.size("rings") > 0)
-
-
-def douglas_peucker(pts: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    keep, stack = {0, len(pts) - 1}, [(0, len(pts) - 1)]
-    while stack:
-        a, b = stack.pop()
-        (ax, ay), (bx, by) = pts[a], pts[b]
-        dx, dy = bx - ax, by - ay
-        n = dx * dx + dy * dy
-        far, at = tolerance * tolerance, -1
-        for i in range(a + 1, b):
-            px, py = pts[i][0] - ax, pts[i][1] - ay
-            t = min(max((px * dx + py * dy) / n, 0.0), 1.0) if n else 0.0
-            d = (px - t * dx) ** 2 + (py - t * dy) ** 2
-            if d > far:
-                far, at = d, i
-        if at > 0:
-            keep.add(at)
-            stack += [(a, at), (at, b)]
-    return [pts[i] for i in sorted(keep)]
+    def cut(column: pa.ListArray) -> pa.ListArray:
+        rings = column.flatten()
+        at, flat = _points(rings)
+        made, kept = [], np.zeros(len(rings), bool)
+        for i in range(len(rings)):
+            p = flat[at[i] : at[i + 1]]
+            if len(p) > 1 and (p[0] == p[-1]).all():
+                p = p[:-1]
+            p = _clip_ring(p, (x0, y0, x1, y1))
+            q = np.roll(p, -1, axis=0)
+            if len(p) > 2 and abs((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum()) > 1e-12:
+                made.append(np.concatenate([p, p[:1]]))
+                kept[i] = True
+        many = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(column)), many)
+        left = np.bincount(of[kept], minlength=len(column))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(left)].astype(np.int32)), _listed(made))
+
+    return _over(polygons, "rings", f"array<{POINTS}>", cut).filter(F.size("rings") > 0)
+
+
+def douglas_peucker(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """The places of the points (n, 2) that stay: those farthest from a chord, as long as they are farther than the tolerance."""
+    keep, open_ = np.zeros(len(p), bool), [(0, len(p) - 1)]
+    keep[[0, -1]] = True
+    while open_:
+        a, b = open_.pop()
+        if b - a < 2:
+            continue
+        d, v = p[b] - p[a], p[a + 1 : b] - p[a]
+        n = d @ d
+        t = np.clip(v @ d / n, 0.0, 1.0) if n else np.zeros(len(v))
+        far = ((v - t[:, None] * d) ** 2).sum(1)
+        k = int(far.argmax())
+        if far[k] > tolerance * tolerance:
+            keep[a + 1 + k] = True
+            open_ += [(a, a + 1 + k), (a + 1 + k, b)]
+    return np.flatnonzero(keep)
+
+
+def crosses_itself(p: np.ndarray) -> bool:
+    """Whether two segments of a line that are not neighbours cross."""
+    a, b = p[:-1], p[1:]
+    side = lambda o, d, q: d[:, None, 0] * (q[None, :, 1] - o[:, None, 1]) - d[:, None, 1] * (q[None, :, 0] - o[:, None, 0])
+    for lo in range(0, len(a), 256):  # a few rows of all pairs at a time
+        o, d = a[lo : lo + 256], (b - a)[lo : lo + 256]
+        one = side(o, d, a) * side(o, d, b) < 0
+        other = (side(a, b - a, o) * side(a, b - a, o + d) < 0).T
+        if (one & other).any():
+            return True
+    return False
+
+
+def simplified(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """Fewer points; a line that did not cross itself still does not, if need be by a finer tolerance."""
+    if len(p) < 3:
+        return p
+    out = p[douglas_peucker(p, tolerance)]
+    if len(out) > 3 and crosses_itself(out) and not crosses_itself(p):
+        while crosses_itself(out):
+            tolerance /= 2
+            out = p[douglas_peucker(p, tolerance)]
+    return out
 
 
 def simplify(lines: DataFrame, tolerance: float) -> DataFrame:
-    @F.pandas_udf(POINTS)
-    def run(pts: pd.Series) -> pd.Series:
-        return pts.map(lambda ps: [{"x": x, "y": y} for x, y in douglas_peucker([(p["x"], p["y"]) for p in ps], tolerance)] if len(ps) > 2 else list(ps))
+    """Lines with the points that matter by more than a tolerance (Douglas-Peucker), without new crossings."""
+
+    def run(column: pa.ListArray) -> pa.ListArray:
+        at, flat = _points(column)
+        return _listed([simplified(flat[at[i] : at[i + 1]], tolerance) for i in range(len(column))], column.is_null().to_numpy(zero_copy_only=False))
 
-    return lines.withColumn("pts", run("pts"))
+    return _over(lines, "pts", POINTS, run)
 
 
 def outlets(lines: DataFrame, next_down: str, x0: float, y0: float, x1: float, y1: float, simplified: str = "pts", pixel: float = 1.0) -> DataFrame:

@@ -267,3 +267,23 @@ def test_streams(spark, tmp_path):
     assert back == {r["tile"]: bytes(r["payload"]) for r in tiles.collect()}
     assert Y.reassemble(packets.filter("NOT (tile = 1 AND idx = 2)"), 700).count() == 1
     assert Y.solicited(packets, tiles.filter("tile = 2")).count() == 1
+
+
+def test_simplify_makes_no_crossings(spark):
+    rng = np.random.default_rng(2)
+    mended = 0
+    for _ in range(3000):
+        p = np.cumsum(rng.normal(size=(9, 2)), 0)
+        if V.crosses_itself(p):
+            continue
+        s = V.simplified(p, 0.8)
+        mended += V.crosses_itself(p[V.douglas_peucker(p, 0.8)])
+        assert (s[0] == p[0]).all() and (s[-1] == p[-1]).all() and not V.crosses_itself(s)
+        # every point lies within the tolerance of the line that is left
+        a, d = s[:-1], np.diff(s, axis=0)
+        t = np.clip(((p[:, None] - a) * d).sum(2) / (d * d).sum(1), 0, 1)
+        assert np.sqrt((((p[:, None] - a) - t[..., None] * d) ** 2).sum(2).min(1)).max() <= 0.8 + 1e-9
+    assert mended > 0
+    assert V.crosses_itself(np.array([(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0)])) and not V.crosses_itself(np.array([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]))
+    df = spark.createDataFrame([(1, None), (2, []), (3, [(0.0, 0.0)]), (4, [(0.0, 0.0), (1.0, 0.1), (2.0, 0.0)])], f"id long, pts {V.POINTS}")
+    assert [None if r["pts"] is None else len(r["pts"]) for r in V.simplify(df, 0.5).orderBy("id").collect()] == [None, 0, 1, 2]
