@@ -55,8 +55,11 @@ def annual_sum(months: DataFrame, by: list[str], value: str, out: str, top: int
     return months.groupBy(*by).agg(F.sum(F.greatest(F.col(value), F.lit(0.0))).alias("_s")).select(*by, F.rint(F.least(F.greatest("_s", F.lit(0.0)), F.lit(float(top)))).cast("int").alias(out))
 
 
-def annual_mean(months: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    return months.groupBy(*by).agg(F.sum(F.col(value) / 12.0).alias(out))
+def annual_mean(months: DataFrame, by: list[str], value: str, out: str, order: str = "month") -> DataFrame:
+    """Sum of twelfths in single precision, month after month: a group is at most twelve rows."""
+    m = months.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(value).cast("float").alias("v")))).alias("_m"))
+    add = lambda a, r: (a + (r["v"] / F.lit(12.0)).cast("float")).cast("float")
+    return m.select(*by, F.aggregate("_m", F.lit(0.0).cast("float"), add).alias(out))
 
 
 def own_banks(candidates: DataFrame, water: DataFrame) -> DataFrame:

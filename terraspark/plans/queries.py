@@ -315,9 +315,9 @@ def _box_cells(spark, sf):
     return V.fill_polygons(b, 500, 64)
 
 
-@query("agg04_annual_mean", f"WITH {R5} SELECT sample, CAST(floor(sum(t / 12.0) * 1000 + 0.25) AS BIGINT) AS t FROM r5 GROUP BY sample")
+@query("agg04_annual_mean", f"WITH {R5} SELECT sample, CAST(floor(CAST(list_reduce(list(CAST(t AS FLOAT) / CAST(12 AS FLOAT) ORDER BY month), lambda a, b: CAST(a + b AS FLOAT)) AS DOUBLE) * 1000 + 0.25) AS BIGINT) AS t FROM r5 GROUP BY sample")
 def agg04(spark, sf):
-    return A.annual_mean(r5(spark, sf), ["sample"], "t", "t").withColumn("t", F.floor(F.col("t") * 1000 + 0.25))
+    return A.annual_mean(r5(spark, sf), ["sample"], "t", "t").withColumn("t", F.floor(F.col("t").cast("double") * 1000 + 0.25))
 
 
 @query("agg05_annual_sum", f"WITH {R5} SELECT sample, CAST(round_even(greatest(least(sum(greatest(t - 5, 0.0)), 65535), 0), 0) AS INT) AS p FROM r5 GROUP BY sample")
