@@ -395,3 +395,51 @@ def write_raster(cells: DataFrame, path: str, width: int, height: int, value: st
             head += data.ljust(8, b"\0")
     places = spark.createDataFrame(list(enumerate(at[:-1])), "k long, at long")
     _publish(path, at[-1], bytes(head) + b"\0" * 8 + bytes(extra), blocks.join(F.broadcast(places), "k"), lambda r: r["at"], lambda r: r["data"], ["at", "data"])
+
+
+def write_features(features: DataFrame, path: str, table: str, srs: int = 4326, keep: list[str] | None = None) -> None:
+    """Polygons(rings, and the columns ``keep`` as text) as a GeoPackage, in place of one that is there.
+
+    Geometries are encoded where they lie; the file itself is one database, written row by row
+    as they arrive and published by one rename.
+    """
+    keep = [c for c in features.columns if c not in ("rings", "id")] if keep is None else keep
+    at = features.columns.index("rings")
+
+    def encode(batches):
+        for batch in batches:
+            blobs = []
+            for rings in batch.column(at).to_pylist():
+                body = [b"GP\0\1", struct.pack("<i", srs), b"\1", struct.pack("<II", 3, len(rings or ()))]
+                for r in rings or ():
+                    body.append(struct.pack("<I", len(r)) + np.array([(p["x"], p["y"]) for p in r], "<f8").tobytes())
+                blobs.append(b"".join(body))
+            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), *(batch.column(k).cast(pa.string()) for k in names)], names=["geom", *keep])
+
+    names = [features.columns.index(c) for c in keep]
+    rows = features.mapInArrow(encode, ", ".join(["geom binary", *(f"`{c}` string" for c in keep)]))
+    # the envelope of all, for the table of contents
+    box = features.select(F.explode(F.flatten("rings")).alias("p")).agg(F.min("p.x"), F.min("p.y"), F.max("p.x"), F.max("p.y")).first()
+    tmp = path + ".tmp"
+    if os.path.exists(tmp):
+        os.remove(tmp)
+    try:
+        db = sqlite3.connect(tmp)
+        db.executescript("""PRAGMA application_id = 0x47504B47; PRAGMA user_version = 10300;
+            CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL, description TEXT);
+            CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT UNIQUE, description TEXT DEFAULT '', last_change DATETIME DEFAULT (strftime('%Y-%m-%dT%H:%M:%fZ', 'now')), min_x DOUBLE, min_y DOUBLE, max_x DOUBLE, max_y DOUBLE, srs_id INTEGER);
+            CREATE TABLE gpkg_geometry_columns (table_name TEXT PRIMARY KEY, column_name TEXT NOT NULL, geometry_type_name TEXT NOT NULL, srs_id INTEGER NOT NULL, z TINYINT NOT NULL, m TINYINT NOT NULL);""")
+        for name, number in (("Undefined Cartesian", -1), ("Undefined geographic", 0), (f"EPSG:{srs}", srs)):
+            db.execute("INSERT INTO gpkg_spatial_ref_sys VALUES (?, ?, ?, ?, 'undefined', NULL)", (name, number, "EPSG" if number > 0 else "NONE", number))
+        quoted = [f'"{c}"' for c in keep]
+        db.execute(f'CREATE TABLE "{table}" (fid INTEGER PRIMARY KEY AUTOINCREMENT, geom POLYGON{"".join(f", {c} TEXT" for c in quoted)})')
+        db.execute("INSERT INTO gpkg_contents (table_name, data_type, identifier, min_x, min_y, max_x, max_y, srs_id) VALUES (?, 'features', ?, ?, ?, ?, ?, ?)", (table, table, *box, srs))
+        db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'POLYGON', ?, 0, 0)", (table, srs))
+        insert = f'INSERT INTO "{table}" ({", ".join(["geom", *quoted])}) VALUES ({", ".join("?" * (1 + len(keep)))})'
+        db.executemany(insert, ((bytes(r[0]), *r[1:]) for r in rows.toLocalIterator()))
+        db.commit()
+        db.close()
+        os.replace(tmp, path)
+    finally:
+        if os.path.exists(tmp):
+            os.remove(tmp)

@@ -90,3 +90,17 @@ def test_distributed_raster(spark, tmp_path, kind, spark_type):
         got[r["z"], r["x"]] = r["v"]
     assert np.array_equal(got, want.astype(float)) and X.tiff_transform(path) == (100.0, 900.0, 2.0, 2.0)
     assert open(path, "rb").read(4) == b"II\x2b\0" and [p.name for p in tmp_path.iterdir()] == ["big.tif"]
+
+
+def test_geopackage_round_trip(spark, tmp_path):
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 0.0)]
+    hole = [(1.0, 0.2), (2.0, 0.2), (2.0, 0.5), (1.0, 0.2)]
+    rows = [(1, [ring, hole], "Lake", 5), (2, [[(x + 10, y) for x, y in ring]], None, None)]
+    df = spark.createDataFrame(rows, "id long, rings array<array<struct<x: double, y: double>>>, name string, class int")
+    path = str(tmp_path / "lakes.gpkg")
+    for _ in range(2):  # the second takes the place of the first
+        X.write_features(df, path, "lakes")
+    got = sorted(X.read_features(spark, path).collect(), key=lambda r: r["fid"])
+    assert [[[(p["x"], p["y"]) for p in r] for r in g["rings"]] for g in got] == [r[1] for r in rows]
+    assert {k: v for k, v in got[0]["properties"].items() if k != "fid"} == {"name": "Lake", "class": "5"} and [p.name for p in tmp_path.iterdir()] == ["lakes.gpkg"]
+    assert X.read_features(spark, path, (9.0, 0.0, 20.0, 5.0)).count() == 1
