@@ -53,11 +53,17 @@ def made(since: int | None = None):
 
 def forget(spark: SparkSession, paths: list[str]) -> None:
     """Removes folders that ``written`` made and that no table to come is read from."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm = getattr(spark, "_jvm", None)
+    for path in paths if jvm is not None else ():
+        p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         _MADE.remove(path)
 
 
+def named(paths: list[str], *names: str) -> list[str]:
+    """Those of the folders that were written under one of the names."""
+    return [p for p in paths if p.rsplit("/", 1)[1].rsplit("-", 1)[0] in names]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

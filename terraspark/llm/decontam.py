@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraspark.llm.common import written
+from terraspark.llm.common import forget, made, named, written
 
 #: Characters that separate words, as a pattern.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -136,6 +136,7 @@ def proximity_matches(index: DataFrame, wanted: DataFrame, n: int, span: int) ->
 
 def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keyed: bool = False) -> DataFrame:
     """(id, n_words, n_hit, items): for every document its words, those inside any phrase of the items, and the items found, sorted as strings; with ``keyed`` also _key, the hash of the text."""
+    mark = made()
     by_item = phrases(items, item_col, item_text, window)
     by_item = written(spark, by_item, "phrases")
     unique = by_item.select("phrase").distinct()
@@ -150,10 +151,11 @@ def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, i
     others = written(spark, other_postings(docs, found, terms, n_terms, id_col, text_col), "other_postings")
     hits = phrase_matches(found, others, rank, n_phrases)
     hits = written(spark, hits, "hits")
+    forget(spark, named(made(mark), "postings", "candidates", "other_postings"))
     # words inside the union of all occurrences
     inside = hits.select("doc", "key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("p")).distinct().groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = by_item.join(rank.select("pid", "phrase"), "phrase").select("pid", F.col("item").cast("string").alias("item"))
-    found = hits.select("doc", "key", "pid").distinct().join(_sent(named, by_item.count()), "pid").select("doc", "key", "item").distinct()
+    titles = by_item.join(rank.select("pid", "phrase"), "phrase").select("pid", F.col("item").cast("string").alias("item"))
+    found = hits.select("doc", "key", "pid").distinct().join(_sent(titles, by_item.count()), "pid").select("doc", "key", "item").distinct()
     found = found.groupBy("doc", "key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     both = inside.join(found.withColumnsRenamed({"doc": "_d", "key": "_k"}), F.col("doc").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))).select("doc", "key", "n_hit", "items")
     d = docs.select(F.col(id_col).alias(id_col), F.xxhash64(F.col(text_col)).alias("_key"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
@@ -185,6 +187,9 @@ FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """All columns of the rows that hold no phrase of the items; of a repeated or null id only the rows whose text is hit go."""
+    mark = made()
     hit = find_contamination(spark, docs, items, id_col, text_col, keyed=True, **kw).filter("n_hit > 0").select(F.col(id_col).alias("__hit_id"), F.col("_key").alias("__hit_key")).distinct()
+    hit = written(spark, hit, "contaminated")
+    forget(spark, made(mark)[:-1])
     # the same plan at every size: hits grow with the table and are never broadcast
     return docs.join(hit.hint("merge"), docs[id_col].eqNullSafe(F.col("__hit_id")) & (F.xxhash64(docs[text_col]) == F.col("__hit_key")), "left_anti")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraspark.llm.common import partitions, written
+from terraspark.llm.common import forget, made, partitions, written
 from terraspark.llm.components import connected_components
 from terraspark.llm.simhash import SEED, Classes, majority, shingle_hashes
 
@@ -233,10 +233,12 @@ def near_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """All columns of one row of each class: that of the least id; of several texts of this id in a class one stays, and of repeated rows too. A class of null ids alone keeps one row."""
+    mark = made()
     found = near_classes(spark, docs, id_col, text_col, **kw).filter(F.col(id_col).eqNullSafe(F.col("component")))
     texts = found.groupBy("root", F.col(id_col).alias("__kept_id"), F.col("text_hash").alias("__kept_text")).agg(F.count(F.lit(1)).alias("__kept_n"))
     chosen = texts.groupBy("root").agg(F.min(F.struct("__kept_text", "__kept_id", "__kept_n")).alias("c")).select("c.*")
     chosen = written(spark, chosen, "chosen")
+    forget(spark, made(mark)[:-1])
     # the same plan at every size: chosen ids grow with the table and are never broadcast
     same = docs[id_col].eqNullSafe(F.col("__kept_id")) & (F.xxhash64(docs[text_col]) == F.col("__kept_text"))
     got = docs.join(chosen.drop("__kept_n").hint("merge"), same, "left_semi")

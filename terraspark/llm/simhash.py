@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraspark.llm.common import partitions, written
+from terraspark.llm.common import forget, made, named, partitions, written
 from terraspark.llm.components import connected_components
 
 BITS = 3
@@ -215,11 +215,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     Null ids take part in linking; a class of null ids alone has a null component.
     """
+    mark = made()
     fps = written(spark, with_fingerprint(docs, id_col, text_col), "fingerprints")
     unique = written(spark, fps.groupBy("fp").agg(F.min(id_col).alias("least")), "unique")
     roots = connected_components(spark, trie_links(spark, unique.select("fp")))
     member = unique.join(roots, unique["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     member = written(spark, member, "members")
+    forget(spark, named(made(mark), "unique", "links", "joined"))
     component = member.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = member.join(component, "root").select("fp", "component")
     return fps.join(by_fp, "fp").select(id_col, "fp", "component")

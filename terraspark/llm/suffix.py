@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraspark.llm.common import partitions, written
+from terraspark.llm.common import forget, made, partitions, written
 
 LENGTH = 200
 GRAM = 32
@@ -503,7 +503,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, text_col: str = "text",
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int | None = None) -> DataFrame:
     """(id, kept binary, n_bytes, n_removed, n_spans) for every row."""
+    mark = made()
     spans = written(spark, repeated_spans(spark, docs, text_col, shard), "spans")
+    forget(spark, made(mark)[:-1])  # the spans are all that is still read
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_with_key, f"id {kind}, text string, k1 long, k2 int")
     both = _same_text(keyed, spans, "left").select("id", "text", "spans")
