@@ -36,7 +36,17 @@ def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/terraspark/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables of ``cut_lineage`` that nothing to come is read from."""
+    jvm = getattr(spark, "_jvm", None)
+    for t in tables if jvm is not None else ():
+        p = jvm.org.apache.hadoop.fs.Path(t.written_at)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def neighbour_edges(cells: DataFrame) -> DataFrame:
@@ -87,14 +97,16 @@ def _contract(spark: SparkSession, links: DataFrame, span: int) -> tuple[DataFra
 def _hook(spark: SparkSession, links: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, root) by hooking to the least neighbour and pointer jumping: for links that no blocks hold together."""
     both = cut_lineage(spark, links.select("src", "dst").unionAll(links.select("dst", "src")))
-    label = cut_lineage(spark, both.select(F.col("src").alias("id")).distinct().withColumn("root", F.col("id")))
+    label = before = cut_lineage(spark, both.select(F.col("src").alias("id")).distinct().withColumn("root", F.col("id")))
     for _ in range(rounds):
         seen = both.join(label, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("root").alias("m"))
         hooked = label.join(seen, F.col("id") == F.col("src")).select("id", F.least("root", "m").alias("c"), F.col("root").alias("old"))
         up = hooked.select(F.col("id").alias("_i"), F.col("c").alias("_c"))
         new = cut_lineage(spark, hooked.join(up, F.col("c") == F.col("_i")).select("id", F.col("_c").alias("root"), (F.col("_c") != F.col("old")).alias("moved")))
-        label = new.select("id", "root")
+        forget(spark, before)
+        before, label = new, new.select("id", "root")
         if new.filter("moved").isEmpty():
+            forget(spark, both)
             return label
     raise RuntimeError("components: no fixpoint")
 
@@ -110,6 +122,7 @@ def components(spark: SparkSession, edges: DataFrame, nodes: DataFrame, span: in
     while n:
         local, left = _contract(spark, links, span)
         steps.append(local)
+        forget(spark, links)
         before, n = n, left.count()
         links, span = left, span * 16
         if n * 2 > before:
@@ -173,17 +186,21 @@ def relax(spark: SparkSession, levels: DataFrame, arcs: DataFrame, rounds: int =
     start = levels.select(_block("id", span).alias("block"), "id", "level")
     now = solved(start.withColumn("was", F.col("level") + F.lit(1).cast(kind)), inner)
     if cross.isEmpty():
+        forget(spark, every)
         return now.select("id", "level")
     moved = now
     for _ in range(rounds):
         offer = cross.join(moved.filter("moved").select(F.col("id").alias("src"), "level"), "src").groupBy("block", F.col("dst").alias("id")).agg(F.min(F.col("level") + F.col("cost")).cast(kind).alias("_o"))
         offer = cut_lineage(spark, offer.join(now.select("block", "id", "level"), ["block", "id"]).filter("_o < level").select("block", "id", "_o"))
         if offer.isEmpty():
+            forget(spark, every, offer, *([moved] if moved is not now else []))
             return now.select("id", "level")
         reached = offer.select("block").distinct()
         nodes = now.join(reached, "block", "left_semi").join(offer, ["block", "id"], "left")
-        moved = solved(nodes.select("block", "id", F.least("level", "_o").alias("level"), F.col("level").alias("was")), inner.join(reached, "block", "left_semi"))
-        now = cut_lineage(spark, now.join(reached, "block", "left_anti").unionByName(moved))
+        fresh = solved(nodes.select("block", "id", F.least("level", "_o").alias("level"), F.col("level").alias("was")), inner.join(reached, "block", "left_semi"))
+        later = cut_lineage(spark, now.join(reached, "block", "left_anti").unionByName(fresh))
+        forget(spark, offer, now, *([moved] if moved is not now else []))
+        now, moved = later, fresh
     raise RuntimeError("relax: no fixpoint")
 
 
