@@ -98,17 +98,21 @@ def nearest_within(cells: DataFrame, sources: DataFrame, radius: int, sz: float
     return cells.select("z", "x").join(best, ["z", "x"], "left").select("z", "x", "_m.nz", "_m.nx", "_m.d2")
 
 
-def feather(cells: DataFrame, klass: str, land: str, out: str, height: int, width: int) -> DataFrame:
-    """Classes along borders mixed by a hashed offset of up to four cells; water is neither changed nor sampled.
+def feather(cells: DataFrame, klass: str, land: str, out: str, height: int | None, width: int) -> DataFrame:
+    """Classes along borders mixed by a hashed offset of up to four cells; water is neither changed nor sampled. ``height`` None: as far as there are cells.
 
     The offset depends on world cells only, so any tiling gives the same map.
     """
     from terraspark.functions.scalars import cell_hash
 
+    from terraspark.operators.aggregates import with_global
+
+    last = F.lit(height - 1) if height is not None else F.col("_last")
     n = cell_hash(F.col("x"), F.col("z"))
     byte = lambda k: F.shiftright(n, 8 * k).bitwiseAND(255) % 5
-    df = cells.withColumn("_sx", F.least(F.greatest(F.col("x") + byte(0) + byte(1) - 4, F.lit(0)), F.lit(width - 1)))
-    df = df.withColumn("_sz", F.least(F.greatest(F.col("z") + byte(2) + byte(3) - 4, F.lit(0)), F.lit(height - 1)))
+    df = cells if height is not None else with_global(cells, _last=F.max("z"))
+    df = df.withColumn("_sx", F.least(F.greatest(F.col("x") + byte(0) + byte(1) - 4, F.lit(0)), F.lit(width - 1)))
+    df = df.withColumn("_sz", F.least(F.greatest(F.col("z") + byte(2) + byte(3) - 4, F.lit(0)), last)).drop("_last")
     src = cells.select(F.col("z").cast("long").alias("_sz"), F.col("x").cast("long").alias("_sx"), F.when(F.col(land) != 0, F.col(klass)).otherwise(0).alias("_c"))
     df = df.withColumn("_sz", F.col("_sz").cast("long")).withColumn("_sx", F.col("_sx").cast("long")).join(src, ["_sz", "_sx"], "left")
     return df.withColumn(out, F.when((F.col(land) != 0) & (F.coalesce("_c", F.lit(0)) != 0), F.col("_c")).otherwise(F.col(klass))).drop("_sz", "_sx", "_c")

@@ -2,35 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 22
 
 
-def nearest_index(i, src: int, dst: int):
-    return F.least(F.floor((i + 0.5) * (src / dst)), F.lit(src - 1)).cast("int")
+def _line(cells: DataFrame, axis: str, src: int | None, dst: int) -> DataFrame:
+    """(i, _n): the target's cells along an axis, and the source's extent; None takes it from the cells, as one row that goes along."""
+    spark = cells.sparkSession
+    one = spark.range(1).select(F.lit(src).alias("_n")) if src is not None else cells.agg((F.max(axis) + 1).cast("int").alias("_n"))
+    return spark.range(dst).select(F.col("id").cast("int").alias("i")).crossJoin(F.broadcast(one))
 
 
-def resize_nearest(cells: DataFrame, value: str, src: tuple[int, int], dst: tuple[int, int]) -> DataFrame:
+def resize_nearest(cells: DataFrame, value: str, src: tuple[int | None, int | None], dst: tuple[int, int]) -> DataFrame:
     """(z, x, value) at another size, every target cell from the source cell under its middle."""
-    spark = cells.sparkSession
-    side = lambda n, m, c, s: spark.range(m).select(F.col("id").cast("int").alias(c), nearest_index(F.col("id"), n, m).alias(s))
-    rows, cols = side(src[0], dst[0], "z", "_sz"), side(src[1], dst[1], "x", "_sx")
-    by_row = cells.select(F.col("z").alias("_sz"), F.col("x").alias("_sx"), value).join(rows, "_sz")
-    return by_row.join(cols, "_sx").select("z", "x", value)
+    at = lambda m: F.least(F.floor((F.col("i") + 0.5) * (F.col("_n") / F.lit(m))), F.col("_n") - 1).cast("int")
+    side = lambda axis, n, m: _line(cells, axis, n, m).select(F.col("i").alias(axis), at(m).alias(f"_s{axis}"))
+    by_row = cells.select(F.col("z").alias("_sz"), F.col("x").alias("_sx"), value).join(side("z", src[0], dst[0]), "_sz")
+    return by_row.join(side("x", src[1], dst[1]), "_sx").select("z", "x", value)
 
 
-def weights(spark: SparkSession, src: int, dst: int) -> DataFrame:
+def weights(cells: DataFrame, axis: str, src: int | None, dst: int) -> DataFrame:
     """(i, s, k): integer weights of a triangle filter, of 22 bits."""
-    scale = src / dst
-    support = max(1.0, scale)
-    t = spark.range(dst).select(F.col("id").cast("int").alias("i"), ((F.col("id") + 0.5) * scale).alias("_c"))
-    lo = F.greatest(F.lit(0), F.floor(F.col("_c") - support + 0.5)).cast("int")
-    hi = F.least(F.lit(src), F.floor(F.col("_c") + support + 0.5)).cast("int")
-    t = t.select("i", "_c", F.explode(F.sequence(lo, hi - 1)).alias("s"))
-    w = F.greatest(F.lit(0.0), 1.0 - F.abs((F.col("s") - F.col("_c") + 0.5) / support))
-    t = t.withColumn("_w", w)
+    scale = F.col("_n") / F.lit(dst)
+    t = _line(cells, axis, src, dst).select("i", "_n", ((F.col("i") + 0.5) * scale).alias("_c"), F.greatest(F.lit(1.0), scale).alias("_r"))
+    lo = F.greatest(F.lit(0), F.floor(F.col("_c") - F.col("_r") + 0.5)).cast("int")
+    hi = F.least(F.col("_n"), F.floor(F.col("_c") + F.col("_r") + 0.5)).cast("int")
+    t = t.select("i", "_c", "_r", F.explode(F.sequence(lo, hi - 1)).alias("s"))
+    t = t.withColumn("_w", F.greatest(F.lit(0.0), 1.0 - F.abs((F.col("s") - F.col("_c") + 0.5) / F.col("_r"))))
     total = t.groupBy("i").agg(F.sum("_w").alias("_t"))
     return t.join(total, "i").select("i", "s", F.floor(F.col("_w") / F.col("_t") * (1 << BITS) + 0.5).cast("long").alias("k")).filter("k <> 0")
 
@@ -41,12 +41,12 @@ def _pass(cells: DataFrame, value: str, axis: str, other: str, w: DataFrame) ->
     return j.select(F.col("i").alias(axis), other, v.alias(value))
 
 
-def resize_bilinear(cells: DataFrame, value: str, src: tuple[int, int], dst: tuple[int, int]) -> DataFrame:
-    """Bytes at another size by a triangle filter: columns first, rounded to bytes, then rows. Exact integers."""
-    spark = cells.sparkSession
+def resize_bilinear(cells: DataFrame, value: str, src: tuple[int | None, int | None], dst: tuple[int, int]) -> DataFrame:
+    """Bytes at another size by a triangle filter: columns first, rounded to bytes, then rows. Exact integers; at the same size every weight is one."""
     c = cells.select("z", "x", F.col(value).cast("long").alias(value))
-    mid = _pass(c, value, "x", "z", weights(spark, src[1], dst[1])) if src[1] != dst[1] else c
-    return (_pass(mid, value, "z", "x", weights(spark, src[0], dst[0])) if src[0] != dst[0] else mid).select("z", "x", F.col(value).cast("int").alias(value))
+    mid = _pass(c, value, "x", "z", weights(c, "x", src[1], dst[1])) if src[1] != dst[1] else c
+    out = _pass(mid, value, "z", "x", weights(c, "z", src[0], dst[0])) if src[0] != dst[0] else mid
+    return out.select("z", "x", F.col(value).cast("int").alias(value))
 
 
 def sample_bilinear(points: DataFrame, raster: DataFrame, value: str, out: str, height: int, width: int, clamp: bool = True) -> DataFrame:

@@ -464,8 +464,7 @@ def fun08(spark, sf):
 @query("stn11_feather", f"WITH {R3}, src AS (SELECT z, x, land, vegetation FROM r3), {_hash_sql('x', 'z')}, s AS (SELECT max(z) AS mz FROM r3), o AS (SELECT h.*, greatest(least(x + (n & 255) % 5 + ((n >> 8) & 255) % 5 - 4, 63), 0) AS sx, greatest(least(z + ((n >> 16) & 255) % 5 + (n >> 24) % 5 - 4, mz), 0) AS sz FROM h, s) SELECT o.z, o.x, CASE WHEN o.land <> 0 AND q.land <> 0 AND q.vegetation <> 0 THEN q.vegetation ELSE o.vegetation END AS vegetation FROM o JOIN r3 q ON q.z = sz AND q.x = sx")
 def stn11(spark, sf):
     c = r3(spark, sf).select("z", "x", "land", "vegetation")
-    top = c.agg(F.max("z")).first()[0]
-    return D.feather(c, "vegetation", "land", "out", top + 1, 64).select("z", "x", F.col("out").alias("vegetation"))
+    return D.feather(c, "vegetation", "land", "out", None, 64).select("z", "x", F.col("out").alias("vegetation"))
 
 
 @query("stn12_prefix_sum", f"WITH {R1} SELECT z, x, CAST(sum(v) OVER (PARTITION BY z ORDER BY x) AS BIGINT) AS s FROM r1")
@@ -521,7 +520,7 @@ def dst04(spark, sf):
 @query("rsm03_nearest", f"WITH {R1}, s AS (SELECT CAST(max(z) + 1 AS INT) AS h FROM r1), t AS (SELECT CAST(a AS INT) AS z, least(CAST(floor((a + 0.5) * (h / 300.0::DOUBLE)) AS INT), h - 1) AS sz FROM s, (SELECT unnest(range(0, 300)) AS a)), u AS (SELECT CAST(b AS INT) AS x, least(CAST(floor((b + 0.5) * (64 / 100.0::DOUBLE)) AS INT), 63) AS sx FROM (SELECT unnest(range(0, 100)) AS b)) SELECT t.z, u.x, r1.v FROM t, u, r1 WHERE r1.z = sz AND r1.x = sx")
 def rsm03(spark, sf):
     c = r1(spark, sf)
-    return R.resize_nearest(c, "v", (c.agg(F.max("z")).first()[0] + 1, 64), (300, 100))
+    return R.resize_nearest(c, "v", (None, 64), (300, 100))
 
 
 def _weights_sql(name: str, src: str, dst: int) -> str:
@@ -534,7 +533,7 @@ def _weights_sql(name: str, src: str, dst: int) -> str:
 @query("rsm04_bilinear", f"WITH {R1}, hn AS (SELECT 64 AS n), vn AS (SELECT CAST(max(z) + 1 AS INT) AS n FROM r1), {_weights_sql('hw', 'hn', 90)}, {_weights_sql('vw', 'vn', 230)}, m AS (SELECT r1.z, hw.i AS x, greatest(0, least(255, (sum(q * v)::BIGINT + 2097152) >> 22)) AS v FROM r1 JOIN hw ON hw.k = r1.x GROUP BY 1, 2) SELECT vw.i AS z, m.x, CAST(greatest(0, least(255, (sum(q * v)::BIGINT + 2097152) >> 22)) AS INT) AS v FROM m JOIN vw ON vw.k = m.z GROUP BY 1, 2")
 def rsm04(spark, sf):
     c = r1(spark, sf)
-    return R.resize_bilinear(c, "v", (c.agg(F.max("z")).first()[0] + 1, 64), (230, 90))
+    return R.resize_bilinear(c, "v", (None, 64), (230, 90))
 
 
 @query("ras01_polygon_fill", f"WITH {R7_CELLS} SELECT id, z, x FROM r7c WHERE x < 64")
