@@ -224,7 +224,7 @@ def lower_downstream(spark: SparkSession, levels: DataFrame, ways: DataFrame, sp
 
     A running least is an arc of cost 0 from each cell to the next.
     """
-    nxt = ways.select(F.col("cell").alias("src"), F.lead("cell").over(W.partitionBy("way").orderBy("ord")).alias("dst")).filter("dst IS NOT NULL").distinct()
+    nxt = ways.select(F.col("cell").alias("src"), F.lead("cell").over(W.partitionBy("way").orderBy("ord")).alias("dst")).filter("dst IS NOT NULL")
     before = levels.select("id", F.col("level").alias("_was"))
     low = propagate_down(spark, levels.select("id", "level"), nxt, span)
     return low, not low.join(before, "id").filter("level < _was").isEmpty()
