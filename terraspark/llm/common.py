@@ -67,3 +67,16 @@ def named(paths: list[str], *names: str) -> list[str]:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def portions(batch, column: int, most: int = 1 << 24):
+    """The rows of an Arrow batch in order, in slices of at most ``most`` bytes of text; a longer text comes alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row, done = 0, 0
+    while row < batch.num_rows:
+        last = max(int(np.searchsorted(ends, done + most, "right")), row + 1)
+        yield batch.slice(row, last - row)
+        row, done = last, int(ends[last - 1])
