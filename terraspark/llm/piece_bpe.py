@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -201,7 +202,9 @@ class Vocabulary:
             word, place, symbol, rank, gives = word[keep], place[keep], symbol[keep], rank[keep], gives[keep]
             n = len(word)
             # the pairs that the new symbols stand in
-            touched = np.unique(np.concatenate([new, new[new > 0] - 1]))
+            near = np.zeros(n + 1, bool)
+            near[new] = near[new - 1] = True
+            touched = np.flatnonzero(near[:n])
             rank[touched] = NEVER
             touched = touched[touched < n - 1]
             touched = touched[word[touched] == word[touched + 1]]
@@ -302,22 +305,23 @@ class Encoder:
         bounds = starts.tolist()
         bounds.append(len(text))
         words = [text[a:b] for a, b in zip(bounds, bounds[1:])]
-        rows = self.rows
-        new = [w for w in dict.fromkeys(words) if w not in rows]
-        if new:
-            size = sum(map(len, new))
-            if self.held and self.held + size > self.most:
-                self._forget()
-                rows, new = self.rows, list(dict.fromkeys(words))
-                size = sum(map(len, new))
-            ids, n = self.v.encode_words(new)
-            self.at = np.append(self.at, len(self.ids) + np.cumsum(n) - n)
-            self.n = np.append(self.n, n)
-            self.ids = np.append(self.ids, ids.astype(np.int32))
-            for w in new:
-                rows[w] = len(rows)
-            self.held += size
-        return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.rows.get, words, repeat(-1)), np.int64, len(words))
+        unmet = np.flatnonzero(found < 0)
+        if not len(unmet):
+            return found
+        size = sum(map(len, new := dict.fromkeys(map(words.__getitem__, unmet.tolist()))))
+        if self.held and self.held + size > self.most:
+            self._forget()
+            return self._words(text, starts)
+        new = list(new)
+        ids, n = self.v.encode_words(new)
+        self.at = np.append(self.at, len(self.ids) + np.cumsum(n) - n)
+        self.n = np.append(self.n, n)
+        self.ids = np.append(self.ids, ids.astype(np.int32))
+        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.held += size
+        found[unmet] = [self.rows[words[i]] for i in unmet.tolist()]
+        return found
 
     def stretches(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(number of the text, ids) of parts of the texts, in order; the ids of a stretch of several texts come text by text."""

@@ -108,3 +108,43 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cut = remove_repeats(spark, table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _op11_sql() -> str:
+    """Written from the contract: units and positions by code points, the restored text by cutting the output at its marks."""
+    return r"""
+    WITH drawn AS (
+      SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+        list_transform([0, 1, 2, 3], lambda k: ('0x' || substr(sha256('7:' || doc_id), 8 * k + 1, 8))::UBIGINT) AS h
+      FROM documents),
+    cut AS (
+      SELECT doc_id, text, len(units) AS n, units[:least(h[1] % (len(units) + 1), h[2] % (len(units) + 1))::BIGINT] AS p,
+        units[greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1))::BIGINT + 1:] AS s,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+      FROM drawn),
+    texts AS (
+      SELECT doc_id, text, n, form, coalesce(list_reduce(p, lambda a, b: a || b, ''), '') AS p, coalesce(list_reduce(s, lambda a, b: a || b, ''), '') AS s FROM cut),
+    parts AS (
+      SELECT *, substr(text, length(p) + 1, length(text) - length(p) - length(s)) AS m FROM texts),
+    outs AS (
+      SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o FROM parts)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+      sha256(o) AS output_sha256,
+      sha256(CASE form WHEN 'plain' THEN o
+        WHEN 'psm' THEN regexp_replace(o, '(?s)^<P>(.*)<S>(.*)<M>(.*)$', '\1\3\2')
+        ELSE regexp_replace(o, '(?s)^<S>(.*)<P>(.*)<M>(.*)$', '\2\3\1') END) AS restored_sha256
+    FROM outs"""
+
+
+@query("op11_fill_in_middle", _op11_sql())
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terraspark.llm.fim import fill_in_middle
+
+    return fill_in_middle(table(spark, sf_dir, "documents"), texts=False)
+
+
+@query("op12_piece_encoding")
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terraspark.llm.piece_bpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
