@@ -148,3 +148,40 @@ def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terraspark.llm.piece_bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"))
+
+
+def _op13_sql() -> str:
+    """CRC-32 bit by bit; words at one edit are equal without the code point at the same place, or one is the other without one."""
+    return r"""
+    WITH runs AS (
+      SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{5,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+      FROM documents WHERE text IS NOT NULL),
+    counted AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+    steps AS MATERIALIZED (
+      SELECT list(list_reduce([i::UBIGINT] || range(8)::UBIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+    hashed AS (
+      SELECT run, n, xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] || list_transform(string_split(regexp_replace(hex(encode(doc_id || ':' || run)), '(..)', '\1 ', 'g')[:-2], ' '), lambda b: ('0x' || b)::UBIGINT),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1]))) AS h FROM counted, steps),
+    changed AS (
+      SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+    words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM changed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    keys AS MATERIALIZED (
+      SELECT word, n, i, CASE WHEN i = 0 THEN word ELSE substr(word, 1, i - 1) || substr(word, i + 1) END AS k FROM (SELECT word, n, unnest(range(length(word) + 1)) AS i FROM words)),
+    near AS MATERIALIZED (
+      SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM keys a JOIN keys b ON a.k = b.k AND a.word <> b.word WHERE a.i = b.i OR a.i = 0 OR b.i = 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+    forms AS MATERIALIZED (
+      SELECT w.word, w.n, coalesce(r.n_near, 0)::BIGINT AS n_near, CASE WHEN r.near_n >= 2 * w.n THEN r.near END AS form, CASE WHEN r.near_n >= 2 * w.n THEN r.near_n END::BIGINT AS form_n
+      FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1),
+    ways AS (
+      WITH RECURSIVE w(word, here, next) AS (
+        SELECT word, word, form FROM forms UNION ALL SELECT w.word, f.word, f.form FROM w JOIN forms f ON f.word = w.next)
+      SELECT word, here AS root FROM w WHERE next IS NULL)
+    SELECT word, n, n_near, form, form_n, root FROM forms JOIN ways USING (word)"""
+
+
+@query("op13_spelling_variants", _op13_sql())
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terraspark.llm.spelling import group_variants
+
+    return group_variants(table(spark, sf_dir, "documents"))
