@@ -263,10 +263,14 @@ def _words(text: str) -> list[tuple[int, int, str]]:
         out.append((*m.span(2), "@"))
         out += [(m.start(3) + d.start(), m.start(3) + d.end(), ".") for d in WORDED_DOT.finditer(m[3])]
     if "@" in text:
+        # what is changed so far lies in order and apart, and so does what is added: no host holds a sign
+        taken, added = sorted(out), []
+        inside = lambda spans, at: (k := bisect_right(spans, at, key=lambda s: s[0])) > 0 and at < spans[k - 1][1]
         for m in SPACED_AT.finditer(text):
-            if (t := AFTER_SPACED.match(text, m.end())) and not any(a <= m.start() < b for a, b, _ in out):
-                out.append((m.start(), m.end(), "@"))
-                out += [(t.start() + d.start(), t.start() + d.end(), ".") for d in SPACED_DOT.finditer(t[0])]
+            if (t := AFTER_SPACED.match(text, m.end())) and not inside(taken, m.start()) and not inside(added, m.start()):
+                added.append((m.start(), m.end(), "@"))
+                added += [(t.start() + d.start(), t.start() + d.end(), ".") for d in SPACED_DOT.finditer(t[0])]
+        out += added
     return sorted(out)
 
 

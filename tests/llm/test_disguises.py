@@ -74,7 +74,7 @@ def test_rewritten_maps_back_by_brute_force():
 
 @pytest.mark.parametrize(
     "text",
-    ["0" * 5000 + ".1.2.3", "1" * 5000 + ".1.2.3", "1.2.3." + "9" * 100000, " " * 1000000 + "a [at] b [dot] com" + " " * 1000000, "a at b" + " " * 500000 + "dot com", "x @ a" + " " * 500000 + ". com", "[ " * 300000 + "at]", "(at)" * 100000, "+1" + " " * 1000000, "a.a." * 200000 + "@ dot "],
+    ["0" * 5000 + ".1.2.3", "1" * 5000 + ".1.2.3", "1.2.3." + "9" * 100000, " " * 1000000 + "a [at] b [dot] com" + " " * 1000000, "a at b" + " " * 500000 + "dot com", "x @ a" + " " * 500000 + ". com", "[ " * 300000 + "at]", "(at)" * 100000, "+1" + " " * 1000000, "a.a." * 200000 + "@ dot ", "x @ y.com " * 100000, "x at y dot com " * 50000 + "x @ y . com " * 50000],
 )
 def test_hostile_texts_take_linear_time(text):
     began = time.time()
