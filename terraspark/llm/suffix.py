@@ -336,8 +336,12 @@ def _sort_shard(rows: dict[str, np.ndarray], texts: list[bytes], ranges: int) ->
         d, own = np.zeros(len(s), _DIGEST), np.zeros(len(s), _OWNER)
         d["x"], d["y"] = x[s] ^ with_anchor, y[s] + with_anchor
         own["k1"], own["k2"], own["start"] = rows["k1"][which], rows["k2"][which], first[which] + offset
-        order = np.lexsort((d["y"], d["x"]))
-        d, own = d[order], own[order]
+        # what repeats inside a shard is cut already: one of equal digests stands for the shard
+        of = group[which]
+        order = np.lexsort((of, d["y"], d["x"]))
+        d, own, of = d[order], own[order], of[order]
+        one = np.r_[True, (d[1:] != d[:-1]) | (of[1:] != of[:-1])]
+        d, own = d[one], own[one]
         cuts = np.searchsorted(d["x"], np.array([i * (1 << 64) // ranges for i in range(1, ranges)], np.uint64)) if ranges > 1 else np.zeros(0, np.int64)
         edges = np.r_[0, cuts, len(d)]
         full = np.flatnonzero(np.diff(edges))
@@ -430,6 +434,7 @@ def _cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """(text, k1, k2, ragged) -> (h, salt, salts, k1, k2, at, bytes), once for equal texts of a task."""
     seen: set[tuple[int, int]] = set()
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[*_KEYS, "bytes"])
     for batch in batches:
         out = []
         for text, k1, k2, ragged in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -439,9 +444,13 @@ def _cut_surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             b = text.encode()
             for r in ragged:
                 _, first, last = unpacked(r["at"])
-                out.append((r["h"], (k1 * 0x9E3779B1 >> 7) % r["salts"], r["salts"], k1, k2, r["at"], b[first : last + LENGTH]))
+                # by place too: the surroundings of an anchor inside one text are spread as well
+                out.append((r["h"], ((k1 ^ r["at"] * 0x85EBCA77) * 0x9E3779B1 >> 7) % r["salts"], r["salts"], k1, k2, r["at"], b[first : last + LENGTH]))
+                if len(out) >= 20_000:
+                    yield give(out)
+                    out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*_KEYS, "bytes"])
+            yield give(out)
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

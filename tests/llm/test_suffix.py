@@ -73,6 +73,28 @@ def test_long_texts(spark):
     assert [got[i] for i in range(len(texts))] == cut_by_hand([(t or "").encode() for t in texts])
 
 
+def test_one_anchor_with_many_surroundings(spark):
+    # lines with a common lead in one text, and a passage under many different surroundings
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choice("abcdefgh ij") for _ in range(n))
+    lead, passage = line(60), line(230)
+    log = "".join(lead + line(90) for _ in range(400))
+    texts = [log, log[:20000] + "!" + log[20500:], *(line(80) + passage + line(80) for _ in range(150)), *(lead + line(200) for _ in range(50))]
+    for shard in (3, 20):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in S.remove_repeats(spark, frame(spark, texts), shard=shard).collect()}
+        assert [got[i] for i in range(len(texts))] == cut_by_hand([t.encode() for t in texts])
+
+
+def test_shard_hands_out_one_of_equal_digests():
+    rng = random.Random(9)
+    passage = bytes(rng.choice(b"abcd") for _ in range(S.PLACES))
+    n = 300
+    rows = {"h": np.zeros(n, np.int64), "salt": np.repeat([0, 1], n // 2), "salts": np.full(n, 2), "k1": np.arange(n), "k2": np.zeros(n, np.int64), "at": S.packed(np.full(n, 500), np.full(n, 500 - S.BACK), np.full(n, 500))}
+    runs = [b for b in S._sort_shard(rows, [passage] * n, 4) if b.column(0)[0].as_py() == 1]
+    digests = np.concatenate([np.frombuffer(d.as_py(), S._DIGEST) for b in runs for d in b.column(7)])
+    assert len(digests) == 2 * (S.BACK + 1) and len(np.unique(digests)) == S.BACK + 1
+
+
 def test_clashing_columns(spark):
     rows = [(1, "a" * 500, 1, 2, "k"), (1, "a" * 500, 1, 2, "k"), (None, None, 1, 2, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, k1 long, at long, spans string")
