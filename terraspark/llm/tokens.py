@@ -29,8 +29,10 @@ from terraspark.llm.common import written
 
 #: Pre-tokens that are sent to every executor.
 HEAD = 200_000
-#: Distinct pre-tokens that a task holds before it hands them on.
-HELD = 400_000
+#: Distinct pre-tokens, and code points of texts, that a task holds before it hands its counts on.
+HELD, HELD_CHARS = 400_000, 1 << 26
+#: Longer pre-tokens are never sent to all executors, and are joined by a hash of 128 bits.
+LONG = 48
 #: Begins the key of spaces that no word follows; no other key has a space after a newline.
 TRAILING = "\n "
 
@@ -46,15 +48,17 @@ class PieceCounts(dict):
         self.blank = len(self.encode("x"))
 
     def __missing__(self, key: str) -> int:
-        if key[:2] == TRAILING:  # spaces with nothing after them
-            n = len(self.encode("x" + key[1:])) - self.blank
-        elif key[:1] == "\n":  # stands after a newline: without the space mark that encode() puts first
-            n = len(self.encode(key)) - 1
-        else:
-            n = len(self.encode(key))
-        self[key] = n
+        n = self[key] = self.count(key)
         return n
 
+    def count(self, key: str) -> int:
+        """Pieces of a pre-token, without remembering it."""
+        if key[:2] == TRAILING:  # spaces with nothing after them
+            return len(self.encode("x" + key[1:])) - self.blank
+        if key[:1] == "\n":  # stands after a newline: without the space mark that encode() puts first
+            return len(self.encode(key)) - 1
+        return len(self.encode(key))
+
 
 def check_model(model_file: str) -> None:
     """Raise if the model's pieces don't allow the split into pre-tokens."""
@@ -130,22 +134,33 @@ def _file(model: str) -> str:
     return model if "/" in model else public_tokenizers.path(model)
 
 
+def join_key(t: str) -> str:
+    """The pre-token, or for a long one its hash. No pre-token begins with two newlines."""
+    import xxhash
+
+    return t if len(t) <= LONG else "\n\n" + xxhash.xxh3_128_hexdigest(t.encode())
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> (t, n): pre-tokens of a task, each once or, where there are very many, a few times."""
     found: Counter = Counter()
+    chars = 0
     give = lambda: pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["t", "n"])
     for batch in batches:
         for value in batch.column(0):
-            found.update(pre_tokens(value.as_py() or ""))
-            if len(found) >= HELD:
+            text = value.as_py() or ""
+            found.update(pre_tokens(text))
+            chars += len(text)
+            if len(found) >= HELD or chars >= HELD_CHARS:
                 yield give()
                 found.clear()
+                chars = 0
     if found:
         yield give()
 
 
 def piece_table(docs: DataFrame, text_col: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
-    """(t, n long, pieces int): every distinct pre-token of the corpus, how often it stands there, and its pieces."""
+    """(t, n long, pieces int): every distinct pre-token of the corpus (long ones as ``join_key``), how often it stands there, and its pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = _file(model)
@@ -153,29 +168,31 @@ def piece_table(docs: DataFrame, text_col: str = "text", model: str = "piece_bpe
         for batch in batches:
             if count is None:
                 check_model(file)
-                count = PieceCounts(file).__missing__
-            pieces = [count(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int32())], names=["t", "n", "pieces"])
+                count = PieceCounts(file).count
+            found = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(join_key, found)), pa.string()), batch.column(1), pa.array(list(map(count, found)), pa.int32())], names=["t", "n", "pieces"])
 
     seen = docs.select(F.col(text_col)).mapInArrow(_tally, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
     return seen.mapInArrow(run, "t string, n long, pieces int")
 
 
 def frequent(table: DataFrame, most: int) -> tuple[dict[str, int], int]:
-    """The pieces of the most frequent pre-tokens, at most ``most`` of them, and how many there are in all.
+    """The pieces of the most frequent pre-tokens that are not long, at most ``most`` of them, and how many pre-tokens there are in all.
 
+    So at most ``most`` times ``LONG`` code points come to the driver, whatever the texts hold.
     Frequencies are counted in eighths of a power of two, some hundred numbers at the most, to
     find the least frequency that few enough reach; only what reaches it comes to the driver.
     """
     step = F.floor(F.log2(F.col("n")) * 8).cast("int")
-    counts = sorted(((r["s"], r["c"]) for r in table.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    short = ~F.col("t").startswith("\n\n")
+    counts = sorted(((r["s"], r["c"], r["k"]) for r in table.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("c"), F.count_if(short).alias("k")).collect()), reverse=True)
     least, held = None, 0
-    for s, c in counts:
+    for s, _, c in counts:
         if held + c > most:
             break
         least, held = s, held + c
-    rows = [] if least is None else table.filter(step >= least).select("t", "pieces").collect()
-    return {r["t"]: r["pieces"] for r in rows}, sum(c for _, c in counts)
+    rows = [] if least is None else table.filter((step >= least) & short).select("t", "pieces").collect()
+    return {r["t"]: r["pieces"] for r in rows}, sum(c for _, c, _ in counts)
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = "piece_bpe_32k.model", head: int | None = None) -> DataFrame:
@@ -194,6 +211,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for value in batch.column(1):
                 text = value.as_py() or ""
                 frequency = Counter(pre_tokens(text))
+                if max(map(len, frequency), default=0) > LONG:
+                    frequency = {join_key(t): f for t, f in frequency.items()}
                 n_bytes.append(len(text.encode()))
                 pieces = list(map(often.get, frequency))
                 if None in pieces:
