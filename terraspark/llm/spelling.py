@@ -156,7 +156,7 @@ def _strings(codes: np.ndarray, at: int | None = None, letters: np.ndarray | Non
     if at is not None:
         codes[:, at] = letters
     text, size = codes.tobytes().decode("latin-1"), codes.shape[1]
-    return [text[i : i + size] for i in range(0, len(text), size)]
+    return [text[i * size : (i + 1) * size] for i in range(len(codes))]
 
 
 def near_words(vocabulary: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
