@@ -59,27 +59,66 @@ def _krueger() -> tuple[float, list[float], float]:
     return big, [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240], 2 * math.sqrt(n) / (1 + n)
 
 
-def project(lon: Column, lat: Column, crs: str) -> tuple[Column, Column]:
-    """Degrees to metres: web Mercator, or UTM by Krueger's series; other systems are an error."""
+def _inverse_krueger() -> tuple[list[float], list[float]]:
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    return [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480], [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+
+
+def _utm(crs: str) -> tuple[int, float]:
+    """Middle meridian and false northing of a UTM zone; other systems are an error."""
     code = int(crs.rpartition(":")[2])
-    if code == 3857:
-        return F.radians(lon) * RADIUS, F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * RADIUS
     if not (32601 <= code <= 32660 or 32701 <= code <= 32760):
         raise ValueError(f"unsupported system {crs}")
-    zone, south = code % 100, code > 32700
+    return code % 100 * 6 - 183, 1e7 if code > 32700 else 0.0
+
+
+def project(lon, lat, crs: str, m=F):
+    """Degrees to metres: web Mercator, or UTM by Krueger's series; EPSG:4326 stays. ``m``: functions of columns, or numpy for arrays."""
+    if crs == "EPSG:4326":
+        return lon, lat
+    if crs == "EPSG:3857":
+        return m.radians(lon) * RADIUS, m.log(m.tan(math.pi / 4 + m.radians(lat) / 2)) * RADIUS
+    middle, northing = _utm(crs)
     big, alpha, k = _krueger()
-    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    t = F.sinh(F.atanh(F.sin(phi)) - k * F.atanh(k * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    phi, lam = m.radians(lat), m.radians(lon - middle)
+    t = m.sinh(m.atanh(m.sin(phi)) - k * m.atanh(k * m.sin(phi)))
+    xi, eta = m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / m.sqrt(1 + t * t))
     east, north = eta, xi
     for j, a in enumerate(alpha, 1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500000 + 0.9996 * big * east, (10000000 if south else 0) + 0.9996 * big * north
+        east = east + a * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
+        north = north + a * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
+    return 500000 + 0.9996 * big * east, northing + 0.9996 * big * north
+
+
+def unproject(x, y, crs: str, m=F):
+    """Metres to degrees, the inverse of ``project``: UTM by the inverse series, to some millimetres within a zone."""
+    if crs == "EPSG:4326":
+        return x, y
+    if crs == "EPSG:3857":
+        return m.degrees(x / RADIUS), m.degrees(2 * m.atan(m.exp(y / RADIUS)) - math.pi / 2)
+    middle, northing = _utm(crs)
+    big = _krueger()[0]
+    beta, delta = _inverse_krueger()
+    xi, eta = (y - northing) / (0.9996 * big), (x - 500000) / (0.9996 * big)
+    u, v = xi, eta
+    for j, b in enumerate(beta, 1):
+        u = u - b * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
+        v = v - b * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
+    chi = m.asin(m.sin(u) / m.cosh(v))
+    phi = chi
+    for j, d in enumerate(delta, 1):
+        phi = phi + d * m.sin(2 * j * chi)
+    return middle + m.degrees(m.atan2(m.sinh(v), m.cos(u))), m.degrees(phi)
+
+
+def transform(x, y, source: str, target: str, m=F):
+    """A place of one system in another."""
+    return (x, y) if source == target else project(*unproject(x, y, source, m), target, m)
 
 
 def unproject_mercator(x: Column, y: Column) -> tuple[Column, Column]:
-    return F.degrees(x / RADIUS), F.degrees(2 * F.atan(F.exp(y / RADIUS)) - math.pi / 2)
+    return unproject(x, y, "EPSG:3857")
 
 
 def outline(spark: SparkSession, lon_min: float, lat_min: float, lon_max: float, lat_max: float, points: int = 21) -> DataFrame:
@@ -99,8 +138,11 @@ def master_grid(spark: SparkSession, lon_min: float, lat_min: float, lon_max: fl
     return Grid(metres, 0.0, r[0], 0.0, -metres, r[3], math.ceil((r[1] - r[0]) / metres), math.ceil((r[3] - r[2]) / metres), crs)
 
 
-def mercator_bounds(spark: SparkSession, grid: Grid) -> tuple[float, float, float, float]:
-    """(lon_min, lat_min, lon_max, lat_max) of a web Mercator grid's four corners."""
+def grid_bounds(spark: SparkSession, grid: Grid) -> tuple[float, float, float, float]:
+    """(lon_min, lat_min, lon_max, lat_max) of a grid's four corners, in any system that ``project`` knows."""
     corners = spark.createDataFrame([(0.0, 0.0), (float(grid.width), 0.0), (0.0, float(grid.height)), (float(grid.width), float(grid.height))], "c double, r double")
-    lon, lat = unproject_mercator(*grid.to_world(F.col("c"), F.col("r")))
+    lon, lat = unproject(*grid.to_world(F.col("c"), F.col("r")), grid.crs)
     return tuple(corners.select(lon.alias("lon"), lat.alias("lat")).agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first())
+
+
+mercator_bounds = grid_bounds

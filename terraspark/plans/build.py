@@ -7,42 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraspark.functions.scalars import finite
-from terraspark.grid import Grid
 from terraspark.operators import aggregates as A
 from terraspark.operators import distance as D
 from terraspark.operators import graph as G
-from terraspark.operators import resample as R
 from terraspark.operators import stencil as T
 from terraspark.operators import vector as V
+from terraspark.operators.warp import warp  # noqa: F401  (part of the products)
 from terraspark.sources.binary_maps import SPACING, samples
 from terraspark.sources.tiles import filled
 
 
-def warp(raster: DataFrame, source: Grid, target: Grid, value: str = "v", method: str = "bilinear", window: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """(z, x, value) of a raster on another grid of the same system: nearest, bilinear or cubic spline, by valid (non-null) source cells.
-
-    Where target cells are larger than source cells the kernel is widened, so that all of them
-    count. ``window``: (z0, x0, z1, x1) of the target to read; only source cells it needs are.
-    """
-    spark = raster.sparkSession
-    cells = filled(spark, target.width, target.height).select("z", "x")
-    if window:
-        z0, x0, z1, x1 = window
-        cells = cells.filter((F.col("z") >= z0) & (F.col("z") < z1) & (F.col("x") >= x0) & (F.col("x") < x1))
-    wx, wy = target.to_world(F.col("x") + 0.5, F.col("z") + 0.5)
-    p = cells.withColumn("_wx", wx).withColumn("_wy", wy)
-    fx, fz = source.to_pixel(F.col("_wx"), F.col("_wy"))
-    p = p.select((F.col("z").cast("long") * target.width + F.col("x")).alias("pid"), "z", "x", (fz - 0.5).alias("fz"), (fx - 0.5).alias("fx"))
-    if method == "nearest":
-        src = raster.select(F.col("z").alias("_z"), F.col("x").alias("_x"), value)
-        q = p.select("z", "x", F.floor(F.col("fz") + 0.5).cast("int").alias("_z"), F.floor(F.col("fx") + 0.5).cast("int").alias("_x"))
-        return q.join(src, ["_z", "_x"], "left").select("z", "x", value)
-    kernel, radius = {"bilinear": (R.triangle, 1), "cubic": (R.cubic_spline, 2)}[method]
-    scale = (abs(target.e / source.e), abs(target.a / source.a))
-    got = R.sample_kernel(p.select("pid", "fz", "fx"), raster, value, "_o", kernel, radius, scale)
-    return got.select(F.floor(F.col("pid") / target.width).cast("int").alias("z"), F.pmod("pid", F.lit(target.width)).cast("int").alias("x"), F.col("_o").alias(value))
-
-
 KELVIN = 273.15
 
 
@@ -65,7 +39,7 @@ def climate_records(monthly: DataFrame, ground: DataFrame, width: int, height: i
     full = near.join(v.withColumnsRenamed({"z": "nz", "x": "nx"}), ["nz", "nx"]).drop("nz", "nx")
     t = full.filter("variable = 'tas'").withColumn("v", F.col("v") - KELVIN)
     tenths = F.rint(F.least(F.greatest(F.col("v") * 10, F.lit(-32768.0)), F.lit(32767.0))).cast("int")
-    months = t.groupBy("z", "x").agg(F.transform(F.sort_array(F.collect_list(F.struct("month", tenths.alias("t")))), lambda p: p["t"]).alias("temperature"), F.sum(F.col("v") / 12.0).alias("annual"))
+    months = t.groupBy("z", "x").agg(F.transform(F.sort_array(F.collect_list(F.struct("month", tenths.alias("t")))), lambda p: p["t"]).alias("temperature")).join(A.annual_mean(t, ["z", "x"], "v", "annual"), ["z", "x"])
     sums = [A.annual_sum(full.filter(F.col("variable") == k), ["z", "x"], "v", n) for k, n in (("pr", "precipitation"), ("pet", "pet"))]
     y = A.footprint_mean(ground, "y", "_y", SPACING, sh, sw).select(F.col("sz").alias("z"), F.col("sx").alias("x"), "_y")
     out = months.join(sums[0], ["z", "x"]).join(sums[1], ["z", "x"]).join(y, ["z", "x"])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraspark.functions import scalars as S
-from terraspark.grid import Grid
+from terraspark.grid import Grid, project
 from terraspark.operators import graph as G
 from terraspark.operators import maps as M
 from terraspark.operators import stencil as T
@@ -332,50 +335,116 @@ def gra08(spark, sf):
 # ---- warps ---------------------------------------------------------------------------------------
 
 
-def _grids(dst: float, rows: int, cols: int) -> tuple[Grid, Grid]:
-    return Grid(1.0, 0.0, 0.0, 0.0, -1.0, 400.0, 64, 400, "EPSG:3857"), Grid(dst, 0.0, 0.0, 0.0, -dst, 400.0, cols, rows, "EPSG:3857")
+_N = "(SELECT max(z) + 1 FROM r1)"
+
+
+def _holed(spark, sf):
+    """The raster with holes, and its number of rows."""
+    c = r1(spark, sf)
+    return c.select("z", "x", F.when(F.col("v") % 9 > 0, F.col("v")).alias("v")), c.agg(F.max("z")).first()[0] + 1
 
 
-def _first_rows(spark, sf):
-    """The raster's first 400 rows with holes: a source of fixed extent."""
-    return r1(spark, sf).filter("z < 400").select("z", "x", F.when(F.col("v") % 9 > 0, F.col("v")).alias("v"))
+def _grids(dst: float, n: int, cols: int) -> tuple[Grid, Grid]:
+    return Grid(1.0, 0.0, 0.0, 0.0, -1.0, float(n), 64, n, "EPSG:3857"), Grid(dst, 0.0, 0.0, 0.0, -dst, float(n), cols, math.ceil(n / dst), "EPSG:3857")
 
 
-_SOURCE = f"{R1}, s AS MATERIALIZED (SELECT z, x, v FROM r1 WHERE z < 400 AND v % 9 > 0)"
+_SOURCE = f"{R1}, s AS MATERIALIZED (SELECT z, x, v FROM r1 WHERE v % 9 > 0)"
 
 
-def _warp_sql(dst: float, rows: int, cols: int, kernel: str, radius: int) -> str:
+def _warp_sql(dst: float, cols: int, kernel: str, radius: int) -> str:
     sc = max(1.0, dst)
     axis = lambda n, a, f: f"{a} AS (SELECT CAST(i AS INT) AS {a}i, (i + 0.5) * {dst}::DOUBLE - 0.5 AS f FROM (SELECT unnest(range(0, {n})) AS i)), {a}w AS (SELECT {a}i, k, {kernel.format(d=f'((k - f) / {sc}::DOUBLE)')} AS w FROM (SELECT {a}i, f, unnest(range(CAST(ceil(f - {radius * sc}) AS INT), CAST(floor(f + {radius * sc}) AS INT) + 1)) AS k FROM {a}))"
-    return f"WITH {_SOURCE}, {axis(rows, 'zz', 'f')}, {axis(cols, 'xx', 'f')} SELECT zzi AS z, xxi AS x, round(sum(zzw.w * xxw.w * v) / sum(zzw.w * xxw.w), 6)::DOUBLE AS v FROM s JOIN zzw ON zzw.k = s.z JOIN xxw ON xxw.k = s.x WHERE zzw.w > 0 AND xxw.w > 0 GROUP BY 1, 2"
+    return f"WITH {_SOURCE}, {axis(f'CAST(ceil({_N} / {dst}::DOUBLE) AS INT)', 'zz', 'f')}, {axis(cols, 'xx', 'f')} SELECT zzi AS z, xxi AS x, round(sum(zzw.w * xxw.w * v) / sum(zzw.w * xxw.w), 6)::DOUBLE AS v FROM s JOIN zzw ON zzw.k = s.z JOIN xxw ON xxw.k = s.x WHERE zzw.w > 0 AND xxw.w > 0 GROUP BY 1, 2"
 
 
 _TRIANGLE = "greatest(0.0::DOUBLE, 1 - abs({d}))"
 _SPLINE = "(CASE WHEN abs({d}) < 1 THEN (4 - 6 * abs({d}) ** 2 + 3 * abs({d}) ** 3) / 6 WHEN abs({d}) < 2 THEN (2 - abs({d})) ** 3 / 6 ELSE 0.0 END)"
 
 
-@query("rsm01_warp_cubic", _warp_sql(1.6, 250, 40, _SPLINE, 2))
+@query("rsm01_warp_cubic", _warp_sql(1.6, 40, _SPLINE, 2))
 def rsm01(spark, sf):
-    a, b = _grids(1.6, 250, 40)
-    return B.warp(_first_rows(spark, sf), a, b, method="cubic").filter("v IS NOT NULL").select("z", "x", F.round("v", 6).alias("v"))
+    c, n = _holed(spark, sf)
+    return B.warp(c, *_grids(1.6, n, 40), method="cubic").filter("v IS NOT NULL").select("z", "x", F.round("v", 6).alias("v"))
 
 
-@query("rsm02_warp_bilinear", _warp_sql(0.8, 500, 80, _TRIANGLE, 1))
+@query("rsm02_warp_bilinear", _warp_sql(0.8, 80, _TRIANGLE, 1))
 def rsm02(spark, sf):
-    a, b = _grids(0.8, 500, 80)
-    return B.warp(_first_rows(spark, sf), a, b).filter("v IS NOT NULL").select("z", "x", F.round("v", 6).alias("v"))
+    c, n = _holed(spark, sf)
+    return B.warp(c, *_grids(0.8, n, 80)).filter("v IS NOT NULL").select("z", "x", F.round("v", 6).alias("v"))
 
 
-@query("rsm05_windowed_shrink", _warp_sql(4.0, 100, 16, _TRIANGLE, 1).replace("GROUP BY 1, 2", "AND zzi BETWEEN 10 AND 39 AND xxi BETWEEN 3 AND 11 GROUP BY 1, 2"))
+@query("rsm05_windowed_shrink", _warp_sql(4.0, 16, _TRIANGLE, 1).replace("GROUP BY 1, 2", "AND zzi BETWEEN 10 AND 39 AND xxi BETWEEN 3 AND 11 GROUP BY 1, 2"))
 def rsm05(spark, sf):
-    a, b = _grids(4.0, 100, 16)
-    return B.warp(_first_rows(spark, sf), a, b, window=(10, 3, 40, 12)).filter("v IS NOT NULL").select("z", "x", F.round("v", 6).alias("v"))
+    c, n = _holed(spark, sf)
+    return B.warp(c, *_grids(4.0, n, 16), window=(10, 3, 40, 12)).filter("v IS NOT NULL").select("z", "x", F.round("v", 6).alias("v"))
 
 
-@query("rsm06_align_nearest", f"WITH {_SOURCE}, t AS (SELECT CAST(i AS INT) AS z, CAST(j AS INT) AS x, CAST(floor((i + 0.5) * 2.5::DOUBLE) AS INT) AS sz, CAST(floor((j + 0.5) * 2.5::DOUBLE) AS INT) AS sx FROM (SELECT unnest(range(0, 160)) AS i), (SELECT unnest(range(0, 25)) AS j)) SELECT t.z, t.x, v FROM t JOIN s ON s.z = sz AND s.x = sx")
+@query("rsm06_align_nearest", f"WITH {_SOURCE}, t AS (SELECT CAST(i AS INT) AS z, CAST(j AS INT) AS x, CAST(floor((i + 0.5) * 2.5::DOUBLE) AS INT) AS sz, CAST(floor((j + 0.5) * 2.5::DOUBLE) AS INT) AS sx FROM (SELECT unnest(range(0, CAST(ceil({_N} / 2.5::DOUBLE) AS INT))) AS i), (SELECT unnest(range(0, 25)) AS j)) SELECT t.z, t.x, v FROM t JOIN s ON s.z = sz AND s.x = sx")
 def rsm06(spark, sf):
-    a, b = _grids(2.5, 160, 25)
-    return B.warp(_first_rows(spark, sf), a, b, method="nearest").filter("v IS NOT NULL").select("z", "x", "v")
+    c, n = _holed(spark, sf)
+    return B.warp(c, *_grids(2.5, n, 25), method="nearest").filter("v IS NOT NULL").select("z", "x", "v")
+
+
+# the raster as degrees: 64 columns of 3/32 of a degree from 12 E on, its rows from 60 N to 40 S
+
+
+def _degrees(n: int) -> Grid:
+    return Grid(0.09375, 0.0, 12.0, 0.0, -100.0 / n, 60.0, 64, n, "EPSG:4326")
+
+
+def _mercator_target(n: int) -> Grid:
+    """Web Mercator over the same box, 48 columns and three quarters of the rows."""
+    (x0, y0), (x1, y1) = project(12.0, 60.0, "EPSG:3857", np), project(18.0, -40.0, "EPSG:3857", np)
+    rows = n * 3 // 4
+    return Grid(float(x1 - x0) / 48, 0.0, float(x0), 0.0, float(y1 - y0) / rows, float(y0), 48, rows, "EPSG:3857")
+
+
+def _mercator_sql() -> str:
+    y = lambda lat: f"ln(tan(pi() / 4 + radians({lat}::DOUBLE) / 2))"
+    n, rows = "(SELECT n FROM e)", "(SELECT n * 3 // 4 FROM e)"
+    lat = f"degrees(2 * atan(exp({y(60)} + (i + 0.5) * ({y(-40)} - {y(60)}) / {rows})) - pi() / 2)"
+    line = lambda a, count, f, sc: f"{a} AS (SELECT i, {f} AS f, {sc} AS sc FROM (SELECT unnest(range(0, {count})) AS i)), {a}w AS (SELECT i, k, {_SPLINE.format(d='((k - f) / sc)')} AS w FROM (SELECT i, f, sc, unnest(range(CAST(ceil(f - 2 * sc) AS INT), CAST(floor(f + 2 * sc) AS INT) + 1)) AS k FROM {a}))"
+    return (
+        f"WITH {_SOURCE}, e AS MATERIALIZED (SELECT CAST(max(z) + 1 AS BIGINT) AS n FROM r1), {line('zz', rows, f'(60 - {lat}) * {n} / 100.0::DOUBLE - 0.5', f'greatest(1.0::DOUBLE, {n}::DOUBLE / {rows})')}, {line('xx', 48, '(i + 0.5) * 64 / 48.0::DOUBLE - 0.5', '(64 / 48.0::DOUBLE)')} "
+        "SELECT CAST(zzw.i AS INT) AS z, CAST(xxw.i AS INT) AS x, round(sum(zzw.w * xxw.w * v) / sum(zzw.w * xxw.w), 3)::DOUBLE AS v FROM s JOIN zzw ON zzw.k = s.z JOIN xxw ON xxw.k = s.x WHERE zzw.w > 0 AND xxw.w > 0 GROUP BY 1, 2"
+    )
+
+
+@query("rsm01_degrees_to_mercator", _mercator_sql())
+def rsm01_degrees_to_mercator(spark, sf):
+    c, n = _holed(spark, sf)
+    return B.warp(c, _degrees(n), _mercator_target(n), method="cubic").filter("v IS NOT NULL").select("z", "x", F.round("v", 3).alias("v"))
+
+
+def _utm_target(n: int) -> Grid:
+    """Zone 33 N, 167 to 833 km east and 6,600 km north to 4,400 km south of the equator, finer than the source."""
+    rows = n * 5 // 4
+    return Grid(666000.0 / 144, 0.0, 167000.0, 0.0, -11000000.0 / rows, 6600000.0, 144, rows, "EPSG:32633")
+
+
+def _utm_sql() -> str:
+    """The inverse series of the transverse Mercator projection to the third power of the third flattening."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    big = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15]
+    d = lambda v: f"{v!r}::DOUBLE"
+    u = "xi" + "".join(f" - {d(b)} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in enumerate(beta, 1))
+    v = "eta" + "".join(f" - {d(b)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(beta, 1))
+    phi = "chi" + "".join(f" + {d(b)} * sin({2 * j} * chi)" for j, b in enumerate(delta, 1))
+    return f"""WITH {_SOURCE}, e AS MATERIALIZED (SELECT CAST(max(z) + 1 AS BIGINT) AS n, CAST((max(z) + 1) * 5 // 4 AS BIGINT) AS rows FROM r1),
+ t AS (SELECT i, j, n, (6600000 - (i + 0.5) * 11000000.0::DOUBLE / rows) / {d(big)} AS xi, (167000 + (j + 0.5) * 666000.0::DOUBLE / 144 - 500000) / {d(big)} AS eta FROM (SELECT n, rows, unnest(range(0, rows)) AS i FROM e), (SELECT unnest(range(0, 144)) AS j)),
+ w AS (SELECT i, j, n, {u} AS u, {v} AS v FROM t), g AS (SELECT i, j, n, asin(sin(u) / cosh(v)) AS chi, 15 + degrees(atan2(sinh(v), cos(u))) AS lon FROM w),
+ p AS MATERIALIZED (SELECT i, j, (60 - degrees({phi})) * n / 100.0::DOUBLE - 0.5 AS fz, (lon - 12) / 0.09375::DOUBLE - 0.5 AS fx FROM g),
+ c AS (SELECT i, j, CAST(floor(fz) AS INT) + a AS z, CAST(floor(fx) AS INT) + b AS x, (CASE WHEN a = 0 THEN 1 - (fz - floor(fz)) ELSE fz - floor(fz) END) * (CASE WHEN b = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) AS k FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(a, b))
+ SELECT CAST(i AS INT) AS z, CAST(j AS INT) AS x, round(sum(k * s.v) / sum(k), 3)::DOUBLE AS v FROM c JOIN s ON s.z = c.z AND s.x = c.x WHERE k > 0 GROUP BY 1, 2"""
+
+
+@query("rsm02_degrees_to_utm", _utm_sql())
+def rsm02_degrees_to_utm(spark, sf):
+    c, n = _holed(spark, sf)
+    return B.warp(c, _degrees(n), _utm_target(n)).filter("v IS NOT NULL").select("z", "x", F.round("v", 3).alias("v"))
 
 
 @query("rsm08_decode", "SELECT user_id AS sample, round(avg(CAST(event_id % 4000 AS DOUBLE) * 0.1 + 0.5 - 273.15), 6) AS t FROM events GROUP BY 1")
