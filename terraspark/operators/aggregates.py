@@ -32,9 +32,9 @@ def footprint_mean(cells: DataFrame, value: str, out: str, spacing: int, samples
 
 def lapse_rate(cells: DataFrame, height: str, temperature: str, size: int = 21) -> DataFrame:
     """One row: regression through the origin of local anomalies, between -0.5 and 0; 0 if the heights don't vary."""
-    from terraspark.operators.stencil import mean_filter
+    from terraspark.operators.stencil import focal, mean
 
-    df = mean_filter(mean_filter(cells, height, "_hm", size), temperature, "_tm", size)
+    df = focal(cells, [height, temperature], size // 2, {"_hm": "double", "_tm": "double"}, lambda p, here: {"_hm": mean(p[height], here, size), "_tm": mean(p[temperature], here, size)})
     h, t = F.col(height) - F.col("_hm"), F.col(temperature) - F.col("_tm")
     return df.agg(F.sum(h * t).alias("ht"), F.sum(h * h).alias("hh")).select(F.when(F.col("hh") < 1e-6, 0.0).otherwise(F.least(F.greatest(F.col("ht") / F.col("hh"), F.lit(-0.5)), F.lit(0.0))).alias("lapse"))
 

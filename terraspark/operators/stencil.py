@@ -268,7 +268,9 @@ def drop_repeats(cells: DataFrame, way: str, order: str, value: str) -> DataFram
 
 
 def halo(tiles: DataFrame, size: int, margin: int) -> DataFrame:
-    """(tz, tx, core, z, x, ...): each cell in its own tile and in those whose halo it lies in."""
+    """(tz, tx, core, z, x, ...): each cell in its own tile and in those whose halo it lies in; a margin wider than a tile is an error."""
+    if margin > size:
+        raise ValueError(f"a margin of {margin} cells reaches beyond the next tile of {size}")
     side = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - margin) / size), F.floor(F.col(c) / size), F.floor((F.col(c) + margin) / size)))
     out = tiles.withColumn("tz", F.explode(side("z"))).withColumn("tx", F.explode(side("x")))
     return out.withColumn("core", (F.floor(F.col("z") / size) == F.col("tz")) & (F.floor(F.col("x") / size) == F.col("tx")))

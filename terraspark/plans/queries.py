@@ -69,7 +69,7 @@ def prj11(spark, sf):
 
 @query(
     "prj12_coast_repair",
-    f"""WITH {R3}, o AS (SELECT z, x FROM r3 WHERE land = 0 AND NOT lake), n AS (SELECT DISTINCT z + a AS z, x + b AS x FROM o, (SELECT unnest(range(-3, 4)) AS a), (SELECT unnest(range(-3, 4)) AS b)),
+    f"""WITH {R3}, o AS MATERIALIZED (SELECT z, x FROM r3 WHERE land = 0 AND NOT lake), k AS MATERIALIZED (SELECT a, b FROM (SELECT unnest(range(-3, 4)) AS a), (SELECT unnest(range(-3, 4)) AS b)), n AS MATERIALIZED (SELECT DISTINCT z + a AS z, x + b AS x FROM o, k),
  f AS (SELECT r3.*, land <> 0 AND NOT lake AND height < 125 AND n.z IS NOT NULL AS flood FROM r3 LEFT JOIN n ON r3.z = n.z AND r3.x = n.x)
  SELECT z, x, CASE WHEN flood THEN 0 ELSE height END AS height, CASE WHEN flood THEN 0 ELSE land END AS land, CAST(lake AS INT) AS lake, CASE WHEN flood OR (land = 0 AND bathy < 50) THEN 125 ELSE bathy END AS bathy FROM f""",
 )
@@ -286,7 +286,7 @@ def jon11(spark, sf):
     return r6(spark, sf).join(F.broadcast(M.profiles(spark)), "biome", "left").select("part", "biome", F.coalesce("forest0", F.lit(0)).alias("forest"))
 
 
-@query("jon12_near_river", f"WITH {R3}, r AS (SELECT DISTINCT z + dz AS z, x + dx AS x FROM r3, (SELECT unnest(range(-4, 5)) AS dz), (SELECT unnest(range(-4, 5)) AS dx) WHERE river AND dz * dz + dx * dx <= 16) SELECT r3.z, r3.x, r.z IS NOT NULL AS near FROM r3 LEFT JOIN r ON r3.z = r.z AND r3.x = r.x")
+@query("jon12_near_river", f"WITH {R3}, k AS MATERIALIZED (SELECT dz, dx FROM (SELECT unnest(range(-4, 5)) AS dz), (SELECT unnest(range(-4, 5)) AS dx) WHERE dz * dz + dx * dx <= 16), w AS MATERIALIZED (SELECT z, x FROM r3 WHERE river), r AS MATERIALIZED (SELECT DISTINCT z + dz AS z, x + dx AS x FROM w, k) SELECT r3.z, r3.x, r.z IS NOT NULL AS near FROM r3 LEFT JOIN r ON r3.z = r.z AND r3.x = r.x")
 def jon12(spark, sf):
     return D.near_flag(r3(spark, sf).select("z", "x", "river"), "river", "near").select("z", "x", "near")
 
@@ -423,7 +423,7 @@ def stn03(spark, sf):
     return T.median3(r1(spark, sf), "v", "m").select("z", "x", "m")
 
 
-@query("stn04_dilate4", f"WITH {R3}, d AS (SELECT DISTINCT z + a AS z, x + b AS x FROM r3, (SELECT unnest([0, 0, 0, 1, -1]) AS a, unnest([0, 1, -1, 0, 0]) AS b) WHERE lake) SELECT r3.z, r3.x, d.z IS NOT NULL AS touch FROM r3 LEFT JOIN d ON d.z = r3.z AND d.x = r3.x")
+@query("stn04_dilate4", f"WITH {R3}, k AS MATERIALIZED (SELECT unnest([0, 0, 0, 1, -1]) AS a, unnest([0, 1, -1, 0, 0]) AS b), w AS MATERIALIZED (SELECT z, x FROM r3 WHERE lake), d AS MATERIALIZED (SELECT DISTINCT z + a AS z, x + b AS x FROM w, k) SELECT r3.z, r3.x, d.z IS NOT NULL AS touch FROM r3 LEFT JOIN d ON d.z = r3.z AND d.x = r3.x")
 def stn04(spark, sf):
     return T.dilate4(r3(spark, sf), "lake", "touch").select("z", "x", "touch")
 
@@ -489,7 +489,7 @@ def stn15(spark, sf):
 
 
 def _dist_sql(metric: str, cap: int) -> str:
-    return f"WITH {R3}, n AS (SELECT z + a AS z, x + b AS x, min({metric}) AS d FROM r3, (SELECT unnest(range(-{cap}, {cap} + 1)) AS a), (SELECT unnest(range(-{cap}, {cap} + 1)) AS b) WHERE lake AND {metric} <= {cap} GROUP BY 1, 2) SELECT r3.z, r3.x, CAST(d AS INT) AS d FROM r3 LEFT JOIN n ON n.z = r3.z AND n.x = r3.x"
+    return f"WITH {R3}, k AS MATERIALIZED (SELECT a, b, {metric} AS m FROM (SELECT unnest(range(-{cap}, {cap} + 1)) AS a), (SELECT unnest(range(-{cap}, {cap} + 1)) AS b) WHERE {metric} <= {cap}), w AS MATERIALIZED (SELECT z, x FROM r3 WHERE lake), n AS MATERIALIZED (SELECT z + a AS z, x + b AS x, min(m) AS d FROM w, k GROUP BY 1, 2) SELECT r3.z, r3.x, CAST(d AS INT) AS d FROM r3 LEFT JOIN n ON n.z = r3.z AND n.x = r3.x"
 
 
 @query("dst01_chessboard", _dist_sql("greatest(abs(a), abs(b))", 12))
@@ -744,12 +744,12 @@ def str07(spark, sf):
     return reconcile(desired(held.withColumn("px", F.lit(3)).withColumn("pz", F.lit(2)), 40), held)
 
 
-@query("str03_04_chunks", f"WITH {R1} SELECT CAST(z // 100 AS INT) AS tile, CAST(count(*) AS INT) AS n FROM r1 GROUP BY 1")
+@query("str03_04_chunks", f"WITH {R1} SELECT CAST(z // 100 AS INT) AS tile, CAST(count(*) AS INT) AS n, sha256(unhex(string_agg(printf('%02X', v), '' ORDER BY z, x))) AS digest FROM r1 GROUP BY 1")
 def str03(spark, sf):
     from terraspark.streaming.tile_sync import chunk, reassemble
 
     rows = r1(spark, sf).groupBy(F.floor(F.col("z") / 100).cast("int").alias("tile")).agg(F.to_binary(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("z", "x", "v"))), lambda p: F.lpad(F.hex(p["v"]), 2, "0")), ""), F.lit("hex")).alias("payload"))
-    return reassemble(chunk(rows, 1024), 1024).select("tile", F.octet_length("payload").alias("n"))
+    return reassemble(chunk(rows, 1024), 1024).select("tile", F.octet_length("payload").alias("n"), F.sha2("payload", 256).alias("digest"))
 
 
 # ---- more sinks, vectors and graphs ----------------------------------------------------------

@@ -90,7 +90,11 @@ def single_band(path: str) -> None:
 
 
 def unpack(archive: str, folder: str, wanted: str) -> str:
-    """``folder`` with the archive's files, unless ``wanted`` is there already; a single folder around all of them is left out."""
+    """``folder`` with the archive's files, unless ``wanted`` is there already; a single folder around all of them is left out.
+
+    The archive is unpacked beside the folder and checked. Then its files move in, over files of the
+    same name; whatever else the folder holds stays.
+    """
 
     def make(part: str) -> None:
         with zipfile.ZipFile(archive) as z:
@@ -109,9 +113,21 @@ def unpack(archive: str, folder: str, wanted: str) -> str:
 
     if os.path.exists(os.path.join(folder, wanted)):
         return folder
-    if os.path.isdir(folder):
-        shutil.rmtree(folder)
-    return _published(folder, make)
+    if not os.path.isdir(folder):
+        return _published(folder, make)
+    part = f"{folder.rstrip(os.sep)}.{uuid.uuid4().hex}.part"
+    try:
+        make(part)
+        last = os.path.normpath(os.path.join(part, wanted))
+        files = sorted((os.path.join(d, n) for d, _, names in os.walk(part) for n in names), key=lambda p: p == last)
+        for path in files:  # the wanted file last: once it is there, all are
+            to = os.path.join(folder, os.path.relpath(path, part))
+            os.makedirs(os.path.dirname(to), exist_ok=True)
+            os.replace(path, to)
+    finally:
+        if os.path.isdir(part):
+            shutil.rmtree(part)
+    return folder
 
 
 def is_geographic(path: str) -> bool:

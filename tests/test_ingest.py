@@ -52,6 +52,23 @@ def test_archives(tmp_path):
     assert not os.path.exists(tmp_path / "out2") and not os.path.exists(tmp_path / "x")
 
 
+def test_unpack_leaves_what_a_folder_holds(tmp_path):
+    a = str(tmp_path / "a.zip")
+    with zipfile.ZipFile(a, "w") as z:
+        z.writestr("d/land.shp", "new")
+        z.writestr("d/sub/x", "new")
+    folder = tmp_path / "mine"
+    (folder / "sub").mkdir(parents=True)
+    (folder / "own.txt").write_text("own")
+    (folder / "sub" / "x").write_text("old")
+    with pytest.raises(ValueError):
+        ingest.unpack(a, str(folder), "sea.shp")
+    assert sorted(os.listdir(folder)) == ["own.txt", "sub"] and (folder / "sub" / "x").read_text() == "old"
+    ingest.unpack(a, str(folder), "land.shp")
+    assert sorted(os.listdir(folder)) == ["land.shp", "own.txt", "sub"] and (folder / "own.txt").read_text() == "own" and (folder / "sub" / "x").read_text() == "new"
+    assert sorted(os.listdir(tmp_path)) == ["a.zip", "mine"]
+
+
 def test_release_is_the_same_bytes(tmp_path):
     for n in ("b.py", "a.py"):
         (tmp_path / n).write_text(n)
