@@ -1,17 +1,19 @@
 """River-network operators: components, outlets, shortest paths, profiles and min-plus fixpoints.
 
 Fixpoints (step limit, relaxation, downstream lowering) have one greatest solution.
-They are solved block by block: a block holds the nodes of a range of ids, which on a
-raster is a band of rows, and a kernel settles it as a whole. Between rounds only
-levels that went down cross the blocks' borders, and only blocks that they reach are
-solved again, so the number of rounds is that of blocks on a path, not of cells.
-Components are contracted the same way; shortest paths and strong components are made
+They are solved block by block: a block holds the nodes of a square tile of a raster, or
+of a range of ids, and a kernel settles it as a whole and reduces it to the costs of the
+ways between its border nodes. The graph of the borders, a small part of the nodes, is
+solved in the same way with larger blocks, and its levels go back into the blocks that
+they lower: each node is settled twice at most, however long the rivers are.
+Components are contracted in the same way; shortest paths and strong components are made
 of such fixpoints, and profiles are fitted path by path, a generation of tributaries at
-a time. Each round is written to the session's checkpoint folder.
+a time. Each step is written to the session's checkpoint folder.
 """
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -36,17 +38,40 @@ def cut_lineage(spark: SparkSession, df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/terraspark/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
 
-def forget(spark: SparkSession, *tables: DataFrame) -> None:
-    """Removes tables of ``cut_lineage`` that nothing to come is read from."""
+#: Folders of ``cut_lineage`` that are not removed yet.
+_MADE: list[str] = []
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
     jvm = getattr(spark, "_jvm", None)
-    for t in tables if jvm is not None else ():
-        p = jvm.org.apache.hadoop.fs.Path(t.written_at)
+    for path in paths if jvm is not None else ():
+        p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _MADE.remove(path)
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables of ``cut_lineage`` that nothing to come is read from."""
+    _remove(spark, [t.written_at for t in tables if t.written_at in _MADE])
+
+
+def tidied(work):
+    """An operator whose result is written, and whose own tables are removed then."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        mark = len(_MADE)
+        out = cut_lineage(spark, work(spark, *args, **kwargs))
+        _remove(spark, [p for p in _MADE[mark:] if p != out.written_at])
+        return out
+
+    return run
 
 
 def neighbour_edges(cells: DataFrame) -> DataFrame:
@@ -111,6 +136,7 @@ def _hook(spark: SparkSession, links: DataFrame, rounds: int = 200) -> DataFrame
     raise RuntimeError("components: no fixpoint")
 
 
+@tidied
 def components(spark: SparkSession, edges: DataFrame, nodes: DataFrame, span: int = SPAN) -> DataFrame:
     """(id, component): the least id that undirected edges reach; a node without edges is its own.
 
@@ -152,43 +178,161 @@ def _settle_levels(level: np.ndarray, src: np.ndarray, dst: np.ndarray, cost: np
 
 def _solve_block(nodes: pa.Table, arcs: pa.Table) -> pa.Table:
     """(block, id, level, moved) of a block's nodes under its own arcs; ``was`` is the level that other blocks know."""
+    new = _settled(nodes, arcs)
+    was = nodes.take(pa.array(np.argsort(nodes.column("id").to_numpy()))).column("was").to_numpy(zero_copy_only=False)
+    return new.append_column("moved", pa.array(new.column("level").to_numpy() < was))
+
+
+#: Border nodes of a block up to which it is reduced to the costs between them.
+PORTS = 2048
+
+
+def _settled(nodes: pa.Table, arcs: pa.Table) -> pa.Table:
+    """(block, id, level) of a block's nodes under its own arcs; arcs from or to no node say nothing."""
     order = np.argsort(nodes.column("id").to_numpy())
     nodes = nodes.take(pa.array(order))
     ids, level = nodes.column("id").to_numpy(), nodes.column("level").to_numpy()
-    src, dst = (np.searchsorted(ids, arcs.column(c).to_numpy()) for c in ("src", "dst"))
-    new = _settle_levels(level, src, dst, arcs.column("cost").to_numpy().astype(level.dtype)) if len(ids) else level
-    was = nodes.column("was").to_numpy(zero_copy_only=False)
-    return pa.table({"block": nodes.column("block"), "id": nodes.column("id"), "level": pa.array(new), "moved": pa.array(new < was)})
+    if len(ids):
+        level = _settle_levels(level, *_own_arcs(ids, arcs, level.dtype))
+    return pa.table({"block": nodes.column("block"), "id": nodes.column("id"), "level": pa.array(level)})
+
 
+def _own_arcs(ids: np.ndarray, arcs: pa.Table, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arcs between the sorted ids as places among them, and their costs."""
+    ends = [arcs.column(c).to_numpy() for c in ("src", "dst")]
+    at = [np.minimum(np.searchsorted(ids, e), len(ids) - 1) for e in ends]
+    known = (ids[at[0]] == ends[0]) & (ids[at[1]] == ends[1])
+    return at[0][known], at[1][known], arcs.column("cost").to_numpy()[known].astype(kind)
 
-def relax(spark: SparkSession, levels: DataFrame, arcs: DataFrame, rounds: int = 5000, span: int = SPAN) -> DataFrame:
+
+def _reducer(low):
+    """A kernel that settles a block and gives the costs of the ways through it.
+
+    ``low``: the least level of all nodes. A way is followed only as long as even that level
+    could lower a node along it: beyond, it changes nothing.
+    """
+
+    def run(nodes: pa.Table, arcs: pa.Table) -> pa.Table:
+        order = np.argsort(nodes.column("id").to_numpy())
+        nodes = nodes.take(pa.array(order))
+        ids, level = nodes.column("id").to_numpy(), nodes.column("level").to_numpy()
+        enter, leave = (nodes.column(c).to_numpy(zero_copy_only=False) for c in ("enter", "leave"))
+        found: list[tuple[np.ndarray, ...]] = []
+        if len(ids):
+            src, dst, cost = _own_arcs(ids, arcs, level.dtype)
+            level = _settle_levels(level, src, dst, cost)
+            order = np.argsort(src, kind="stable")
+            src, dst, cost = src[order], dst[order], cost[order]
+            first = np.searchsorted(src, np.arange(len(ids) + 1))
+            far = np.array(np.inf if level.dtype.kind == "f" else np.iinfo(level.dtype).max // 2, level.dtype)
+            best = np.full(len(ids), far)
+            for e in np.flatnonzero(enter & (level > low)):
+                best[e] = 0
+                front, seen = np.array([e]), [np.array([e])]
+                while len(front):
+                    n = first[front + 1] - first[front]
+                    arc = np.repeat(first[front] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    to, way = dst[arc], np.repeat(best[front], n) + cost[arc]
+                    on = (way < best[to]) & (way + low < level[to])
+                    np.minimum.at(best, to[on], way[on])
+                    front = np.unique(to[on])
+                    seen.append(front)
+                met = np.unique(np.concatenate(seen))
+                out = met[leave[met] & (met != e)]
+                found.append((np.full(len(out), ids[e]), ids[out], best[out]))
+                best[met] = far
+        a, b, c = (np.concatenate(x) for x in zip(*found)) if found else (ids[:0], ids[:0], level[:0])
+        block = np.full(len(a), nodes.column("block")[0].as_py() if len(ids) else 0)
+        none = np.zeros(len(ids), level.dtype)
+        return pa.table({
+            "block": np.concatenate([nodes.column("block").to_numpy(), block]), "id": np.concatenate([ids, a]), "level": np.concatenate([level, c]),
+            "port": np.concatenate([enter | leave, np.zeros(len(a), bool)]), "dst": pa.array(np.concatenate([none.astype(ids.dtype), b]), mask=np.concatenate([np.ones(len(ids), bool), np.zeros(len(a), bool)])),
+        })
+
+    return run
+
+
+def relax(spark: SparkSession, levels: DataFrame, arcs: DataFrame, rounds: int = 5000, span: int = SPAN, width: int | None = None) -> DataFrame:
     """(id, level) lowered until level[dst] <= level[src] + cost on every arc of ``arcs(src, dst, cost)`` between given nodes.
 
-    Costs must not be negative. Rounds end when no level that went down offers a lower one
-    to another block.
+    Costs must not be negative. Blocks are ranges of ``span`` ids, or with ``width`` (ids are
+    z * width + x) square tiles of as many cells. Every block is settled and reduced to the costs
+    of the ways between its border nodes; the graph of the borders is solved in the same way with
+    blocks 16 times as large, and one pass puts its levels back into the blocks that they lower.
+    Where blocks have very many border nodes (ids that say nothing about place), levels that
+    went down cross the borders round by round instead.
     """
     kind = levels.schema["level"].dataType.simpleString()
     if arcs.schema["cost"].dataType.simpleString() in ("float", "double") or kind.startswith("decimal"):
         kind = "double"
-    levels = levels.withColumn("level", F.col("level").cast(kind))
-    every = arcs.filter("src <> dst").groupBy("src", "dst").agg(F.min("cost").alias("cost")).withColumn("block", _block("dst", span)).withColumn("_from", _block("src", span))
-    every = cut_lineage(spark, every)
+    nodes = levels.select("id", F.col("level").cast(kind).alias("level"))
+    every = arcs.filter("src <> dst").groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+    return _relax(spark, nodes, every, kind, _keys(span, width), 0, rounds, span)
+
+
+def _keys(span: int, width: int | None):
+    """The block of an id, as a column; blocks of the next step up are 16 times as large."""
+    if width is None:
+        return lambda c, up: F.floor(F.col(c) / (span * 16**up))
+    side = max(int(span**0.5), 1)
+    z = lambda c: F.floor(F.col(c) / width)
+    return lambda c, up: F.floor(z(c) / (side * 4**up)) * (1 << 31) + F.floor((F.col(c) - z(c) * width) / (side * 4**up))
+
+
+def _relax(spark: SparkSession, levels: DataFrame, arcs: DataFrame, kind: str, key, up: int, rounds: int, span: int) -> DataFrame:
+    nodes = levels.select(key("id", up).alias("block"), "id", "level")
+    found = nodes.agg(F.min("block"), F.max("block"), F.min("level"), F.count(F.lit(1))).first()
+    if found[3] == 0:
+        return levels
+    id_kind = levels.schema["id"].dataType.simpleString()
+    shape = f"block long, id {id_kind}, level {kind}"
+    solve = lambda n, a: n.groupBy("block").cogroup(a.groupBy("block")).applyInArrow(_settled, shape)
+    placed = arcs.select(key("dst", up).alias("block"), key("src", up).alias("_from"), "src", "dst", "cost")
+    if found[0] == found[1] or found[3] <= span:
+        zero = F.lit(0).cast("long")
+        return solve(nodes.withColumn("block", zero), placed.withColumn("block", zero)).select("id", "level")
+    placed = cut_lineage(spark, placed)
+    inner, cross = placed.filter("block = _from").drop("_from"), placed.filter("block <> _from")
+    ports = cross.select("block", F.col("dst").alias("id"), F.lit(True).alias("enter"), F.lit(False).alias("leave"))
+    ports = ports.unionAll(cross.select("_from", "src", F.lit(False), F.lit(True))).groupBy("block", "id").agg(F.max("enter").alias("enter"), F.max("leave").alias("leave"))
+    ports = cut_lineage(spark, ports)
+    most, blocks = ports.groupBy("block").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    if most is None:
+        forget(spark, ports)
+        return solve(nodes, inner).select("id", "level")
+    if most > PORTS:
+        forget(spark, ports)
+        return _by_rounds(spark, nodes, placed, kind, rounds)
+    flagged = nodes.join(ports, ["block", "id"], "left").select("block", "id", "level", F.coalesce("enter", F.lit(False)).alias("enter"), F.coalesce("leave", F.lit(False)).alias("leave"))
+    local = cut_lineage(spark, flagged.groupBy("block").cogroup(inner.groupBy("block")).applyInArrow(_reducer(found[2]), f"{shape}, port boolean, dst {id_kind}"))
+    settled = local.filter("dst IS NULL").select("block", "id", "level", "port")
+    border = settled.filter("port").select("id", "level")
+    through = local.filter("dst IS NOT NULL").select(F.col("id").alias("src"), "dst", F.col("level").alias("cost"))
+    graph = through.unionByName(cross.select("src", "dst", F.col("cost").cast(kind).alias("cost")))
+    wide, larger = border.groupBy(key("id", up + 1).alias("b")).count().agg(F.max("count"), F.count(F.lit(1))).first()
+    if (wide or 0) <= span and larger < blocks:
+        final = _relax(spark, border, graph, kind, key, up + 1, rounds, span)
+    else:
+        again = graph.select(key("dst", up).alias("block"), key("src", up).alias("_from"), "src", "dst", "cost")
+        final = _by_rounds(spark, border.select(key("id", up).alias("block"), "id", "level"), cut_lineage(spark, again), kind, rounds)
+    # what the border learned goes back into the blocks that it lowers
+    lower = settled.filter("port").join(final.withColumnRenamed("level", "_l"), "id").filter("_l < level").select("block", "id", "_l")
+    lower = cut_lineage(spark, lower)
+    touched = lower.select("block").distinct()
+    back = settled.join(touched, "block", "left_semi").join(lower, ["block", "id"], "left").select("block", "id", F.least("level", "_l").alias("level"))
+    new = cut_lineage(spark, solve(back, inner.join(touched, "block", "left_semi")))
+    rest = settled.join(touched, "block", "left_anti")
+    forget(spark, ports)
+    return rest.select("id", "level").unionByName(new.select("id", "level"))
+
+
+def _by_rounds(spark: SparkSession, start: DataFrame, every: DataFrame, kind: str, rounds: int) -> DataFrame:
+    """(id, level) of start(block, id, level) under every(block, _from, src, dst, cost); rounds end when no level that went down offers a lower one to another block."""
     inner = every.filter("block = _from").select("block", "src", "dst", "cost")
     cross = every.filter("block <> _from").select("block", "src", "dst", "cost")
-    shape = f"block long, id {levels.schema['id'].dataType.simpleString()}, level {kind}, moved boolean"
-
-    def solved(nodes: DataFrame, own: DataFrame) -> DataFrame:
-        # an arc from or to no node says nothing
-        known = nodes.select("block", F.col("id").alias("_i"))
-        own = own.join(known.withColumnRenamed("_i", "src"), ["block", "src"], "left_semi").join(known.withColumnRenamed("_i", "dst"), ["block", "dst"], "left_semi")
-        return cut_lineage(spark, nodes.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_solve_block, shape))
-
-    start = levels.select(_block("id", span).alias("block"), "id", "level")
-    now = solved(start.withColumn("was", F.col("level") + F.lit(1).cast(kind)), inner)
-    if cross.isEmpty():
-        forget(spark, every)
-        return now.select("id", "level")
-    moved = now
+    shape = f"block long, id {start.schema['id'].dataType.simpleString()}, level {kind}, moved boolean"
+    solved = lambda nodes, own: cut_lineage(spark, nodes.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_solve_block, shape))
+    now = moved = solved(start.withColumn("was", F.col("level") + F.lit(1).cast(kind)), inner)
     for _ in range(rounds):
         offer = cross.join(moved.filter("moved").select(F.col("id").alias("src"), "level"), "src").groupBy("block", F.col("dst").alias("id")).agg(F.min(F.col("level") + F.col("cost")).cast(kind).alias("_o"))
         offer = cut_lineage(spark, offer.join(now.select("block", "id", "level"), ["block", "id"]).filter("_o < level").select("block", "id", "_o"))
@@ -204,29 +348,31 @@ def relax(spark: SparkSession, levels: DataFrame, arcs: DataFrame, rounds: int =
     raise RuntimeError("relax: no fixpoint")
 
 
-def step_limit(spark: SparkSession, levels: DataFrame, arcs: DataFrame, span: int = SPAN) -> DataFrame:
+def step_limit(spark: SparkSession, levels: DataFrame, arcs: DataFrame, span: int = SPAN, width: int | None = None) -> DataFrame:
     """level[src] <= level[dst] + 1 on every arc: a river steps down by at most one."""
-    return relax(spark, levels, arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("cost")), span=span)
+    return relax(spark, levels, arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("cost")), span=span, width=width)
 
 
-def propagate_down(spark: SparkSession, levels: DataFrame, arcs: DataFrame, span: int = SPAN) -> DataFrame:
+def propagate_down(spark: SparkSession, levels: DataFrame, arcs: DataFrame, span: int = SPAN, width: int | None = None) -> DataFrame:
     """level[dst] <= level[src]: a cell is never above what flows into it."""
-    return relax(spark, levels, arcs.select("src", "dst", F.lit(0).alias("cost")), span=span)
+    return relax(spark, levels, arcs.select("src", "dst", F.lit(0).alias("cost")), span=span, width=width)
 
 
-def level_surface(spark: SparkSession, cells: DataFrame, span: int = SPAN) -> DataFrame:
+def level_surface(spark: SparkSession, cells: DataFrame, span: int = SPAN, width: int | None = None) -> DataFrame:
     """(id, level) with steps of at most one between 8-neighbours among ``cells(id, z, x, level)``."""
-    return relax(spark, cells, neighbour_edges(cells).select("src", "dst", F.lit(1).alias("cost")), span=span)
-
+    return relax(spark, cells, neighbour_edges(cells).select("src", "dst", F.lit(1).alias("cost")), span=span, width=width)
 
-def lower_downstream(spark: SparkSession, levels: DataFrame, ways: DataFrame, span: int = SPAN) -> tuple[DataFrame, bool]:
-    """Along each of ``ways(way, ord, cell)`` the running least, taken over all ways to a fixpoint; and whether anything moved.
 
-    A running least is an arc of cost 0 from each cell to the next.
-    """
+def lowered(spark: SparkSession, levels: DataFrame, ways: DataFrame, span: int = SPAN, width: int | None = None) -> DataFrame:
+    """(id, level): along each of ``ways(way, ord, cell)`` the running least, taken over all ways to a fixpoint. A running least is an arc of cost 0 from each cell to the next."""
     nxt = ways.select(F.col("cell").alias("src"), F.lead("cell").over(W.partitionBy("way").orderBy("ord")).alias("dst")).filter("dst IS NOT NULL")
+    return propagate_down(spark, levels.select("id", "level"), nxt, span, width)
+
+
+def lower_downstream(spark: SparkSession, levels: DataFrame, ways: DataFrame, span: int = SPAN, width: int | None = None) -> tuple[DataFrame, bool]:
+    """``lowered``, and whether anything moved."""
+    low = cut_lineage(spark, lowered(spark, levels, ways, span, width))
     before = levels.select("id", F.col("level").alias("_was"))
-    low = propagate_down(spark, levels.select("id", "level"), nxt, span)
     return low, not low.join(before, "id").filter("level < _was").isEmpty()
 
 
@@ -238,7 +384,8 @@ def flatten_sections(spark: SparkSession, levels: DataFrame, sections: DataFrame
     return new.select("id", "level"), not new.filter("moved").isEmpty()
 
 
-def settle(spark: SparkSession, cells: DataFrame, sections: DataFrame, ways: DataFrame, rounds: int = 200) -> DataFrame:
+@tidied
+def settle(spark: SparkSession, cells: DataFrame, sections: DataFrame, ways: DataFrame, rounds: int = 200, span: int = SPAN, width: int | None = None) -> DataFrame:
     """Flatten, relax, lower downstream, in this order, until neither flattening nor lowering moved anything.
 
     The order and the test are part of the result: the last relaxation may leave a section uneven.
@@ -247,8 +394,8 @@ def settle(spark: SparkSession, cells: DataFrame, sections: DataFrame, ways: Dat
     now = cells.select("id", "level")
     for _ in range(rounds):
         now, flat = flatten_sections(spark, now, sections)
-        now = level_surface(spark, place.join(now, "id"))
-        now, down = lower_downstream(spark, now, ways)
+        now = cut_lineage(spark, level_surface(spark, place.join(now, "id"), span, width))
+        now, down = lower_downstream(spark, now, ways, span, width)
         if not flat and not down:
             return now
     raise RuntimeError("settle: no fixpoint")
@@ -287,6 +434,7 @@ def isotonic(values: np.ndarray, outlet: float) -> np.ndarray:
     return np.maximum(fit[:0:-1], outlet)
 
 
+@tidied
 def scc(spark: SparkSession, edges: DataFrame, span: int = SPAN, rounds: int = 1000) -> DataFrame:
     """(id, scc): for every node of the directed ``edges(src, dst)`` the least node of its strong component.
 
@@ -316,7 +464,7 @@ def scc(spark: SparkSession, edges: DataFrame, span: int = SPAN, rounds: int = 1
             continue
         zero = lambda a, x, y: a.select(F.col(x).alias("src"), F.col(y).alias("dst"), F.lit(0).alias("cost"))
         ids = arcs.select(F.col("src").cast("long").alias("id")).distinct()
-        root = relax(spark, ids.withColumn("level", F.col("id")), zero(arcs, "src", "dst"), span=span).withColumnRenamed("level", "root")
+        root = cut_lineage(spark, relax(spark, ids.withColumn("level", F.col("id")), zero(arcs, "src", "dst"), span=span)).withColumnRenamed("level", "root")
         of = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"_{c}"))
         within = arcs.join(of("src"), "src").join(of("dst"), "dst").filter("_src = _dst")
         back = relax(spark, root.select("id", (F.col("id") != F.col("root")).cast("int").alias("level")), zero(within, "dst", "src"), span=span)
@@ -333,6 +481,7 @@ def scc(spark: SparkSession, edges: DataFrame, span: int = SPAN, rounds: int = 1
     return out
 
 
+@tidied
 def shortest_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds: DataFrame, span: int = SPAN) -> DataFrame:
     """(id, distance, parent) from the nearest of ``seeds(id)`` along ``edges(src, dst, cost)``; infinity where none is reached.
 
@@ -349,6 +498,7 @@ def shortest_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seed
     return cut_lineage(spark, dist.join(parent, "id", "left").select("id", F.col("level").alias("distance"), F.coalesce("parent", F.lit(-1).cast("long")).alias("parent")))
 
 
+@tidied
 def path_starts(spark: SparkSession, tree: DataFrame, span: int = SPAN) -> DataFrame:
     """(id, start): of each node of ``tree(id, distance, parent)`` that has a parent, the farthest node whose way leads through it (the greatest id on ties): nodes of one start are a path."""
     t = tree.filter("parent >= 0")
@@ -372,6 +522,7 @@ def _fit(t: pa.Table) -> pa.Table:
     return pa.table({"id": ids, "value": (np.minimum.accumulate(fit - step) + step)[1:]})
 
 
+@tidied
 def fit_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds: DataFrame, span: int = SPAN, rounds: int = 10_000) -> DataFrame:
     """(id, distance, parent, level): shortest paths from the outlets, then isotonic profiles along the longest paths first.
 
@@ -384,19 +535,17 @@ def fit_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds: Da
     sample = nodes.select(F.col("id").cast("long").alias("id"), F.col("sample").cast("double").alias("sample"))
     cells = cut_lineage(spark, tree.filter("parent >= 0").join(path_starts(spark, tree, span), "id").join(sample, "id"))
     ends = cut_lineage(spark, cells.groupBy("start").agg(F.min_by("parent", "distance").alias("end")))
-    level = cut_lineage(spark, tree.filter("distance = 0").join(sample, "id").select("id", F.col("sample").alias("value")))
-    fresh, steps = level, [level]
+    fresh = known = cut_lineage(spark, tree.filter("distance = 0").join(sample, "id").select("id", F.col("sample").alias("value")))
     for _ in range(rounds):
         ready = ends.join(fresh.select(F.col("id").alias("end"), F.col("value").alias("below")), "end").select("start", "below")
         fresh = cut_lineage(spark, cells.join(ready, "start").select("start", "id", "sample", "distance", "below").groupBy("start").applyInArrow(_fit, "id long, value double"))
         if fresh.isEmpty():
             break
-        steps.append(fresh)
+        # one table of all generations, so that the plan does not grow with them
+        fresh.write.mode("append").parquet(known.written_at)
     else:
         raise RuntimeError("fit_paths: paths are left")
-    known = steps[0]
-    for s in steps[1:]:
-        known = known.unionByName(s)
+    known = spark.read.schema(known.schema).parquet(known.written_at)
     out = tree.join(sample, "id").join(known, "id", "left")
     return out.select("id", "distance", "parent", F.rint(F.least(F.greatest(F.coalesce("value", "sample"), F.lit(1.0)), F.lit(255.0))).cast("int").alias("level"))
 

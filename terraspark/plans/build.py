@@ -74,6 +74,7 @@ def coastal_connectors(cells: DataFrame, outlets: DataFrame, limit: int, sea: in
     return best.join(bad, "id", "left_anti").select("id", F.array(pt("z", "x"), pt("nz", "nx")).alias("pts"))
 
 
+@G.tidied
 def fitted_surface(spark: SparkSession, cells: DataFrame, lines: DataFrame, cols: int, rows: int, reach: int = 6) -> DataFrame:
     """(z, x, level): the surface of all river cells.
 
@@ -95,9 +96,11 @@ def fitted_surface(spark: SparkSession, cells: DataFrame, lines: DataFrame, cols
     strong = G.cut_lineage(spark, G.scc(spark, nxt))
     low = strong.join(fit, "id").groupBy("scc").agg(F.min("level").alias("m"))
     fit = fit.join(strong.join(low, "scc").select("id", "m"), "id", "left").select("id", F.least("level", F.coalesce("m", "level")).alias("level"))
-    fit = G.propagate_down(spark, fit, nxt)
-    fit = G.step_limit(spark, fit, nxt)
-    fit = G.relax(spark, fit, edges.select("src", "dst", F.lit(1).alias("cost")))
+    fit = G.propagate_down(spark, fit, nxt, width=cols)
+    fit = G.step_limit(spark, fit, nxt, width=cols)
+    fit = G.cut_lineage(spark, fit)
+    fit = G.relax(spark, fit, edges.select("src", "dst", F.lit(1).alias("cost")), width=cols)
+    fit = G.cut_lineage(spark, fit)
     near = G.nearest_center(river, centers, reach)
     spread = near.join(fit.select(F.col("id").alias("center"), F.col("level").alias("_l")), "center").select("id", "center", "_l")
     level = river.join(spread, "id", "left").join(fit, "id", "left")
@@ -105,7 +108,7 @@ def fitted_surface(spark: SparkSession, cells: DataFrame, lines: DataFrame, cols
     touch = F.when(F.col("lake_level") > 0, F.col("lake_level")).otherwise(F.col("_v"))
     level = G.cut_lineage(spark, level.withColumn("level", F.least(touch, "ceiling").cast("int")).drop("_v"))
     sections = level.select("id", "center")
-    settled = G.settle(spark, level.select("id", "z", "x", "level"), sections, way)
+    settled = G.settle(spark, level.select("id", "z", "x", "level"), sections, way, width=cols)
     return settled.join(river.select("id", "z", "x"), "id").select("z", "x", "level")
 
 

@@ -664,7 +664,7 @@ def gra01(spark, sf):
 
 @query("gra09_level_surface", f"{_EDGES}, lv AS (SELECT z * 64 + x AS id, height AS level FROM r3 WHERE river), r AS (SELECT id, level FROM lv UNION SELECT dst, r.level + 1 FROM r JOIN e ON r.id = e.src JOIN lv ON lv.id = dst WHERE r.level + 1 < lv.level) SELECT id, min(level) AS level FROM r GROUP BY id")
 def gra09(spark, sf):
-    return G.level_surface(spark, _river_cells(spark, sf))
+    return G.level_surface(spark, _river_cells(spark, sf), width=64)
 
 
 _ARCS = f"WITH RECURSIVE {R4}, lv AS MATERIALIZED (SELECT cell AS id, max(level) AS level FROM r4 GROUP BY 1), e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT cell AS src, lead(cell) OVER (PARTITION BY way ORDER BY ord) AS dst FROM r4) WHERE dst IS NOT NULL AND dst <> src)"
@@ -682,7 +682,7 @@ def gra06(spark, sf):
 def gra10(spark, sf):
     w = r4(spark, sf)
     cells = w.groupBy(F.col("cell").alias("id")).agg(F.max("level").alias("level"))
-    return G.lower_downstream(spark, cells, w)[0]
+    return G.lowered(spark, cells, w)
 
 
 _MEDIAN = "s AS (SELECT max(z) AS mz FROM r3), w AS (SELECT r3.z, r3.x, greatest(least(r3.z + dz, mz), 0) AS nz, greatest(least(r3.x + dx, 63), 0) AS nx FROM r3, s, " + _N8 + ")"

@@ -34,6 +34,22 @@ def test_relax_over_blocks(spark, span):
     assert {r["id"]: r["level"] for r in G.relax(spark, lv, ar.limit(0), span=span).collect()} == level
 
 
+@pytest.mark.parametrize("kind", ["costs", "nothing", "halves", "many ports"])
+@pytest.mark.parametrize("width", [9, None])
+def test_relax_over_tiles(spark, monkeypatch, kind, width):
+    """Tiles of 3 x 3 cells, some steps of borders up; levels against brute force."""
+    if kind == "many ports":
+        monkeypatch.setattr(G, "PORTS", 2)
+    rng = random.Random(f"{kind}{width}")
+    c = [(z, x) for z in range(20) for x in range(9) if rng.random() < 0.75]
+    level = {z * 9 + x: rng.randint(0, 99) for z, x in c}
+    near = [(z * 9 + x, (z + a) * 9 + x + b) for z, x in c for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and 0 <= x + b < 9]
+    cost = {"nothing": lambda: 0, "halves": lambda: rng.choice([0.5, 1.5])}.get(kind, lambda: rng.randint(0, 3))
+    arcs = [(a, b, cost()) for a, b in near if kind != "nothing" or rng.random() < 0.3]
+    got = G.relax(spark, spark.createDataFrame(list(level.items()), "id long, level int"), spark.createDataFrame(arcs, f"src long, dst long, cost {'double' if kind == 'halves' else 'int'}"), span=9, width=width)
+    assert {r["id"]: r["level"] for r in got.collect()} == brute_levels(level, arcs)
+
+
 def test_a_long_chain_over_many_blocks(spark):
     n = 400
     lv = spark.createDataFrame([(i, 1000 - (i == 0) * 1000) for i in range(n)], "id long, level int")
