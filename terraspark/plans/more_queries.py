@@ -12,6 +12,7 @@ from terraspark.functions import scalars as S
 from terraspark.grid import Grid, project
 from terraspark.operators import graph as G
 from terraspark.operators import maps as M
+from terraspark.operators import overlay as O
 from terraspark.operators import stencil as T
 from terraspark.operators import vector as V
 from terraspark.plans import build as B
@@ -314,6 +315,47 @@ def agg09(spark, sf):
     return M.dissolve(spark, _box_cells(spark, sf), 500, 64)
 
 
+#: Boxes of 5 columns and 5 to 8 rows: some lie apart, some share a border, some overlap.
+_B7 = f"{R7}, b7 AS MATERIALIZED (SELECT id, x0, z0, CAST(x0 + 5 AS INT) AS x1, CAST(z0 + 5 + id % 4 AS INT) AS z1 FROM r7)"
+
+
+def _boxes(spark, sf):
+    return r7(spark, sf).select("id", F.array(V.box_ring(F.col("x0"), F.col("z0"), F.col("x0") + 5, F.col("z0") + 5 + F.col("id") % 4)).alias("rings"))
+
+
+@query(
+    "agg09_union",
+    f"""WITH RECURSIVE {_B7}, e AS MATERIALIZED (SELECT a.id AS src, b.id AS dst FROM b7 a JOIN b7 b ON (a.x0 < b.x1 AND b.x0 < a.x1 AND a.z0 <= b.z1 AND b.z0 <= a.z1) OR (a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.z0 < b.z1 AND b.z0 < a.z1)),
+ r AS (SELECT id, id AS m FROM b7 UNION SELECT dst, m FROM r JOIN e ON r.id = e.src WHERE m < dst), l AS MATERIALIZED (SELECT id, min(m) AS whole FROM r GROUP BY id),
+ w AS (SELECT id, x0, x1, unnest(range(z0, z1)) AS z FROM b7), c AS MATERIALIZED (SELECT DISTINCT whole, z, x FROM (SELECT id, z, unnest(range(x0, x1)) AS x FROM w) JOIN l USING (id)),
+ k AS MATERIALIZED (SELECT unnest([0, 0, 1, -1]) AS a, unnest([1, -1, 0, 0]) AS b), n AS MATERIALIZED (SELECT whole, z + a AS z, x + b AS x FROM c, k), o AS (SELECT n.whole, count(*) AS p FROM n ANTI JOIN c ON c.whole = n.whole AND c.z = n.z AND c.x = n.x GROUP BY 1), s AS (SELECT whole, count(*) AS area FROM c GROUP BY 1)
+ SELECT s.whole, CAST(area AS DOUBLE) AS area, CAST(p AS DOUBLE) AS perimeter FROM s JOIN o USING (whole)""",
+)
+def agg09_union(spark, sf):
+    found = O.union_polygons(spark, _boxes(spark, sf))
+    return found.select("whole", "area", O.perimeter(F.col("rings")).alias("perimeter"))
+
+
+_STROKES = "l AS MATERIALIZED (SELECT id, x0 + 0.5::DOUBLE AS x, z0 + 0.5::DOUBLE AS z, 2.0::DOUBLE ** (id % 3) AS dx, 2.0::DOUBLE ** (id // 3 % 3) AS dz FROM r7)"
+
+
+def _strokes(spark, sf):
+    """Lines from the middle of a box's first cell, one to four cells each way."""
+    x, z = F.col("x0") + 0.5, F.col("z0") + 0.5
+    end = F.struct((x + F.pow(F.lit(2.0), F.col("id") % 3)).alias("x"), (z + F.pow(F.lit(2.0), F.floor(F.col("id") / 3) % 3)).alias("y"))
+    return r7(spark, sf).select("id", F.array(F.struct(x.alias("x"), z.alias("y")), end).alias("pts"))
+
+
+@query("jon08_intersects", f"WITH {_B7}, {_STROKES} SELECT b7.id AS polygon, l.id AS line FROM b7, l WHERE greatest(0, (x0 - l.x) / dx, (z0 - l.z) / dz) <= least(1, (x1 - l.x) / dx, (z1 - l.z) / dz)")
+def jon08_intersects(spark, sf):
+    return O.intersecting(_boxes(spark, sf), _strokes(spark, sf), "rings", "pts").select(F.col("a_id").alias("polygon"), F.col("b_id").alias("line"))
+
+
+@query("jon08_covers", f"WITH {_B7}, {_STROKES} SELECT b7.id AS polygon, l.id AS line FROM b7, l WHERE l.x BETWEEN x0 AND x1 AND l.x + dx BETWEEN x0 AND x1 AND l.z BETWEEN z0 AND z1 AND l.z + dz BETWEEN z0 AND z1")
+def jon08_covers(spark, sf):
+    return O.covering(_boxes(spark, sf), _strokes(spark, sf))
+
+
 # ---- graph -------------------------------------------------------------------------------------
 
 
@@ -332,6 +374,17 @@ def gra08(spark, sf):
     return G.propagate_down(spark, cells, nxt)
 
 
+@query("gra11_settle")
+def gra11(spark, sf):
+    """River cells, sections of 4 x 4 cells with their least cell as centre, ways down each column."""
+    c = _river_cells(spark, sf)
+    block = (F.floor(F.col("z") / 4), F.floor(F.col("x") / 4))
+    center = c.groupBy(block[0].alias("_z"), block[1].alias("_x")).agg(F.min("id").alias("center"))
+    sections = c.select("id", block[0].alias("_z"), block[1].alias("_x")).join(center, ["_z", "_x"]).select("id", "center")
+    ways = c.select(F.col("x").alias("way"), F.col("z").alias("ord"), F.col("id").alias("cell"))
+    return G.settle(spark, c, sections, ways, width=64).select("id", "level")
+
+
 # ---- warps ---------------------------------------------------------------------------------------
 
 

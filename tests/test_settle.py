@@ -58,3 +58,16 @@ def test_only_the_result_stays(spark):
         out = work()
         assert set(G._MADE) - before == {out.written_at} and os.path.isdir(out.written_at.removeprefix("file:"))
         assert all(os.path.isdir(p.removeprefix("file:")) for p in G._MADE)
+
+
+def test_query_by_hand(spark):
+    from terraspark.plans import more_queries, queries
+
+    sf = "/root/testdata/sf0.001"
+    cells = {r["id"]: (r["z"], r["x"], r["level"]) for r in queries._river_cells(spark, sf).collect()}
+    first, ways = {}, {}
+    for i, (z, x, _) in sorted(cells.items()):
+        first[z // 4, x // 4] = min(first.get((z // 4, x // 4), i), i)
+        ways.setdefault(x, []).append(i)
+    want = by_hand(cells, {i: first[z // 4, x // 4] for i, (z, x, _) in cells.items()}, list(ways.values()))
+    assert {r["id"]: r["level"] for r in more_queries.gra11(spark, sf).collect()} == want
