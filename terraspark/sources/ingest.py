@@ -25,6 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from terraspark.sources.hdf5 import BATCH, read_hdf5
+from terraspark.sources.window import Bounds, option
+
 STEP = 1 << 20
 
 
@@ -174,10 +177,21 @@ NC_TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 
 def netcdf_variable(path: str, variable: str) -> tuple[list[tuple[str, int]], np.dtype, int, dict]:
     """(dimensions, type, first byte, attributes) of a fixed-size variable of a NetCDF classic file (CDF-1, CDF-2)."""
-    with open(path, "rb") as f:
-        head = f.read(1 << 20)
-    if head[:3] != b"CDF" or head[3] not in (1, 2):
-        raise ValueError(f"{path} is not NetCDF classic (NetCDF-4 files need conversion first)")
+    size = 1 << 20
+    while True:  # a longer header is read again as a whole
+        with open(path, "rb") as f:
+            head = f.read(size)
+        if head[:3] != b"CDF" or head[3] not in (1, 2):
+            raise ValueError(f"{path} is not NetCDF classic")
+        try:
+            return _classic_variable(path, head, variable)
+        except (struct.error, ValueError):
+            if len(head) < size:
+                raise
+            size *= 4
+
+
+def _classic_variable(path: str, head: bytes, variable: str) -> tuple[list[tuple[str, int]], np.dtype, int, dict]:
     at = 8
 
     def number(form: str = ">i") -> int:
@@ -227,7 +241,7 @@ class _Rows(InputPartition):
 
 
 class NetcdfReader(DataSourceReader):
-    def __init__(self, path: str, variable: str, rows: int):
+    def __init__(self, path: str, variable: str, rows: int, window: str | None):
         self.path, self.rows = path, rows
         dims, self.kind, self.begin, extra = netcdf_variable(path, variable)
         if len(dims) != 2:
@@ -235,19 +249,25 @@ class NetcdfReader(DataSourceReader):
         self.height, self.width = (n for _, n in dims)
         self.scale, self.offset = (float(extra.get(k, [d])[0]) for k, d in (("scale_factor", 1.0), ("add_offset", 0.0)))
         self.none = extra.get("_FillValue", extra.get("missing_value", [None]))[0]
+        self.bounds = Bounds(self.height, self.width, window)
 
     def partitions(self):
-        return [_Rows(a, min(a + self.rows, self.height)) for a in range(0, self.height, self.rows)]
+        lo, hi = self.bounds.z
+        runs = [_Rows(max(a, lo), min(a + self.rows, hi)) for a in range(0, self.height, self.rows)]
+        return [r for r in runs if r.a < r.b] or [_Rows(0, 0)]
 
     def read(self, p):
         row = self.width * self.kind.itemsize
+        step = max(1, BATCH // self.width)
         with open(self.path, "rb") as f:
-            f.seek(self.begin + p.a * row)
-            raw = np.frombuffer(f.read((p.b - p.a) * row), self.kind)
-        z, x = np.divmod(np.arange(len(raw), dtype=np.int32), np.int32(self.width))
-        v = raw.astype(np.float64)
-        gone = np.isnan(v) if self.none is None else np.isnan(v) | (v == self.none)
-        yield pa.RecordBatch.from_arrays([pa.array(z + np.int32(p.a)), pa.array(x), pa.array(v * self.scale + self.offset, mask=gone)], names=["z", "x", "v"])
+            for a in range(p.a, p.b, step):
+                f.seek(self.begin + a * row)
+                n, (lo, hi) = min(step, p.b - a), self.bounds.x
+                raw = np.frombuffer(f.read(n * row), self.kind).reshape(n, self.width)[:, lo : max(lo, hi)]
+                z, x = (g.ravel() for g in np.mgrid[:n, lo : max(lo, hi)].astype(np.int32))
+                v = raw.astype(np.float64).ravel()
+                gone = np.isnan(v) if self.none is None else np.isnan(v) | (v == self.none)
+                yield pa.RecordBatch.from_arrays([pa.array(z + np.int32(a)), pa.array(x), pa.array(v * self.scale + self.offset, mask=gone)], names=["z", "x", "v"])
 
 
 class NetcdfSource(DataSource):
@@ -259,14 +279,17 @@ class NetcdfSource(DataSource):
         return "z int, x int, v double"
 
     def reader(self, schema):
-        return NetcdfReader(self.options["path"], self.options["variable"], int(self.options.get("stripe", "512")))
+        return NetcdfReader(self.options["path"], self.options["variable"], int(self.options.get("stripe", "512")), self.options.get("window"))
 
 
-def read_netcdf(spark: SparkSession, uri: str, stripe: int = 512) -> DataFrame:
-    """(z, x, v) of a two-dimensional variable, named "NETCDF:path:variable"; missing cells are null. One partition for each ``stripe`` rows."""
-    _, path, variable = uri.split(":", 1)[0], *uri.split(":", 1)[1].rsplit(":", 1)
+def read_netcdf(spark: SparkSession, uri: str, stripe: int = 512, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """(z, x, v) of a two-dimensional variable of a classic or NetCDF-4 file, named "NETCDF:path:variable"; missing cells are null. One partition for each ``stripe`` rows or so, of those that ``window`` (z0, x0, z1, x1) leaves."""
+    path, variable = uri.split(":", 1)[1].rsplit(":", 1)
+    with open(path, "rb") as f:
+        if f.read(3) != b"CDF":  # NetCDF-4
+            return read_hdf5(spark, path, variable, stripe, window=window)
     spark.dataSource.register(NetcdfSource)
-    return spark.read.format("netcdf_classic").options(path=path, variable=variable, stripe=stripe).load()
+    return spark.read.format("netcdf_classic").options(path=path, variable=variable, stripe=stripe, **option(window)).load()
 
 
 # ---- settings, folders, releases
