@@ -118,3 +118,20 @@ def feather(cells: DataFrame, klass: str, land: str, out: str, height: int | Non
     return df.withColumn(out, F.when((F.col(land) != 0) & (F.coalesce("_c", F.lit(0)) != 0), F.col("_c")).otherwise(F.col(klass))).drop("_sz", "_sx", "_c")
 
 
+
+
+def fill_interpolated(cells: DataFrame, value: str, out: str, reach: int = 500) -> DataFrame:
+    """``cells`` with ``out``: the value, or where it is null the mean of the nearest values to the left, right, above and below, at most ``reach`` cells away, weighed by the inverse of their distance; null where there are none.
+
+    Each search is a window along a row or a column, so two exchanges serve all four.
+    """
+    known = lambda c: F.when(F.col(value).isNotNull(), F.struct(F.col(c).alias("at"), F.col(value).cast("double").alias("v")))
+    found = cells
+    for key, along, names in (("z", "x", ("_a", "_b")), ("x", "z", ("_c", "_d"))):
+        w = W.partitionBy(key).orderBy(along)
+        found = found.withColumn(names[0], F.last(known(along), True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn(names[1], F.first(known(along), True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    sides = [(F.col(n), F.abs(F.col(n)["at"] - F.col(c))) for n, c in (("_a", "x"), ("_b", "x"), ("_c", "z"), ("_d", "z"))]
+    total = lambda part: sum((F.when((d > 0) & (d <= reach), part(n) / d).otherwise(0.0) for n, d in sides), F.lit(0.0))
+    weight = total(lambda n: F.lit(1.0))
+    mean = F.when(weight > 0, total(lambda n: n["v"]) / weight)
+    return found.withColumn(out, F.coalesce(F.col(value).cast("double"), mean)).drop("_a", "_b", "_c", "_d")

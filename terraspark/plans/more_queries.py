@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terraspark.functions import scalars as S
 from terraspark.grid import Grid, project
+from terraspark.operators import distance as D
 from terraspark.operators import graph as G
 from terraspark.operators import maps as M
 from terraspark.operators import overlay as O
@@ -500,6 +501,20 @@ def rsm02_degrees_to_utm(spark, sf):
     return B.warp(c, _degrees(n), _utm_target(n)).filter("v IS NOT NULL").select("z", "x", F.round("v", 3).alias("v"))
 
 
+def _fill_sql(reach: int) -> str:
+    side = lambda n, on, d: f"{n} AS (SELECT h.z, h.x, arg_min(s.v, {d}) AS v, min({d}) AS d FROM h JOIN s ON {on} AND {d} BETWEEN 1 AND {reach} GROUP BY 1, 2)"
+    parts = [side("l", "s.z = h.z", "h.x - s.x"), side("r", "s.z = h.z", "s.x - h.x"), side("u", "s.x = h.x", "h.z - s.z"), side("d", "s.x = h.x", "s.z - h.z")]
+    return f"""WITH {R1}, s AS MATERIALIZED (SELECT z, x, v FROM r1 WHERE v % 9 > 6), h AS MATERIALIZED (SELECT z, x FROM r1 WHERE v % 9 <= 6), {', '.join(parts)},
+ a AS (SELECT * FROM l UNION ALL SELECT * FROM r UNION ALL SELECT * FROM u UNION ALL SELECT * FROM d)
+ SELECT z, x, round(sum(v / d::DOUBLE) / sum(1 / d::DOUBLE), 6)::DOUBLE AS v FROM a GROUP BY 1, 2 UNION ALL SELECT z, x, CAST(v AS DOUBLE) FROM s"""
+
+
+@query("rsm07_fill_interpolated", _fill_sql(6))
+def rsm07(spark, sf):
+    c = r1(spark, sf).select("z", "x", F.when(F.col("v") % 9 > 6, F.col("v")).alias("v"))
+    return D.fill_interpolated(c, "v", "out", 6).filter("out IS NOT NULL").select("z", "x", F.round("out", 6).alias("v"))
+
+
 @query("rsm08_decode", "SELECT user_id AS sample, round(avg(CAST(event_id % 4000 AS DOUBLE) * 0.1 + 0.5 - 273.15), 6) AS t FROM events GROUP BY 1")
 def rsm08(spark, sf):
     raw = table(spark, sf, "events").select(F.col("user_id").alias("sample"), (F.col("event_id") % 4000).alias("raw"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from terraspark.operators import distance as D
 from terraspark.operators import maps as M
 from terraspark.operators import stencil as T
 
@@ -89,3 +90,23 @@ def test_masked_filters_and_chain(raster):
     d = d.withColumn("surface0", F.when(F.col("_t") & ~F.col("lake"), F.col("_lm")).otherwise(F.least("floor", "_m")))
     for k in ("ceiling", "fit", "floor", "surface0"):
         assert np.array_equal(grid(one, k), grid(d, k))
+
+
+def test_fill_interpolated_by_hand(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(1, 50, (9, 11)).astype(float)
+    a[rng.random(a.shape) < 0.7] = np.nan
+    cells = spark.createDataFrame([(z, x, None if np.isnan(v) else float(v)) for (z, x), v in np.ndenumerate(a)], "z int, x int, v double")
+    for reach in (2, 500):
+        got = {(r["z"], r["x"]): r["o"] for r in D.fill_interpolated(cells, "v", "o", reach).collect()}
+        for (z, x), v in np.ndenumerate(a):
+            near = []
+            for dz, dx in ((0, 1), (0, -1), (1, 0), (-1, 0)):
+                for k in range(1, reach + 1):
+                    if not (0 <= z + k * dz < 9 and 0 <= x + k * dx < 11):
+                        break
+                    if not np.isnan(a[z + k * dz, x + k * dx]):
+                        near.append((a[z + k * dz, x + k * dx], 1 / k))
+                        break
+            want = v if not np.isnan(v) else sum(p * w for p, w in near) / sum(w for _, w in near) if near else None
+            assert got[z, x] == (want if want is None else pytest.approx(want))
