@@ -3,7 +3,8 @@
 One dictionary is trained on good, one on bad labelled texts. A text is cut into
 blocks, every block compressed with both; the difference of the two totals, per
 byte, becomes a probability by a logistic curve fitted on labelled documents that
-the dictionaries haven't seen.
+the dictionaries haven't seen. Both classes weigh the same in the fit, however many
+documents each has: else 0.5 would lie among the rarer class.
 
 Labels reach the training only. Null and empty texts have difference 0. Without
 enough labelled documents of both classes every score is the share of good labels.
@@ -76,7 +77,7 @@ def train(bad: list[str], good: list[str]) -> QualityModel:
     look = Scorer(QualityModel(*made, None, 0.5))
     x = np.array([[look.difference(t)] for side in (bad[: n0 // 4], good[: n1 // 4]) for t in side])
     y = np.repeat([0.0, 1.0], [n0 // 4, n1 // 4])
-    return QualityModel(*made, logistic(x, y), n1 / (n0 + n1))
+    return QualityModel(*made, logistic(x, y, weight=np.where(y > 0, 1.0, (y > 0).sum() / (y == 0).sum())), n1 / (n0 + n1))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, rows: int = 2000, label: str = "quality") -> QualityModel:
