@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from terraspark.sources.window import Bounds, option
+
 # TIFF tags and the sizes of its field types.
 WIDTH, HEIGHT, DEPTH, COMPRESSION, STRIP_AT, ROWS_PER_STRIP, STRIP_BYTES, PREDICTOR = 256, 257, 258, 259, 273, 278, 279, 317
+BANDS, PLANAR = 277, 284
 TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES, SAMPLE_FORMAT, PIXEL_SCALE, TIE_POINT, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 42113
 FIELD = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
 
@@ -83,8 +86,8 @@ class _Rows(InputPartition):
 
 
 class TiffReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, band: int = 1, window: str | None = None):
+        self.path, self.band = path, band
         self.order, t = tiff_tags(path)
         self.width, self.height = t[WIDTH][0], t[HEIGHT][0]
         self.tiled = TILE_AT in t
@@ -96,25 +99,40 @@ class TiffReader(DataSourceReader):
         self.dtype = f"{self.order}{kind}{t[DEPTH][0] // 8}"
         if self.compression not in (1, 5, 8, 32946) or self.predictor not in (1, 2):
             raise ValueError("unsupported TIFF compression or predictor")
+        self.bands, self.apart = t.get(BANDS, (1,))[0], t.get(PLANAR, (1,))[0] == 2
+        if not 1 <= band <= self.bands:
+            raise ValueError(f"{path} has {self.bands} bands, no band {band}")
+        self.bounds = Bounds(self.height, self.width, window)
+        self.across, self.down = -(-self.width // self.bw), -(-self.height // self.bh)
 
     def partitions(self):
-        return [_Rows(k) for k in range(-(-self.height // self.bh))]
+        rows = [_Rows(k) for k in range(self.down) if self.bounds.meets(z=(k * self.bh, (k + 1) * self.bh))]
+        return rows if rows and self.bounds.meets(x=(0, self.width)) else [_Rows(-1)]
 
     def block(self, f, k: int) -> np.ndarray:
+        # bands lie one after the other, or side by side in each cell
+        k += (self.band - 1) * self.across * self.down if self.apart else 0
+        side = 1 if self.apart else self.bands
         f.seek(self.at[k])
         data = f.read(self.sizes[k])
         data = data if self.compression == 1 else lzw_decode(data) if self.compression == 5 else zlib.decompress(data)
         a = np.frombuffer(data, self.dtype)
-        a = a[: len(a) // self.bw * self.bw].reshape(-1, self.bw)
+        a = a[: len(a) // (self.bw * side) * self.bw * side].reshape(-1, self.bw, side)[:, :, 0 if self.apart else self.band - 1]
         return np.cumsum(a, axis=1, dtype=a.dtype.newbyteorder("=")) if self.predictor == 2 else a
 
     def read(self, p):
-        across = -(-self.width // self.bw)
+        if p.k < 0:
+            return
+        (za, zb), (xa, xb) = self.bounds.z, self.bounds.x
         with open(self.path, "rb") as f:
-            for j in range(across):
-                a = self.block(f, p.k * across + j)[: self.height - p.k * self.bh, : self.width - j * self.bw]
+            for j in range(self.across):
+                z0, x0 = p.k * self.bh, j * self.bw
+                if not self.bounds.meets(x=(x0, x0 + self.bw)):
+                    continue
+                top, left = max(za - z0, 0), max(xa - x0, 0)
+                a = self.block(f, p.k * self.across + j)[top : zb - z0, left : xb - x0]
                 z, x = np.divmod(np.arange(a.size, dtype=np.int32), np.int32(max(1, a.shape[1])))
-                yield pa.RecordBatch.from_arrays([pa.array(z + np.int32(p.k * self.bh)), pa.array(x + np.int32(j * self.bw)), pa.array(a.astype(np.float64).ravel())], names=["z", "x", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(z + np.int32(z0 + top)), pa.array(x + np.int32(x0 + left)), pa.array(a.astype(np.float64).ravel())], names=["z", "x", "v"])
 
 
 class TiffSource(DataSource):
@@ -126,12 +144,13 @@ class TiffSource(DataSource):
         return "z int, x int, v double"
 
     def reader(self, schema):
-        return TiffReader(self.options["path"])
+        return TiffReader(self.options["path"], int(self.options.get("band", "1")), self.options.get("window"))
 
 
-def read_tiff(spark: SparkSession, path: str) -> DataFrame:
+def read_tiff(spark: SparkSession, path: str, band: int = 1, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """(z, x, v) of a band, all of it or its cells in ``window`` (z0, x0, z1, x1): blocks outside are not read, and rows of blocks outside are no partitions."""
     spark.dataSource.register(TiffSource)
-    return spark.read.format("geotiff_band").option("path", path).load()
+    return spark.read.format("geotiff_band").option("path", path).option("band", band).options(**option(window)).load()
 
 
 def tiff_transform(path: str) -> tuple[float, float, float, float] | None:

@@ -104,3 +104,48 @@ def test_geopackage_round_trip(spark, tmp_path):
     assert [[[(p["x"], p["y"]) for p in r] for r in g["rings"]] for g in got] == [r[1] for r in rows]
     assert {k: v for k, v in got[0]["properties"].items() if k != "fid"} == {"name": "Lake", "class": "5"} and [p.name for p in tmp_path.iterdir()] == ["lakes.gpkg"]
     assert X.read_features(spark, path, (9.0, 0.0, 20.0, 5.0)).count() == 1
+
+
+def strips(path, a, planar, predictor, rows=5):
+    """A deflated TIFF in strips of ``a`` (bands, rows, columns), bands side by side (1) or one after the other (2)."""
+    n, h, w = a.shape
+    blocks = []
+    for plane in [a] if planar == 1 else [a[k : k + 1] for k in range(n)]:
+        for z in range(0, h, rows):
+            part = np.moveaxis(plane[:, z : z + rows], 0, 2).copy()
+            if predictor == 2:
+                part[:, 1:] -= part[:, :-1].copy()
+            blocks.append(zlib.compress(part.astype(a.dtype.newbyteorder("<")).tobytes()))
+    at, places = 8, []
+    for b in blocks:
+        places.append(at)
+        at += len(b)
+    entries = [(256, 4, [w]), (257, 4, [h]), (258, 3, [a.dtype.itemsize * 8] * n), (259, 3, [8]), (273, 4, places), (277, 3, [n]), (278, 4, [rows]), (279, 4, [len(b) for b in blocks]), (284, 3, [planar]), (317, 3, [predictor]), (339, 3, [2] * n)]
+    extra_at, head, extra = at + 2 + 12 * len(entries) + 4, b"", b""
+    for tag, kind, v in entries:
+        raw = struct.pack(f"<{len(v)}{'H' if kind == 3 else 'I'}", *v)
+        head += struct.pack("<HHI", tag, kind, len(v)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", extra_at + len(extra)))
+        extra += raw if len(raw) > 4 else b""
+    path.write_bytes(struct.pack("<2sHI", b"II", 42, at) + b"".join(blocks) + struct.pack("<H", len(entries)) + head + bytes(4) + extra)
+
+
+@pytest.mark.parametrize("planar", [1, 2])
+@pytest.mark.parametrize("predictor", [1, 2])
+def test_bands_and_windows(spark, tmp_path, planar, predictor):
+    a = np.random.default_rng(2).integers(-900, 900, (3, 23, 17)).astype(np.int16)
+    strips(tmp_path / "a.tif", a, planar, predictor)
+    path = str(tmp_path / "a.tif")
+    for band in (1, 3):
+        assert {(r["z"], r["x"]): r["v"] for r in X.read_tiff(spark, path, band).collect()} == dict(np.ndenumerate(a[band - 1]))
+    part = X.read_tiff(spark, path, 2, (6, 3, 12, 9))
+    assert part.rdd.getNumPartitions() == 2 and {(r["z"], r["x"]): r["v"] for r in part.collect()} == {k: v for k, v in np.ndenumerate(a[1]) if 6 <= k[0] < 12 and 3 <= k[1] < 9}
+    assert X.read_tiff(spark, path, 1, (40, 0, 50, 9)).collect() == []
+    with pytest.raises(Exception, match="band 4"):
+        X.read_tiff(spark, path, 4).collect()
+
+
+def test_window_of_tiles(spark, tmp_path):
+    a = np.random.default_rng(3).integers(0, 256, (70, 45)).astype(np.uint8)
+    X.write_tiff(str(tmp_path / "a.tif"), a, block=16)
+    part = X.read_tiff(spark, str(tmp_path / "a.tif"), window=(20, 10, 34, 40))
+    assert part.rdd.getNumPartitions() == 2 and {(r["z"], r["x"]): r["v"] for r in part.collect()} == {k: v for k, v in np.ndenumerate(a) if 20 <= k[0] < 34 and 10 <= k[1] < 40}
