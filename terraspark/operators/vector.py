@@ -224,15 +224,34 @@ def douglas_peucker(p: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def crosses_itself(p: np.ndarray) -> bool:
-    """Whether two segments of a line that are not neighbours cross."""
+    """Whether two segments of a line that are not neighbours cross.
+
+    Segments are cut into pieces of about the usual length and put into the buckets of a grid
+    that a piece touches; only segments of one bucket are compared.
+    """
     a, b = p[:-1], p[1:]
-    side = lambda o, d, q: d[:, None, 0] * (q[None, :, 1] - o[:, None, 1]) - d[:, None, 1] * (q[None, :, 0] - o[:, None, 0])
-    for lo in range(0, len(a), 256):  # a few rows of all pairs at a time
-        o, d = a[lo : lo + 256], (b - a)[lo : lo + 256]
-        one = side(o, d, a) * side(o, d, b) < 0
-        other = (side(a, b - a, o) * side(a, b - a, o + d) < 0).T
-        if (one & other).any():
+    size = np.abs(b - a).max(axis=1)
+    cell = max(float(np.median(size)), float(size.mean()) / 4)
+    if cell == 0:
+        return False
+    many = np.ceil(size / cell).astype(np.int64).clip(1)
+    of = np.repeat(np.arange(len(a)), many)
+    step = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)) / many[of]
+    first, last = (a[of] + t[:, None] * (b - a)[of] for t in (step, step + 1 / many[of]))
+    # a hair wider, so that no rounding loses a bucket
+    low, high = (np.floor((f(first, last) - p.min(axis=0) + e * cell) / cell).astype(np.int64) + 1 for f, e in ((np.minimum, -1e-6), (np.maximum, 1e-6)))
+    width = int(high[:, 0].max()) + 2
+    keys = np.concatenate([y * width + x for x in (low[:, 0], high[:, 0]) for y in (low[:, 1], high[:, 1])])
+    # each segment once a bucket: bucket and segment in one number
+    key, k = np.divmod(np.unique(np.unique(keys, return_inverse=True)[1] * len(a) + np.tile(of, 4)), len(a))
+    ends = np.searchsorted(key, key, "right")
+    side = lambda o, q, r: (q[:, 0] - o[:, 0]) * (r[:, 1] - o[:, 1]) - (q[:, 1] - o[:, 1]) * (r[:, 0] - o[:, 0])
+    left, shift = np.arange(len(key)), 1
+    while len(left := left[left + shift < ends[left]]):
+        i, j = k[left], k[left + shift]
+        if ((side(a[i], b[i], a[j]) * side(a[i], b[i], b[j]) < 0) & (side(a[j], b[j], a[i]) * side(a[j], b[j], b[i]) < 0)).any():
             return True
+        shift += 1
     return False
 
 
@@ -258,6 +277,62 @@ def simplify(lines: DataFrame, tolerance: float) -> DataFrame:
     return _over(lines, "pts", POINTS, run)
 
 
+def _arcs_simplified(p: np.ndarray, at: np.ndarray, tolerance: float) -> np.ndarray:
+    """A line or ring, each stretch between the places ``at`` by itself, and always from its lesser end to its greater."""
+    if len(p) < 3:
+        return p
+    closed = (p[0] == p[-1]).all()
+    if closed:
+        p = p[:-1]
+        # a ring begins where others meet it, or else at its least point
+        start = int(at[0]) if len(at) else int(np.lexsort((p[:, 1], p[:, 0]))[0])
+        p, at = np.roll(p, -start, axis=0), (at - start) % len(p)
+        p = np.concatenate([p, p[:1]])
+    cuts = np.unique(np.r_[0, at, len(p) - 1])
+    out = []
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        arc = p[i : j + 1]
+        # the same way round for all shapes that share it: the order of its ends, or of the points next to them
+        back = next((tuple(u) > tuple(v) for u, v in zip(arc, arc[::-1]) if tuple(u) != tuple(v)), False)
+        arc = simplified(arc[::-1], tolerance)[::-1] if back else simplified(arc, tolerance)
+        out.append(arc[:-1])
+    return np.concatenate([*out, p[-1:]])
+
+
+def simplify_shared(lines: DataFrame, tolerance: float) -> DataFrame:
+    """``simplify`` for lines(id, pts) and rings that share stretches: what they share stays shared.
+
+    Points where lines end or where more than two ways meet are kept; between them every
+    stretch is simplified by itself, in the same direction for all lines that run along it.
+    Rings are lines whose first point is their last.
+    """
+    pts = lines.filter(F.size("pts") > 1).select("id", "pts", (F.element_at("pts", 1) == F.element_at("pts", -1)).alias("_c"), F.size("pts").alias("_n"))
+    v = pts.select("id", "_c", "_n", "pts", F.posexplode("pts").alias("k", "p")).filter(~F.col("_c") | (F.col("k") < F.col("_n") - 1))
+    before = F.when(F.col("k") > 0, F.col("pts")[F.col("k") - 1]).when(F.col("_c"), F.col("pts")[F.col("_n") - 2])
+    after = F.when(F.col("k") < F.col("_n") - 1, F.col("pts")[F.col("k") + 1])
+    ways = v.select("p", F.explode(F.array(before, after)).alias("q")).distinct()
+    # a line's end counts as three ways
+    count = ways.groupBy("p").agg(F.count("q").alias("_w"), F.max(F.col("q").isNull()).alias("_e")).filter("_e OR _w <> 2").select("p")
+    places = "_at"
+    while places in lines.columns:
+        places += "_"
+    fixed = v.select("id", "k", "p").join(count, "p").groupBy("id").agg(F.sort_array(F.collect_set("k")).alias(places))
+    both = lines.join(fixed, "id", "left")
+    schema = StructType([StructField(f.name, f.dataType) for f in lines.schema])
+    i, names = lines.columns.index("pts"), lines.columns
+
+    def run(batches):
+        for batch in batches:
+            at, flat = _points(batch.column(i))
+            marks = batch.column(len(names)).to_pylist()
+            made = [_arcs_simplified(flat[at[j] : at[j + 1]], np.array(marks[j] or [], np.int64), tolerance) for j in range(batch.num_rows)]
+            columns = list(batch.columns[: len(names)])
+            columns[i] = _listed(made, batch.column(i).is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return both.select(*names, places).mapInArrow(run, schema)
+
+
 def outlets(lines: DataFrame, next_down: str, x0: float, y0: float, x1: float, y1: float, simplified: str = "pts", pixel: float = 1.0) -> DataFrame:
     """Lines without a successor whose end lies in the box and within a pixel of the simplified end."""
     e, s = F.element_at("full", -1), F.element_at(simplified, -1)
