@@ -239,14 +239,11 @@ def write_values(raster: DataFrame, values: DataFrame, column: str) -> DataFrame
 
 def climate_at(points: DataFrame, samples: DataFrame, fields: list[str], spacing: int, height: int, width: int) -> DataFrame:
     """Bilinear lookup of per-sample fields at blocks ``points(pid, z, x)``; fields are derived per sample before they are blended."""
-    from terraspark.operators.resample import sample_bilinear
-
-    p = points.withColumn("fz", F.col("z") / spacing).withColumn("fx", F.col("x") / spacing)
-    out = points
-    for f in fields:
-        got = sample_bilinear(p.select("pid", "fz", "fx"), samples.select(F.col("sz").alias("z"), F.col("sx").alias("x"), f), f, f, height, width)
-        out = out.join(got.select("pid", f), "pid", "left")
-    return out
+    from terraspark.operators.resample import sample_fields
+
+    p = points.select("pid", (F.col("z") / spacing).alias("fz"), (F.col("x") / spacing).alias("fx"))
+    got = sample_fields(p, samples.select(F.col("sz").alias("z"), F.col("sx").alias("x"), *fields), {f: f for f in fields}, height, width)
+    return points.join(got.select("pid", *fields), "pid", "left")
 
 
 def odd_keys(cells: DataFrame, key: str, size: int) -> DataFrame:

@@ -54,6 +54,11 @@ def sample_bilinear(points: DataFrame, raster: DataFrame, value: str, out: str,
 
     With ``clamp`` corners beyond the edge are the edge; else they count as invalid.
     """
+    return sample_fields(points, raster, {value: out}, height, width, clamp)
+
+
+def sample_fields(points: DataFrame, raster: DataFrame, fields: dict[str, str], height: int, width: int, clamp: bool = True) -> DataFrame:
+    """``sample_bilinear`` of several values at once (name in the raster: name in the result): corners are joined once, each field weighs those where it is valid."""
     z0, x0 = F.floor("fz").cast("int"), F.floor("fx").cast("int")
     corner = F.explode(F.array(*(F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dx")) for a in (0, 1) for b in (0, 1))))
     p = points.select("pid", "fz", "fx", corner.alias("_c")).withColumn("_tz", F.col("fz") - F.floor("fz")).withColumn("_tx", F.col("fx") - F.floor("fx"))
@@ -62,9 +67,11 @@ def sample_bilinear(points: DataFrame, raster: DataFrame, value: str, out: str,
     if clamp:
         z, x = F.least(F.greatest(z, F.lit(0)), F.lit(height - 1)), F.least(F.greatest(x, F.lit(0)), F.lit(width - 1))
     p = p.select("pid", z.alias("z"), x.alias("x"), weight.alias("_w"))
-    j = p.join(raster.select("z", "x", value).filter(F.col(value).isNotNull()), ["z", "x"])
-    s = j.groupBy("pid").agg(F.sum(F.col("_w") * F.col(value)).alias("_s"), F.sum("_w").alias("_n"))
-    return points.join(s.select("pid", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias(out)), "pid", "left")
+    known = F.coalesce(*(F.col(v).cast("string") for v in fields)).isNotNull()
+    j = p.join(raster.filter(known).select("z", "x", *(F.col(v).alias(f"_v{i}") for i, v in enumerate(fields))), ["z", "x"])
+    mean = lambda v: F.sum(F.col("_w") * F.col(v)) / F.nullif(F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))), F.lit(0.0))
+    s = j.groupBy("pid").agg(*(mean(f"_v{i}").alias(out) for i, out in enumerate(fields.values())))
+    return points.join(s, "pid", "left")
 
 
 def triangle(d):

@@ -126,13 +126,13 @@ def fun09(spark, sf):
 
 @query("fun14_climate_at", f"""WITH {R1}, p AS (SELECT p_partkey AS pid, CAST(p_partkey % 3800 AS INT) AS z, CAST(p_partkey % 490 AS INT) AS x FROM part), f AS (SELECT *, z / 8.0::DOUBLE AS fz, x / 8.0::DOUBLE AS fx FROM p),
  c AS (SELECT pid, CAST(floor(fz) AS INT) + a AS sz, CAST(floor(fx) AS INT) + b AS sx, (CASE a WHEN 0 THEN 1 - (fz - floor(fz)) ELSE fz - floor(fz) END) * (CASE b WHEN 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) AS w FROM f, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b)),
- s AS (SELECT pid, sum(w * v * 0.1) / sum(w) AS t, sum(w * (v % 7)) / sum(w) AS k FROM c JOIN r1 ON r1.z = sz AND r1.x = sx GROUP BY pid) SELECT pid, round(t, 6)::DOUBLE AS annual, round(k, 6)::DOUBLE AS warmest FROM s""")
+ s AS (SELECT pid, sum(w * v * 0.1) / sum(w) AS t, sum(w * (v % 7)) / sum(w) AS k FROM c JOIN r1 ON r1.z = sz AND r1.x = sx GROUP BY pid) SELECT pid, round(t, 8)::DOUBLE AS annual, round(k, 8)::DOUBLE AS warmest FROM s""")
 def fun14(spark, sf):
     k = F.col("p_partkey")
     p = table(spark, sf, "part").select(k.alias("pid"), (k % 3800).cast("int").alias("z"), (k % 490).cast("int").alias("x"))
     s = r1(spark, sf).select(F.col("z").alias("sz"), F.col("x").alias("sx"), (F.col("v") * 0.1).alias("annual"), (F.col("v") % 7).cast("double").alias("warmest"))
     got = M.climate_at(p, s, ["annual", "warmest"], 8, 500, 64)
-    return got.select("pid", F.round("annual", 6).alias("annual"), F.round("warmest", 6).alias("warmest"))
+    return got.select("pid", F.round("annual", 8).alias("annual"), F.round("warmest", 8).alias("warmest"))
 
 
 @query("fun15_finite", "SELECT p_partkey AS part, p_partkey % 4 = 0 AS ok FROM part")

@@ -92,3 +92,29 @@ def test_target_outside_and_types(spark):
     away = Grid(0.5, 0.0, 100.0, 0.0, -0.5, 0.0, 5, 4, "EPSG:4326")
     out = WP.warp(cells, DEGREES, away, method="nearest")
     assert out.schema["v"].dataType.simpleString() == "int" and [r["v"] for r in out.collect()] == [None] * 20
+
+
+def test_fields_are_sampled_together(spark):
+    from terraspark.operators import resample as R
+
+    rng = np.random.default_rng(6)
+    rows = [(z, x, None if rng.random() < 0.3 else float(rng.integers(0, 50)), None if rng.random() < 0.3 else float(rng.integers(0, 50))) for z in range(6) for x in range(7)]
+    cells = spark.createDataFrame(rows, "z int, x int, a double, b double")
+    points = spark.createDataFrame([(i, float(rng.uniform(-1, 7)), float(rng.uniform(-1, 8))) for i in range(60)] + [(99, 2.0, 3.0)], "pid int, fz double, fx double")
+    value = {(z, x): (a, b) for z, x, a, b in rows}
+    for clamp in (True, False):
+        got = {r["pid"]: (r["p"], r["q"]) for r in R.sample_fields(points, cells, {"a": "p", "b": "q"}, 6, 7, clamp).collect()}
+        for r in points.collect():
+            for k in (0, 1):
+                s = n = 0.0
+                z0, x0 = math.floor(r["fz"]), math.floor(r["fx"])
+                for dz in (0, 1):
+                    for dx in (0, 1):
+                        w = (r["fz"] - z0 if dz else 1 - r["fz"] + z0) * (r["fx"] - x0 if dx else 1 - r["fx"] + x0)
+                        z, x = z0 + dz, x0 + dx
+                        if clamp:
+                            z, x = min(max(z, 0), 5), min(max(x, 0), 6)
+                        v = value.get((z, x), (None, None))[k]
+                        if v is not None:
+                            s, n = s + w * v, n + w
+                assert got[r["pid"]][k] == (pytest.approx(s / n) if n > 0 else None)
