@@ -43,8 +43,9 @@ def nearest_source(cells: DataFrame, source: str) -> DataFrame:
     """
     row = W.partitionBy("z").orderBy("x")
     here = F.when(F.col(source), F.col("x"))
+    # the right one from behind: a frame that ends with the row is added to, one that starts with it is read anew for each row
     left = F.last(here, True).over(row.rowsBetween(W.unboundedPreceding, 0))
-    right = F.first(here, True).over(row.rowsBetween(0, W.unboundedFollowing))
+    right = F.last(here, True).over(W.partitionBy("z").orderBy(F.desc("x")).rowsBetween(W.unboundedPreceding, 0))
     # only keys and the row's nearest travel; the other columns are joined back
     rows = cells.select("z", "x", left.alias("_l"), right.alias("_r"))
     pick = F.when(F.col("_r").isNull() | (F.col("x") - F.col("_l") <= F.col("_r") - F.col("x")), F.col("_l")).otherwise(F.col("_r"))
@@ -123,15 +124,25 @@ def feather(cells: DataFrame, klass: str, land: str, out: str, height: int | Non
 def fill_interpolated(cells: DataFrame, value: str, out: str, reach: int = 500) -> DataFrame:
     """``cells`` with ``out``: the value, or where it is null the mean of the nearest values to the left, right, above and below, at most ``reach`` cells away, weighed by the inverse of their distance; null where there are none.
 
-    Each search is a window along a row or a column, so two exchanges serve all four.
+    Each search is a window along a band of a row or a column, at least four times as long as
+    the reach, with the values that lie within reach of it; so no task holds more than its
+    bands, however long a column is, and an exchange serves both ways along a line.
     """
-    known = lambda c: F.when(F.col(value).isNotNull(), F.struct(F.col(c).alias("at"), F.col(value).cast("double").alias("v")))
-    found = cells
+    band = 4 * max(reach, 256)
+    found = cells.withColumn("_own", F.lit(True))
     for key, along, names in (("z", "x", ("_a", "_b")), ("x", "z", ("_c", "_d"))):
-        w = W.partitionBy(key).orderBy(along)
-        found = found.withColumn(names[0], F.last(known(along), True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn(names[1], F.first(known(along), True).over(w.rowsBetween(0, W.unboundedFollowing)))
+        here = F.floor(F.col(along) / band)
+        # only values are of use to the bands beside their own
+        beside = found.filter(F.col(value).isNotNull()).withColumn("_band", F.explode(F.sequence(F.floor((F.col(along) - reach) / band), F.floor((F.col(along) + reach) / band)))).filter(F.col("_band") != here)
+        found = found.withColumn("_band", here).unionByName(beside.withColumn("_own", F.lit(False)))
+        w = W.partitionBy(key, "_band")
+        known = F.when(F.col(value).isNotNull(), F.struct(F.col(along).alias("at"), F.col(value).cast("double").alias("v")))
+        # both from the start of a frame: one that starts with the row and ends with the line is read anew for each row
+        for name, order in zip(names, (F.asc(along), F.desc(along))):
+            found = found.withColumn(name, F.last(known, True).over(w.orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+        found = found.filter("_own").drop("_band")
     sides = [(F.col(n), F.abs(F.col(n)["at"] - F.col(c))) for n, c in (("_a", "x"), ("_b", "x"), ("_c", "z"), ("_d", "z"))]
     total = lambda part: sum((F.when((d > 0) & (d <= reach), part(n) / d).otherwise(0.0) for n, d in sides), F.lit(0.0))
     weight = total(lambda n: F.lit(1.0))
     mean = F.when(weight > 0, total(lambda n: n["v"]) / weight)
-    return found.withColumn(out, F.coalesce(F.col(value).cast("double"), mean)).drop("_a", "_b", "_c", "_d")
+    return found.withColumn(out, F.coalesce(F.col(value).cast("double"), mean)).drop("_own", "_a", "_b", "_c", "_d")
