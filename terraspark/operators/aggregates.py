@@ -50,9 +50,14 @@ def argmin(df: DataFrame, by: list[str], value: str, order: list[str], out: str)
     return m.select(*by, F.col("_m")[value].alias(out), *(F.col("_m")[c].alias(c) for c in order))
 
 
-def annual_sum(months: DataFrame, by: list[str], value: str, out: str, top: int = 65535) -> DataFrame:
-    """Sum of monthly values, negative ones as 0, rounded half to even and clipped."""
-    return months.groupBy(*by).agg(F.sum(F.greatest(F.col(value), F.lit(0.0))).alias("_s")).select(*by, F.rint(F.least(F.greatest("_s", F.lit(0.0)), F.lit(float(top)))).cast("int").alias(out))
+def annual_sum(months: DataFrame, by: list[str], value: str, out: str, top: int = 65535, order: str | None = None) -> DataFrame:
+    """Sum of monthly values, negative ones as 0, rounded half to even and clipped; ``order``: the months' order, for a sum whose last bits don't depend on the shuffle."""
+    if order is None:
+        s = months.groupBy(*by).agg(F.sum(F.greatest(F.col(value), F.lit(0.0))).alias("_s"))
+    else:
+        m = months.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_m"))
+        s = m.select(*by, F.aggregate("_m", F.lit(0.0), lambda a, r: a + F.greatest(r[value], F.lit(0.0))).alias("_s"))
+    return s.select(*by, F.rint(F.least(F.greatest("_s", F.lit(0.0)), F.lit(float(top)))).cast("int").alias(out))
 
 
 def annual_mean(months: DataFrame, by: list[str], value: str, out: str, order: str = "month") -> DataFrame:

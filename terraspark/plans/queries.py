@@ -322,7 +322,7 @@ def agg04(spark, sf):
 
 @query("agg05_annual_sum", f"WITH {R5} SELECT sample, CAST(round_even(greatest(least(sum(greatest(t - 5, 0.0)), 65535), 0), 0) AS INT) AS p FROM r5 GROUP BY sample")
 def agg05(spark, sf):
-    return A.annual_sum(r5(spark, sf).withColumn("t", F.col("t") - 5), ["sample"], "t", "p")
+    return A.annual_sum(r5(spark, sf).withColumn("t", F.col("t") - 5), ["sample"], "t", "p", order="month")
 
 
 @query("agg06_footprint_mean", f"WITH {R1} SELECT CAST((z + 4) // 8 AS INT) AS sz, CAST((x + 4) // 8 AS INT) AS sx, round(avg(v), 6) AS y, count(*) AS n FROM r1 WHERE (x + 4) // 8 < 8 GROUP BY 1, 2")
