@@ -366,7 +366,7 @@ def agg13(spark, sf):
 
 @query("agg14_month_array", f"WITH {R5} SELECT sample, CAST(floor(sum(t) / 120.0 * 1000 + 0.25) AS BIGINT) AS mean, CAST(floor(max(t) * 0.1 * 1000 + 0.25) AS BIGINT) AS warm FROM r5 GROUP BY sample")
 def agg14(spark, sf):
-    m = r5(spark, sf).groupBy("sample").agg(F.collect_list("t").alias("m"))
+    m = r5(spark, sf).filter("t IS NOT NULL").groupBy("sample").agg(F.transform(F.sort_array(F.collect_list(F.struct("month", "t"))), lambda r: r["t"]).alias("m"))
     return m.select("sample", F.floor(S.annual_mean(F.col("m")) * 1000 + 0.25).alias("mean"), F.floor(S.warmest(F.col("m")) * 1000 + 0.25).alias("warm"))
 
 
