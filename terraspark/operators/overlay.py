@@ -4,7 +4,8 @@ polygons(id, rings array<array<struct<x, y>>>) hold what an odd number of their
 holds; lines(id, pts). All pairs are found in buckets of a grid: a segment lies in the
 buckets it runs through, a meeting place belongs to the one bucket it lies in, so no pair
 comes twice. Whether a place is inside is decided by the crossings of a ray with the
-polygon's own edges in its band of the grid.
+polygon's own edges in its band of the grid. Copies of a shape are looked at once: the
+shape of least id stands for them, and pairs are handed out to the copies at the end.
 
 Coordinates are compared as they are: shapes that touch share exact points, as on a grid
 or along a border that both were cut from. Sides of a segment are looked at a millionth
@@ -35,6 +36,23 @@ def edges(shapes: DataFrame, column: str = "rings") -> DataFrame:
     return s.filter("x1 <> x2 OR y1 <> y2")
 
 
+def _shapes(shapes: DataFrame, column: str) -> DataFrame:
+    """(id, column): distinct shapes, each with the least id that has it."""
+    return shapes.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min("id").alias("id")).select("id", column)
+
+
+def _copies(shapes: DataFrame, column: str, name: str) -> DataFrame:
+    """(name, copy): each row's own id as ``copy`` beside the id that stands for its shape."""
+    one = _shapes(shapes, column).withColumnRenamed("id", name)
+    return shapes.select(column, F.col("id").alias("copy")).join(one, column).select(name, "copy")
+
+
+def _to_copies(pairs: DataFrame, shapes: DataFrame, column: str, name: str) -> DataFrame:
+    """``pairs`` with each id of ``name`` replaced by those of all copies of its shape."""
+    others = [c for c in pairs.columns if c != name]
+    return pairs.join(_copies(shapes, column, name), name).select(*others, F.col("copy").alias(name)).select(*pairs.columns)
+
+
 def bucket_size(parts: DataFrame) -> float:
     """Some times the mean extent of the segments: so that few buckets hold a segment and few segments a bucket."""
     n = parts.agg(F.avg(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))))).first()[0]
@@ -139,6 +157,7 @@ def covering(polygons: DataFrame, lines: DataFrame, cell: float | None = None) -
 
     Lines are cut where they meet borders; a piece is covered if one of its sides is.
     """
+    every_polygon, every_line, polygons, lines = polygons, lines, _shapes(polygons, "rings"), _shapes(lines, "pts")
     sp, sl = edges(polygons), edges(lines, "pts")
     cell = cell or bucket_size(sp.unionByName(sl))
     at = meetings(sl, sp, cell).select(F.col("a_id").alias("id"), F.col("a_part").alias("part"), F.col("a_ord").alias("ord"), "x", "y")
@@ -147,7 +166,8 @@ def covering(polygons: DataFrame, lines: DataFrame, cell: float | None = None) -
     held = inside(_sides(pieces, keep), polygons, cell, [*keep, "side"]).select(*keep, "polygon").distinct()
     counts = held.groupBy("id", "polygon").agg(F.count(F.lit(1)).alias("_k"))
     every = pieces.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
-    return counts.join(every, "id").filter("_k = _n").select("polygon", F.col("id").alias("line"))
+    found = counts.join(every, "id").filter("_k = _n").select("polygon", F.col("id").alias("line"))
+    return _to_copies(_to_copies(found, every_polygon, "rings", "polygon"), every_line, "pts", "line")
 
 
 def _stitched(t: pa.Table) -> pa.Table:
