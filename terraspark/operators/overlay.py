@@ -140,6 +140,7 @@ def _sides(pieces: DataFrame, keep: list[str]) -> DataFrame:
 
 def intersecting(a: DataFrame, b: DataFrame, a_column: str = "rings", b_column: str = "rings", cell: float | None = None) -> DataFrame:
     """(a_id, b_id): shapes that have a place in common, borders included. Columns: ``rings`` of polygons or ``pts`` of lines."""
+    every_a, every_b, a, b = a, b, _shapes(a, a_column), _shapes(b, b_column)
     sa, sb = edges(a, a_column), edges(b, b_column)
     cell = cell or bucket_size(sa.unionByName(sb))
     found = meetings(sa, sb, cell).select("a_id", "b_id")
@@ -149,7 +150,7 @@ def intersecting(a: DataFrame, b: DataFrame, a_column: str = "rings", b_column:
         found = found.unionByName(inside(first(sa), b, cell, ["id"]).select(F.col("id").alias("a_id"), F.col("polygon").alias("b_id")))
     if a_column == "rings":
         found = found.unionByName(inside(first(sb), a, cell, ["id"]).select(F.col("polygon").alias("a_id"), F.col("id").alias("b_id")))
-    return found.distinct()
+    return _to_copies(_to_copies(found.distinct(), every_a, a_column, "a_id"), every_b, b_column, "b_id")
 
 
 def covering(polygons: DataFrame, lines: DataFrame, cell: float | None = None) -> DataFrame:
