@@ -196,8 +196,8 @@ def union_polygons(spark: SparkSession, polygons: DataFrame, cell: float | None
     the other is not; border pieces are followed with the inside to the left, and rings come
     largest first: the outer one, then the holes. Polygons that touch in points only stay apart.
     """
-    parts = G.cut_lineage(spark, edges(polygons.select(F.col("id").cast("long").alias("id"), "rings")))
-    own = polygons.select(F.col("id").cast("long").alias("id"), "rings")
+    own = G.cut_lineage(spark, _shapes(polygons.select(F.col("id").cast("long").alias("id"), "rings"), "rings"))
+    parts = G.cut_lineage(spark, edges(own))
     cell = cell or bucket_size(parts)
     met = G.cut_lineage(spark, meetings(parts, parts, cell, same=True))
     at = lambda s: met.select(F.col(f"{s}_id").alias("id"), F.col(f"{s}_part").alias("part"), F.col(f"{s}_ord").alias("ord"), "x", "y")

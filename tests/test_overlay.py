@@ -87,3 +87,23 @@ def test_intersects_and_covers(spark):
     assert {tuple(r) for r in O.covering(p, ln).collect()} == cover
     both = {tuple(r) for r in O.intersecting(p, p, cell=3.0).collect()}
     assert both == {(b, a) for a, b in both} and all((i, i) in both for i, _ in polys)
+
+
+def test_copies_of_a_shape_are_looked_at_once(spark, monkeypatch):
+    seen, meetings = [], O.meetings
+
+    def counted(a, b, cell, same=False):
+        seen.append((a.count(), b.count()))
+        return meetings(a, b, cell, same)
+
+    monkeypatch.setattr(O, "meetings", counted)
+    kinds = [box(0, 0, 4, 4), box(2, 2, 6, 6), box(20, 20, 22, 22)]
+    polys = frame(spark, [(i, [kinds[i % 3]]) for i in range(5, 65)])
+    lines = frame(spark, [(100 + i, [(1.0, 1.0), (3.0, 3.0)] if i % 2 else [(5.0, 5.0), (9.0, 5.0)]) for i in range(20)], "pts")
+    assert {tuple(r) for r in O.intersecting(polys, lines, "rings", "pts").collect()} == {(i, 100 + k) for i in range(5, 65) for k in range(20) if (i % 3 < 2 if k % 2 else i % 3 == 1)}
+    cover = O.covering(polys, lines).collect()
+    assert sorted(tuple(r) for r in cover) == [(i, 100 + k) for i in range(5, 65) if i % 3 == 0 for k in range(20) if k % 2]
+    union = O.union_polygons(spark, polys).collect()
+    assert sorted((r["whole"], r["area"]) for r in union) == [(5, 4.0), (6, 28.0)]
+    # three shapes of four edges, two of one: whatever the number of copies
+    assert seen == [(12, 2), (2, 12), (12, 12)]
