@@ -101,6 +101,11 @@ def _least_members(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _moved(df: DataFrame) -> DataFrame:
+    """One side of a join that both sides are dealt out for: a broadcast sends a table through the driver, round after round."""
+    return df.hint("merge")
+
+
 def _contract(spark: SparkSession, links: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
     """Solves each block's own links(src, dst, src < dst): (id, root) of their nodes, and the links left between roots."""
 
@@ -114,7 +119,7 @@ def _contract(spark: SparkSession, links: DataFrame, span: int) -> tuple[DataFra
     local = cut_lineage(spark, inner.groupBy("block").applyInArrow(solve, "id long, root long"))
     left = links.filter(_block("src", span) != _block("dst", span))
     for c in ("src", "dst"):
-        left = left.join(local.select(F.col("id").alias(c), F.col("root").alias("_r")), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
+        left = left.join(_moved(local.select(F.col("id").alias(c), F.col("root").alias("_r"))), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
     left = left.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     return local, cut_lineage(spark, left)
 
@@ -124,10 +129,10 @@ def _hook(spark: SparkSession, links: DataFrame, rounds: int = 200) -> DataFrame
     both = cut_lineage(spark, links.select("src", "dst").unionAll(links.select("dst", "src")))
     label = before = cut_lineage(spark, both.select(F.col("src").alias("id")).distinct().withColumn("root", F.col("id")))
     for _ in range(rounds):
-        seen = both.join(label, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("root").alias("m"))
-        hooked = label.join(seen, F.col("id") == F.col("src")).select("id", F.least("root", "m").alias("c"), F.col("root").alias("old"))
+        seen = both.join(_moved(label), F.col("dst") == F.col("id")).groupBy("src").agg(F.min("root").alias("m"))
+        hooked = label.join(_moved(seen), F.col("id") == F.col("src")).select("id", F.least("root", "m").alias("c"), F.col("root").alias("old"))
         up = hooked.select(F.col("id").alias("_i"), F.col("c").alias("_c"))
-        new = cut_lineage(spark, hooked.join(up, F.col("c") == F.col("_i")).select("id", F.col("_c").alias("root"), (F.col("_c") != F.col("old")).alias("moved")))
+        new = cut_lineage(spark, hooked.join(_moved(up), F.col("c") == F.col("_i")).select("id", F.col("_c").alias("root"), (F.col("_c") != F.col("old")).alias("moved")))
         forget(spark, before)
         before, label = new, new.select("id", "root")
         if new.filter("moved").isEmpty():
@@ -156,7 +161,7 @@ def components(spark: SparkSession, edges: DataFrame, nodes: DataFrame, span: in
             break
     out = nodes.select("id", F.col("id").cast("long").alias("component"))
     for step in steps:
-        out = out.join(step.select(F.col("id").alias("component"), F.col("root").alias("_r")), "component", "left").select("id", F.coalesce("_r", "component").alias("component"))
+        out = out.join(_moved(step.select(F.col("id").alias("component"), F.col("root").alias("_r"))), "component", "left").select("id", F.coalesce("_r", "component").alias("component"))
     return out.select("id", F.col("component").cast(nodes.schema["id"].dataType).alias("component"))
 
 
@@ -303,7 +308,7 @@ def _relax(spark: SparkSession, levels: DataFrame, arcs: DataFrame, kind: str, k
     if most > PORTS:
         forget(spark, ports)
         return _by_rounds(spark, nodes, placed, kind, rounds)
-    flagged = nodes.join(ports, ["block", "id"], "left").select("block", "id", "level", F.coalesce("enter", F.lit(False)).alias("enter"), F.coalesce("leave", F.lit(False)).alias("leave"))
+    flagged = nodes.join(_moved(ports), ["block", "id"], "left").select("block", "id", "level", F.coalesce("enter", F.lit(False)).alias("enter"), F.coalesce("leave", F.lit(False)).alias("leave"))
     local = cut_lineage(spark, flagged.groupBy("block").cogroup(inner.groupBy("block")).applyInArrow(_reducer(found[2]), f"{shape}, port boolean, dst {id_kind}"))
     settled = local.filter("dst IS NULL").select("block", "id", "level", "port")
     border = settled.filter("port").select("id", "level")
@@ -316,12 +321,12 @@ def _relax(spark: SparkSession, levels: DataFrame, arcs: DataFrame, kind: str, k
         again = graph.select(key("dst", up).alias("block"), key("src", up).alias("_from"), "src", "dst", "cost")
         final = _by_rounds(spark, border.select(key("id", up).alias("block"), "id", "level"), cut_lineage(spark, again), kind, rounds)
     # what the border learned goes back into the blocks that it lowers
-    lower = settled.filter("port").join(final.withColumnRenamed("level", "_l"), "id").filter("_l < level").select("block", "id", "_l")
+    lower = settled.filter("port").join(_moved(final.withColumnRenamed("level", "_l")), "id").filter("_l < level").select("block", "id", "_l")
     lower = cut_lineage(spark, lower)
     touched = lower.select("block").distinct()
-    back = settled.join(touched, "block", "left_semi").join(lower, ["block", "id"], "left").select("block", "id", F.least("level", "_l").alias("level"))
-    new = cut_lineage(spark, solve(back, inner.join(touched, "block", "left_semi")))
-    rest = settled.join(touched, "block", "left_anti")
+    back = settled.join(_moved(touched), "block", "left_semi").join(_moved(lower), ["block", "id"], "left").select("block", "id", F.least("level", "_l").alias("level"))
+    new = cut_lineage(spark, solve(back, inner.join(_moved(touched), "block", "left_semi")))
+    rest = settled.join(_moved(touched), "block", "left_anti")
     forget(spark, ports)
     return rest.select("id", "level").unionByName(new.select("id", "level"))
 
@@ -334,15 +339,15 @@ def _by_rounds(spark: SparkSession, start: DataFrame, every: DataFrame, kind: st
     solved = lambda nodes, own: cut_lineage(spark, nodes.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_solve_block, shape))
     now = moved = solved(start.withColumn("was", F.col("level") + F.lit(1).cast(kind)), inner)
     for _ in range(rounds):
-        offer = cross.join(moved.filter("moved").select(F.col("id").alias("src"), "level"), "src").groupBy("block", F.col("dst").alias("id")).agg(F.min(F.col("level") + F.col("cost")).cast(kind).alias("_o"))
-        offer = cut_lineage(spark, offer.join(now.select("block", "id", "level"), ["block", "id"]).filter("_o < level").select("block", "id", "_o"))
+        offer = cross.join(_moved(moved.filter("moved").select(F.col("id").alias("src"), "level")), "src").groupBy("block", F.col("dst").alias("id")).agg(F.min(F.col("level") + F.col("cost")).cast(kind).alias("_o"))
+        offer = cut_lineage(spark, offer.join(_moved(now.select("block", "id", "level")), ["block", "id"]).filter("_o < level").select("block", "id", "_o"))
         if offer.isEmpty():
             forget(spark, every, offer, *([moved] if moved is not now else []))
             return now.select("id", "level")
         reached = offer.select("block").distinct()
-        nodes = now.join(reached, "block", "left_semi").join(offer, ["block", "id"], "left")
-        fresh = solved(nodes.select("block", "id", F.least("level", "_o").alias("level"), F.col("level").alias("was")), inner.join(reached, "block", "left_semi"))
-        later = cut_lineage(spark, now.join(reached, "block", "left_anti").unionByName(fresh))
+        nodes = now.join(_moved(reached), "block", "left_semi").join(_moved(offer), ["block", "id"], "left")
+        fresh = solved(nodes.select("block", "id", F.least("level", "_o").alias("level"), F.col("level").alias("was")), inner.join(_moved(reached), "block", "left_semi"))
+        later = cut_lineage(spark, now.join(_moved(reached), "block", "left_anti").unionByName(fresh))
         forget(spark, offer, now, *([moved] if moved is not now else []))
         now, moved = later, fresh
     raise RuntimeError("relax: no fixpoint")
@@ -373,14 +378,14 @@ def lower_downstream(spark: SparkSession, levels: DataFrame, ways: DataFrame, sp
     """``lowered``, and whether anything moved."""
     low = cut_lineage(spark, lowered(spark, levels, ways, span, width))
     before = levels.select("id", F.col("level").alias("_was"))
-    return low, not low.join(before, "id").filter("level < _was").isEmpty()
+    return low, not low.join(_moved(before), "id").filter("level < _was").isEmpty()
 
 
 def flatten_sections(spark: SparkSession, levels: DataFrame, sections: DataFrame) -> tuple[DataFrame, bool]:
     """All cells of one of ``sections(id, center)`` take its least level."""
-    s = sections.join(levels, "id")
+    s = sections.join(_moved(levels), "id")
     low = s.groupBy("center").agg(F.min("level").alias("m"))
-    new = cut_lineage(spark, levels.join(sections, "id", "left").join(low, "center", "left").select("id", F.least("level", F.coalesce("m", "level")).alias("level"), (F.col("m") < F.col("level")).alias("moved")))
+    new = cut_lineage(spark, levels.join(_moved(sections), "id", "left").join(_moved(low), "center", "left").select("id", F.least("level", F.coalesce("m", "level")).alias("level"), (F.col("m") < F.col("level")).alias("moved")))
     return new.select("id", "level"), not new.filter("moved").isEmpty()
 
 
@@ -394,7 +399,7 @@ def settle(spark: SparkSession, cells: DataFrame, sections: DataFrame, ways: Dat
     now = cells.select("id", "level")
     for _ in range(rounds):
         now, flat = flatten_sections(spark, now, sections)
-        now = cut_lineage(spark, level_surface(spark, place.join(now, "id"), span, width))
+        now = cut_lineage(spark, level_surface(spark, place.join(_moved(now), "id"), span, width))
         now, down = lower_downstream(spark, now, ways, span, width)
         if not flat and not down:
             return now
@@ -406,7 +411,7 @@ def choose_outlets(nodes: DataFrame) -> DataFrame:
     kind = F.when(F.col("lake"), 0).when(F.col("coast"), 1).when(F.col("edge"), 2).otherwise(3)
     n = nodes.withColumn("_k", kind)
     best = n.groupBy("component").agg(F.min("_k").alias("_b"))
-    n = n.join(best, "component").filter("_k = _b")
+    n = n.join(_moved(best), "component").filter("_k = _b")
     lakes = n.filter("_b = 0").select("id", "component")
     one = n.filter("_b > 0").groupBy("component").agg(F.min(F.struct("sample", "id")).alias("_m")).select("_m.id", "component")
     return lakes.unionByName(one)
@@ -448,7 +453,7 @@ def scc(spark: SparkSession, edges: DataFrame, span: int = SPAN, rounds: int = 1
 
     def drop(arcs: DataFrame, gone: DataFrame) -> DataFrame:
         g = gone.select("id")
-        return arcs.join(g.withColumnRenamed("id", "src"), "src", "left_anti").join(g.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
+        return arcs.join(_moved(g.withColumnRenamed("id", "src")), "src", "left_anti").join(_moved(g.withColumnRenamed("id", "dst")), "dst", "left_anti").select("src", "dst")
 
     n = arcs.count()
     for _ in range(rounds):
@@ -456,7 +461,7 @@ def scc(spark: SparkSession, edges: DataFrame, span: int = SPAN, rounds: int = 1
             break
         # arcs between nodes that something enters and something leaves
         ends = arcs.select("src").distinct().intersect(arcs.select(F.col("dst").alias("src")).distinct())
-        inner = arcs.join(ends, "src", "left_semi").join(ends.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
+        inner = arcs.join(_moved(ends), "src", "left_semi").join(_moved(ends.withColumnRenamed("src", "dst")), "dst", "left_semi").select("src", "dst")
         inner = cut_lineage(spark, inner)
         m = inner.count()
         if m < n:
@@ -466,9 +471,9 @@ def scc(spark: SparkSession, edges: DataFrame, span: int = SPAN, rounds: int = 1
         ids = arcs.select(F.col("src").cast("long").alias("id")).distinct()
         root = cut_lineage(spark, relax(spark, ids.withColumn("level", F.col("id")), zero(arcs, "src", "dst"), span=span)).withColumnRenamed("level", "root")
         of = lambda c: root.select(F.col("id").alias(c), F.col("root").alias(f"_{c}"))
-        within = arcs.join(of("src"), "src").join(of("dst"), "dst").filter("_src = _dst")
+        within = arcs.join(_moved(of("src")), "src").join(_moved(of("dst")), "dst").filter("_src = _dst")
         back = relax(spark, root.select("id", (F.col("id") != F.col("root")).cast("int").alias("level")), zero(within, "dst", "src"), span=span)
-        found = cut_lineage(spark, back.filter("level = 0").join(root, "id").select("id", F.col("root").alias("scc")))
+        found = cut_lineage(spark, back.filter("level = 0").join(_moved(root), "id").select("id", F.col("root").alias("scc")))
         done.append(found)
         arcs = cut_lineage(spark, drop(arcs, found))
         n = arcs.count()
@@ -477,7 +482,7 @@ def scc(spark: SparkSession, edges: DataFrame, span: int = SPAN, rounds: int = 1
     kind = edges.schema["src"].dataType
     out = nodes.withColumn("scc", F.col("id"))
     for found in done:
-        out = out.join(found.select("id", F.col("scc").cast(kind).alias("_s")), "id", "left").select("id", F.coalesce("_s", "scc").alias("scc"))
+        out = out.join(_moved(found.select("id", F.col("scc").cast(kind).alias("_s"))), "id", "left").select("id", F.coalesce("_s", "scc").alias("scc"))
     return out
 
 
@@ -488,14 +493,14 @@ def shortest_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seed
     Distances are a fixpoint, settled block by block. Of neighbours that give a node its
     distance, its parent is the one nearest to a seed, the least on ties.
     """
-    start = nodes.select(F.col("id").cast("long").alias("id")).join(seeds.select(F.col("id").cast("long").alias("id"), F.lit(0.0).alias("level")).distinct(), "id", "left")
+    start = nodes.select(F.col("id").cast("long").alias("id")).join(_moved(seeds.select(F.col("id").cast("long").alias("id"), F.lit(0.0).alias("level")).distinct()), "id", "left")
     start = start.select("id", F.coalesce("level", F.lit(float("inf"))).alias("level"))
     arcs = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("cost").cast("double").alias("cost"))
     dist = cut_lineage(spark, relax(spark, start, arcs, span=span))
     a, b = (dist.select(F.col("id").alias(c), F.col("level").alias(f"_{c}")) for c in ("src", "dst"))
-    via = arcs.join(a, "src").join(b, "dst").filter((F.col("_src") + F.col("cost") == F.col("_dst")) & (F.col("_dst") > 0) & (F.col("_dst") < float("inf")))
+    via = arcs.join(_moved(a), "src").join(_moved(b), "dst").filter((F.col("_src") + F.col("cost") == F.col("_dst")) & (F.col("_dst") > 0) & (F.col("_dst") < float("inf")))
     parent = via.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("_src", "src"))["src"].alias("parent"))
-    return cut_lineage(spark, dist.join(parent, "id", "left").select("id", F.col("level").alias("distance"), F.coalesce("parent", F.lit(-1).cast("long")).alias("parent")))
+    return cut_lineage(spark, dist.join(_moved(parent), "id", "left").select("id", F.col("level").alias("distance"), F.coalesce("parent", F.lit(-1).cast("long")).alias("parent")))
 
 
 @tidied
@@ -504,8 +509,8 @@ def path_starts(spark: SparkSession, tree: DataFrame, span: int = SPAN) -> DataF
     t = tree.filter("parent >= 0")
     up = t.select(F.col("id").alias("src"), F.col("parent").alias("dst"), F.lit(0).alias("cost"))
     far = cut_lineage(spark, relax(spark, t.select("id", (-F.col("distance")).alias("level")), up, span=span))
-    on = t.select("id", "distance").join(far, "id")
-    same = up.join(far.select(F.col("id").alias("src"), F.col("level").alias("_s")), "src").join(far.select(F.col("id").alias("dst"), F.col("level").alias("_d")), "dst").filter("_s = _d")
+    on = t.select("id", "distance").join(_moved(far), "id")
+    same = up.join(_moved(far.select(F.col("id").alias("src"), F.col("level").alias("_s"))), "src").join(_moved(far.select(F.col("id").alias("dst"), F.col("level").alias("_d"))), "dst").filter("_s = _d")
     none = F.lit(2**62).cast("long")
     own = on.select("id", F.when(F.col("level") == -F.col("distance"), -F.col("id")).otherwise(none).alias("level"))
     return relax(spark, own, same.select("src", "dst", "cost"), span=span).select("id", (-F.col("level")).alias("start"))
@@ -533,12 +538,12 @@ def fit_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds: Da
     """
     tree = shortest_paths(spark, nodes, edges, seeds, span)
     sample = nodes.select(F.col("id").cast("long").alias("id"), F.col("sample").cast("double").alias("sample"))
-    cells = cut_lineage(spark, tree.filter("parent >= 0").join(path_starts(spark, tree, span), "id").join(sample, "id"))
+    cells = cut_lineage(spark, tree.filter("parent >= 0").join(_moved(path_starts(spark, tree, span)), "id").join(_moved(sample), "id"))
     ends = cut_lineage(spark, cells.groupBy("start").agg(F.min_by("parent", "distance").alias("end")))
-    fresh = known = cut_lineage(spark, tree.filter("distance = 0").join(sample, "id").select("id", F.col("sample").alias("value")))
+    fresh = known = cut_lineage(spark, tree.filter("distance = 0").join(_moved(sample), "id").select("id", F.col("sample").alias("value")))
     for _ in range(rounds):
-        ready = ends.join(fresh.select(F.col("id").alias("end"), F.col("value").alias("below")), "end").select("start", "below")
-        fresh = cut_lineage(spark, cells.join(ready, "start").select("start", "id", "sample", "distance", "below").groupBy("start").applyInArrow(_fit, "id long, value double"))
+        ready = ends.join(_moved(fresh.select(F.col("id").alias("end"), F.col("value").alias("below"))), "end").select("start", "below")
+        fresh = cut_lineage(spark, cells.join(_moved(ready), "start").select("start", "id", "sample", "distance", "below").groupBy("start").applyInArrow(_fit, "id long, value double"))
         if fresh.isEmpty():
             break
         # one table of all generations, so that the plan does not grow with them
@@ -546,7 +551,7 @@ def fit_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds: Da
     else:
         raise RuntimeError("fit_paths: paths are left")
     known = spark.read.schema(known.schema).parquet(known.written_at)
-    out = tree.join(sample, "id").join(known, "id", "left")
+    out = tree.join(_moved(sample), "id").join(_moved(known), "id", "left")
     return out.select("id", "distance", "parent", F.rint(F.least(F.greatest(F.coalesce("value", "sample"), F.lit(1.0)), F.lit(255.0))).cast("int").alias("level"))
 
 
