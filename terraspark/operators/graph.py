@@ -460,7 +460,7 @@ def scc(spark: SparkSession, edges: DataFrame, span: int = SPAN, rounds: int = 1
         if not n:
             break
         # arcs between nodes that something enters and something leaves
-        ends = arcs.select("src").distinct().intersect(arcs.select(F.col("dst").alias("src")).distinct())
+        ends = arcs.select("src").distinct().join(_moved(arcs.select(F.col("dst").alias("src")).distinct()), "src", "left_semi")
         inner = arcs.join(_moved(ends), "src", "left_semi").join(_moved(ends.withColumnRenamed("src", "dst")), "dst", "left_semi").select("src", "dst")
         inner = cut_lineage(spark, inner)
         m = inner.count()

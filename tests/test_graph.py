@@ -149,3 +149,27 @@ def test_strong_components_by_reach(spark, span):
             reach[a] |= reach[b]
     want = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
     assert {r["id"]: r["scc"] for r in G.scc(spark, spark.createDataFrame(edges, "src long, dst long"), span).collect()} == want
+
+
+def test_fixpoints_send_no_tables_through_the_driver(spark, monkeypatch):
+    # joins of small tables would be broadcasts: in each round, and each by way of the driver
+    plans, write = [], G.cut_lineage
+
+    def seen(session, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(session, df)
+
+    monkeypatch.setattr(G, "cut_lineage", seen)
+    ring = [(i, (i * 7 + 1) % 16) for i in range(16)] + [(i, i // 2) for i in range(1, 16)]
+    arcs = spark.createDataFrame(ring, "src long, dst long").coalesce(1)
+    levels = spark.createDataFrame([(i, 50 - 3 * i) for i in range(16)], "id long, level int").coalesce(1)
+    want = {i: 50 - 3 * i for i in range(16)}
+    for _ in want:
+        for a, b in ring:
+            want[a] = min(want[a], want[b] + 1)
+    monkeypatch.setattr(G, "PORTS", 0)  # by rounds
+    assert {r["id"]: r["level"] for r in G.step_limit(spark, levels, arcs, span=8).collect()} == want
+    sent = lambda: [p for p in plans if "BroadcastHashJoin" in p]
+    assert len(plans) > 4 and not sent()
+    G.scc(spark, arcs, span=1 << 17)
+    assert len(plans) > 8 and not sent(), sent()[0][:3000]
