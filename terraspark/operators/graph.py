@@ -417,26 +417,53 @@ def choose_outlets(nodes: DataFrame) -> DataFrame:
     return lakes.unionByName(one)
 
 
-def isotonic(values: np.ndarray, outlet: float) -> np.ndarray:
-    """Least-squares fit that never rises downstream and ends at the outlet: ``values`` from source to outlet.
+def _along(op: np.ufunc, x: np.ndarray, first: np.ndarray, n: np.ndarray) -> None:
+    """``op.accumulate`` in place over each stretch ``first[k] .. first[k] + n[k]``: place by place along all of them, the rest of long ones by itself."""
+    order, short = np.argsort(-n, kind="stable"), 64
+    for i in range(1, min(n.max(initial=0), short)):
+        at = first[order[: np.count_nonzero(n > i)]] + i
+        x[at] = op(x[at - 1], x[at])
+    for k in np.flatnonzero(n > short):
+        rest = slice(first[k] + short - 1, first[k] + n[k])
+        x[rest] = op.accumulate(x[rest])
+
+
+def _isotonic(sample: np.ndarray, n: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Least-squares fits that never fall upstream, of paths laid end to end: ``n`` samples each, from its end up, and ``below``, the level of the cell that it ends at.
 
     Counted from the outlet up, the fit is the slope of the greatest convex curve below the
-    running sums. Its corners are found by splitting chords where the sums lie farthest below.
+    running sums. Its corners are found by splitting chords where the sums lie farthest below,
+    for the chords of all paths at once.
     """
-    total = np.r_[0.0, np.cumsum(np.r_[outlet, np.asarray(values, dtype=float)[::-1]])]
-    corners, open_ = [0, len(total) - 1], [(0, len(total) - 1)]
-    while open_:
-        a, b = open_.pop()
-        if b - a < 2:
-            continue
-        below = np.interp(np.arange(a + 1, b), [a, b], [total[a], total[b]]) - total[a + 1 : b]
-        k = int(below.argmax())
-        if below[k] > 1e-9:
-            corners.append(a + 1 + k)
-            open_ += [(a, a + 1 + k), (a + 1 + k, b)]
-    at = np.sort(np.array(corners))
-    fit = np.repeat(np.diff(total[at]) / np.diff(at), np.diff(at))
-    return np.maximum(fit[:0:-1], outlet)
+    path = np.repeat(np.arange(len(n)), n)
+    a = np.cumsum(n) - n + 2 * np.arange(len(n))  # running sums of a path: 0, below, below and its first sample, ...
+    own = np.arange(len(sample)) + 2 * path + 1  # the sum before each sample
+    total = np.zeros(len(sample) + 2 * len(n))
+    total[a + 1], total[own + 1] = below, sample
+    _along(np.add, total, a, n + 2)
+    corner = np.zeros(len(total), bool)
+    b = a + n + 1
+    corner[a] = corner[b] = True
+    while len(a):
+        a, b = a[b - a > 1], b[b - a > 1]
+        m = b - a - 1
+        chord = np.repeat(np.arange(len(a)), m)
+        at = np.arange(len(chord)) - (np.cumsum(m) - m)[chord] + a[chord] + 1
+        low = ((total[b] - total[a]) / (b - a))[chord] * (at - a[chord]) + total[a][chord] - total[at]
+        most = np.maximum.reduceat(low, np.cumsum(m) - m) if len(a) else low
+        split = most > 1e-9
+        hit = np.flatnonzero(split[chord] & (low == most[chord]))
+        k = at[hit[np.unique(chord[hit], return_index=True)[1]]]
+        corner[k] = True
+        a, b = np.concatenate([a[split], k]), np.concatenate([k, b[split]])
+    ends = np.flatnonzero(corner)
+    return np.maximum(np.repeat(np.diff(total[ends]) / np.diff(ends), np.diff(ends))[own], below[path])
+
+
+def isotonic(values: np.ndarray, outlet: float) -> np.ndarray:
+    """Least-squares fit that never rises downstream and ends at the outlet: ``values`` from source to outlet."""
+    up = np.asarray(values, dtype=float)[::-1]
+    return _isotonic(up, np.array([len(up)]), np.array([float(outlet)]))[::-1]
 
 
 @tidied
@@ -494,7 +521,7 @@ def shortest_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seed
     distance, its parent is the one nearest to a seed, the least on ties.
     """
     start = nodes.select(F.col("id").cast("long").alias("id")).join(_moved(seeds.select(F.col("id").cast("long").alias("id"), F.lit(0.0).alias("level")).distinct()), "id", "left")
-    start = start.select("id", F.coalesce("level", F.lit(float("inf"))).alias("level"))
+    start = cut_lineage(spark, start.select("id", F.coalesce("level", F.lit(float("inf"))).alias("level")))
     arcs = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("cost").cast("double").alias("cost"))
     dist = cut_lineage(spark, relax(spark, start, arcs, span=span))
     a, b = (dist.select(F.col("id").alias(c), F.col("level").alias(f"_{c}")) for c in ("src", "dst"))
@@ -513,18 +540,42 @@ def path_starts(spark: SparkSession, tree: DataFrame, span: int = SPAN) -> DataF
     same = up.join(_moved(far.select(F.col("id").alias("src"), F.col("level").alias("_s"))), "src").join(_moved(far.select(F.col("id").alias("dst"), F.col("level").alias("_d"))), "dst").filter("_s = _d")
     none = F.lit(2**62).cast("long")
     own = on.select("id", F.when(F.col("level") == -F.col("distance"), -F.col("id")).otherwise(none).alias("level"))
-    return relax(spark, own, same.select("src", "dst", "cost"), span=span).select("id", (-F.col("level")).alias("start"))
-
-
-def _fit(t: pa.Table) -> pa.Table:
-    """One path: (id, sample, distance, below: level of the cell that it ends at) -> levels."""
-    order = np.argsort(t.column("distance").to_numpy())
-    ids, sample = (t.column(c).to_numpy()[order] for c in ("id", "sample"))
-    below = float(t.column("below")[0].as_py())
-    fit = np.r_[below, isotonic(sample[::-1], below)[::-1]]
-    step = np.arange(len(fit))
-    # no cell more than one above the next one downstream
-    return pa.table({"id": ids, "value": (np.minimum.accumulate(fit - step) + step)[1:]})
+    return relax(spark, cut_lineage(spark, own), same.select("src", "dst", "cost"), span=span).select("id", (-F.col("level")).alias("start"))
+
+
+def _profiles(t: pa.Table) -> pa.RecordBatch:
+    """Whole paths, their cells in order from the end up: (start, id, sample, below: level of the cell that it ends at) -> levels."""
+    start, sample, below = (t.column(c).to_numpy() for c in ("start", "sample", "below"))
+    first = np.flatnonzero(np.r_[True, start[1:] != start[:-1]])
+    n = np.diff(np.r_[first, len(start)])
+    fit = _isotonic(sample, n, below[first])
+    # no cell more than one above the next one downstream; the cell that a path ends at goes first
+    path = np.repeat(np.arange(len(n)), n)
+    own = np.arange(len(fit)) + path + 1
+    low, step = np.empty(len(fit) + len(n)), np.zeros(len(fit) + len(n), int)
+    low[first + np.arange(len(n))] = below[first]
+    step[own] = np.arange(len(fit)) - first[path] + 1
+    low[own] = fit - step[own]
+    _along(np.minimum, low, first + np.arange(len(n)), n + 1)
+    return pa.RecordBatch.from_pydict({"id": t.column("id").combine_chunks(), "value": pa.array((low + step)[own])})
+
+
+def _fit(batches):
+    """Levels of sorted paths, batch by batch; the last path of a batch waits for the rest of its cells."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        start = batch.column("start").to_numpy()
+        last = int(np.searchsorted(start, start[-1]))
+        if last or (held and held[-1].column("start")[0].as_py() != start[-1]):
+            done = [*held, batch.slice(0, last)]
+            if sum(b.num_rows for b in done):
+                yield _profiles(pa.Table.from_batches(done))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield _profiles(pa.Table.from_batches(held))
 
 
 @tidied
@@ -538,16 +589,21 @@ def fit_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seeds: Da
     """
     tree = shortest_paths(spark, nodes, edges, seeds, span)
     sample = nodes.select(F.col("id").cast("long").alias("id"), F.col("sample").cast("double").alias("sample"))
-    cells = cut_lineage(spark, tree.filter("parent >= 0").join(_moved(path_starts(spark, tree, span)), "id").join(_moved(sample), "id"))
-    ends = cut_lineage(spark, cells.groupBy("start").agg(F.min_by("parent", "distance").alias("end")))
+    cells = tree.filter("parent >= 0").join(_moved(path_starts(spark, tree, span)), "id").join(_moved(sample), "id")
+    left = cut_lineage(spark, cells.select("start", "id", "sample", "distance", F.min_by("parent", "distance").over(W.partitionBy("start")).alias("end")))
     fresh = known = cut_lineage(spark, tree.filter("distance = 0").join(_moved(sample), "id").select("id", F.col("sample").alias("value")))
     for _ in range(rounds):
-        ready = ends.join(_moved(fresh.select(F.col("id").alias("end"), F.col("value").alias("below"))), "end").select("start", "below")
-        fresh = cut_lineage(spark, cells.join(_moved(ready), "start").select("start", "id", "sample", "distance", "below").groupBy("start").applyInArrow(_fit, "id long, value double"))
-        if fresh.isEmpty():
+        below = fresh.select(F.col("id").alias("end"), F.col("value").alias("below"))
+        # whole paths in order, as many to a batch as it holds: most are short
+        ready = left.join(_moved(below), "end").repartition("start").sortWithinPartitions("start", "distance").select("start", "id", "sample", "below")
+        fitted = cut_lineage(spark, ready.mapInArrow(_fit, "id long, value double"))
+        if fitted.isEmpty():
             break
         # one table of all generations, so that the plan does not grow with them
-        fresh.write.mode("append").parquet(known.written_at)
+        fitted.write.mode("append").parquet(known.written_at)
+        rest = cut_lineage(spark, left.join(_moved(below), "end", "left_anti"))
+        forget(spark, left, *([fresh] if fresh is not known else []))
+        left, fresh = rest, fitted
     else:
         raise RuntimeError("fit_paths: paths are left")
     known = spark.read.schema(known.schema).parquet(known.written_at)

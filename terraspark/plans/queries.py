@@ -823,11 +823,14 @@ def ras04(spark, sf):
 
 @query("gra03_fit_paths")
 def gra03(spark, sf):
-    c = _river_cells(spark, sf)
-    e = G.neighbour_edges(c)
-    n = c.join(G.components(spark, e, c), "id").withColumn("sample", F.col("level").cast("double"))
+    c = G.cut_lineage(spark, _river_cells(spark, sf))  # read by many steps, as are the edges
+    e = G.cut_lineage(spark, G.neighbour_edges(c))
+    parts = G.components(spark, e, c)
+    n = G.cut_lineage(spark, c.join(parts.hint("merge"), "id").withColumn("sample", F.col("level").cast("double")))
     marks = n.withColumn("lake", F.lit(False)).withColumn("coast", F.lit(False)).withColumn("edge", F.col("x").isin(16, 40))
-    return G.fit_paths(spark, n, e, G.choose_outlets(marks)).select("id", "parent", "level")
+    out = G.fit_paths(spark, n, e, G.choose_outlets(marks)).select("id", "parent", "level")
+    G.forget(spark, c, e, parts, n)
+    return out
 
 
 @query("gra07_strong_components")

@@ -173,3 +173,52 @@ def test_fixpoints_send_no_tables_through_the_driver(spark, monkeypatch):
     assert len(plans) > 4 and not sent()
     G.scc(spark, arcs, span=1 << 17)
     assert len(plans) > 8 and not sent(), sent()[0][:3000]
+
+
+def test_paths_are_fitted_by_batches_and_once(spark, monkeypatch):
+    # a Python call per path takes far longer than its fit, and cells that are fitted need not be read in later rounds
+    plans, left, write = [], [], G.cut_lineage
+
+    def seen(session, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = write(session, df)
+        if {"start", "end"} <= set(out.columns):
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut_lineage", seen)
+    rng = random.Random(4)
+    parent, dist = {}, {}
+    for tree in range(9):
+        for i in range(tree * 100, tree * 100 + 25 + 9 * (tree == 0)):  # longer than a batch
+            parent[i] = -1 if i % 100 == 0 else i - 1 if rng.random() < 0.7 else rng.randrange(tree * 100, i)
+            dist[i] = 0.0 if i % 100 == 0 else dist[parent[i]] + 1
+    sample = {i: float(rng.randint(1, 60)) for i in parent}
+    want = {i: sample[i] for i, p in parent.items() if p == -1}
+    for u in sorted(parent, key=lambda i: (-dist[i], -i)):
+        path = []
+        while u not in want:
+            path.append(u)
+            u = parent[u]
+        low = want[u]
+        for k, f in list(zip(path, G.isotonic([sample[k] for k in path], low)))[::-1]:
+            low = want[k] = min(f, low + 1)
+    nodes = spark.createDataFrame(list(sample.items()), "id long, sample double")
+    edges = spark.createDataFrame([(a, b, 1.0) for i, p in parent.items() if p >= 0 for a, b in ((i, p), (p, i))], "src long, dst long, cost double")
+    seeds = spark.createDataFrame([(i,) for i, p in parent.items() if p == -1], "id long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r["id"]: (r["parent"], r["level"]) for r in G.fit_paths(spark, nodes, edges, seeds).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: (p, int(np.clip(np.rint(want[i]), 1, 255))) for i, p in parent.items()}
+    assert not [p for p in plans if "FlatMapGroupsInArrow" in p]
+    assert len(left) > 3 and left[-1] == 0 and all(a > b for a, b in zip(left, left[1:]))
+
+
+def test_fits_of_long_and_short_paths_together():
+    rng = np.random.default_rng(8)
+    n = np.array([1, 300, 2, 64, 65, 1, 63, 0, 90])
+    sample, below = rng.integers(1, 60, n.sum()).astype(float), rng.random(len(n)) * 40
+    parts = [G.isotonic(v[::-1], o)[::-1] for v, o in zip(np.split(sample, np.cumsum(n)[:-1]), below)]
+    assert np.array_equal(G._isotonic(sample, n, below), np.concatenate(parts))
