@@ -518,15 +518,19 @@ def shortest_paths(spark: SparkSession, nodes: DataFrame, edges: DataFrame, seed
     """(id, distance, parent) from the nearest of ``seeds(id)`` along ``edges(src, dst, cost)``; infinity where none is reached.
 
     Distances are a fixpoint, settled block by block. Of neighbours that give a node its
-    distance, its parent is the one nearest to a seed, the least on ties.
+    distance, its parent is the one nearest to a seed, the least on ties. Where blocks meet,
+    costs are summed in another order, and no neighbour may give the distance to the last
+    bit: then the parent is the one of the least way.
     """
     start = nodes.select(F.col("id").cast("long").alias("id")).join(_moved(seeds.select(F.col("id").cast("long").alias("id"), F.lit(0.0).alias("level")).distinct()), "id", "left")
     start = cut_lineage(spark, start.select("id", F.coalesce("level", F.lit(float("inf"))).alias("level")))
     arcs = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("cost").cast("double").alias("cost"))
     dist = cut_lineage(spark, relax(spark, start, arcs, span=span))
     a, b = (dist.select(F.col("id").alias(c), F.col("level").alias(f"_{c}")) for c in ("src", "dst"))
-    via = arcs.join(_moved(a), "src").join(_moved(b), "dst").filter((F.col("_src") + F.col("cost") == F.col("_dst")) & (F.col("_dst") > 0) & (F.col("_dst") < float("inf")))
-    parent = via.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("_src", "src"))["src"].alias("parent"))
+    offer = F.col("_src") + F.col("cost")
+    exact = offer == F.col("_dst")
+    via = arcs.join(_moved(a), "src").join(_moved(b), "dst").filter((exact | (F.col("_src") < F.col("_dst"))) & (F.col("_dst") > 0) & (F.col("_dst") < float("inf")))
+    parent = via.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct(F.when(exact, F.lit(-1.0)).otherwise(offer).alias("_o"), "_src", "src"))["src"].alias("parent"))
     return cut_lineage(spark, dist.join(_moved(parent), "id", "left").select("id", F.col("level").alias("distance"), F.coalesce("parent", F.lit(-1).cast("long")).alias("parent")))
 
 

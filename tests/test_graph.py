@@ -222,3 +222,26 @@ def test_fits_of_long_and_short_paths_together():
     sample, below = rng.integers(1, 60, n.sum()).astype(float), rng.random(len(n)) * 40
     parts = [G.isotonic(v[::-1], o)[::-1] for v, o in zip(np.split(sample, np.cumsum(n)[:-1]), below)]
     assert np.array_equal(G._isotonic(sample, n, below), np.concatenate(parts))
+
+
+def test_shortest_paths_over_many_blocks_have_parents(spark):
+    """Costs summed block by block may differ in the last bit from those of a walk: no reached cell is without a parent for that."""
+    rng = np.random.default_rng(3)
+    mask = rng.random((120, 30)) > 0.4
+    c = [(int(z * 30 + x), int(z), int(x)) for z, x in zip(*np.nonzero(mask))]
+    at = {(z, x): i for i, z, x in c}
+    near = {i: [(at[z + a, x + b], 1.41421356 if a and b else 1.0) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (z + a, x + b) in at] for i, z, x in c}
+    dist, moved = {c[0][0]: 0.0}, [c[0][0]]
+    while moved:
+        u = moved.pop(0)
+        for v, w in near[u]:
+            if dist[u] + w < dist.get(v, np.inf):
+                dist[v] = dist[u] + w
+                moved.append(v)
+    assert len(dist) == 2113
+    edges = spark.createDataFrame([(i, j, w) for i, js in near.items() for j, w in js], "src long, dst long, cost double")
+    got = {r["id"]: r for r in G.shortest_paths(spark, spark.createDataFrame(c, "id long, z int, x int"), edges, spark.createDataFrame(c[:1], "id long, z int, x int"), 240).collect()}
+    for i, r in got.items():
+        assert r["distance"] == pytest.approx(dist.get(i, np.inf), abs=1e-9)
+        if i != c[0][0] and i in dist:
+            assert r["parent"] >= 0 and dict(near[i])[r["parent"]] + dist[r["parent"]] == pytest.approx(dist[i], abs=1e-9)
